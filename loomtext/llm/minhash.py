@@ -3,10 +3,11 @@
 A text's set holds its distinct five-word shingles (A-Z as a-z; with fewer words, the whole sequence).
 Texts of one set form a class, stood for by its smallest id.  64 permutations give 128 signature values
 in 32 bands of 4, so that a pair at similarity 0.75 shares no band with a chance of 5e-6; the minimum
-and the maximum of one permutation are never in one band.  Pairs in a band's bucket are tried first
-around centres, later, among classes that are still apart, all of them; each is confirmed on the full sets.
-Two classes already connected need no trial, so that a group of many copies costs a few trials for
-each, not one for each pair; no bucket, partner or candidate is capped.
+and the maximum of one permutation are never in one band.  Pairs in a band's bucket are tried
+around centres first, in rounds; classes that still share a bucket and are apart are then tried wherever
+they share one of their rarest shingles (an exact condition, see ``_residual``).  Each link is confirmed
+on the full sets.  Two classes already connected need no trial, so that a group of many copies costs a
+few trials for each, not one for each pair; no bucket, partner or candidate is capped.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing.  Rows with a
 null id are linked with nothing and kept.  Rows that repeat an id and a text are as one document.
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -36,6 +37,8 @@ LEAST_AGREEMENT = 0.48
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"
 #: Ids of up to this many rows are broadcast (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Counts of shingles that order a set, by a hash of the shingle (4 MB broadcast).
+COUNTERS = 1 << 20
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -125,14 +128,65 @@ def _links(pairs: DataFrame, texts: DataFrame, signed: DataFrame, similarity: fl
     return links
 
 
+def _pairs(rows: DataFrame, x: Column, n_x: Column, y: Column, n_y: Column) -> DataFrame:
+    return rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x < y, n_x).otherwise(n_y).alias("n_a"), F.when(x < y, n_y).otherwise(n_x).alias("n_b"))
+
+
+def _residual(rows: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of rows (doc_id, root) with different roots, among them all that have the similarity.
+
+    Of a set of n, any other that is similar enough shares one of the first n - ceil(percent n / 100) + 1
+    members, whatever the order.  The order here takes the rarest first, by a table of COUNTERS counts, so
+    that a passage that many texts share brings no pair about unless it makes up most of both.
+    """
+    rows = scratch.keep(rows)
+    sets = scratch.keep(_needed(texts, rows.select("doc_id"), rows.count()).dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, sh array<long>"))
+    counted = sets.mapInArrow(_count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(COUNTERS, np.int64)
+    for part in counted.toArrow().to_batches():
+        counts[part.column("slot").to_numpy()] = part.column("n").to_numpy()
+    counts = sets.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = counts.value
+        for batch in batches:
+            sh = batch.column("sh")
+            at, flat = sh.offsets.to_numpy(), sh.values.to_numpy(zero_copy_only=False).view(U)
+            ids, sizes, out = batch.column("doc_id").to_numpy(), [], []
+            for i in range(len(batch)):
+                s = flat[at[i] : at[i + 1]]
+                s = s[np.lexsort((s, order[(s >> U(40)) % U(COUNTERS)]))]
+                out.append(s[: len(s) - -(-percent * len(s) // 100) + 1])
+                sizes.append(len(out[-1]))
+            for lo in range(0, len(ids), 256):
+                some = slice(lo, lo + 256)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[some], sizes[some])), pa.array(np.repeat(np.diff(at)[some], sizes[some]).astype(np.int64)), pa.array(np.concatenate(out[some]).view(np.int64))], names=["doc_id", "n", "s"])
+
+    few = scratch.keep(sets.mapInArrow(first, "doc_id long, n long, s long"))
+    shared = few.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("s")
+    few = scratch.keep(few.join(shared, "s").join(rows, "doc_id"))
+    one = few.alias("x").join(few.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n")))
+    return _pairs(one, F.col("x.doc_id"), F.col("x.n"), F.col("y.doc_id"), F.col("y.n"))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        sh = batch.column("sh").flatten().to_numpy(zero_copy_only=False).view(U)
+        counts += np.bincount(((sh >> U(40)) % U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    slot = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], names=["slot", "n"])
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text", center_rounds: int = 8) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row; ids are integers.
 
-    ``center_rounds`` bounds the rounds around centres before all pairs still apart are tried; it
+    ``center_rounds`` bounds the rounds around centres; they end earlier when few trials succeed.  It
     changes the work, not the result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
+    percent = round(similarity * 100)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = scratch.keep(texts.mapInArrow(_sign, SIGNED))
     some = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -142,54 +196,34 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     banded = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band")
     members = scratch.keep(banded.join(shared, "band"))
-    roots = None
-    tried = None
-    links = None
-    rounds = 0
-    while True:
+    roots = links = tried = None
+    for rounds in range(center_rounds + 1):
         now = members if roots is None else members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        now = now.withColumn("root", F.coalesce("root", "rep") if roots is not None else F.col("rep"))
+        now = now.withColumn("root", F.col("rep") if roots is None else F.coalesce("root", "rep"))
         # A bucket is done when all its members are connected.
-        sizes = now.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-        open_ = scratch.keep(
-            sizes.groupBy("band").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("k2"), F.count(F.lit(1)).alias("roots"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max(F.struct("k", "hi"))["hi"].alias("big"), F.min(F.struct("k", "lo"))["lo"].alias("small")).filter("roots > 1")
-        )
-        apart, rows = open_.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        last = rounds >= center_rounds or apart <= 4 * rows + 10_000 * (rounds > 0)
-        current = scratch.keep(now.join(open_.select("band"), "band").select("band", "rep", "n", "root"))
-        if not rows:
+        spots = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(rounds), "rep"), "rep", "n", "root")).alias("c") if rounds else F.min(F.struct(F.lit(0), "rep", "n", "root")).alias("c")).filter("lo != hi")
+        current = scratch.keep(now.join(spots.select("band", "c"), "band"))
+        if current.isEmpty():
             break
-        if last and rounds:
-            other = current.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            pairs = current.join(other, "band").filter("rep < rep2 and root != root2")
-            pairs = pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.col("n").alias("n_a"), F.col("n2").alias("n_b"))
+        last = rounds == center_rounds or (rounds > 0 and found * 50 < trials)  # noqa: F821
+        if last:
+            pairs = _residual(current.select(F.col("rep").alias("doc_id"), "root").distinct(), texts, percent, scratch)
         else:
-            centre = ["lo", "hi", "big", "small"][rounds % 4] if rounds < 4 else None
-            if centre is None:
-                spots = current.groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(rounds), "rep"), F.col("rep").alias("r")))["r"].alias("centre"))
-            else:
-                spots = open_.select("band", F.col(centre).alias("centre"))
-            of = reps.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("n2"))
-            if roots is not None:
-                of = of.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("root2")), "centre", "left").withColumn("root2", F.coalesce("root2", "centre"))
-            else:
-                of = of.withColumn("root2", F.col("centre"))
-            pairs = current.join(spots.join(of, "centre"), "band").filter("rep != centre and root != root2")
-            first = F.col("rep") < F.col("centre")
-            pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), F.when(first, F.col("n")).otherwise(F.col("n2")).alias("n_a"), F.when(first, F.col("n2")).otherwise(F.col("n")).alias("n_b"))
-        percent = round(similarity * 100)
+            c = F.col("c")
+            pairs = _pairs(current.filter("rep != c.rep and root != c.root"), F.col("rep"), F.col("n"), c["rep"], c["n"])
         pairs = pairs.filter(F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
         new = _links(pairs, texts, signed, similarity, scratch)
-        links = new if links is None else scratch.keep(links.union(new))
-        roots = components(links, scratch)
-        if last and rounds:
+        trials, found = pairs.count(), new.count()
+        if found:
+            links = new if links is None else scratch.keep(links.union(new))
+            roots = components(links, scratch)
+        scratch.drop(current)
+        if last:
             break
         tried = pairs.select("a", "b") if tried is None else scratch.keep(tried.union(pairs.select("a", "b")))
-        scratch.drop(open_, current)
-        rounds += 1
     linked = classes.select(*key, F.col("rep").alias("node"))
     if roots is not None:
         linked = linked.join(roots, "node", "left").select(*key, F.coalesce("root", "node").alias("component_id"))
