@@ -50,7 +50,7 @@ class Scratch:
         """Write ``df`` and read it back."""
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.at[id(out)] = path
         return out
