@@ -136,8 +136,10 @@ def _residual(rows: DataFrame, texts: DataFrame, percent: int, scratch: Scratch)
     """Pairs of rows (doc_id, root) with different roots, among them all that have the similarity.
 
     Of a set of n, any other that is similar enough shares one of the first n - ceil(percent n / 100) + 1
-    members, whatever the order.  The order here takes the rarest first, by a table of COUNTERS counts, so
-    that a passage that many texts share brings no pair about unless it makes up most of both.
+    members, whatever the order; and where the first shared one stands i-th and j-th, no more than the rest of
+    each set can be shared, which must suffice for the similarity.  The order here takes the rarest first, by a
+    table of COUNTERS counts, so that a passage that many texts share brings no pair about unless it makes up
+    most of both.
     """
     rows = scratch.keep(rows)
     sets = scratch.keep(_needed(texts, rows.select("doc_id"), rows.count()).dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, sh array<long>"))
@@ -160,12 +162,14 @@ def _residual(rows: DataFrame, texts: DataFrame, percent: int, scratch: Scratch)
                 sizes.append(len(out[-1]))
             for lo in range(0, len(ids), 256):
                 some = slice(lo, lo + 256)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[some], sizes[some])), pa.array(np.repeat(np.diff(at)[some], sizes[some]).astype(np.int64)), pa.array(np.concatenate(out[some]).view(np.int64))], names=["doc_id", "n", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[some], sizes[some])), pa.array(np.repeat(np.diff(at)[some], sizes[some]).astype(np.int64)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes[some]])), pa.array(np.concatenate(out[some]).view(np.int64))], names=["doc_id", "n", "i", "s"])
 
-    few = scratch.keep(sets.mapInArrow(first, "doc_id long, n long, s long"))
-    shared = few.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("s")
+    few = scratch.keep(sets.mapInArrow(first, "doc_id long, n long, i int, s long"))
+    shared = scratch.keep(few.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("s"))
     few = scratch.keep(few.join(shared, "s").join(rows, "doc_id"))
-    one = few.alias("x").join(few.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n")))
+    left = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    enough = left * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    one = few.alias("x").join(few.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root")) & enough & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n")))
     return _pairs(one, F.col("x.doc_id"), F.col("x.n"), F.col("y.doc_id"), F.col("y.n"))
 
 
@@ -194,7 +198,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     classes = scratch.keep(some.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     reps = scratch.keep(some.join(classes.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sig", "bands"))
     banded = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band")
+    # A table of its own: a join whose sides are both plain shuffles can have its hot partitions split.
+    shared = scratch.keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band"))
     members = scratch.keep(banded.join(shared, "band"))
     roots = links = tried = None
     for rounds in range(center_rounds + 1):
