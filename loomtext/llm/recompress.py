@@ -20,7 +20,6 @@ rows.  Other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -241,9 +240,10 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     scratch = Scratch(docs.sparkSession, "repeats")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     found = scratch.keep(texts.mapInArrow(_grouped(window), GROUP))
-    shared = found.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.min("span").alias("lo"), F.max("span").alias("hi")).filter("k > 1")
+    # A table of its own: a join whose sides are both plain shuffles can have its hot partitions split.
+    shared = scratch.keep(found.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.min("span").alias("lo"), F.max("span").alias("hi")).filter("k > 1"))
     alike = scratch.keep(found.join(shared.select("name", (F.col("lo") == F.col("hi")).alias("whole")), "name"))
-    scratch.drop(found)
+    scratch.drop(found, shared)
     whole = alike.filter("whole").select("doc_id", "t", "i0", "i1")
     mixed = alike.filter("not whole")
     kinds = mixed.groupBy("name", "span").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "t", "i0", "i1")).alias("one"))
