@@ -153,6 +153,8 @@ def find_in(batch: pa.RecordBatch, index: Index, similarity: float) -> Iterator[
         cut = np.ones(len(pos), bool)
         cut[1:] = (size[1:] != size[:-1]) | (doc[pos[1:]] != doc[pos[:-1]]) | (pos[1:] - pos[:-1] > 2 * reach[size[1:]])
         heads = np.flatnonzero(cut)
+        if not len(heads):
+            continue
         for a, b in zip(heads, np.append(heads[1:], len(pos)), strict=True):
             s, d = index.sizes[size[a]], doc[pos[a]]
             first, last = w.first[d], w.first[d + 1] - k + 1
