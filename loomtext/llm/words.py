@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 
 U = np.uint64
 PIECE = 1 << 20  # bytes hashed at a time; a longer text is hashed in pieces
-SLICE = 1 << 22  # bytes of text worked on at a time, or one longer text
+SLICE = 1 << 21  # bytes of text worked on at a time, or one longer text
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
