@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import lean
 from .words import U, mix, slices, split_words, window_names
 
 SHINGLE, RADIUS = 5, 23
@@ -171,6 +172,7 @@ def find_in(batch: pa.RecordBatch, index: Index, similarity: float) -> Iterator[
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", items_per_block: int = 50_000) -> DataFrame:
     """(id, item_id, similarity, start_word, n_words, hamming): one row for each document and item that it contains."""
+    lean(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import lean
 from .textstats import CLASSES, Stats
 from .words import U, slices
 
@@ -128,6 +129,7 @@ def _remainder(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, slots: int = 1 << 15, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", label_col: str = "quality") -> Machine:
     """A machine for labelled rows whose crc32(id as text) mod 5 is not 0."""
+    lean(docs.sparkSession)
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (_remainder(id_col) != 0)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("y"))
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(length_col).cast("long").alias("told"))
     # The sample is bounded by its parameter, so it may be broadcast.

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import lean
 from .textstats import CLASSES, Stats, class_counts
 from .words import U, slices, split_words
 
@@ -91,6 +92,7 @@ def _language_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> References:
     """Counts over all documents; what comes to the driver is bounded by the shares."""
+    lean(docs.sparkSession)
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("text is not null and lang is not null")
     per = texts.mapInArrow(_language_classes, "lang string, n long, classes array<long>").groupBy("lang")
     per = per.agg(F.sum("n").alias("n"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))])

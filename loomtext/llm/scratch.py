@@ -39,12 +39,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean(spark: SparkSession) -> None:
+    """Texts go to Python a thousand at a time, unless the cluster's configuration says otherwise: batches of the
+    default size, held by the JVM, by Python and as results, are several times larger than what is worked on."""
+    if not spark.sparkContext.getConf().contains(ROWS):
+        spark.conf.set(ROWS, 1000)
+
+
 class Scratch:
     """Tables of one run of an operator; ``drop`` frees those that no later plan reads."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
         self.at: dict[int, str] = {}
+        lean(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back."""
