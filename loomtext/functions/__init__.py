@@ -1 +1,96 @@
+"""Column functions on results, locations and edits, and their registration for SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+
+def is_success(r: Column) -> Column:
+    return r["status"] == "success"
+
+
+def is_partial(r: Column) -> Column:
+    return r["status"] == "partial"
+
+
+def is_failure(r: Column) -> Column:
+    return r["status"] == "failure"
+
+
+def to_option(r: Column) -> Column:
+    return F.when(~is_failure(r), r["value"])
+
+
+def errors(r: Column) -> Column:
+    return F.coalesce(r["errors"], F.array())
+
+
+def and_then(first: Column, second: Column) -> Column:
+    """Two results in sequence: the second's value, errors merged, consumed added; the first's failure stays."""
+    status = F.when(is_failure(first) | is_failure(second), "failure").when(is_partial(first) | is_partial(second), "partial").otherwise("success")
+    return F.struct(status.alias("status"), F.when(status != "failure", second["value"]).alias("value"), F.when(is_failure(first), first["errors"]).otherwise(F.concat(first["errors"], second["errors"])).alias("errors"), F.when(status == "failure", 0).otherwise(first["consumed"] + second["consumed"]).alias("consumed"))
+
+
+def show_error(e: Column) -> Column:
+    """An error as a sentence."""
+    at = F.concat(F.lit(" at line "), e["loc"]["line"], F.lit(", column "), e["loc"]["column"], F.lit(" (offset "), e["loc"]["offset"], F.lit(")"))
+    what = (
+        F.when(e["kind"] == "Unexpected", F.concat(F.lit("Unexpected '"), e["found"], F.lit("' (expected: "), F.array_join(e["expected"], ", "), F.lit(")")))
+        .when(e["kind"] == "EndOfInput", F.concat(F.lit("Unexpected end of input (expected: "), F.array_join(e["expected"], ", "), F.lit(")")))
+        .otherwise(e["message"])
+    )
+    return F.concat(what, at)
+
+
+def _prefix(text: Column, offset: Column) -> Column:
+    return F.substring(text, F.lit(1), F.greatest(offset, F.lit(0)).cast("int"))
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """1-based line of a code-point offset."""
+    p = _prefix(text, offset)
+    return F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))) + 1
+
+
+def column_of(text: Column, offset: Column) -> Column:
+    return F.length(F.substring_index(_prefix(text, offset), "\n", -1)) + 1
+
+
+def line_starts(text: Column) -> Column:
+    """Offsets at which lines begin."""
+    lengths = F.transform(F.split(text, "\n", -1), lambda x: F.length(x) + 1)
+    acc = F.struct(F.array(F.lit(0)).alias("out"), F.lit(0).alias("at"))
+    full = F.aggregate(lengths, acc, lambda a, n: F.struct(F.concat(a["out"], F.array(a["at"] + n)).alias("out"), (a["at"] + n).alias("at")))["out"]
+    return F.slice(full, 1, F.size(full) - 1)
+
+
+def utf16_offset(text: Column, offset: Column) -> Column:
+    """A code-point offset in UTF-16 units."""
+    p = _prefix(text, offset)
+    return F.length(p) + F.regexp_count(p, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def register(spark: SparkSession) -> None:
+    """Formats as SQL functions: json_result, toml_status, xml_status, yaml_status, proto_status, xpath_normal."""
+    import pandas as pd
+
+    from ..formats import json, proto, toml, xml, xpath, yaml
+
+    def status(f):
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series([f(t).status if isinstance(t, str) else None for t in texts], dtype=object)
+
+        return run
+
+    for name, f in (("json", json.parse_json), ("toml", toml.parse_toml), ("xml", xml.parse_xml), ("yaml", yaml.parse_yaml), ("proto", proto.parse_proto)):
+        run = status(f)
+        run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+        spark.udf.register(f"{name}_status", F.pandas_udf(run, "string"))
+
+    def normal(texts: pd.Series) -> pd.Series:
+        results = [xpath.parse_xpath(t) if isinstance(t, str) else None for t in texts]
+        return pd.Series([None if r is None or r.status == "failure" else xpath.print_xpath(r.value) for r in results], dtype=object)
+
+    normal.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    spark.udf.register("xpath_normal", F.pandas_udf(normal, "string"))

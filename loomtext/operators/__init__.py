@@ -1 +1 @@
-
+"""Relational operators over trees, edits and text."""

@@ -1 +1,99 @@
+"""From a grammar to a Spark plan: regular grammars as JVM expressions, the others as vectorised Python."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..grammar import P
+from ..lower import NotRegular, lower
+from ..machine import Error, Parser, Result
+from ..schema import result_type
+
+
+def tier(p: P) -> str:
+    """"jvm" or "python"."""
+    try:
+        lower(p)
+        return "jvm"
+    except NotRegular:
+        return "python"
+
+
+def matches(text: Column, p: P) -> Column:
+    """Whether a regular grammar matches at the start."""
+    return text.rlike(rf"\A{lower(p)}")
+
+
+def captured(text: Column, p: P) -> Column:
+    """What a regular grammar consumes at the start; null where it fails, which is not the same as ''."""
+    return F.when(matches(text, p), F.regexp_extract(text, rf"\A({lower(p)})", 1))
+
+
+def consumed(text: Column, p: P) -> Column:
+    return F.length(captured(text, p))
+
+
+def items(text: Column, item: P) -> Column:
+    """All items of a regular grammar in a text, from left to right, what is between them skipped."""
+    return F.regexp_extract_all(text, F.lit(f"({lower(item)})"), F.lit(1))
+
+
+def location(text: str, offset: int) -> dict:
+    """1-based line and column of an offset, clamped to the text; only a newline ends a line."""
+    offset = min(max(offset, 0), len(text))
+    return {"line": text.count("\n", 0, offset) + 1, "column": offset - text.rfind("\n", 0, offset), "offset": offset}
+
+
+def error_row(e: Error, text: str) -> dict:
+    return {"kind": e.kind, "found": e.found, "expected": sorted(set(e.expected)), "message": e.message, "loc": location(text, e.offset)}
+
+
+def result_row(r: Result, text: str, value: Callable[[Any], Any]) -> dict:
+    return {"status": r.status, "value": None if r.status == "failure" else value(r.value), "errors": [error_row(e, text) for e in r.errors], "consumed": r.consumed, "furthest": location(text, r.furthest)}
+
+
+class _Held:
+    """A parser compiled once for each Python worker's task, from what can be sent there."""
+
+    def __init__(self, source: P | Callable[[str], Result]):
+        self.source, self.parser = source, None
+
+    def __call__(self, text: str) -> Result:
+        if self.parser is None:
+            self.parser = Parser(self.source) if isinstance(self.source, P) else self.source
+        return self.parser(text)
+
+    def __getstate__(self) -> dict:
+        return {"source": self.source, "parser": None}
+
+
+def parse(text: Column, p: P | Callable[[str], Result], value_type: str, value: Callable[[Any], Any] = lambda v: v) -> Column:
+    """RESULT of each text: status, value, errors with locations, consumed, furthest. A null text gives null."""
+    held = _Held(p)
+
+    @F.pandas_udf(result_type(value_type))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [result_row(held(t), t, value) if isinstance(t, str) else {"status": None, "value": None, "errors": None, "consumed": None, "furthest": None} for t in texts]
+        return pd.DataFrame(rows, columns=["status", "value", "errors", "consumed", "furthest"], dtype=object)
+
+    return run(text)
+
+
+def parse_value(text: Column, p: P | Callable[[str], Result], value_type: str, value: Callable[[Any], Any] = lambda v: v) -> Column:
+    """Only the value; null for failures."""
+    held = _Held(p)
+
+    @F.pandas_udf(value_type)
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            r = held(t) if isinstance(t, str) else None
+            out.append(None if r is None or r.status == "failure" else value(r.value))
+        return pd.Series(out, dtype=object)
+
+    return run(text)

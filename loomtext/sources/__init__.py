@@ -1 +1,24 @@
+"""Texts in and parsed rows out: files, tables, and node tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): one row for each file."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): one row for each line; a large file is split over tasks."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def write_rows(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
+    df.write.mode(mode).format(kind).save(path)

@@ -1 +1,49 @@
+"""A stream of edits, each document's text and tree kept as state and parsed again where it changed."""
 
+from __future__ import annotations
+
+import pickle
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..incremental import Bundle, Reparsed, TextEdit, _whole, reparse
+
+OUT = "doc_id long, seq long, how string, region_start int, region_end int, ok boolean, text string"
+STATE = "text string, tree binary"
+
+
+def replay(tree_and_text: Reparsed | None, rows: list[tuple], bundle: Bundle) -> Iterator[tuple[int, Reparsed]]:
+    """Edits (seq, start, end, new_text) in order of seq; the first to an unknown document is its text."""
+    now = tree_and_text
+    for seq, start, end, new in sorted(rows):
+        now = _whole(new, bundle) if now is None else reparse(now.tree, now.text, TextEdit(start, end, new), bundle)
+        yield seq, now
+
+
+def incremental(edits: DataFrame, bundle: Callable[[], Bundle], ttl_ms: int = 3_600_000) -> DataFrame:
+    """(doc_id, seq, how, region, ok, text) for each row of a stream (doc_id, seq, start, end, new_text).
+
+    Documents without an edit for ``ttl_ms`` are forgotten. A null doc_id is a document like others.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = None
+        if state.exists:
+            text, tree = state.get
+            now = Reparsed(pickle.loads(bytes(tree)), text, "none", (0, 0))
+        rows = [tuple(r) for f in frames for r in f[["seq", "start", "end", "new_text"]].itertuples(index=False)]
+        out = []
+        for seq, now in replay(now, rows, bundle()):
+            out.append((key[0], seq, now.how, *now.region, now.ok, now.text))
+        if now is not None:
+            state.update((now.text, pickle.dumps(now.tree)))
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
+
+    return edits.groupBy("doc_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
