@@ -47,19 +47,21 @@ class Reparsed:
     ok: bool = True
 
 
-def _chain(root: Node, start: int, end: int) -> list[tuple[Node, int, int]]:
-    """(node, offset, child index) from the root down to the deepest node that holds [start, end]."""
+def _chain(root: Node, start: int, end: int, known: set) -> list[tuple[Node, int, int]]:
+    """(node, offset, child index) from the root down to the deepest node that holds [start, end]; where an edit stands
+    between two, the first that is a tree or of a known kind."""
     out, node, at = [(root, 0, 0)], root, 0
     while node.children:
+        held = []
         for i, child in enumerate(node.children):
             width = len(child.source())
             if at <= start and end <= at + width and width:
-                out.append((child, at, i))
-                node = child
-                break
+                held.append((child, at, i))
             at += width
-        else:
+        if not held:
             break
+        out.append(next((x for x in held if x[0].cls == "tree" or x[0].kind in known), held[0]))
+        node, at, _ = out[-1]
     return out
 
 
@@ -81,7 +83,7 @@ def _whole(text: str, bundle: Bundle) -> Reparsed:
 def reparse(tree: Node, text: str, edit: TextEdit, bundle: Bundle) -> Reparsed:
     """The tree after an edit; its source is always the edited text."""
     new_text = edit.apply(text)
-    chain = _chain(tree, edit.start, edit.end)
+    chain = _chain(tree, edit.start, edit.end, set(bundle.tokens))
     node, at, _ = chain[-1]
     if node.cls == "token" and node.kind in bundle.tokens:
         own = TextEdit(edit.start - at, edit.end - at, edit.new_text).apply(node.text)

@@ -88,12 +88,12 @@ def parse_value(text: Column, p: P | Callable[[str], Result], value_type: str, v
     """Only the value; null for failures."""
     held = _Held(p)
 
-    @F.pandas_udf(value_type)
-    def run(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf(f"struct<v:{value_type}>")
+    def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             r = held(t) if isinstance(t, str) else None
             out.append(None if r is None or r.status == "failure" else value(r.value))
-        return pd.Series(out, dtype=object)
+        return pd.DataFrame({"v": pd.Series(out, dtype=object)})
 
-    return run(text)
+    return run(text)["v"]

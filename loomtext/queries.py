@@ -1,10 +1,411 @@
-"""Queries for the engine's own operators, and the SQL that gives the same rows."""
+"""Queries for the engine's own operators, and the SQL that gives the same rows.
+
+Most parse text rendered from relational columns, so that the SQL needs no parser: it reads the columns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import derive, plans
+from .formats import csv, json, proto, toml, xml, xpath, yaml
+from .functions import column_of, is_failure, is_partial, line_of, show_error, utf16_offset
+from .grammar import Op, P, Ref, alpha_num, any_char, c_family, char, choice, digit, eof, first_char_choice, keywords, letter, none_of, offset, one_of, pratt, spaces, string, string_in, succeed, symbol
+from .incremental import TextEdit, json_bundle, reparse
+from .operators import edits, trees
+from .sources import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+number = digit.many1().capture().map(int)
+
+
+# Primitives and combinators, lowered to JVM expressions.
+
+
+def lowered(name: str, table: str, key: str, column: str, p: P, sql: str) -> None:
+    """What a regular grammar takes from the start of a column."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = read_table(spark, d, table)
+        text = F.col(column)
+        return t.select(key, plans.captured(text, p).alias("value"), plans.consumed(text, p).alias("consumed"))
+
+    run.__name__ = name
+    query(f"SELECT {key}, CASE WHEN ok THEN v END AS value, CAST(CASE WHEN ok THEN length(v) END AS INTEGER) AS consumed FROM (SELECT {key}, {sql} FROM {table})")(run)
+
+
+def _re(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, '^(?:{pattern})') AS ok, regexp_extract({column}, '^({pattern})', 1) AS v"
+
+
+lowered("char_any", "part", "p_partkey", "p_name", any_char, _re("p_name", "(?s:.)"))
+lowered("digit_many1", "customer", "c_custkey", "c_name", letter.many1() >> char("#") >> digit.many1(), _re("c_name", "[A-Za-z]+#[0-9]+"))
+lowered("letters_prefix", "part", "p_partkey", "p_name", letter.many1(), _re("p_name", "[A-Za-z]+"))
+lowered("one_of_run", "part", "p_partkey", "p_type", one_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ").many(), _re("p_type", "[A-Z]*"))
+lowered("none_of_run", "part", "p_partkey", "p_type", none_of(" ").many1(), _re("p_type", "[^ ]+"))
+lowered("optional_sign", "events", "event_id", "props", char("{") >> char("-").optional() >> spaces >> char('"'), _re("props", '[{]-?\\s*"'))
+lowered("sep_by_words", "part", "p_partkey", "p_name", letter.many1().sep_by1(char(" ")), _re("p_name", "[A-Za-z]+(?: [A-Za-z]+)*"))
+lowered("end_by_words", "part", "p_partkey", "p_type", letter.many1().end_by(char(" ")), _re("p_type", "(?:[A-Za-z]+ )*"))
+lowered("count_three", "customer", "c_custkey", "c_name", letter.count(3), _re("c_name", "[A-Za-z]{3}"))
+lowered("at_least_two", "customer", "c_custkey", "c_name", alpha_num.at_least(2), _re("c_name", "[A-Za-z0-9]{2,}"))
+lowered("between_quotes", "events", "event_id", "props", char("{") >> none_of('"').many1().between(char('"'), char('"')), _re("props", '[{]"[^"]+"'))
+lowered("whole_input", "nation", "n_nationkey", "n_name", (letter | one_of(" _")).many1() << eof, "regexp_full_match(n_name, '[A-Za-z _]+') AS ok, n_name AS v")
+lowered("lexeme_symbol", "part", "p_partkey", "p_type", letter.many1().lexeme() >> letter.many1(), _re("p_type", "[A-Za-z]+\\s+[A-Za-z]+"))
+lowered("string_literal", "customer", "c_custkey", "c_name", string("Customer"), "starts_with(c_name, 'Customer') AS ok, 'Customer' AS v")
+lowered("look_ahead", "part", "p_partkey", "p_name", letter.many1() << char(" ").look_ahead(), "regexp_matches(p_name, '^[A-Za-z]+ ') AS ok, regexp_extract(p_name, '^([A-Za-z]+) ', 1) AS v")
+lowered("string_in_longest", "orders", "o_orderkey", "o_orderpriority", string_in("1", "1-URGENT", "2-HIGH", "3-MEDIUM", "4"), "o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') OR left(o_orderpriority, 1) IN ('1', '4') AS ok, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN o_orderpriority ELSE left(o_orderpriority, 1) END AS v")
+lowered("not_followed_by", "part", "p_partkey", "p_type", char("S").not_followed_by() >> letter.many1(), "p_type NOT LIKE 'S%' AND regexp_matches(p_type, '^[A-Za-z]') AS ok, regexp_extract(p_type, '^([A-Za-z]+)', 1) AS v")
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, min(CAST(json_extract(props, '$.k') AS BIGINT)) AS low, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS high FROM events GROUP BY 1")
+def json_events(spark: SparkSession, d: str) -> DataFrame:
+    """Flagship: JSON properties parsed by our grammar, aggregated."""
+    k = plans.parse_value(F.col("props"), json.parse_json, "bigint", lambda v: int(v["k"].raw) if "k" in v else None)
+    return read_table(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.min("k").alias("low"), F.max("k").alias("high"))
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS level, o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS failed FROM orders")
+def keyword_values(spark: SparkSession, d: str) -> DataFrame:
+    p = keywords({"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3})
+    r = plans.parse(F.col("o_orderpriority"), p, "int")
+    return read_table(spark, d, "orders").select("o_orderkey", r.alias("r")).select("o_orderkey", F.col("r.value").alias("level"), is_failure(F.col("r")).alias("failed"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_type LIKE 'S%' THEN 1 WHEN p_type LIKE 'P%' OR p_type LIKE 'E%' THEN 2 ELSE 0 END AS INTEGER) AS route FROM part")
+def first_char_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    p = first_char_choice(("S", any_char.as_(1)), ("PE", any_char.as_(2)), fallback=succeed(0))
+    return read_table(spark, d, "part").select("p_partkey", plans.parse_value(F.col("p_type"), p, "int").alias("route"))
+
+
+_TERM = "concat(l_orderkey, '+', l_linenumber, '*', l_partkey, '-', l_suppkey)"
+_SUM = "sum(l_orderkey + l_linenumber * l_partkey - l_suppkey)"
+
+
+def _arithmetic(name: str, p: P, render: Callable[[], Column], sql: str) -> None:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = read_table(spark, d, "lineitem").select("l_linenumber", plans.parse_value(render(), p << eof, "bigint").alias("v"))
+        return t.groupBy("l_linenumber").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
+
+    run.__name__ = name
+    query(f"SELECT l_linenumber, count(*) AS n, CAST({sql} AS BIGINT) AS total FROM lineitem GROUP BY 1")(run)
+
+
+_BINARY = [("+", 1, lambda a, b: a + b), ("-", 1, lambda a, b: a - b), ("*", 2, lambda a, b: a * b)]
+_mul = number.chain_left1(char("*").as_(lambda a, b: a * b))
+_sum = _mul.chain_left1(char("+").as_(lambda a, b: a + b) | char("-").as_(lambda a, b: a - b))
+_left, _right = Ref(), Ref()
+_left.set((((_left << char("+")) & _mul).map(lambda x: x[0] + x[1]) | ((_left << char("-")) & _mul).map(lambda x: x[0] - x[1]) | _mul).rule("sum"))
+_term = lambda: F.expr(_TERM)
+_arithmetic("chain_left", _sum, _term, _SUM)
+_arithmetic("pratt_table", pratt(number, *[Op("left", char(s), p, f) for s, p, f in _BINARY]), _term, _SUM)
+_arithmetic("c_family_precedence", c_family(number), _term, _SUM)
+_arithmetic("left_recursion", _left, _term, _SUM)
+_arithmetic("chain_right", number.chain_right1(char("-").as_(lambda a, b: a - b)), lambda: F.expr("concat_ws('-', l_orderkey, l_linenumber, l_suppkey)"), "sum(l_orderkey - (l_linenumber - l_suppkey))")
+_arithmetic("sep_by_sum", number.sep_by(char(",")).map(sum), lambda: F.expr("concat_ws(',', l_orderkey, l_partkey, l_suppkey)"), "sum(l_orderkey + l_partkey + l_suppkey)")
+_arithmetic("flat_map_counted", number.lexeme().flat_map(lambda n: (number.lexeme()).count(n)).map(sum), lambda: F.expr("concat_ws(' ', 2, l_partkey, l_suppkey)"), "sum(l_partkey + l_suppkey)")
+_arithmetic("defer_memo", Ref().set((char("(") >> number.memoize() << char(")")) | number), lambda: F.expr("concat('(', l_partkey, ')')"), "sum(l_partkey)")
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Order keys, every third with a letter in front."""
+    return read_table(spark, d, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat('x', o_orderkey) ELSE cast(o_orderkey as string) END").alias("t"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'partial' ELSE 'success' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_orderkey END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'Unexpected ''x'' (expected: digit) at line 1, column 1 (offset 0)' END AS error FROM orders")
+def recover_fallback(spark: SparkSession, d: str) -> DataFrame:
+    r = plans.parse(F.col("t"), number.recover(succeed(-1)), "bigint")
+    return _mixed(spark, d).select("o_orderkey", r.alias("r")).select("o_orderkey", "r.status", "r.value", F.when(is_partial(F.col("r")), show_error(F.col("r.errors")[0])).alias("error"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'a key is needed' END AS message FROM orders")
+def expect_message(spark: SparkSession, d: str) -> DataFrame:
+    r = plans.parse(F.col("t"), number.named("key").expect("a key is needed"), "bigint")
+    return _mixed(spark, d).select("o_orderkey", r.alias("r")).select("o_orderkey", "r.value", F.when(is_failure(F.col("r")), F.col("r.errors")[0]["message"]).alias("message"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'failure' ELSE 'success' END AS inner_status, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE length(CAST(o_orderkey AS VARCHAR)) END AS INTEGER) AS consumed FROM orders")
+def attempt_reified(spark: SparkSession, d: str) -> DataFrame:
+    r = plans.parse(F.col("t"), number.attempt(), "string", lambda v: v.status)
+    return _mixed(spark, d).select("o_orderkey", r.alias("r")).select("o_orderkey", F.col("r.value").alias("inner_status"), "r.consumed")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_orderkey END AS value FROM orders")
+def or_else_value(spark: SparkSession, d: str) -> DataFrame:
+    p = choice(number << eof, number.recover_value(lambda e: -1))
+    return _mixed(spark, d).select("o_orderkey", plans.parse_value(F.col("t"), p, "bigint").alias("value"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'x' || o_orderkey ELSE NULL END AS skipped, CAST(length(CAST(o_orderkey AS VARCHAR)) + (o_orderkey % 3 = 0)::INT + 1 AS INTEGER) AS consumed FROM orders")
+def sync_until_statement(spark: SparkSession, d: str) -> DataFrame:
+    p = number.sync_until(";") << char(";")
+    r = plans.parse(F.concat("t", F.lit("; rest")), p, "string", lambda v: None if isinstance(v, int) else v.source())
+    return _mixed(spark, d).select("o_orderkey", r.alias("r")).select("o_orderkey", F.col("r.value").alias("skipped"), "r.consumed")
+
+
+@query("SELECT o_orderkey, CAST(length(CAST(o_orderkey AS VARCHAR)) + 1 AS INTEGER) AS at FROM orders")
+def offset_position(spark: SparkSession, d: str) -> DataFrame:
+    t = read_table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("#"), F.col("o_orderkey")).alias("t"))
+    return t.select("o_orderkey", plans.parse_value(F.col("t"), char("#") >> number >> offset, "int").alias("at"))
+
+
+# Formats.
+
+
+@query("SELECT c_custkey, CAST(3 AS INTEGER) AS n, c_name AS name, 'a \"quoted\", line\nbreak' AS note FROM customer")
+def csv_fields(spark: SparkSession, d: str) -> DataFrame:
+    t = read_table(spark, d, "customer")
+    line = csv.format_fields(F.array(F.col("c_custkey").cast("string"), F.col("c_name"), F.lit('a "quoted", line\nbreak')))
+    return t.select("c_custkey", csv.record_fields(line).alias("f")).select("c_custkey", F.size("f").alias("n"), F.col("f")[1].alias("name"), F.col("f")[2].alias("note"))
+
+
+def _customer_csv(spark: SparkSession, d: str) -> DataFrame:
+    """One CSV text for each customer: a header and a row."""
+    t = read_table(spark, d, "customer")
+    return t.select("c_custkey", F.concat(F.lit("id,name,segment\n"), F.col("c_custkey"), F.lit(',"'), F.col("c_name"), F.lit('","say ""'), F.col("c_mktsegment"), F.lit('"""')).alias("t"))
+
+
+@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'say \"' || c_mktsegment || '\"' AS segment FROM customer")
+def csv_maps(spark: SparkSession, d: str) -> DataFrame:
+    m = plans.parse_value(F.col("t"), csv.parse_maps, "array<string>", lambda v: [v[0]["id"], v[0]["name"], v[0]["segment"]])
+    return _customer_csv(spark, d).select("c_custkey", m.alias("m")).select("c_custkey", F.col("m")[0].alias("id"), F.col("m")[1].alias("name"), F.col("m")[2].alias("segment"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'failure' ELSE 'success' END AS status, CASE WHEN c_custkey % 2 = 0 THEN 'Inconsistent columns: expected 3, found 1 at row 3' END AS message FROM customer")
+def csv_strict(spark: SparkSession, d: str) -> DataFrame:
+    t = _customer_csv(spark, d).withColumn("t", F.when(F.col("c_custkey") % 2 == 0, F.concat("t", F.lit("\nshort"))).otherwise(F.col("t")))
+    r = plans.parse(F.col("t"), csv.parse_strict, "int", len)
+    return t.select("c_custkey", r.alias("r")).select("c_custkey", "r.status", F.when(is_failure(F.col("r")), F.col("r.errors")[0]["message"]).alias("message"))
+
+
+@query("SELECT c_custkey, 'id,name,segment' || chr(10) || c_custkey || ',' || c_name || ',\"say \"\"' || c_mktsegment || '\"\"\"' AS text FROM customer")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return _customer_csv(spark, d).select("c_custkey", plans.parse_value(F.col("t"), csv.parse_csv, "string", csv.format_csv).alias("text"))
+
+
+def _order_json(spark: SparkSession, d: str) -> DataFrame:
+    t = read_table(spark, d, "orders")
+    return t.select("o_orderkey", F.expr("""concat('{ "id": ', o_orderkey, ', "tags": ["', o_orderstatus, '", "', o_orderpriority, '", null], "in": {"c" : ', o_custkey, '} }')""").alias("t"))
+
+
+@query("SELECT o_orderkey, o_orderkey AS id, o_orderpriority AS tag, o_custkey AS c FROM orders")
+def json_nested(spark: SparkSession, d: str) -> DataFrame:
+    v = plans.parse_value(F.col("t"), json.parse_json, "struct<id:bigint,tag:string,c:bigint>", lambda v: {"id": int(v["id"].raw), "tag": v["tags"][1], "c": int(v["in"]["c"].raw)})
+    return _order_json(spark, d).select("o_orderkey", v.alias("v")).select("o_orderkey", "v.*")
+
+
+@query("""SELECT o_orderkey AS doc_id, '{ "id": ' || o_orderkey || ', "tags": ["' || o_orderstatus || '", "' || o_orderpriority || '", null], "in": {"c" : ' || o_custkey || '} }' AS text FROM orders""")
+def json_lossless_source(spark: SparkSession, d: str) -> DataFrame:
+    return trees.to_source(_nodes(spark, d))
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    return trees.node_table(_order_json(spark, d), json.parse_lossless, "o_orderkey", "t")
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS objects, CAST(1 AS BIGINT) AS arrays, CAST(4 AS BIGINT) AS members, CAST(6 AS BIGINT) AS strings FROM orders")
+def tree_kinds(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda k: F.sum((F.col("kind") == k).cast("long"))
+    return _nodes(spark, d).groupBy("doc_id").agg(n("Object").alias("objects"), n("Array").alias("arrays"), n("Member").alias("members"), n("String").alias("strings"))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(8 AS INTEGER) AS target, 'Number' AS kind FROM orders")
+def tree_node_at(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _nodes(spark, d)
+    return trees.node_at(nodes, nodes.filter("depth = 0").select("doc_id", F.lit(8).alias("target"))).select("doc_id", "target", "kind")
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS n FROM orders")
+def tree_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Members below an inner object's ancestors: the object in the member "in" has one, the outer object's interval holds it."""
+    nodes = _nodes(spark, d)
+    below = trees.descendants(nodes, F.col("kind") == "Object").filter("kind = 'Colon'")
+    return below.groupBy("doc_id", "node_id").count().filter("count = 2").groupBy("doc_id").agg(F.max("count").alias("n"))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(8 AS INTEGER) AS start, CAST(9 AS INTEGER) AS \"end\", 'Object' AS kind, CAST(0 AS INTEGER) AS offset FROM orders")
+def tree_reparse_region(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _nodes(spark, d)
+    return trees.enclosing(nodes, nodes.filter("depth = 0").select("doc_id", F.lit(8).alias("start"), F.lit(9).alias("end")), ["Object", "Array"]).select("doc_id", "start", "end", "kind", "offset")
+
+
+@query("""SELECT o_orderkey AS doc_id, '{ "id": 0, "tags": ["' || o_orderstatus || '", "' || o_orderpriority || '", null], "in": {"c" : ' || o_custkey || '} }' AS text FROM orders""")
+def tree_replace(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _nodes(spark, d)
+    first = nodes.filter("kind = 'Number'").groupBy("doc_id").agg(F.min("node_id").alias("target")).withColumn("new_text", F.lit("0"))
+    return trees.replace_at(nodes, first)
+
+
+@query("SELECT count(*) AS tokens, CAST(sum(n) AS BIGINT) AS total FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
+def tree_interned(spark: SparkSession, d: str) -> DataFrame:
+    order = read_table(spark, d, "orders").select("o_orderkey", F.concat(F.lit('"'), "o_orderstatus", F.lit('"')).alias("t"))
+    found = trees.interned(trees.node_table(order, json.parse_lossless, "o_orderkey", "t"))
+    return found.agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("total"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_custkey AS id, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS balance FROM customer")
+def toml_config(spark: SparkSession, d: str) -> DataFrame:
+    t = read_table(spark, d, "customer")
+    text = F.expr("""concat('# customer\nid = ', c_custkey, '\n[person]\nname = "', c_name, '"\n[person.place]\nnation = ', c_nationkey, ' # key\n[[accounts]]\nbalance = ', format_string('%.2f', c_acctbal), '\n')""")
+    v = plans.parse_value(text, toml.parse_toml, "struct<name:string,id:bigint,nation:bigint,balance:double>", _toml_row)
+    return t.select("c_custkey", v.alias("v")).select("c_custkey", "v.name", F.col("v.id").cast("bigint").alias("id"), F.col("v.nation").alias("nation"), F.col("v.balance").alias("balance"))
+
+
+def _toml_row(root: toml.Table) -> dict:
+    person = root.subtables["person"][0]
+    return {"name": person.pairs["name"], "id": root.pairs["id"], "nation": person.subtables["place"][0].pairs["nation"], "balance": float(root.subtables["accounts"][0].pairs["balance"])}
+
+
+@query("SELECT c_custkey, c_name AS name, c_custkey AS id, CAST(2 AS INTEGER) AS tags FROM customer")
+def yaml_document(spark: SparkSession, d: str) -> DataFrame:
+    text = F.expr("concat('name: ', c_name, '\nid: ', c_custkey, '\ntags:\n  - ', c_mktsegment, '\n  - [1, {a: b}]\n')")
+    v = plans.parse_value(text, yaml.parse_yaml, "struct<name:string,id:bigint,tags:int>", lambda v: {"name": v["name"], "id": v["id"], "tags": len(v["tags"])})
+    return read_table(spark, d, "customer").select("c_custkey", v.alias("v")).select("c_custkey", "v.*")
+
+
+@query("SELECT p_partkey, p_name AS name, 'x<&' || p_size AS note, CAST(1 AS INTEGER) AS children FROM part")
+def xml_elements(spark: SparkSession, d: str) -> DataFrame:
+    text = F.expr("""concat('<?xml version="1.0"?><!DOCTYPE part [<!ENTITY lead "x">]><part note="&lead;&lt;&amp;', p_size, '"><!-- c --><n:name>', p_name, '</n:name></part>')""")
+    v = plans.parse_value(text, _xml_parse, "struct<name:string,note:string,children:int>", _xml_row)
+    return read_table(spark, d, "part").select("p_partkey", v.alias("v")).select("p_partkey", "v.*")
+
+
+def _xml_parse(text: str):
+    return xml.parse_xml(text, xml.Config(keep_comments=False))
+
+
+def _xml_row(doc: xml.Document) -> dict:
+    return {"name": doc.root.children[0].children[0].text, "note": doc.root.attributes[0][1], "children": len(doc.root.children)}
+
+
+@query("SELECT count(*) AS n FROM pages")
+def xml_pages_not_well_formed(spark: SparkSession, d: str) -> DataFrame:
+    """Raw pages are no XML: every one is a failure with a position, none an error of the job."""
+    r = plans.parse(F.col("html"), xml.parse_xml, "int", lambda v: 1)
+    return read_table(spark, d, "pages").select(r.alias("r")).filter(is_failure(F.col("r")) & (F.col("r.furthest.offset") > 0)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_regionkey, n_name AS name, CAST(n_nationkey AS BIGINT) AS number FROM nation")
+def proto_enum(spark: SparkSession, d: str) -> DataFrame:
+    t = read_table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("  "), x["n_name"], F.lit(" = "), x["n_nationkey"], F.lit(";"))), "\n").alias("body"))
+    text = F.concat(F.lit('syntax = "proto3";\n// nations\nenum Nation {\n'), F.col("body"), F.lit("\n}\n"))
+    v = plans.parse_value(text, proto.parse_proto, "array<struct<name:string,number:bigint>>", lambda f: [{"name": n, "number": k} for n, k in f.enums[0].values])
+    return t.select("n_regionkey", F.explode(v).alias("v")).select("n_regionkey", "v.*")
+
+
+_PATHS = [("//a[@id=\"x\"]/b|c", "//a[@id = 'x']/b | c"), ("(1+2)*3", "(1 + 2) * 3"), ("../child::y/text()", "../y/text()"), ("count(//x[position()<3])", "count(//x[position() < 3])"), ("-a div b", "-a div b"), ("a[", None)]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', {})".format(a.replace("'", "''"), "NULL" if b is None else "'" + b.replace("'", "''") + "'") for a, b in _PATHS) + ") t(source, printed)")
+def xpath_normal_form(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.createDataFrame([(a,) for a, _ in _PATHS], "source string")
+    return t.select("source", plans.parse_value(F.col("source"), xpath.parse_xpath, "string", xpath.print_xpath).alias("printed"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey AS part, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey END AS supplier FROM lineitem")
+def derived_record(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.types import StructType
+
+    p = derive.derived(("Item", StructType.fromDDL("part bigint not null, supplier bigint")))
+    text = F.expr("concat('Item(', l_partkey, ',', CASE WHEN l_linenumber % 2 = 0 THEN concat('Some(', l_suppkey, ')') ELSE 'None' END, ')')")
+    v = plans.parse_value(text, p << eof, "struct<part:bigint,supplier:bigint>")
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", v.alias("v")).select("l_orderkey", "l_linenumber", "v.*")
+
+
+# Lines, edits, incremental parsing.
+
+
+@query("SELECT doc_id, CAST(length(p) - length(replace(p, chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(regexp_extract(p, '[^\\n]*$')) + 1 AS INTEGER) AS \"column\" FROM (SELECT doc_id, substr(coalesce(text, ''), 1, CAST(length(text) // 2 AS INTEGER)) AS p FROM documents)")
+def line_lookup(spark: SparkSession, d: str) -> DataFrame:
+    half = F.floor(F.length("text") / 2).cast("int")
+    return read_table(spark, d, "documents").select("doc_id", line_of(F.col("text"), half).alias("line"), column_of(F.col("text"), half).alias("column"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS units FROM documents")
+def utf16_length(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", utf16_offset(F.col("text"), F.length("text")).alias("units"))
+
+
+@query("SELECT doc_id, sha256('<' || substr(text, 3, 4) || '-' || substr(text, 9)) AS h, CAST(9 AS INTEGER) AS moved FROM documents WHERE length(text) >= 10")
+def edits_applied(spark: SparkSession, d: str) -> DataFrame:
+    t = read_table(spark, d, "documents").filter(F.length("text") >= 10)
+    e = [edits.edit(F.lit(a), F.lit(b), F.lit(s)) for a, b, s in ((0, 2, "<"), (6, 8, "-"))]
+    return t.select("doc_id", F.sha2(edits.applied_all(F.col("text"), F.array(*e)), 256).alias("h"), edits.adjusted(e[0], F.lit(10)).alias("moved"))
+
+
+@query("""SELECT o_orderkey, '{ "id": 7' || o_orderkey || ', "tags": ["' || o_orderstatus || '", "' || o_orderpriority || '", null], "in": {"c" : ' || o_custkey || '} }' AS text, 'token' AS how FROM orders""")
+def incremental_token(spark: SparkSession, d: str) -> DataFrame:
+    """An edit inside a number: only that token is parsed again, and the tree's source is the edited text."""
+    v = F.pandas_udf(_edited, "text string, how string")
+    return _order_json(spark, d).select("o_orderkey", v(F.col("t")).alias("v")).select("o_orderkey", "v.*")
+
+
+def _edited(texts):
+    import pandas as pd
+
+    bundle = json_bundle()
+    rows = []
+    for t in texts:
+        r = reparse(json.parse_lossless(t).value, t, TextEdit(8, 8, "7"), bundle)
+        rows.append((r.tree.source(), r.how))
+    return pd.DataFrame(rows, columns=["text", "how"])
+
+
+# Recipes.
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+(/[^?#]*)', 1) AS path FROM pages")
+def url_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A URL's parts in the JVM: each is the regular grammar up to it."""
+    scheme, host, path = one_of("abcdefghijklmnopqrstuvwxyz").many1(), none_of("/:?#").many1(), (char("/") >> none_of("?#").many())
+    url = F.col("url")
+    upto = [scheme, scheme << string("://"), (scheme << string("://")) & host]
+    start = [F.lit(0), plans.consumed(url, upto[1]), plans.consumed(url, upto[2])]
+    cut = lambda p, at: plans.captured(F.substring(url, at + 1, F.length(url)), p)
+    return read_table(spark, d, "pages").select("page_id", cut(scheme, start[0]).alias("scheme"), cut(host, start[1]).alias("host"), cut(path, start[2]).alias("path"))
+
+
+@query("SELECT conv_id, turn, role AS level, CAST(length(coalesce(text, '')) AS INTEGER) AS n FROM conversations")
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    line = (none_of("]").many1().capture().between(char("["), char("]")) << spaces) & ((letter | one_of("_-")).many1().capture() << string(": ")) & any_char.many().capture()
+    text = F.concat(F.lit("[2024-01-01] "), F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")))
+    v = plans.parse_value(text, line, "struct<level:string,n:int>", lambda x: {"level": x[0][1], "n": len(x[1])})
+    return read_table(spark, d, "conversations").select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.*")
+
+
+@query("SELECT s_suppkey, 's' || s_suppkey AS name, 'example.com' AS domain FROM supplier")
+def email_parts(spark: SparkSession, d: str) -> DataFrame:
+    word = (alpha_num | one_of("._-")).many1().capture()
+    v = plans.parse_value(F.concat(F.lit("s"), "s_suppkey", F.lit("@example.com")), (word << char("@")) & (word << eof), "array<string>", list)
+    return read_table(spark, d, "supplier").select("s_suppkey", v.alias("v")).select("s_suppkey", F.col("v")[0].alias("name"), F.col("v")[1].alias("domain"))
+
+
+@query("SELECT r_regionkey, 'region' AS section, r_name AS name FROM region")
+def ini_sections(spark: SparkSession, d: str) -> DataFrame:
+    pair = (letter.many1().capture() << symbol("=")) & none_of("\n").many().capture()
+    ini = (none_of("]").many1().capture().between(char("["), char("]")) << char("\n")) & pair.sep_by(char("\n")).map(dict)
+    v = plans.parse_value(F.concat(F.lit("[region]\nname= "), "r_name", F.lit("\nkey=1")), ini << eof, "array<string>", lambda x: [x[0], x[1]["name"]])
+    return read_table(spark, d, "region").select("r_regionkey", v.alias("v")).select("r_regionkey", F.col("v")[0].alias("section"), F.col("v")[1].alias("name"))
+
+
+@query("SELECT n_nationkey, CAST(1 + n_nationkey % 6 AS INTEGER) AS level, n_name AS title FROM nation")
+def markdown_headers(spark: SparkSession, d: str) -> DataFrame:
+    head = (char("#").many1().map(len) << char(" ")) & any_char.many().capture()
+    text = F.concat(F.repeat(F.lit("#"), (1 + F.col("n_nationkey") % 6).cast("int")), F.lit(" "), F.col("n_name"))
+    v = plans.parse_value(text, head << eof, "struct<level:int,title:string>", lambda x: {"level": x[0], "title": x[1]})
+    return read_table(spark, d, "nation").select("n_nationkey", v.alias("v")).select("n_nationkey", "v.*")
