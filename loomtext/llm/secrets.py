@@ -109,15 +109,19 @@ def _unescaped(layer: Layer) -> Layer | None:
     return _replaced(layer, parts) if parts else None
 
 
-def _unpacked(raw: bytes, most: int) -> bytes | None:
-    """The content of a compressed stream; None if there is none or it is broken. Raises OverflowError over ``most`` bytes."""
+def _unpacked(raw: bytes, most: int) -> tuple[bytes, int] | None:
+    """The content of a compressed stream and its length; None if there is none or it is broken. Raises OverflowError over ``most`` bytes."""
+    z = None
     try:
         if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            out = zlib.decompressobj(47).decompress(raw, most + 1)
+            z = zlib.decompressobj(47)
+            out = z.decompress(raw, most + 1)
         elif raw[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(raw, most + 1)
+            z = bz2.BZ2Decompressor()
+            out = z.decompress(raw, most + 1)
         elif raw[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(raw, most + 1)
+            z = lzma.LZMADecompressor()
+            out = z.decompress(raw, most + 1)
         elif raw[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
@@ -132,7 +136,7 @@ def _unpacked(raw: bytes, most: int) -> bytes | None:
         return None
     if len(out) > most:
         raise OverflowError
-    return out or None
+    return (out, len(raw) - (len(z.unused_data) if z is not None else 0)) if out else None
 
 
 def _plain(raw: bytes) -> str | None:
@@ -144,12 +148,13 @@ def _plain(raw: bytes) -> str | None:
     return text if sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
 
 
-def _inner(raw: bytes, most: int) -> str | None:
-    """The text of a compressed stream; other bytes, such as another stream, as one character each."""
+def _inner(raw: bytes, most: int) -> tuple[str, int] | None:
+    """The text of a compressed stream and the stream's length; other bytes, such as another stream, as one character each."""
     got = _unpacked(raw, most)
     if got is None:
         return None
-    return text if (text := _plain(got)) is not None else got.decode("latin-1")
+    text = _plain(got[0])
+    return got[0].decode("latin-1") if text is None else text, got[1]
 
 
 def _encoded(layer: Layer, most: int) -> Iterator[Layer]:
@@ -163,7 +168,8 @@ def _encoded(layer: Layer, most: int) -> Iterator[Layer]:
             raw = base64.b64decode(token + "=" * (-len(token) % 4))
         except (binascii.Error, ValueError):
             continue
-        if (inside := _inner(raw, most)) is not None:
+        if (got := _inner(raw, most)) is not None:
+            inside = got[0]
             a, b = at(*m.span())
             yield inside, np.full(len(inside), a), np.full(len(inside), b)
         elif (new := _plain(raw)) is not None:
@@ -177,9 +183,10 @@ def _encoded(layer: Layer, most: int) -> Iterator[Layer]:
             end = m.start()
             while end < len(text) and ord(text[end]) < 256:
                 end += 1
-            inside = _inner(text[m.start() : end].encode("latin-1"), most)
-            if inside is not None:
-                a, b = at(m.start(), end)
+            got = _inner(text[m.start() : end].encode("latin-1"), most)
+            if got is not None:
+                inside = got[0]
+                a, b = at(m.start(), m.start() + got[1])
                 yield inside, np.full(len(inside), a), np.full(len(inside), b)
 
 
