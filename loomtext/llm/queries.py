@@ -69,6 +69,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: The others are tested against brute force: their rows depend on a sample, a hash, a model or an iteration that SQL
 #: cannot express, or SQL is too slow on the whole tables.
 ORACLE_SQL = {
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        dup AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win WHERE s IN (SELECT s FROM dup)),
+        each AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (SELECT each.r, count(*) AS n, string_agg(x, ' ' ORDER BY each.p) AS t FROM each LEFT JOIN gone ON each.r = gone.r AND each.p = gone.p WHERE gone.p IS NULL GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept ON d.r = kept.r""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
