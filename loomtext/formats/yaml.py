@@ -49,7 +49,7 @@ def flow() -> P:
 
 def document() -> P:
     f = flow()
-    line_plain = _lex(r"(?![-?][ \t])(?:[^\s#\[{\"'&*!|>%@`][^\r\n#]*+(?:(?<![ \t])#[^\r\n#]*+)*+)", "scalar").map(scalar)
+    line_plain = _lex(r"(?![-?][ \t])(?:[^\s#\[{\"'&*!|>%@`](?:[^\r\n#:]|:(?!\s)|(?<![ \t])#)*+)(?!:)", "scalar").map(scalar)
     inline = choice(_lex(r"(?=[\[{\"'])", "flow") >> f, line_plain) << _end
     key = (_double | _single | _lex(r"(?:[^\s:#\[\]{},\"'-]|-(?! )|:(?!\s))(?:[^:\r\n#]|:(?!\s))*+", "key").map(str.strip)) << _lex(r"[ \t]*+:(?=\s|\Z)", "':'")
     blank_lines = r"(?:[ \t]*+(?:#[^\n]*+)?+(?:\r\n|\n))*+"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,11 +10,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..incremental import Bundle, Reparsed, TextEdit, _whole, reparse
+from ..machine import Node
 
 OUT = "doc_id long, seq long, how string, region_start int, region_end int, ok boolean, text string"
 STATE = "text string, tree binary"
 
 
+def packed(tree: Node) -> bytes:
+    """A tree as plain rows in pre-order: class, kind, text, number of children (none for a leaf)."""
+    rows, work = [], [tree]
+    while work:
+        n = work.pop()
+        rows.append((n.cls, n.kind, n.text, None if n.children is None else len(n.children)))
+        work += reversed(n.children or [])
+    return json.dumps(rows).encode()
+
+
+def unpacked(raw: bytes) -> Node:
+    open_: list[tuple[Node, int]] = []
+    root = None
+    for cls, kind, text, k in json.loads(raw):
+        n = Node(cls, kind, text, None if k is None else [])
+        if open_:
+            open_[-1][0].children.append(n)
+        else:
+            root = n
+        open_.append((n, k or 0))
+        while open_ and len(open_[-1][0].children or []) == open_[-1][1]:
+            open_.pop()
+    return root
+
+
 def replay(tree_and_text: Reparsed | None, rows: list[tuple], bundle: Bundle) -> Iterator[tuple[int, Reparsed]]:
     """Edits (seq, start, end, new_text) in order of seq; the first to an unknown document is its text."""
     now = tree_and_text
@@ -36,13 +62,13 @@ def incremental(edits: DataFrame, bundle: Callable[[], Bundle], ttl_ms: int = 3_
         now = None
         if state.exists:
             text, tree = state.get
-            now = Reparsed(pickle.loads(bytes(tree)), text, "none", (0, 0))
+            now = Reparsed(unpacked(bytes(tree)), text, "none", (0, 0))
         rows = [tuple(r) for f in frames for r in f[["seq", "start", "end", "new_text"]].itertuples(index=False)]
         out = []
         for seq, now in replay(now, rows, bundle()):
             out.append((key[0], seq, now.how, *now.region, now.ok, now.text))
         if now is not None:
-            state.update((now.text, pickle.dumps(now.tree)))
+            state.update((now.text, packed(now.tree)))
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=[x.split()[0] for x in OUT.split(", ")])
 
