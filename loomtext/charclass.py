@@ -6,7 +6,6 @@ import sys
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache
 
 # Blanks of the JVM's isWhitespace that are no space, line or paragraph separators, and the separators it leaves out.
 _CONTROL_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
@@ -33,9 +32,13 @@ TESTS: dict[str, Callable[[str], bool]] = {
 }
 
 
-@cache
+_known: dict[str, str] = {}
+
+
 def _ranges(name: str) -> str:
     """A named class as the inside of a Python character class; the JVM takes code points beyond the BMP for no letters."""
+    if name in _known:
+        return _known[name]
     test, out, start = TESTS[name], [], None
     for code in range(0x10001):
         hit = code < 0x10000 and not 0xD800 <= code < 0xE000 and test(chr(code))
@@ -44,7 +47,8 @@ def _ranges(name: str) -> str:
         elif not hit and start is not None:
             out.append(f"\\u{start:04x}-\\u{code - 1:04x}")
             start = None
-    return "".join(out)
+    _known[name] = "".join(out)
+    return _known[name]
 
 
 def _quoted(c: str, java: bool) -> str:

@@ -89,7 +89,12 @@ class Entities:
     """What the internal subset declares, and references expanded by it."""
 
     def __init__(self, config: Config):
-        self.config, self.values, self.external, self.unparsed, self.lenient = config, dict(PREDEFINED), set(), set(), False
+        self.config = config
+        self.clear()
+
+    def clear(self) -> None:
+        """One compiled grammar serves many documents, one after the other."""
+        self.values, self.external, self.unparsed, self.lenient = dict(PREDEFINED), set(), set(), False
 
     def declare(self, declared: tuple) -> None:
         for kind, key, body in declared:
@@ -202,8 +207,8 @@ def content(entities: Entities) -> P:
     return element
 
 
-def document(config: Config = Config()) -> P:
-    entities = Entities(config)
+def document(entities: Entities) -> P:
+    config = entities.config
     pseudo = lambda k: (ws1 >> string(k) >> ws >> char("=") >> ws >> quoted).optional()
     declaration = (string("<?xml") >> (pseudo("version") & pseudo("encoding")) & pseudo("standalone") << ws << string("?>")).map(lambda x: (*x[0], x[1])) | succeed((None, None, None))
     misc = _lex(r"(?:[ \t\r\n]++|<!--(?:(?!--)[\s\S])*+-->|<\?(?![xX][mM][lL][\s?])(?:(?!\?>)[\s\S])*+\?>)*+", "markup")
@@ -219,11 +224,23 @@ def document(config: Config = Config()) -> P:
     return ((declaration << misc) & (doctype.flat_map(known) >> misc >> content(entities) << misc << eof)).map(lambda x: Document(*x[0], x[1]))
 
 
-def parse_xml(text: str, config: Config = Config()) -> Result:
-    return Parser(document(config))(text)
+_made: dict[tuple[Config, bool], tuple[Entities, Parser]] = {}
 
 
-def parse_fragment(text: str, config: Config = Config()) -> Result:
-    return Parser(ws >> content(Entities(config)) << ws << eof)(text)
+def _compiled(config: Config, whole: bool) -> tuple[Entities, Parser]:
+    if (config, whole) not in _made:
+        entities = Entities(config)
+        _made[config, whole] = entities, Parser(document(entities) if whole else ws >> content(entities) << ws << eof)
+    return _made[config, whole]
 
 
+def parse_xml(text: str, config: Config = Config()) -> Result:
+    entities, parser = _compiled(config, True)
+    entities.clear()
+    return parser(text)
+
+
+def parse_fragment(text: str, config: Config = Config()) -> Result:
+    entities, parser = _compiled(config, False)
+    entities.clear()
+    return parser(text)

@@ -54,7 +54,7 @@ def _chain(root: Node, start: int, end: int, known: set) -> list[tuple[Node, int
     while node.children:
         held = []
         for i, child in enumerate(node.children):
-            width = len(child.source())
+            width = child.width
             if at <= start and end <= at + width and width:
                 held.append((child, at, i))
             at += width
@@ -92,7 +92,7 @@ def reparse(tree: Node, text: str, edit: TextEdit, bundle: Bundle) -> Reparsed:
             return Reparsed(_spliced(chain, len(chain) - 1, Node("token", node.kind, own)), new_text, "token", (at, at + len(own)))
     for depth in range(len(chain) - 1, 0, -1):
         node, at, _ = chain[depth]
-        size = len(node.source())
+        size = node.width
         # A token at either edge of the edit may now run on beyond the region, so that edits at an edge go further up.
         if node.kind not in bundle.regions or edit.start <= at or edit.end >= at + size:
             continue

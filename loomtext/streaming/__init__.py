@@ -27,18 +27,11 @@ def packed(tree: Node) -> bytes:
 
 
 def unpacked(raw: bytes) -> Node:
-    open_: list[tuple[Node, int]] = []
-    root = None
-    for cls, kind, text, k in json.loads(raw):
-        n = Node(cls, kind, text, None if k is None else [])
-        if open_:
-            open_[-1][0].children.append(n)
-        else:
-            root = n
-        open_.append((n, k or 0))
-        while open_ and len(open_[-1][0].children or []) == open_[-1][1]:
-            open_.pop()
-    return root
+    done: list[Node] = []
+    for cls, kind, text, k in reversed(json.loads(raw)):
+        children = None if k is None else [done.pop() for _ in range(k)]
+        done.append(Node(cls, kind, text, children))
+    return done.pop()
 
 
 def replay(tree_and_text: Reparsed | None, rows: list[tuple], bundle: Bundle) -> Iterator[tuple[int, Reparsed]]:
