@@ -119,9 +119,8 @@ def test_stream_of_edits(spark, tmp_path):
     rows = [(1, 0, 0, 0, '{"a": 1}'), (1, 1, 6, 7, "42"), (2, 0, 0, 0, "[]"), (1, 2, 0, 1, "")]
     spark.createDataFrame(rows, "doc_id long, seq long, start int, end int, new_text string").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("doc_id long, seq long, start int, end int, new_text string").parquet(f"{tmp_path}/in")
-    q = incremental(stream, json_bundle).writeStream.format("memory").queryName("edits").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
-    q.processAllAvailable()
-    q.stop()
+    q = incremental(stream, json_bundle).writeStream.format("memory").queryName("edits").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(once=True).start()  # a timeout by the clock would ask for batches for ever
+    assert q.awaitTermination(60)
     got = {(r.doc_id, r.seq): (r.how, r.ok, r.text) for r in spark.table("edits").collect()}
     assert got == {(1, 0): ("full", True, '{"a": 1}'), (1, 1): ("token", True, '{"a": 42}'), (1, 2): ("full", False, '"a": 42}'), (2, 0): ("full", True, "[]")}
 
