@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from . import derive, plans
 from .formats import csv, json, proto, toml, xml, xpath, yaml
-from .functions import column_of, is_failure, is_partial, line_of, show_error, utf16_offset
-from .grammar import Op, P, Ref, alpha_num, any_char, c_family, char, choice, digit, eof, first_char_choice, keywords, letter, none_of, offset, one_of, pratt, spaces, string, string_in, succeed, symbol
-from .incremental import TextEdit, json_bundle, reparse
+from .formats.common import block_comment, double_quoted_string, floating_point, hspaces, identifier
+from .functions import and_then, column_of, is_failure, is_partial, line_of, line_starts, register, show_error, utf16_offset
+from .grammar import Op, P, Ref, alpha_num, any_char, c_family, char, choice, digit, eof, fail, first_char_choice, keywords, letter, none_of, offset, one_of, pratt, satisfy, spaces, string, string_in, succeed, symbol, token, tree_of
+from .incremental import TextEdit, json_bundle, reparse, reparse_all
 from .operators import edits, trees
 from .sources import read_table
 
@@ -226,8 +227,8 @@ def tree_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS doc_id, CAST(8 AS INTEGER) AS target, 'Number' AS kind FROM orders")
 def tree_node_at(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d)
-    return trees.node_at(nodes, nodes.filter("depth = 0").select("doc_id", F.lit(8).alias("target"))).select("doc_id", "target", "kind")
+    targets = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(8).alias("target"))
+    return trees.node_at(_nodes(spark, d), targets).select("doc_id", "target", "kind")
 
 
 @query("SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS n FROM orders")
@@ -240,8 +241,8 @@ def tree_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS doc_id, CAST(8 AS INTEGER) AS start, CAST(9 AS INTEGER) AS \"end\", 'Object' AS kind, CAST(0 AS INTEGER) AS offset FROM orders")
 def tree_reparse_region(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d)
-    return trees.enclosing(nodes, nodes.filter("depth = 0").select("doc_id", F.lit(8).alias("start"), F.lit(9).alias("end")), ["Object", "Array"]).select("doc_id", "start", "end", "kind", "offset")
+    ranges = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(8).alias("start"), F.lit(9).alias("end"))
+    return trees.enclosing(_nodes(spark, d), ranges, ["Object", "Array"]).select("doc_id", "start", "end", "kind", "offset")
 
 
 @query("""SELECT o_orderkey AS doc_id, '{ "id": 0, "tags": ["' || o_orderstatus || '", "' || o_orderpriority || '", null], "in": {"c" : ' || o_custkey || '} }' AS text FROM orders""")
@@ -409,3 +410,235 @@ def markdown_headers(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.repeat(F.lit("#"), (1 + F.col("n_nationkey") % 6).cast("int")), F.lit(" "), F.col("n_name"))
     v = plans.parse_value(text, head << eof, "struct<level:int,title:string>", lambda x: {"level": x[0], "title": x[1]})
     return read_table(spark, d, "nation").select("n_nationkey", v.alias("v")).select("n_nationkey", "v.*")
+
+
+# The remaining combinators, navigation and edits.
+
+
+lowered("skip_many_spaces", "part", "p_partkey", "p_name", letter.skip_many1() >> spaces >> letter.skip_many(), _re("p_name", "[A-Za-z]+\\s*[A-Za-z]*"))
+lowered("satisfy_class", "nation", "n_nationkey", "n_name", one_of("ABCDEFGHIJKLM").optional() >> letter.at_least(3), _re("n_name", "[A-M]?[A-Za-z]{3,}"))
+lowered("choice_of_three", "customer", "c_custkey", "c_mktsegment", choice(string("AUTO"), string("BUILD"), letter.count(2)), _re("c_mktsegment", "AUTO|BUILD|[A-Za-z]{2}"))
+lowered("surrounded_by_hash", "customer", "c_custkey", "c_name", letter.many1() >> digit.many().surrounded_by(char("#")).optional(), _re("c_name", "[A-Za-z]+(?:#[0-9]*#)?"))
+
+
+@query("SELECT c_custkey, regexp_extract(c_name, '^([A-Za-z]+)#', 1) AS word, CAST(regexp_extract(c_name, '#([0-9]+)', 1) AS BIGINT) AS number, 'seen' AS mark FROM customer")
+def zip_map_as(spark: SparkSession, d: str) -> DataFrame:
+    p = (letter.many1().capture() << char("#")) & number & eof.as_("seen")
+    v = plans.parse_value(F.col("c_name"), p, "struct<word:string,number:bigint,mark:string>", lambda x: {"word": x[0][0], "number": x[0][1], "mark": x[1]})
+    return read_table(spark, d, "customer").select("c_custkey", v.alias("v")).select("c_custkey", "v.*")
+
+
+@query("SELECT n_nationkey, CAST(length(regexp_extract(n_name, '^[AEIOU]*')) AS INTEGER) AS vowels FROM nation")
+def satisfy_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """Any Python test of a character."""
+    p = satisfy(lambda c: c.upper() in "AEIOU", "vowel").many().capture().map(len)
+    return read_table(spark, d, "nation").select("n_nationkey", plans.parse_value(F.col("n_name"), p, "int").alias("vowels"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'odd key' END AS message, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 END AS INTEGER) AS at FROM orders")
+def fail_positioned(spark: SparkSession, d: str) -> DataFrame:
+    p = first_char_choice(("x", any_char >> fail("odd key")), fallback=number)
+    r = plans.parse(F.col("t"), p, "bigint")
+    first = F.get("r.errors", F.lit(0))
+    return _mixed(spark, d).select("o_orderkey", r.alias("r")).select("o_orderkey", first["message"].alias("message"), first["loc"]["offset"].alias("at"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS named FROM orders")
+def named_expected(spark: SparkSession, d: str) -> DataFrame:
+    r = plans.parse(F.col("t"), number.named("key"), "bigint")
+    return _mixed(spark, d).select("o_orderkey", r.alias("r")).select("o_orderkey", F.coalesce(F.array_contains(F.get("r.errors", F.lit(0))["expected"], "key").cast("int"), F.lit(0)).alias("named"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -o_orderkey ELSE o_orderkey END AS value FROM orders")
+def recover_with_error(spark: SparkSession, d: str) -> DataFrame:
+    p = number.recover_with(lambda e: any_char >> number.map(lambda v: -v))
+    return _mixed(spark, d).select("o_orderkey", plans.parse_value(F.col("t"), p, "bigint").alias("value"))
+
+
+def _key_tree() -> P:
+    return tree_of("Line", token("Number", digit.many1().capture()).expect_token("Number"), token("Rest", any_char.many().capture()))
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(0 AS INTEGER) AS \"offset\", 'EndOfInput' AS kind, 'Number' AS detail FROM orders WHERE o_orderkey % 3 = 0")
+def tree_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens that were expected and not found."""
+    nodes = trees.node_table(_mixed(spark, d), plans._Held(_key_tree()), "o_orderkey", "t")
+    return trees.problems(nodes).select("doc_id", "offset", "kind", "detail")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'failure' ELSE 'success' END AS status, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 + length(CAST(o_orderkey AS VARCHAR)) END AS INTEGER) AS consumed FROM orders")
+def result_sequence(spark: SparkSession, d: str) -> DataFrame:
+    one, two = plans.parse(F.lit("#"), char("#"), "string"), plans.parse(F.col("t"), number, "bigint")
+    t = _mixed(spark, d).select("o_orderkey", one.alias("a"), two.alias("b"))
+    return t.select("o_orderkey", and_then(F.col("a"), F.col("b")).alias("r")).select("o_orderkey", "r.status", "r.consumed")
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of [n_nationkey,"n_name"]."""
+    t = read_table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("["), "n_nationkey", F.lit(',"'), "n_name", F.lit('"]')).alias("t"))
+    return trees.node_table(t, json.parse_lossless, "n_nationkey", "t")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(1 + length(CAST(n_nationkey AS VARCHAR)) + 1 AS BIGINT) AS offset_in_parent, CAST(length(n_name) + 2 AS INTEGER) AS width FROM nation")
+def tree_children(spark: SparkSession, d: str) -> DataFrame:
+    return trees.children(_pairs(spark, d)).filter("kind = 'String'").select("doc_id", F.col("offset_in_parent").cast("bigint").alias("offset_in_parent"), "width")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS before, CAST(1 AS INTEGER) AS after FROM nation")
+def tree_siblings(spark: SparkSession, d: str) -> DataFrame:
+    s = trees.siblings(_pairs(spark, d)).filter("kind = 'Comma'")
+    return s.select("doc_id", (F.col("node_id") - F.col("prev_sibling")).cast("int").alias("before"), (F.col("next_sibling") - F.col("node_id")).cast("int").alias("after"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, unnest(['Document', 'Array']) AS kind, unnest([0, 1]) AS depth FROM nation")
+def tree_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return trees.ancestors(_pairs(spark, d), F.col("kind") == "Comma").select("doc_id", "kind", "depth")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '0/3' AS path FROM nation")
+def tree_paths(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _pairs(spark, d)
+    text = nodes.filter("kind = 'String'").select("doc_id", "node_id")
+    return trees.paths(nodes).join(text, ["doc_id", "node_id"]).select("doc_id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, CAST(CASE WHEN contains(text, chr(10)) THEN instr(text, chr(10)) END AS INTEGER) AS second FROM documents WHERE text IS NOT NULL")
+def line_index(spark: SparkSession, d: str) -> DataFrame:
+    starts = read_table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", line_starts(F.col("text")).alias("s"))
+    return starts.select("doc_id", F.size("s").alias("lines"), F.get("s", F.lit(1)).alias("second"))
+
+
+_EDITS = [(0, 2, "<"), (4, 4, "new"), (6, 9, "")]
+
+
+@query("SELECT doc_id, unnest([0, 4, 6]) AS start, unnest([0, 3, 8]) AS shifted, unnest(['replacement', 'insertion', 'deletion']) AS kind, unnest([true, false, false]) AS hits FROM documents")
+def edits_composed(spark: SparkSession, d: str) -> DataFrame:
+    """Starts for applying edits one after the other, their kinds, and whether each overlaps the first two characters."""
+    rows = F.explode(F.array(*[edits.edit(F.lit(a), F.lit(b), F.lit(x)) for a, b, x in _EDITS]))
+    each = read_table(spark, d, "documents").select("doc_id", rows.alias("e")).select("doc_id", "e.*")
+    e = F.struct("start", "end", "new_text")
+    return edits.composed(each).select("doc_id", "start", F.col("shifted").cast("int").alias("shifted"), edits.kind(e).alias("kind"), edits.affects(e, F.lit(0), F.lit(2)).alias("hits"))
+
+
+def _reparsed(name: str, edit: Callable[[str], list[TextEdit]], sql: str) -> None:
+    """Edits of an order's JSON text, parsed again: the tree's source, and how much the edit applied last made parse."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        import pandas as pd
+
+        @F.pandas_udf("text string, how string")
+        def again(texts):
+            bundle, rows = json_bundle(), []
+            for t in texts:
+                r = reparse_all(json.parse_lossless(t).value, t, edit(t), bundle)
+                rows.append((r.tree.source(), r.how))
+            return pd.DataFrame(rows, columns=["text", "how"])
+
+        padded = _order_json(spark, d).withColumn("t", F.concat(F.lit("["), "t", F.lit(', "' + "-" * 80 + '"]')))
+        return padded.select("o_orderkey", again("t").alias("v")).select("o_orderkey", "v.*")
+
+    run.__name__ = name
+    query(f"SELECT o_orderkey, {sql} FROM orders")(run)
+
+
+_HEAD = """'[{ "id": ' || o_orderkey || ', "tags": ["' || o_orderstatus || '", "' || o_orderpriority || '", null"""
+_TAIL = """], "in": {"c" : ' || o_custkey || '} }, "' || repeat('-', 80) || '"]'"""
+_reparsed("incremental_block", lambda t: [TextEdit(t.index("null") + 4, t.index("null") + 4, ", 1")], f"{_HEAD}, 1{_TAIL} AS text, 'block' AS how")
+_reparsed("incremental_full", lambda t: [TextEdit(0, len(t), "[]")], "'[]' AS text, 'full' AS how")
+_reparsed("incremental_batch", lambda t: [TextEdit(t.index("null"), t.index("null") + 4, "true"), TextEdit(len(t) - 2, len(t) - 2, "+")], f"{_HEAD.replace('null', 'true')}{_TAIL.replace('"]', '+"]')} AS text, 'block' AS how")
+
+
+# Further formats and recipes.
+
+
+@query("SELECT c_custkey, c_name AS name, 'a,\"b' AS note FROM customer")
+def tsv_fields(spark: SparkSession, d: str) -> DataFrame:
+    tabs = csv.TSV
+    line = csv.format_fields(F.array(F.col("c_custkey").cast("string"), F.col("c_name"), F.lit('a,"b')), tabs)
+    return read_table(spark, d, "customer").select("c_custkey", csv.record_fields(line, tabs).alias("f")).select("c_custkey", F.col("f")[1].alias("name"), F.col("f")[2].alias("note"))
+
+
+def _id_of(v: dict) -> int | None:
+    return int(v["id"].raw) if int(v["id"].raw) % 2 else None
+
+
+def _json_id(text: str):
+    return json.parse_as(text, _id_of)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'Type mismatch' END AS message FROM orders")
+def json_extracted(spark: SparkSession, d: str) -> DataFrame:
+    r = plans.parse(F.col("t"), _json_id, "bigint")
+    return _order_json(spark, d).select("o_orderkey", r.alias("r")).select("o_orderkey", F.col("r.value").alias("id"), F.get("r.errors", F.lit(0))["message"].alias("message"))
+
+
+def _undeclared(text: str):
+    return xml.parse_xml(text)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'failure' ELSE 'success' END AS status FROM part")
+def xml_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of the internal subset; one that is not declared is an error."""
+    name = F.when(F.col("p_partkey") % 2 == 0, "other").otherwise("who")
+    text = F.concat(F.lit('<!DOCTYPE a [<!ENTITY who "x">]><a>&'), name, F.lit(";</a>"))
+    return read_table(spark, d, "part").select("p_partkey", plans.parse(text, _undeclared, "int", lambda v: 1).alias("r")).select("p_partkey", "r.status")
+
+
+@query("SELECT s_suppkey, 'Get' || s_suppkey AS method, 'In' AS input, true AS streamed FROM supplier")
+def proto_service(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat(F.lit('syntax = "proto3"; service S { rpc Get'), F.col("s_suppkey"), F.lit(" (In) returns (stream Out); }"))
+    v = plans.parse_value(text, proto.parse_proto, "struct<method:string,input:string,streamed:boolean>", _method_row)
+    return read_table(spark, d, "supplier").select("s_suppkey", v.alias("v")).select("s_suppkey", "v.*")
+
+
+def _method_row(f: proto.File) -> dict:
+    m = f.services[0].methods[0]
+    return {"method": m.name, "input": m.input, "streamed": m.server_streaming}
+
+
+@query("SELECT c_custkey, c_name AS name, c_acctbal AS balance FROM customer")
+def shared_lexers(spark: SparkSession, d: str) -> DataFrame:
+    """identifier /* comment */ = "text" number"""
+    p = ((identifier << hspaces << block_comment("/*", "*/") << hspaces << char("=") << hspaces) >> (double_quoted_string << hspaces)) & floating_point
+    text = F.concat(F.lit('key_1 /* a * b */ = "'), F.col("c_name"), F.lit('" '), F.expr("format_string('%.2f', c_acctbal)"))
+    v = plans.parse_value(text, p << eof, "struct<name:string,balance:double>", lambda x: {"name": x[0], "balance": x[1]})
+    return read_table(spark, d, "customer").select("c_custkey", v.alias("v")).select("c_custkey", "v.*")
+
+
+@query("SELECT s_suppkey, CAST(10 + s_nationkey AS BIGINT) AS country, '555' AS area FROM supplier")
+def phone_parts(spark: SparkSession, d: str) -> DataFrame:
+    p = (char("+") >> number << char(" ")) & digit.count(3).capture().between(char("("), char(")"))
+    v = plans.parse_value(F.concat(F.lit("+"), 10 + F.col("s_nationkey"), F.lit(" (555) 01")), p, "struct<country:bigint,area:string>", lambda x: {"country": x[0], "area": x[1]})
+    return read_table(spark, d, "supplier").select("s_suppkey", v.alias("v")).select("s_suppkey", "v.*")
+
+
+@query("SELECT s_suppkey, true AS verbose, s_name AS name FROM supplier")
+def cli_arguments(spark: SparkSession, d: str) -> DataFrame:
+    word = none_of(' "').many1().capture()
+    value = double_quoted_string | word
+    flag = string("--") >> (identifier & (char("=") >> value).optional())
+    v = plans.parse_value(F.concat(F.lit('--verbose --name="'), F.col("s_name"), F.lit('"')), flag.sep_by1(char(" ")).map(dict) << eof, "struct<verbose:boolean,name:string>", lambda x: {"verbose": "verbose" in x, "name": x["name"]})
+    return read_table(spark, d, "supplier").select("s_suppkey", v.alias("v")).select("s_suppkey", "v.*")
+
+
+@query("SELECT n_nationkey, n_name AS field, CAST(n_regionkey AS BIGINT) AS at FROM nation")
+def json_path_steps(spark: SparkSession, d: str) -> DataFrame:
+    step = (char(".") >> none_of(".[").many1().capture()) | number.between(char("["), char("]"))
+    v = plans.parse_value(F.concat(F.lit("$."), F.col("n_name"), F.lit("["), F.col("n_regionkey"), F.lit("]")), char("$") >> step.many() << eof, "struct<field:string,at:bigint>", lambda x: {"field": x[0], "at": x[1]})
+    return read_table(spark, d, "nation").select("n_nationkey", v.alias("v")).select("n_nationkey", "v.*")
+
+
+@query("SELECT r_regionkey, 'a,b' AS columns, lower(r_name) AS source FROM region")
+def select_statement(spark: SparkSession, d: str) -> DataFrame:
+    name = (identifier | string("*")).lexeme()
+    p = (symbol("SELECT") >> name.sep_by1(symbol(","))) & (symbol("FROM") >> name)
+    text = F.concat(F.lit("SELECT a , b FROM "), F.lower(F.regexp_replace("r_name", " ", "_")))
+    v = plans.parse_value(text, p << eof, "struct<columns:string,source:string>", lambda x: {"columns": ",".join(x[0]), "source": x[1].replace("_", " ")})
+    return read_table(spark, d, "region").select("r_regionkey", v.alias("v")).select("r_regionkey", "v.*")
+
+
+@query("SELECT o_orderkey, 'success' AS json, CASE WHEN o_orderkey % 3 = 0 THEN 'failure' ELSE 'success' END AS toml FROM orders")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    register(spark)
+    _order_json(spark, d).withColumn("k", F.when(F.col("o_orderkey") % 3 == 0, "k =").otherwise("k = 1")).createOrReplaceTempView("order_texts")
+    return spark.sql("SELECT o_orderkey, json_status(t) AS json, toml_status(k) AS toml FROM order_texts")
