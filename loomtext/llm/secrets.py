@@ -1,8 +1,8 @@
 """Secrets in texts and in what is encoded in them.
 
 Three kinds of match are looked for in the text itself (the base).  A worklist then unwraps layers until
-nothing new comes up: URL escapes, Unicode and character escapes, base64 (both alphabets) and gzip, zlib,
-bzip2, xz or zstd streams, in any nesting.  Each layer keeps, for each of its characters, the range of the
+nothing new comes up: URL escapes, Unicode and character escapes, base64 (both alphabets, wrapped or not, read from
+each of four places of a run) and gzip, zlib, bzip2, xz or zstd streams, in any nesting.  Each layer keeps, for each of its characters, the range of the
 original text that it came from, and is scanned like the text; a match that needed no decoding is the base's own.
 A layer seen before over the same range (a cycle, such as a stream that unpacks to itself) is not taken again.
 
@@ -16,13 +16,14 @@ rows.  Extra columns are not read.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,45 @@ ORDER = {k: i for i, k in enumerate(KINDS)}
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
+_ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_CHARS = re.compile(r"[A-Za-z0-9+/_-]+")
+_PAD = re.compile(r"={0,2}")
+# Line ends inside a wrapped run, also as written in strings.
+_JOINT = re.compile(r"(?<=[A-Za-z0-9+/_-])(?:\r?\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-z0-9+/_-])")
+_STANDARD, _SAFE = re.compile(r"[+/]"), re.compile(r"[_-]")
+_STANDARD_RUN, _SAFE_RUN = re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}")
+_TO_STANDARD = str.maketrans("-_", "+/")
 _MAGIC = re.compile(r"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_NARROW = re.compile(r"[\x00-\xff]+")
+# Starts of streams whose bytes are written as characters in UTF-8.
+_WIDE = re.compile(rb"\x1f\xc2\x8b\x08|x(?:[\x01\x5e]|\xc2\x9c|\xc3\x9a)|BZh[1-9]1AY&SY|\xc3\xbd7zXZ\x00|\x28\xc2\xb5/\xc3\xbd")
 MAX_LAYER = 1 << 26
 
-Layer = tuple[str, "np.ndarray | None", "np.ndarray | None"]
+
+class Via:
+    """Places in the original text for a layer's characters, looked up when asked for: those of ``parent`` (a number stands for itself) at ``at``."""
+
+    def __init__(self, n: int, at: Callable, parent: Via | None = None) -> None:
+        self.n, self.at, self.parent = n, at, parent
+
+    def __getitem__(self, i: int | slice | np.ndarray) -> np.ndarray:
+        got = self.at(np.arange(*i.indices(self.n)) if isinstance(i, slice) else i)
+        return got if self.parent is None else self.parent[got]
+
+
+class Layer(NamedTuple):
+    """A text, the range [lo, hi) of the original that each character came from, the end of what follows the last one (such as
+    base64 padding), and whether it is one line of what may be a wrapped run."""
+
+    text: str
+    lo: Via
+    hi: Via
+    end: int | None = None
+    piece: bool = False
+
+    def range(self, i: int, j: int) -> tuple[int, int]:
+        return int(self.lo[i]), self.end if j == len(self.text) and self.end is not None else int(self.hi[j - 1])
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -53,59 +88,63 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return [(kind, *m.span()) for kind, (pattern, group, least) in KINDS.items() for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
 
 
-def _replaced(layer: Layer, parts: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
+def _replaced(layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
     """The layer with ranges [a, b) put as other text, each of whose characters came from a range of the layer."""
-    text, lo, hi = layer
-    out, los, his, at = [], [], [], 0
-    index = np.arange(len(text) + 1)
-    lo = index[:-1] if lo is None else lo
-    hi = index[1:] if hi is None else hi
-    for a, b, new, came in parts:
-        out += [text[at:a], new]
-        los += [lo[at:a], np.array([lo[x] for x, _ in came], np.int64)]
-        his += [hi[at:a], np.array([hi[y - 1] for _, y in came], np.int64)]
+    out, starts, at, n = [], [], 0, 0
+    for a, b, new, _, _ in parts:
+        out += [layer.text[at:a], new]
+        starts += [n, n + a - at]
+        n += a - at + len(new)
         at = b
-    return "".join([*out, text[at:]]), np.concatenate([*los, lo[at:]]), np.concatenate([*his, hi[at:]])
+    text = "".join([*out, layer.text[at:]])
+    # Odd stretches are new, even ones start in the layer where the part before them ended.
+    starts, froms = np.array([*starts, n]), np.array([0, *(b for _, b, *_ in parts)])
+    news = np.concatenate([[0], np.cumsum([len(x[2]) for x in parts])])
+    los, his = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts]) - 1
+
+    def came(places: np.ndarray) -> Callable:
+        def at(i: np.ndarray) -> np.ndarray:
+            k = np.searchsorted(starts, i, "right") - 1
+            inside = np.minimum(news[k // 2] + i - starts[k], len(places) - 1)
+            return np.where(k % 2 == 1, places[inside], froms[k // 2] + i - starts[k])
+
+        return at
+
+    return layer._replace(text=text, lo=Via(len(text), came(los), layer.lo), hi=Via(len(text), came(his), layer.hi))
 
 
-def _utf8(raw: bytes) -> list[tuple[str, int, int]]:
+def _utf8(raw: bytes) -> tuple[str, np.ndarray, np.ndarray]:
     """Characters with their byte ranges; bytes that are not UTF-8 stand for themselves."""
-    out, i = [], 0
-    while i < len(raw):
-        for n in (1, 2, 3, 4):
-            try:
-                out.append((raw[i : i + n].decode(), i, i + n))
-                i += n
-                break
-            except UnicodeDecodeError:
-                continue
-        else:
-            out.append((chr(raw[i]), i, i + 1))
-            i += 1
-    return out
+    code = np.frombuffer(raw.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
+    lone = (code >= 0xDC80) & (code < 0xDD00)
+    ends = np.cumsum(np.where(lone, 1, 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)))
+    text = np.where(lone, code - 0xDC00, code).astype(np.uint32).tobytes().decode("utf-32-le")
+    return text, np.concatenate([[0], ends[:-1]]), ends
 
 
 def _unquoted(layer: Layer) -> Layer | None:
     parts = []
-    for m in _URL.finditer(layer[0]):
-        chars = _utf8(bytes.fromhex(m[0].replace("%", "")))
-        parts.append((*m.span(), "".join(c for c, _, _ in chars), [(m.start() + 3 * i, m.start() + 3 * j) for _, i, j in chars]))
+    for m in _URL.finditer(layer.text):
+        new, i, j = _utf8(bytes.fromhex(m[0].replace("%", "")))
+        parts.append((*m.span(), new, m.start() + 3 * i, m.start() + 3 * j))
     return _replaced(layer, parts) if parts else None
 
 
 def _unescaped(layer: Layer) -> Layer | None:
     parts = []
-    for m in _ESCAPE.finditer(layer[0]):
-        chars: list[list] = []
+    for m in _ESCAPE.finditer(layer.text):
+        codes, starts, ends = array("q"), array("q"), array("q")
         for x in _ONE.finditer(m[0]):
             code = int(x[4]) if x[4] else int(x[1] or x[2] or x[3], 16)
-            if 0xDC00 <= code < 0xE000 and chars and 0xD800 <= chars[-1][0] < 0xDC00:
-                chars[-1][0] = 0x10000 + ((chars[-1][0] - 0xD800) << 10) + code - 0xDC00
-                chars[-1][2] = m.start() + x.end()
+            if 0xDC00 <= code < 0xE000 and codes and 0xD800 <= codes[-1] < 0xDC00:
+                codes[-1] = 0x10000 + ((codes[-1] - 0xD800) << 10) + code - 0xDC00
+                ends[-1] = m.start() + x.end()
             else:
-                chars.append([code, m.start() + x.start(), m.start() + x.end()])
-        new = "".join(chr(c) if c < 0x110000 and not 0xD800 <= c < 0xE000 else "\ufffd" for c, _, _ in chars)
-        parts.append((*m.span(), new, [(i, j) for _, i, j in chars]))
+                codes.append(code)
+                starts.append(m.start() + x.start())
+                ends.append(m.start() + x.end())
+        new = "".join(chr(c) if c < 0x110000 and not 0xD800 <= c < 0xE000 else "\ufffd" for c in codes)
+        parts.append((*m.span(), new, np.array(starts, np.int64), np.array(ends, np.int64)))
     return _replaced(layer, parts) if parts else None
 
 
@@ -157,56 +196,103 @@ def _inner(raw: bytes, most: int) -> tuple[str, int] | None:
     return got[0].decode("latin-1") if text is None else text, got[1]
 
 
-def _encoded(layer: Layer, most: int) -> Iterator[Layer]:
-    """What base64 tokens and bare streams in a layer hold."""
-    text, lo, hi = layer
-    at = lambda i, j: (int(lo[i]) if lo is not None else i, int(hi[j - 1]) if hi is not None else j)
+def _runs(text: str) -> Iterator[tuple[str, Callable, int, bool]]:
+    """Runs of base64 characters: the characters, the place of each in the text, the end with padding, and whether a run is one line of several."""
+    joints = [m.span() for m in _JOINT.finditer(text)] if "\n" in text or "\\n" in text else []
+    wrapped: set[int] = set()
+    k = 0
+    while k < len(joints):
+        first = k
+        while k + 1 < len(joints) and _CHARS.fullmatch(text, joints[k][1], joints[k + 1][0]):
+            k += 1
+        begin = joints[first][0]
+        while begin and text[begin - 1] in _ALPHABET:
+            begin -= 1
+        last = _CHARS.match(text, joints[k][1]).end()
+        edges = [begin, *(x for span in joints[first : k + 1] for x in span), last]
+        k += 1
+        pieces = list(zip(edges[::2], edges[1::2], strict=True))
+        run = "".join(text[i:j] for i, j in pieces)
+        if len(run) >= 20:
+            wrapped.update(i for i, _ in pieces)
+            sizes = np.cumsum([0, *(j - i for i, j in pieces)])
+            starts = np.array([i for i, _ in pieces])
+            yield run, lambda i, sizes=sizes, starts=starts: starts[(p := np.searchsorted(sizes, i, "right") - 1)] + i - sizes[p], _PAD.match(text, last).end(), False
     for m in _B64.finditer(text):
-        token = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        token = token[: len(token) - (len(token) % 4 == 1)]
-        try:
-            raw = base64.b64decode(token + "=" * (-len(token) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if (got := _inner(raw, most)) is not None:
-            inside = got[0]
-            a, b = at(*m.span())
-            yield inside, np.full(len(inside), a), np.full(len(inside), b)
-        elif (new := _plain(raw)) is not None:
-            s = m.start()
-            sizes = np.array([len(c.encode()) for c in new], np.int64)
-            ends = np.cumsum(sizes)
-            i, j = s + (ends - sizes) * 8 // 6, s + -(-ends * 8 // 6)
-            yield new, (i if lo is None else lo[i]), (j if hi is None else hi[j - 1])
-    if lo is not None:
-        for m in _MAGIC.finditer(text):
-            end = m.start()
-            while end < len(text) and ord(text[end]) < 256:
-                end += 1
-            got = _inner(text[m.start() : end].encode("latin-1"), most)
+        yield m[0].rstrip("="), lambda i, s=m.start(): s + i, m.end(), m.start() in wrapped
+
+
+def _views(run: str) -> Iterator[tuple[int, str]]:
+    """A run and, if it mixes both alphabets, the runs of each in it."""
+    yield 0, run
+    if _STANDARD.search(run) and _SAFE.search(run):
+        for alphabet in (_STANDARD_RUN, _SAFE_RUN):
+            yield from ((m.start(), m[0]) for m in alphabet.finditer(run))
+
+
+def _decoded(layer: Layer) -> Iterator[Layer]:
+    """What base64 runs in a layer hold, read from each of four places, so that what precedes a token does not hide it.
+
+    Bytes are characters of their own; a layer of the UTF-8 they hold comes too where it may have streams written as characters.
+    """
+    for run, place, stop, piece in _runs(layer.text):
+        for off, view in _views(run):
+            end = int(layer.hi[stop - 1]) if off + len(view) == len(run) else None
+            view = view.translate(_TO_STANDARD)  # noqa: PLW2901
+            for k in range(4):
+                size = len(view) - k
+                size -= size % 4 == 1
+                raw = base64.b64decode(view[k : k + size] + "=" * (-size % 4))
+                made = [(raw.decode("latin-1"), lambda i: i, lambda i: i + 1)]
+                if not raw.isascii() and _WIDE.search(raw):
+                    new, i, j = _utf8(raw)
+                    made.append((new, lambda x, i=i: i[x], lambda x, j=j: j[x]))
+                for new, i, j in made:
+                    lo = Via(len(new), lambda x, i=i, c=off + k, place=place: place(c + i(x) * 8 // 6), layer.lo)
+                    hi = Via(len(new), lambda x, j=j, c=off + k, place=place: place(c - (-j(x) * 8 // 6) - 1), layer.hi)
+                    yield Layer(new, lo, hi, end, piece or layer.piece)
+
+
+def _streams(layer: Layer, most: int) -> Iterator[Layer]:
+    """What compressed streams in a layer hold."""
+    if not _MAGIC.search(layer.text):
+        return
+    for m in _NARROW.finditer(layer.text):
+        raw, at = None, m.start()
+        while x := _MAGIC.search(layer.text, at, m.end()):
+            raw = memoryview(m[0].encode("latin-1")) if raw is None else raw
+            at = x.start() + 1
+            got = _inner(bytes(raw[x.start() - m.start() :]), most)
             if got is not None:
-                inside = got[0]
-                a, b = at(m.start(), m.start() + got[1])
-                yield inside, np.full(len(inside), a), np.full(len(inside), b)
+                a, b = layer.range(x.start(), x.start() + got[1])
+                yield Layer(got[0], Via(len(got[0]), lambda i, a=a: i * 0 + a), Via(len(got[0]), lambda i, b=b: i * 0 + b), None, layer.piece)
+                break
+
+
+def _covered(span: tuple[str, int, int], by: dict) -> bool:
+    """Whether a match in one line of a run is a piece of one in the run."""
+    kind, a, b = span
+    return any(x <= a and b <= y and (x == a or kind == "hex") for x, y in by.get(kind, ()))
 
 
 def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list, bool]:
     """Base matches, all matches (kind, start, end), and whether every layer was unwrapped."""
     base = scan(text)
-    found, seen, complete = set(base), set(), True
-    work: list[Layer] = [(text, None, None)]
+    found, pieces, seen, complete = set(base), set(), set(), True
+    root = Layer(text, Via(len(text), lambda i: i), Via(len(text), lambda i: i + 1))
+    work = [root]
     while work:
         layer = work.pop()
-        body, lo, hi = layer
-        if lo is not None:
-            mark = (hashlib.sha1(body.encode("utf-8", "surrogatepass")).digest(), int(lo[0]), int(hi[-1])) if body else None
+        body, lo, hi = layer[:3]
+        if layer is not root:
+            mark = (hashlib.sha1(body.encode("utf-8", "surrogatepass")).digest(), int(lo[0]), int(hi[-1 + len(body)]), layer.piece) if body else None
             if mark is None or mark in seen:
                 continue
             seen.add(mark)
             for kind, a, b in scan(body):
                 x, y = int(lo[a:b].min()), int(hi[a:b].max())
                 if text[x:y] != body[a:b]:
-                    found.add((kind, x, y))
+                    (pieces if layer.piece else found).add((kind, x, y))
         if len(body) > max_layer:
             complete = False
             continue
@@ -214,10 +300,17 @@ def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list, bool]:
             work.append(new)
         if ("\\" in body or "&#" in body) and (new := _unescaped(layer)):
             work.append(new)
-        try:
-            work.extend(_encoded(layer, max_layer))
-        except OverflowError:
-            complete = False
+        work.extend(_decoded(layer))
+        if layer is not root:
+            try:
+                work.extend(_streams(layer, max_layer))
+            except OverflowError:
+                complete = False
+    if pieces:
+        whole: dict = {}
+        for kind, a, b in found:
+            whole.setdefault(kind, []).append((a, b))
+        found |= {p for p in pieces if not _covered(p, whole)}
     by = lambda x: (x[1], ORDER[x[0]], x[2])
     return sorted(base, key=by), sorted(found, key=by), complete
 

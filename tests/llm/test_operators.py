@@ -108,6 +108,37 @@ def test_secrets_cycle_and_bomb():
     assert secrets.find(text) == ([], [], True)
 
 
+@pytest.mark.parametrize("prefix", ["https://h.example/api/", "/v1/", "/key/", "data_", "x-", "ab", "a+b-c_"])
+@pytest.mark.parametrize("pack", [lambda x: x, lambda x: gzip.compress(x.encode())])
+def test_secrets_in_a_token_after_a_prefix(prefix, pack):
+    for code in (base64.b64encode, base64.urlsafe_b64encode):
+        token = code(pack("é~~~???" + SECRET) if isinstance(pack(SECRET), bytes) else pack("é~~~???" + SECRET).encode()).decode()
+        _, spans, complete = secrets.find(f"see {prefix}{token} end")
+        assert complete and [k for k, *_ in spans] == ["assign"]
+        assert 4 <= spans[0][1] < spans[0][2] <= 4 + len(prefix) + len(token)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n  ", "\\n"])
+@pytest.mark.parametrize("pack", [lambda x: x, gzip.compress])
+def test_secrets_in_wrapped_base64(end, pack):
+    for before in range(40, 64):
+        code = base64.b64encode(pack((f"{random.Random(before).randbytes(before)!r}"[:before] + " " + SECRET + " and after").encode())).decode()
+        wrapped = end.join(code[i : i + 76] for i in range(0, len(code), 76))
+        _, spans, complete = secrets.find(f"key: {wrapped}\n")
+        assert complete and [k for k, *_ in spans] == ["assign"] and 5 <= spans[0][1] < spans[0][2] <= 5 + len(wrapped)
+
+
+def test_secrets_between_bytes_that_are_not_text():
+    _, spans, complete = secrets.find(_b64(b"\xff\xfe\x00\x80" * 5 + SECRET.encode() + b"\x80\x81" * 9))
+    assert complete and [k for k, *_ in spans] == ["assign"]
+
+
+def test_secrets_in_two_tokens_on_lines():
+    line = _b64("password=hunter2hunter2X")
+    _, spans, _ = secrets.find(f"{line}\n{line}\n")
+    assert {(a, b) for _, a, b in spans} >= {(33, 65)} and min(a for _, a, _ in spans) == 0
+
+
 def test_secrets_query_rows(docs, rows, none):
     out = secrets.find_secrets(docs).collect()
     assert len(out) == len(rows) and secrets.find_secrets(none).count() == 0
