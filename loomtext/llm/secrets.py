@@ -7,7 +7,8 @@ original text that it came from, and is scanned like the text; a match that need
 A layer seen before over the same range (a cycle, such as a stream that unpacks to itself) is not taken again.
 
 Spans are in code points of the original text, the end exclusive.  A match in a compressed stream spans the
-stream.  A layer over ``max_layer`` characters is not unwrapped, against bombs; ``complete`` is then false.
+stream.  A stream whose content is over ``max_layer`` bytes is scanned in windows of 5/8 of that which overlap by 1/8;
+``complete`` is then false, since what is longer than the overlap may be cut.
 
 Nulls: a null text is empty; a null id is an id like others.  Repeated rows are scanned each.  Empty input: no
 rows.  Extra columns are not read.
@@ -23,6 +24,8 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from io import StringIO
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -88,50 +91,55 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return [(kind, *m.span()) for kind, (pattern, group, least) in KINDS.items() for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
 
 
-def _replaced(layer: Layer, parts: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer:
-    """The layer with ranges [a, b) put as other text, each of whose characters came from a range of the layer."""
-    out, starts, at, n = [], [], 0, 0
-    for a, b, new, _, _ in parts:
-        out += [layer.text[at:a], new]
-        starts += [n, n + a - at]
+def _replaced(layer: Layer, parts: Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Layer | None:
+    """The layer with ranges [a, b) put as other text, each of whose characters came from a range of the layer; None without any."""
+    out, starts, froms, news, los, his, at, n = StringIO(newline=""), array("q"), array("q", [0]), array("q", [0]), array("q"), array("q"), 0, 0
+    for a, b, new, lo, hi in parts:
+        out.write(layer.text[at:a])
+        out.write(new)
+        starts.extend((n, n + a - at))
         n += a - at + len(new)
         at = b
-    text = "".join([*out, layer.text[at:]])
+        froms.append(at)
+        los.frombytes(lo.astype(np.int64).tobytes())
+        his.frombytes((hi - 1).astype(np.int64).tobytes())
+        news.append(len(los))
+    if not at:
+        return None
+    out.write(layer.text[at:])
+    starts.append(n)
+    text = out.getvalue()
+
     # Odd stretches are new, even ones start in the layer where the part before them ended.
-    starts, froms = np.array([*starts, n]), np.array([0, *(b for _, b, *_ in parts)])
-    news = np.concatenate([[0], np.cumsum([len(x[2]) for x in parts])])
-    los, his = np.concatenate([x[3] for x in parts]), np.concatenate([x[4] for x in parts]) - 1
+    def came(places: array) -> Callable:
+        first, old, before, put = (np.frombuffer(x, np.int64) for x in (starts, froms, news, places))
 
-    def came(places: np.ndarray) -> Callable:
         def at(i: np.ndarray) -> np.ndarray:
-            k = np.searchsorted(starts, i, "right") - 1
-            inside = np.minimum(news[k // 2] + i - starts[k], len(places) - 1)
-            return np.where(k % 2 == 1, places[inside], froms[k // 2] + i - starts[k])
+            k = np.searchsorted(first, i, "right") - 1
+            inside = np.minimum(before[k // 2] + i - first[k], len(put) - 1)
+            return np.where(k % 2 == 1, put[inside], old[k // 2] + i - first[k])
 
         return at
 
     return layer._replace(text=text, lo=Via(len(text), came(los), layer.lo), hi=Via(len(text), came(his), layer.hi))
 
 
-def _utf8(raw: bytes) -> tuple[str, np.ndarray, np.ndarray]:
-    """Characters with their byte ranges; bytes that are not UTF-8 stand for themselves."""
+def _utf8(raw: bytes, keep: bool = True) -> tuple[str, np.ndarray, np.ndarray]:
+    """Characters with their byte ranges; bytes that are not UTF-8 stand for themselves or, if not kept, give U+FFFD."""
     code = np.frombuffer(raw.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
     lone = (code >= 0xDC80) & (code < 0xDD00)
     ends = np.cumsum(np.where(lone, 1, 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)))
-    text = np.where(lone, code - 0xDC00, code).astype(np.uint32).tobytes().decode("utf-32-le")
+    text = np.where(lone, code - 0xDC00 if keep else 0xFFFD, code).astype(np.uint32).tobytes().decode("utf-32-le")
     return text, np.concatenate([[0], ends[:-1]]), ends
 
 
-def _unquoted(layer: Layer) -> Layer | None:
-    parts = []
+def _unquoted(layer: Layer) -> Iterator[tuple]:
     for m in _URL.finditer(layer.text):
         new, i, j = _utf8(bytes.fromhex(m[0].replace("%", "")))
-        parts.append((*m.span(), new, m.start() + 3 * i, m.start() + 3 * j))
-    return _replaced(layer, parts) if parts else None
+        yield *m.span(), new, m.start() + 3 * i, m.start() + 3 * j
 
 
-def _unescaped(layer: Layer) -> Layer | None:
-    parts = []
+def _unescaped(layer: Layer) -> Iterator[tuple]:
     for m in _ESCAPE.finditer(layer.text):
         codes, starts, ends = array("q"), array("q"), array("q")
         for x in _ONE.finditer(m[0]):
@@ -144,38 +152,61 @@ def _unescaped(layer: Layer) -> Layer | None:
                 starts.append(m.start() + x.start())
                 ends.append(m.start() + x.end())
         new = "".join(chr(c) if c < 0x110000 and not 0xD800 <= c < 0xE000 else "\ufffd" for c in codes)
-        parts.append((*m.span(), new, np.array(starts, np.int64), np.array(ends, np.int64)))
-    return _replaced(layer, parts) if parts else None
-
-
-def _unpacked(raw: bytes, most: int) -> tuple[bytes, int] | None:
-    """The content of a compressed stream and its length; None if there is none or it is broken. Raises OverflowError over ``most`` bytes."""
-    z = None
+        yield *m.span(), new, np.array(starts, np.int64), np.array(ends, np.int64)
+
+
+def _parts(raw: memoryview, end: list[int]) -> Iterator[bytes]:
+    """The content of a compressed stream, a part at a time; ``end`` gets the stream's length and whether it ended. Raises what its library raises if there is none or it is broken."""
+    step = 1 << 16
+    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
+        z = zlib.decompressobj(47)
+    elif raw[:3] == b"BZh":
+        z = bz2.BZ2Decompressor()
+    elif raw[:6] == b"\xfd7zXZ\x00":
+        z = lzma.LZMADecompressor()
+    else:
+        import zstandard
+
+        # Four bytes of input may give 128 KB and no limit can be set: few are given at once.
+        z, step = zstandard.ZstdDecompressor().decompressobj(), 1 << 10
+    at, rest = 0, b""
+    while not z.eof:
+        chunk = rest
+        if not rest and getattr(z, "needs_input", True):
+            chunk = raw[at : at + step]
+            at += len(chunk)
+            if not chunk and not isinstance(z, type(zlib.decompressobj())):
+                break
+        out = z.decompress(chunk) if step == 1 << 10 else z.decompress(chunk, 1 << 20)
+        rest = getattr(z, "unconsumed_tail", b"")
+        end[:] = at - len(z.unused_data), z.eof
+        if out:
+            yield out
+        elif not chunk and getattr(z, "needs_input", True):
+            break
+
+
+def _contents(raw: memoryview, most: int, end: list[int]) -> Iterator[tuple[bytes, bool]]:
+    """The content of a compressed stream and True, nothing if it is broken; if it is over ``most`` bytes, overlapping windows of it and False."""
+    step = max(most // 2, 1)
+    keep = max(most // 8, 1)
+    held, size, large = [], 0, False
     try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            z = zlib.decompressobj(47)
-            out = z.decompress(raw, most + 1)
-        elif raw[:3] == b"BZh":
-            z = bz2.BZ2Decompressor()
-            out = z.decompress(raw, most + 1)
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            z = lzma.LZMADecompressor()
-            out = z.decompress(raw, most + 1)
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            out = b""
-            for chunk in zstandard.ZstdDecompressor().read_to_iter(raw):
-                out += chunk
-                if len(out) > most:
-                    break
-        else:
-            return None
+        for part in _parts(raw, end):
+            held.append(part)
+            size += len(part)
+            if size > (step + keep if large else most):
+                whole = b"".join(held)
+                large = True
+                for i in range(0, size - step - keep + 1, step):
+                    yield whole[i : i + step + keep], False
+                    last = i + step
+                held = [whole[last:]]
+                size -= last
     except Exception:  # noqa: BLE001 - each library has its own errors for bytes that only looked like a stream
-        return None
-    if len(out) > most:
-        raise OverflowError
-    return (out, len(raw) - (len(z.unused_data) if z is not None else 0)) if out else None
+        return
+    if size:
+        yield b"".join(held), not large
 
 
 def _plain(raw: bytes) -> str | None:
@@ -187,15 +218,6 @@ def _plain(raw: bytes) -> str | None:
     return text if sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.9 * len(text) else None
 
 
-def _inner(raw: bytes, most: int) -> tuple[str, int] | None:
-    """The text of a compressed stream and the stream's length; other bytes, such as another stream, as one character each."""
-    got = _unpacked(raw, most)
-    if got is None:
-        return None
-    text = _plain(got[0])
-    return got[0].decode("latin-1") if text is None else text, got[1]
-
-
 def _runs(text: str) -> Iterator[tuple[str, Callable, int, bool]]:
     """Runs of base64 characters: the characters, the place of each in the text, the end with padding, and whether a run is one line of several."""
     joints = [m.span() for m in _JOINT.finditer(text)] if "\n" in text or "\\n" in text else []
@@ -245,7 +267,8 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
                 raw = base64.b64decode(view[k : k + size] + "=" * (-size % 4))
                 made = [(raw.decode("latin-1"), lambda i: i, lambda i: i + 1)]
                 if not raw.isascii() and _WIDE.search(raw):
-                    new, i, j = _utf8(raw)
+                    # No byte that is not UTF-8 is part of such a stream.
+                    new, i, j = _utf8(raw, keep=False)
                     made.append((new, lambda x, i=i: i[x], lambda x, j=j: j[x]))
                 for new, i, j in made:
                     lo = Via(len(new), lambda x, i=i, c=off + k, place=place: place(c + i(x) * 8 // 6), layer.lo)
@@ -253,20 +276,43 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
                     yield Layer(new, lo, hi, end, piece or layer.piece)
 
 
-def _streams(layer: Layer, most: int) -> Iterator[Layer]:
-    """What compressed streams in a layer hold."""
+def _streams(layer: Layer, most: int, cut: list) -> Iterator[Layer]:
+    """What compressed streams in a layer hold; ``cut`` gets the place of one whose content comes in windows."""
     if not _MAGIC.search(layer.text):
         return
     for m in _NARROW.finditer(layer.text):
         raw, at = None, m.start()
         while x := _MAGIC.search(layer.text, at, m.end()):
             raw = memoryview(m[0].encode("latin-1")) if raw is None else raw
+            end, own = [0, False], raw[x.start() - m.start() :]
+            # Where a stream ends is known when all of it has been read; its content is read twice if it is large.
+            first = next(contents := _contents(own, most, end), None)
             at = x.start() + 1
-            got = _inner(bytes(raw[x.start() - m.start() :]), most)
-            if got is not None:
-                a, b = layer.range(x.start(), x.start() + got[1])
-                yield Layer(got[0], Via(len(got[0]), lambda i, a=a: i * 0 + a), Via(len(got[0]), lambda i, b=b: i * 0 + b), None, layer.piece)
-                break
+            if first is None:
+                continue
+            if not first[1]:
+                try:
+                    for _ in _parts(own, end):
+                        pass
+                except Exception:  # noqa: BLE001 - broken, as in _contents
+                    continue
+                cut.append(x.start())
+            a, b = layer.range(x.start(), x.start() + end[0])
+            for content, _ in chain([first], contents):
+                text = None if content.isascii() else _plain(content)
+                text = content.decode("latin-1") if text is None else text
+                yield Layer(text, Via(len(text), lambda i, a=a: i * 0 + a), Via(len(text), lambda i, b=b: i * 0 + b), None, layer.piece)
+
+
+def _inside(layer: Layer, root: bool, most: int, cut: list) -> Iterator[Layer]:
+    """All layers one step inside a layer."""
+    if "%" in layer.text and (new := _replaced(layer, _unquoted(layer))):
+        yield new
+    if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _unescaped(layer))):
+        yield new
+    yield from _decoded(layer)
+    if not root:
+        yield from _streams(layer, most, cut)
 
 
 def _covered(span: tuple[str, int, int], by: dict) -> bool:
@@ -276,13 +322,17 @@ def _covered(span: tuple[str, int, int], by: dict) -> bool:
 
 
 def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list, bool]:
-    """Base matches, all matches (kind, start, end), and whether every layer was unwrapped."""
+    """Base matches, all matches (kind, start, end), and whether no stream had to be scanned in windows."""
     base = scan(text)
-    found, pieces, seen, complete = set(base), set(), set(), True
+    found, pieces, seen = set(base), set(), set()
     root = Layer(text, Via(len(text), lambda i: i), Via(len(text), lambda i: i + 1))
-    work = [root]
+    # Layers come one at a time, so that the windows of a large stream are not all held.
+    work, cut = [iter([root])], []
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         body, lo, hi = layer[:3]
         if layer is not root:
             mark = (hashlib.sha1(body.encode("utf-8", "surrogatepass")).digest(), int(lo[0]), int(hi[-1 + len(body)]), layer.piece) if body else None
@@ -293,26 +343,14 @@ def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list, bool]:
                 x, y = int(lo[a:b].min()), int(hi[a:b].max())
                 if text[x:y] != body[a:b]:
                     (pieces if layer.piece else found).add((kind, x, y))
-        if len(body) > max_layer:
-            complete = False
-            continue
-        if "%" in body and (new := _unquoted(layer)):
-            work.append(new)
-        if ("\\" in body or "&#" in body) and (new := _unescaped(layer)):
-            work.append(new)
-        work.extend(_decoded(layer))
-        if layer is not root:
-            try:
-                work.extend(_streams(layer, max_layer))
-            except OverflowError:
-                complete = False
+        work.append(_inside(layer, layer is root, max_layer, cut))
     if pieces:
         whole: dict = {}
         for kind, a, b in found:
             whole.setdefault(kind, []).append((a, b))
         found |= {p for p in pieces if not _covered(p, whole)}
     by = lambda x: (x[1], ORDER[x[0]], x[2])
-    return sorted(base, key=by), sorted(found, key=by), complete
+    return sorted(base, key=by), sorted(found, key=by), not cut
 
 
 def _joined(spans: list) -> str:

@@ -1,8 +1,10 @@
 """Each operator against a brute-force version, on a table with every awkward case."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -11,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from loomtext.llm import components, decontam, minhash, mixing, quality_fm, quality_rules, queries, recompress, secrets, sharding, tokencount, warc, words
@@ -139,6 +142,31 @@ def test_secrets_in_two_tokens_on_lines():
     assert {(a, b) for _, a, b in spans} >= {(33, 65)} and min(a for _, a, _ in spans) == 0
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_secrets_beside_and_in_a_large_stream(pack):
+    rng = random.Random(3)
+    filler = " ".join(rng.choice(("alpha", "beta", "gamma", "delta")) for _ in range(60_000))
+    bomb = _b64(pack(f"{filler} {SECRET} {filler}".encode()))
+    after = _b64(SECRET)
+    _, spans, complete = secrets.find(f"{bomb} {after}", max_layer=10**5)
+    assert not complete
+    assert [(a, b) for _, a, b in spans][:1] == [(0, len(bomb))] and [a for _, a, _ in spans][1:] == [len(bomb) + 1]
+    _, spans, complete = secrets.find(f"{after} {bomb}")
+    assert complete and len(spans) == 2
+
+
+def test_secrets_in_windows_of_any_cut():
+    for before in range(990, 1330):
+        code = _b64(gzip.compress(b"." * before + SECRET.encode() + b"." * 2000))
+        assert [k for k, *_ in secrets.find(code, max_layer=1600)[1]] == ["assign"]
+
+
+def test_secrets_in_a_long_text():
+    text = "word " * 5000 + urllib.parse.quote(SECRET, safe="") + " " + _b64(gzip.compress(SECRET.encode())) + " word" * 5000
+    _, spans, complete = secrets.find(text, max_layer=10**4)
+    assert complete and len(spans) == 2 and (spans, complete) == secrets.find(text)[1:]
+
+
 def test_secrets_query_rows(docs, rows, none):
     out = secrets.find_secrets(docs).collect()
     assert len(out) == len(rows) and secrets.find_secrets(none).count() == 0
