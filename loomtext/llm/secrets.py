@@ -74,13 +74,16 @@ class Via:
 
 class Layer(NamedTuple):
     """A text, the range [lo, hi) of the original that each character came from, the end of what follows the last one (such as
-    base64 padding), and whether it is one line of what may be a wrapped run."""
+    base64 padding), whether it is one line of what may be a wrapped run, whether its streams were taken out, and whether it is
+    looked at for streams only."""
 
     text: str
     lo: Via
     hi: Via
     end: int | None = None
     piece: bool = False
+    opened: bool = False
+    wide: bool = False
 
     def range(self, i: int, j: int) -> tuple[int, int]:
         return int(self.lo[i]), self.end if j == len(self.text) and self.end is not None else int(self.hi[j - 1])
@@ -121,7 +124,7 @@ def _replaced(layer: Layer, parts: Iterator[tuple[int, int, str, np.ndarray, np.
 
         return at
 
-    return layer._replace(text=text, lo=Via(len(text), came(los), layer.lo), hi=Via(len(text), came(his), layer.hi))
+    return layer._replace(text=text, lo=Via(len(text), came(los), layer.lo), hi=Via(len(text), came(his), layer.hi), opened=False)
 
 
 def _utf8(raw: bytes, keep: bool = True) -> tuple[str, np.ndarray, np.ndarray]:
@@ -273,13 +276,12 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
                 for new, i, j in made:
                     lo = Via(len(new), lambda x, i=i, c=off + k, place=place: place(c + i(x) * 8 // 6), layer.lo)
                     hi = Via(len(new), lambda x, j=j, c=off + k, place=place: place(c - (-j(x) * 8 // 6) - 1), layer.hi)
-                    yield Layer(new, lo, hi, end, piece or layer.piece)
+                    yield Layer(new, lo, hi, end, piece or layer.piece, wide=i is not made[0][1])
 
 
 def _streams(layer: Layer, most: int, cut: list) -> Iterator[Layer]:
-    """What compressed streams in a layer hold; ``cut`` gets the place of one whose content comes in windows."""
-    if not _MAGIC.search(layer.text):
-        return
+    """What compressed streams in a layer hold, members one after another too, then the layer with blanks for them; ``cut`` gets the place of one whose content comes in windows."""
+    left, done = StringIO(newline=""), 0
     for m in _NARROW.finditer(layer.text):
         raw, at = None, m.start()
         while x := _MAGIC.search(layer.text, at, m.end()):
@@ -302,17 +304,23 @@ def _streams(layer: Layer, most: int, cut: list) -> Iterator[Layer]:
                 text = None if content.isascii() else _plain(content)
                 text = content.decode("latin-1") if text is None else text
                 yield Layer(text, Via(len(text), lambda i, a=a: i * 0 + a), Via(len(text), lambda i, b=b: i * 0 + b), None, layer.piece)
-
-
-def _inside(layer: Layer, root: bool, most: int, cut: list) -> Iterator[Layer]:
-    """All layers one step inside a layer."""
+            # Further members follow; what looks like a stream inside one is part of it.
+            if end[1]:
+                at = x.start() + end[0]
+                left.write(layer.text[done : x.start()])
+                left.write("\ufffd" * end[0])
+                done = at
+    left.write(layer.text[done:])
+    yield layer._replace(text=left.getvalue(), opened=True)
+
+
+def _inside(layer: Layer) -> Iterator[Layer]:
+    """All layers one step inside a layer without streams."""
     if "%" in layer.text and (new := _replaced(layer, _unquoted(layer))):
         yield new
     if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _unescaped(layer))):
         yield new
     yield from _decoded(layer)
-    if not root:
-        yield from _streams(layer, most, cut)
 
 
 def _covered(span: tuple[str, int, int], by: dict) -> bool:
@@ -335,15 +343,20 @@ def find(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list, bool]:
             continue
         body, lo, hi = layer[:3]
         if layer is not root:
-            mark = (hashlib.sha1(body.encode("utf-8", "surrogatepass")).digest(), int(lo[0]), int(hi[-1 + len(body)]), layer.piece) if body else None
+            mark = (hashlib.sha1(body.encode("utf-8", "surrogatepass")).digest(), int(lo[0]), int(hi[len(body) - 1]), layer.piece, layer.opened, layer.wide) if body else None
             if mark is None or mark in seen:
                 continue
             seen.add(mark)
+            if not layer.opened and _MAGIC.search(body):
+                work.append(_streams(layer, max_layer, cut))
+                continue
+            if layer.wide:
+                continue
             for kind, a, b in scan(body):
                 x, y = int(lo[a:b].min()), int(hi[a:b].max())
                 if text[x:y] != body[a:b]:
                     (pieces if layer.piece else found).add((kind, x, y))
-        work.append(_inside(layer, layer is root, max_layer, cut))
+        work.append(_inside(layer))
     if pieces:
         whole: dict = {}
         for kind, a, b in found:
