@@ -2,11 +2,11 @@
 
 References are learned from all documents: for each language, the histogram of character classes and that of
 common words.  A word is common in a language if it makes up ``least_share`` of its words (so there are at most
-1 / least_share); all others count as one.  A language counts if it has ``least_language`` of all words.  A document
-is compared with its language's reference, or, if its language is null or has none, with the nearest.  It is
-rejected if the Jensen-Shannon distance (root of the divergence in bits) of either histogram is over its limit.
+1 / least_share); all others count as one.  A language has a reference if it has ``least_language`` words, however
+many others have.  A document is compared with its language's reference, or, if its language is null, with the
+nearest; it is not compared if its language has none.  It is rejected if the Jensen-Shannon distance (root of the divergence in bits) of either histogram is over its limit.
 Guards: texts under ``least_words`` words are not compared, their histograms being noise, and the limit of the words'
-histogram is widened by what chance alone brings in a text of that length.
+histogram is widened by what chance alone brings in a text and a reference of those lengths.
 
 Base rules come first: fewer than 10 words, or over 20% of the words in repeated 5-word windows, fails.
 
@@ -37,17 +37,63 @@ class Rules:
     word_limit: float = 0.35
     least_words: int = 50
     least_share: float = 0.004
-    least_language: float = 0.01
+    least_language: int = 1000
+
+
+@dataclass
+class Common:
+    """Names of common words (sorted), and for each a stretch from ``first`` of the languages it is common in, with its share there."""
+
+    names: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    share: np.ndarray
+    rest: np.ndarray
+    count: np.ndarray
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        """Jensen-Shannon distance of a text's words from each language's, over that language's common words and the rest."""
+        total, size = np.zeros(len(self.rest)), len(own)
+        seen, q = np.zeros(0, np.int64), np.zeros(0)
+        if len(self.names):
+            slot = np.minimum(np.searchsorted(self.names, own), len(self.names) - 1)
+            n = np.bincount(slot[self.names[slot] == own], minlength=len(self.names))
+            hit = np.flatnonzero(n)
+            much = self.first[hit + 1] - self.first[hit]
+            seen = np.repeat(self.first[hit] - np.cumsum(much) + much, much) + np.arange(much.sum())
+            q = np.repeat(n[hit] / size, much)
+        owner, s, langs = self.owner[seen], self.share[seen], len(self.rest)
+        total += np.bincount(owner, _apart(q, s), langs)
+        # A common word that the text lacks differs by its whole share.
+        total += np.maximum(1 - self.rest - np.bincount(owner, s, langs), 0)
+        total += _apart(np.maximum(1 - np.bincount(owner, q, langs), 0), self.rest)
+        return np.sqrt(np.maximum(total / 2, 0))
 
 
 @dataclass
 class References:
-    """Languages, a row of class shares for each, all common words (sorted names), and a row of their shares, with the rest last."""
+    """Languages, a row of class shares and a number of words for each, and their common words: of each, and of all for texts without a language."""
 
     languages: list
     classes: np.ndarray
-    words: np.ndarray
-    shares: np.ndarray
+    sizes: np.ndarray
+    each: list[Common]
+    all: Common | None
+
+
+def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Twice the part of the divergence in bits that shares p and q of one thing bring."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(p > 0, p * np.log2(2 * p / (p + q)), 0) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0)
+
+
+def _common(langs: np.ndarray, words: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> Common:
+    order = np.lexsort((langs, words))
+    langs, words = langs[order], words[order]
+    share = counts[order] / sizes[langs]
+    names, first = np.unique(words, return_index=True)
+    rest = np.maximum(1 - np.bincount(langs, share, len(sizes)), 0)
+    return Common(names, np.append(first, len(words)), langs, share, rest, np.bincount(langs, minlength=len(sizes)))
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -91,30 +137,26 @@ def _language_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def references(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> References:
-    """Counts over all documents; what comes to the driver is bounded by the shares."""
-    lean(docs.sparkSession)
+    """Counts over all documents; what comes to the driver is bounded by the shares, 1 / least_share words for each language."""
+    spark = docs.sparkSession
+    lean(spark)
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("text is not null and lang is not null")
     per = texts.mapInArrow(_language_classes, "lang string, n long, classes array<long>").groupBy("lang")
     per = per.agg(F.sum("n").alias("n"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))])
-    total = per.agg(F.sum("n")).first()[0] or 0
-    found = sorted(per.filter(F.col("n") >= max(1.0, total * rules.least_language)).collect())
-    languages = [r[0] for r in found]
-    classes = np.array([r[2:] for r in found], float).reshape(len(found), len(CLASSES))
-    words: dict[tuple, int] = {}
-    if found:
-        least = F.create_map(*[x for r in found for x in (F.lit(r[0]), F.lit(float(r[1] * rules.least_share)))])
-        counted = texts.filter(F.col("lang").isin(languages)).mapInArrow(_language_words, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        words = {(r[0], r[1]): r[2] for r in counted.filter(F.col("n") >= least[F.col("lang")]).collect()}
-    names = np.array(sorted({w for _, w in words}), np.int64).view(U)
-    names.sort()
-    at = {int(x): i for i, x in enumerate(names.view(np.int64))}
-    shares = np.zeros((len(found), len(names) + 1))
-    for i, r in enumerate(found):
-        for (lang, word), n in words.items():
-            if lang == r[0]:
-                shares[i, at[word]] = n / r[1]
-    shares[:, -1] = 1 - shares.sum(axis=1)
-    return References(languages, classes / np.maximum(classes.sum(axis=1, keepdims=True), 1), names, shares)
+    found = sorted(per.filter(F.col("n") >= max(1, rules.least_language)).collect())
+    if not found:
+        return References([], np.zeros((0, len(CLASSES))), np.zeros(0), [], None)
+    classes, sizes = np.array([r[2:] for r in found], float), np.array([r[1] for r in found], float)
+    listed = F.broadcast(spark.createDataFrame([(r[0], i, float(r[1] * rules.least_share)) for i, r in enumerate(found)], "lang string, i int, least double"))
+    counted = texts.join(listed, "lang", "left_semi").mapInArrow(_language_words, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    got = counted.join(listed, "lang").filter("n >= least").select("i", "word", "n").toArrow()
+    langs, counts = got["i"].to_numpy().astype(np.int64), got["n"].to_numpy()
+    words = np.ascontiguousarray(got["word"].to_numpy()).astype(np.int64).view(U)
+    order = np.argsort(langs, kind="stable")
+    edges = np.searchsorted(langs[order], np.arange(len(found) + 1))
+    own = [order[edges[i] : edges[i + 1]] for i in range(len(found))]
+    each = [_common(langs[x] * 0, words[x], counts[x], sizes[i : i + 1]) for i, x in enumerate(own)]
+    return References([r[0] for r in found], classes / np.maximum(classes.sum(axis=1, keepdims=True), 1), sizes, each, _common(langs, words, counts, sizes))
 
 
 def judge(texts: pa.Array, langs: list, ref: References, rules: Rules) -> tuple[Stats, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,30 +166,26 @@ def judge(texts: pa.Array, langs: list, ref: References, rules: Rules) -> tuple[
     by_class, by_word = np.full(len(langs), np.nan), np.full(len(langs), np.nan)
     folded = split_words(texts, fold=True).h
     over = np.zeros(len(langs), bool)
+    place = {x: i for i, x in enumerate(ref.languages)}
     for d, lang in enumerate(langs):
         n = int(s.n_words[d])
-        if n < rules.least_words or not ref.languages:
+        if n < rules.least_words or not place or (lang is not None and lang not in place):
             continue
         p = s.classes[d] / s.chars[d]
-        q = np.zeros(len(ref.words) + 1)
         own = folded[s.w.first[d] : s.w.first[d + 1]]
-        slot = np.minimum(np.searchsorted(ref.words, own), max(len(ref.words) - 1, 0))
-        if len(ref.words):
-            q[:-1] = np.bincount(slot[ref.words[slot] == own], minlength=len(ref.words)) / n
-        q[-1] = 1 - q[:-1].sum()
-        rows = [ref.languages.index(lang)] if lang in ref.languages else range(len(ref.languages))
-        c, v = distance(p[None, :], ref.classes[list(rows)]), distance(q[None, :], ref.shares[list(rows)])
+        rows = slice(None) if lang is None else slice(place[lang], place[lang] + 1)
+        words = ref.all if lang is None else ref.each[place[lang]]
+        c, v = distance(p[None, :], ref.classes[rows]), words.distances(own)
         near = int(np.argmin(c / rules.class_limit + v / rules.word_limit))
         by_class[d], by_word[d] = c[near], v[near]
-        common = np.count_nonzero(ref.shares[list(rows)[near]])
-        chance = np.sqrt(max(common - 1, 0) / (8 * np.log(2) * n))
+        chance = np.sqrt(words.count[near] / (8 * np.log(2)) * (1 / n + 1 / ref.sizes[rows][near]))
         over[d] = by_class[d] > rules.class_limit or by_word[d] > rules.word_limit + chance
     return s, failed, by_class, by_word, ~failed & ~over
 
 
 def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", ref: References | None = None) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept) for each row."""
-    # At most 1 / least_language languages and 1 / least_share words of each.
+    # At most 1 / least_share words of each language that has a reference.
     shared = docs.sparkSession.sparkContext.broadcast(ref or references(docs, rules, text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

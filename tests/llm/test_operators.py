@@ -438,6 +438,25 @@ def test_quality_rules_tell_junk_from_prose(spark):
     assert kept >= set(range(200)) and not kept & set(range(1000, 1010)) and common
 
 
+def test_quality_rules_in_a_tail_of_languages(spark):
+    rng = random.Random(9)
+
+    def text(voc, n, end=""):
+        return " ".join(rng.choice(voc[:12] if rng.random() < 0.4 else voc) + end for _ in range(n))
+
+    han = ["".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(rng.randint(4, 9))) for _ in range(400)]
+    thai = ["".join(chr(rng.randint(0xE01, 0xE2E)) for _ in range(rng.randint(4, 9))) for _ in range(400)]
+    rows = [(i, text(X.VOCABULARY, 1500), "en", "s", 0) for i in range(150)]
+    rows += [(1000 + i, text(han, 120), "zh", "s", 0) for i in range(15)]
+    rows += [(2000 + i, text(thai, 100), "th", "s", 0) for i in range(3)]
+    rows += [(3000, text([x.upper() for x in X.VOCABULARY], 120, "###"), "zh", "s", 0), (3001, text(han, 120), None, "s", 0), (3002, text(han, 120), "en", "s", 0)]
+    df = spark.createDataFrame(rows, X.SCHEMA)
+    kept = {r.doc_id for r in quality_rules.apply_rules(df).collect() if r.kept}
+    assert kept == {r[0] for r in rows} - {3000, 3002}
+    # Whether a language survives does not depend on the others.
+    assert {r.doc_id for r in quality_rules.apply_rules(df.filter("lang = 'zh'")).collect() if r.kept} == {r[0] for r in rows if r[2] == "zh"} - {3000}
+
+
 def test_distance():
     p, q = np.array([[1.0, 0]]), np.array([[0.0, 1]])
     assert quality_rules.distance(p, q)[0] == pytest.approx(1) and quality_rules.distance(p, p)[0] == 0
