@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-temporary one is made.  A written table cuts the lineage like a reliable checkpoint does, is
-compressed and columnar, and survives the loss of any executor.
+The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the master is local
+(tests, a laptop) a temporary one is made.  A written table cuts the lineage like a reliable checkpoint
+does, is compressed and columnar, and survives the loss of any executor.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder for this application's intermediate tables."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomtext-"))
     root = f"{base.rstrip('/')}/loomtext-{spark.sparkContext.applicationId}"
@@ -66,6 +68,15 @@ class Scratch:
         self.at[id(out)] = path
         return out
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Write a result and read it back; all other tables go."""
+        out = self.keep(df)
+        own = self.at.pop(id(out))
+        for path in self.at.values():
+            _remove(self.spark, path)
+        self.at = {id(out): own}
+        return out
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             if path := self.at.pop(id(df), None):

@@ -246,6 +246,28 @@ def test_near_duplicates_with_a_common_passage(spark):
     assert got == want
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows that share an id are one document: each of its texts links it."""
+    rng = random.Random(31)
+    a, b = X.prose(rng, 60), X.prose(rng, 60)
+    near = lambda t: " ".join([*t.split()[:-1], "zzz"])
+    df = spark.createDataFrame([(1, a), (1, b), (2, near(a)), (3, near(b)), (3, ""), (3, near(b)), (4, None), (5, X.prose(rng, 9)), (5, X.prose(rng, 9))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 56, 1, True), (1, 56, 1, True), (2, 56, 1, False), (3, 0, 1, False), (3, 56, 1, False), (3, 56, 1, False), (4, 0, 4, True), (5, 5, 5, True), (5, 5, 5, True)]
+    assert sorted(r.doc_id for r in minhash.keep_one(df).collect()) == [1, 1, 4, 5, 5]
+
+
+def test_pairs_that_no_position_allows_are_never_formed(spark):
+    """Texts of one template with one word of their own share most shingles and are apart."""
+    rows = [(i, f"the price of one such item is w{i}") for i in range(300)] + [(1000 + i, "a b c d e f g h i j " + "k l m n o p q r s t"[: 2 * i + 1]) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == X.near_duplicates(rows)
+    few = spark.createDataFrame([(i, i, 4, k, s) for i in range(300) for k, s in ((0, 1000 + i), (1, 7))], "node long, root long, n long, i int, s long")
+    met = minhash._meeting(few, 75)
+    assert met.filter("s = 7").select("small").distinct().count() == 1
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(300, 301), (301, 300), (5, 5)]
