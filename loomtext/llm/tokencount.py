@@ -8,6 +8,8 @@ it, separators before it, and the end of the last document before it.
 ``token_files`` writes such files from texts, as rows (file, block, data), with a manifest (file, ordinal, id).
 ``blocks_from_files`` cuts files of others.
 
+A block or file that is no multiple of an id is an error, since what follows could not be read.
+
 Nulls: a null text has no tokens; a null id is counted and listed as null.  Repeated rows are documents of
 their own.  Tokens after the last separator of a file are a document that is not ``complete``; an empty file
 or table has none.  Extra columns are not read.
@@ -24,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .files import opened, opens
 from .scratch import Scratch
 
 # Fixed value: how the public byte-level vocabularies cut a text before merging.
@@ -52,7 +55,7 @@ def read_vocabulary(path: str | None) -> tuple[bytes | None, int, int]:
     return ranks, eod, 2 if eod < 1 << 16 else 4
 
 
-def token_files(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, int, int]:
+def token_files(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, int, int]:
     """Blocks (file, block, data), the manifest (file, ordinal, id), the separator's id and the bytes of an id. One file for each task."""
     spark = docs.sparkSession
     ranks, eod, width = read_vocabulary(vocabulary)
@@ -98,23 +101,44 @@ def token_files(docs: DataFrame, vocabulary: str | None = None, id_col: str = "d
         if held:
             yield rows([held], None)
 
-    both = Scratch(spark, "tokens").keep(
+    both = (scratch or Scratch(spark, "tokens")).keep(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "file string, block long, data binary, ordinal long, id long")
     )
     return both.filter("block is not null").select("file", "block", "data"), both.filter("ordinal is not null").select("file", "ordinal", "id"), eod, width
 
 
 def blocks_from_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, data) of flat files, read by Spark."""
-    content = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", F.octet_length("content").alias("n")).filter("n > 0")
-    cut = content.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block_bytes).cast("int"))))
-    return cut.select("file", F.col("block").cast("long").alias("block"), F.substring("content", F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("data"))
+    """(file, block, data) of flat files of any size. Spark lists them and cuts their lengths in ranges, tasks read the ranges;
+    a store that Arrow cannot open is read in whole files, of 2 GB at most."""
+    files = spark.read.format("binaryFile").load(path).filter("length > 0")
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes)))
+    if not opens(files):
+        cut = files.select(F.col("path").alias("file"), "content", block.alias("block"))
+        return cut.select("file", "block", F.substring("content", (F.col("block") * block_bytes + 1).cast("int"), F.lit(block_bytes)).alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = held = None
+        for batch in batches:
+            for file, n in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if file != name:
+                    name, held = file, opened(file)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n], pa.int64()), pa.array([held.read_at(block_bytes, n * block_bytes)], pa.binary())], names=["file", "block", "data"])
+
+    # Ranges of one file go to several tasks, neighbours mostly together.
+    ranges = files.select(F.col("path").alias("file"), block.alias("block"))
+    return ranges.repartition("file", F.floor(F.col("block") / 64)).sortWithinPartitions("file", "block").mapInArrow(run, "file string, block long, data binary")
+
+
+def _ids(data: pa.Buffer, width: int) -> np.ndarray:
+    if len(data) % width:
+        raise ValueError(f"a block of {len(data)} bytes holds no whole ids of {width}: the file is cut off, or its ids or blocks are of another size")
+    return np.frombuffer(data, f"<u{width}")
 
 
 def _search(eod: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), f"<u{width}") for x in batch.column("data")]
+            ids = [_ids(x.as_buffer(), width) for x in batch.column("data")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("file"), batch.column("block"), pa.array([len(x) for x in ids], pa.int64()), pa.array([np.flatnonzero(x == eod) for x in ids], pa.list_(pa.int64()))],
                 names=["file", "block", "n", "ends"],
@@ -123,9 +147,9 @@ def _search(eod: int, width: int):
     return run
 
 
-def scan_separators(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
+def scan_separators(blocks: DataFrame, eod: int, width: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """(file, ordinal, start, n_tokens, complete): each document of flat files, the separator not counted."""
-    found = Scratch(blocks.sparkSession, "separators").keep(blocks.select("file", "block", "data").mapInArrow(_search(eod, width), "file string, block long, n long, ends array<long>"))
+    found = (scratch or Scratch(blocks.sparkSession, "separators")).keep(blocks.select("file", "block", "data").mapInArrow(_search(eod, width), "file string, block long, n long, ends array<long>"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0).cast("long")
@@ -142,5 +166,6 @@ def scan_separators(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_tokens) for each row, by writing flat files and scanning them."""
-    blocks, manifest, eod, width = token_files(docs, vocabulary, id_col, text_col, block_bytes)
-    return manifest.join(scan_separators(blocks, eod, width), ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
+    scratch = Scratch(docs.sparkSession, "counts")
+    blocks, manifest, eod, width = token_files(docs, vocabulary, id_col, text_col, block_bytes, scratch)
+    return scratch.finish(manifest.join(scan_separators(blocks, eod, width, scratch), ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens"))

@@ -2,8 +2,12 @@
 
 An archive is a run of gzip members, the first a warcinfo record.  The reader feeds bytes to an incremental
 zlib decompressor, takes a member's end from it, frames the record by its Content-Length and verifies the
-digests of the block and of the payload.  Archives are rows (archive, content), of ``archive_bytes`` or little
-more, so that they can be written wherever Spark writes; ``archives_from_files`` reads those of others.
+digests of the block and of the payload (SHA-1, SHA-2 or MD5, in hex or base32).  Archives are rows (archive,
+content), of ``archive_bytes`` or little more, so that they can be written wherever Spark writes; ``read_files``
+reads the files of others as streams, whatever their size.
+
+A record that is broken in any way (a member that is cut off or does not unpack, no header, no length, another
+length or digest than told) is a row that is not ``valid``, never a failed job; reading goes on at the next member.
 
 Of records with equal payloads of ``least`` bytes or more, that with the smallest id is a response, the others
 are revisits that refer to it and hold only the HTTP headers.  The headers tell the full payload's length.
@@ -15,6 +19,7 @@ are not read.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -25,9 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import opened, opens
 from .scratch import Scratch
 
-RECORD = "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, valid boolean"
+RECORD = "id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, refers_to_id string, payload binary, valid boolean"
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
+BROKEN = (None,) * 9 + (False,)
+_MAGIC = b"\x1f\x8b\x08"
+_BLANK = re.compile(rb"\r?\n\r?\n")
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
@@ -55,52 +65,112 @@ def page_member(i: int | None, url: str | None, payload: bytes, digest: str, ref
     return member("revisit", [*head, ("WARC-Refers-To", _urn(refers_to)), ("WARC-Profile", _PROFILE)], http)
 
 
-def members(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """The content of each gzip member of a byte stream, whatever its division in chunks. Raises ValueError if one is cut off."""
-    z, out = None, []
-    for chunk in chunks:
-        while chunk:
-            z = z or zlib.decompressobj(31)
-            out.append(z.decompress(chunk))
-            chunk = b""
+def members(chunks: Iterable[bytes]) -> Iterator[bytes | None]:
+    """The content of each gzip member of a byte stream, whatever its division in chunks; None for what is broken or cut off."""
+    z, out, raw, seek, left = None, [], [], False, b""
+    for data in chunks:
+        while data:
+            if z is None:
+                if seek:
+                    data = left + data
+                    at = data.find(_MAGIC)
+                    if at < 0:
+                        left = data[-2:]
+                        break
+                    data, left, seek = data[at:], b"", False
+                elif not (data := data.lstrip(b"\0")):
+                    break
+                z, out, raw = zlib.decompressobj(31), [], []
+            raw.append(data)
+            try:
+                out.append(z.decompress(data))
+            except zlib.error:
+                yield None
+                z, seek, data = None, True, b"".join(raw)[1:]
+                continue
+            data = b""
             if z.eof:
                 yield b"".join(out)
-                chunk, z, out = z.unused_data, None, []
+                data, z = z.unused_data, None
     if z is not None:
-        raise ValueError("the last gzip member is cut off")
+        yield None
 
 
-def _head(raw: bytes, at: int) -> tuple[str, dict[str, str], int]:
-    """First line, headers by lower-case name, and where what follows begins."""
-    end = raw.index(b"\r\n\r\n", at)
-    first, *lines = raw[at:end].decode("utf-8", "replace").split("\r\n")
+def _head(raw: bytes, at: int) -> tuple[str, dict[str, str], int] | None:
+    """First line, headers by lower-case name (continued lines joined), and where what follows begins; None without an end."""
+    end = _BLANK.search(raw, at)
+    if end is None:
+        return None
+    first, *lines = re.sub(r"\r?\n[ \t]+", " ", raw[at : end.start()].decode("utf-8", "replace")).splitlines() or [""]
     pairs = (line.partition(":") for line in lines)
-    return first, {k.strip().lower(): v.strip() for k, _, v in pairs}, end + 4
+    return first, {k.strip().lower(): v.strip() for k, _, v in pairs}, end.end()
 
 
 def _id(urn: str | None) -> int | None:
-    m = re.search(r":(-?\d+)>$", urn or "")
+    m = re.fullmatch(r"<urn:loomtext:record:(-?\d+)>", urn or "")
     return int(m[1]) if m else None
 
 
-def record(raw: bytes) -> tuple | None:
-    """A response or revisit as a row; None for records of other types. A record whose framing or digests are wrong is not valid."""
-    first, head, at = _head(raw, 0)
-    kind = head.get("warc-type", "")
-    if kind not in ("response", "revisit"):
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
+def _digest(told: str | None) -> tuple[str, bytes] | None:
+    """Algorithm and value of a digest as told; None if there is none or it cannot be understood."""
+    name, _, value = (told or "").partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ("sha1", "sha256", "sha384", "sha512", "md5"):
         return None
-    size = int(head["content-length"])
-    block = raw[at : at + size]
-    valid = first.startswith("WARC/") and len(block) == size and raw[at + size :] == b"\r\n\r\n"
-    told = head.get("warc-block-digest")
-    valid &= told is None or told == "sha256:" + hashlib.sha256(block).hexdigest()
-    _, http, body = _head(block, 0)
-    digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
+    size = hashlib.new(name).digest_size
+    try:
+        got = bytes.fromhex(value) if len(value) == 2 * size else base64.b32decode(value.rstrip("=").upper() + "=" * (-len(value.rstrip("=")) % 8))
+    except ValueError:
+        return name, b""
+    return name, got
+
+
+def _agrees(told: str | None, data: bytes) -> bool:
+    d = _digest(told)
+    return d is None or hashlib.new(d[0], data).digest() == d[1]
+
+
+def record(raw: bytes, at: int = 0) -> tuple[tuple | None, int]:
+    """The record that begins at ``at``, as a row (None for types other than response and revisit), and where the next begins."""
+    head = _head(raw, at)
+    if head is None or not head[0].startswith("WARC/"):
+        return BROKEN, len(raw)
+    _, head, start = head
+    size = _number(head.get("content-length"))
+    end = len(raw) if size is None else start + size
+    block = raw[start:end]
+    valid = size is not None and len(block) == size and raw[end : end + 4] == b"\r\n\r\n" and _agrees(head.get("warc-block-digest"), block)
+    after = min(end + 4, len(raw)) if size is not None else len(raw)
+    kind = head.get("warc-type", "").lower()
+    if kind not in ("response", "revisit"):
+        return (None if kind else BROKEN), after
+    told, name, url = head.get("warc-payload-digest"), head.get("warc-record-id"), head.get("warc-target-uri")
+    http = _head(block, 0) if block.startswith(b"HTTP/") else None
     if kind == "revisit":
-        return _id(head.get("warc-record-id")), head.get("warc-target-uri"), int(http["content-length"]), digest, kind, _id(head.get("warc-refers-to")), None, valid
-    payload = block[body:]
-    own = hashlib.sha256(payload).hexdigest()
-    return _id(head.get("warc-record-id")), head.get("warc-target-uri"), len(payload), own, kind, None, payload, valid and own == (digest or own)
+        d = _digest(told)
+        digest = None if d is None else d[1].hex() if d[0] == "sha256" else f"{d[0]}:{d[1].hex()}"
+        refers = head.get("warc-refers-to")
+        return (_id(name), name, url, _number(http[1].get("content-length")) if http else None, digest, kind, _id(refers), refers, None, valid), after
+    # A block that is no HTTP message, such as a DNS answer, is its own payload; one that ends in its headers has none.
+    payload = block[http[2] :] if http else b"" if block.startswith(b"HTTP/") else block
+    return (_id(name), name, url, len(payload), hashlib.sha256(payload).hexdigest(), kind, None, None, payload, valid and _agrees(told, payload)), after
+
+
+def records(chunks: Iterable[bytes]) -> Iterator[tuple]:
+    """The rows of an archive given in chunks."""
+    for raw in members(chunks):
+        if raw is None:
+            yield BROKEN
+            continue
+        at = 0
+        while at < len(raw):
+            row, at = record(raw, at)
+            if row is not None:
+                yield row
 
 
 def _write(archive_bytes: int):
@@ -137,37 +207,56 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return rows.join(revisits, ["id", "digest"], "left").select("id", "url", "html", "digest", "refers_to").mapInArrow(_write(archive_bytes), "archive string, content binary")
 
 
-def archives_from_files(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, content) of .warc.gz files, read by Spark."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
+def _batches(archives: Iterable[Iterable[bytes]]) -> Iterator[pa.RecordBatch]:
+    """The rows of archives, a few MB at a time."""
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    rows, size = [], 0
+
+    def closed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=names)
+
+    for chunks in archives:
+        for row in records(chunks):
+            rows.append(row)
+            size += 256 + len(row[8] or b"")
+            if size > 1 << 22:
+                yield closed()
+                rows, size = [], 0
+    if rows:
+        yield closed()
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in RECORD.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
+    def cut(content: pa.Scalar) -> Iterator[bytes]:
+        data = memoryview(content.as_buffer())
+        return (data[i : i + 65536].tobytes() for i in range(0, len(data), 65536))
+
+    yield from _batches(cut(x) for batch in batches for x in batch.column("content") if x.is_valid)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """The records of .warc.gz files, each read as a stream by one task. Spark lists them; a store that Arrow cannot open is read in whole files, of 2 GB at most."""
+    files = spark.read.format("binaryFile").load(path)
+    if not opens(files):
+        return read_archives(files)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stream(uri: str) -> Iterator[bytes]:
+            with opened(uri) as f:
+                while data := f.read(1 << 20):
+                    yield data
 
-    def closed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        yield from _batches(stream(x.as_py()) for batch in batches for x in batch.column("path"))
 
-    for batch in batches:
-        for content in batch.column("content"):
-            data, rows, size = content.as_buffer(), [], 0
-            for raw in members(memoryview(data)[i : i + 65536].tobytes() for i in range(0, len(data), 65536)):
-                if (row := record(raw)) is not None:
-                    rows.append(row)
-                    size += len(raw)
-                if size > 1 << 22:
-                    yield closed(rows)
-                    rows, size = [], 0
-            if rows:
-                yield closed(rows)
+    return files.select("path").mapInArrow(run, RECORD)
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Responses and revisits in archives: id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits), valid."""
+    """Responses and revisits in archives: id (of our own records), record_id, url, payload_bytes, payload_digest (of a revisit as told,
+    with its algorithm unless SHA-256), record_type, refers_to, refers_to_id, payload (null for revisits), valid. A null content holds none."""
     return archives.select("content").mapInArrow(_read, RECORD)
 
 
 def round_trip(pages: DataFrame, **how) -> DataFrame:
     """The records of ``pages``, read back from written archives."""
-    return read_archives(Scratch(pages.sparkSession, "archives").keep(write_archives(pages, **how)))
+    return read_archives(Scratch(pages.sparkSession, "archives").finish(write_archives(pages, **how)))

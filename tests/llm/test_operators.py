@@ -407,6 +407,13 @@ def test_separators_in_flat_files(spark, tmp_path):
         out = tokencount.scan_separators(tokencount.blocks_from_files(spark, str(tmp_path), block), 9).collect()
         got = sorted((r.file[-5:], r.ordinal, r.start, r.n_tokens, r.complete) for r in out)
         assert got == [("a.bin", 0, 0, 1, True), ("a.bin", 1, 2, 0, True), ("a.bin", 2, 3, 3, True), ("a.bin", 3, 7, 2, False), ("b.bin", 0, 0, 0, True)]
+    large = np.where(np.arange(300_001) % 1000 == 999, 9, 5).astype("<u2")
+    (tmp_path / "c.bin").write_bytes(large.tobytes())
+    out = tokencount.scan_separators(tokencount.blocks_from_files(spark, str(tmp_path / "c.bin"), 4096), 9).collect()
+    assert Counter((r.n_tokens, r.complete) for r in out) == {(999, True): 300, (1, False): 1}
+    (tmp_path / "c.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole ids"):
+        tokencount.scan_separators(tokencount.blocks_from_files(spark, str(tmp_path)), 9).collect()
 
 
 def test_warc(spark):
@@ -430,10 +437,64 @@ def test_warc_members_and_digests():
     two = warc.page_member(2, "u", b"payload", "0" * 64, None)
     for size in (1, 7, 10**6):
         raw = one + two
-        got = [warc.record(r) for r in warc.members(raw[i : i + size] for i in range(0, len(raw), size))]
-        assert [(r[0], r[-1]) for r in got] == [(1, True), (2, False)]
-    with pytest.raises(ValueError):
-        list(warc.members([one[:-3]]))
+        cut = lambda raw: (raw[i : i + size] for i in range(0, len(raw), size))  # noqa: B023, E731
+        assert [(r[0], r[-1]) for r in warc.records(cut(raw))] == [(1, True), (2, False)]
+        # A member that is cut off or broken is a row, and reading goes on behind it.
+        assert list(warc.records(cut(one[:-3]))) == [warc.BROKEN]
+        assert list(warc.records(cut(one[:12] + b"\0\1\2" * 9 + one + b"\0" * 5)))[-1][0] == 1
+        hurt = bytearray(one)
+        hurt[-6] ^= 1
+        got = list(warc.records(cut(bytes(hurt) + one)))
+        assert got[0] == warc.BROKEN and (got[-1][0], got[-1][-1]) == (1, True)
+
+
+def _public(kind, body, more=(), length=None, end=b"\r\n\r\n"):
+    """A record as other writers make them: uuid ids, SHA-1 in base32."""
+    head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:12345678-1234-1234-1234-123456789abc>", "WARC-Date: 2024-05-06T07:08:09Z", *more]
+    head += [] if length == "" else [f"Content-Length: {len(body) if length is None else length}"]
+    return gzip.compress(("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + body + end)
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    page = b"<html>hello</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Long: a\r\n b\r\n\r\n" + page
+    sha1 = base64.b32encode(hashlib.sha1(page).digest()).decode()
+    block = base64.b32encode(hashlib.sha1(http).digest()).decode()
+    url = "WARC-Target-URI: https://example.org/"
+    cases = [
+        (_public("warcinfo", b"software: x\r\n"), []),
+        (_public("request", b"GET / HTTP/1.1\r\n\r\n"), []),
+        (_public("response", http, [url, f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{block}"]), [(len(page), "response", True)]),
+        (_public("response", http, [url, f"WARC-Payload-Digest: sha1:{sha1.lower()}"]), [(len(page), "response", True)]),
+        (_public("response", http, [url, f"WARC-Payload-Digest: md5:{hashlib.md5(page).hexdigest().upper()}"]), [(len(page), "response", True)]),
+        (_public("response", http, [url, f"WARC-Payload-Digest: SHA-256:{hashlib.sha256(page).hexdigest()}"]), [(len(page), "response", True)]),
+        (_public("response", http, [url, f"WARC-Payload-Digest: sha1:{block}"]), [(len(page), "response", False)]),
+        (_public("response", http, [url, "WARC-Payload-Digest: sha1:??"]), [(len(page), "response", False)]),
+        (_public("response", http, [url, "WARC-Payload-Digest: crc9:00"]), [(len(page), "response", True)]),
+        (_public("response", b"20240506070809\nexample.org. 300 IN A 192.0.2.1\n", ["WARC-Target-URI: dns:example.org", "Content-Type: text/dns"]), [(47, "response", True)]),
+        (_public("response", b"HTTP/1.1 204 No Content", [url]), [(0, "response", True)]),
+        (_public("revisit", b"", [url, f"WARC-Payload-Digest: sha1:{sha1}"]), [(None, "revisit", True)]),
+        (_public("revisit", b"HTTP/1.1 304 Not Modified\r\nServer: x\r\n\r\n", [url, "WARC-Refers-To: <urn:uuid:0>"]), [(None, "revisit", True)]),
+        (_public("response", http, [url], length=""), [(len(page) + 4, "response", False)]),
+        (_public("response", http, [url], length="many"), [(len(page) + 4, "response", False)]),
+        (_public("response", http, [url], length=len(http) + 99), [(len(page) + 4, "response", False)]),
+        (_public("response", http, [url], end=b""), [(len(page), "response", False)]),
+        (gzip.compress(b"no record at all"), [(None, None, False)]),
+        (gzip.compress(b""), []),
+        (_public("response", http, [url])[:-9], [(None, None, False)]),
+    ]
+    for raw, want in cases:
+        assert [(r[3], r[5], r[-1]) for r in warc.records([raw])] == want, raw
+    whole = b"".join(c for c, _ in cases)
+    want = Counter(x for _, w in cases for x in w)
+    for name in ("a b.warc.gz", "c.warc.gz"):
+        (tmp_path / name).write_bytes(whole)
+    for out in (warc.read_files(spark, str(tmp_path)), warc.read_archives(spark.read.format("binaryFile").load(str(tmp_path)))):
+        rows = out.collect()
+        assert Counter((r.payload_bytes, r.record_type, r.valid) for r in rows) == Counter({k: 2 * n for k, n in want.items()})
+        assert {r.record_id for r in rows if r.record_type} == {"<urn:uuid:12345678-1234-1234-1234-123456789abc>"} and all(r.id is None for r in rows)
+        assert {r.payload_digest for r in rows if r.record_type == "revisit"} == {None, "sha1:" + hashlib.sha1(page).hexdigest()}
+    assert warc.read_archives(spark.createDataFrame([(None,), (b"",)], "content binary")).count() == 0
 
 
 def test_quality_rules(docs, rows, none):
