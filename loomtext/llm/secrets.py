@@ -2,8 +2,13 @@
 
 Three kinds of match are looked for in the text itself (the base).  A worklist then unwraps layers until
 nothing new comes up: URL escapes, Unicode and character escapes, base64 (both alphabets, wrapped or not, read from
-each of four places of a run) and gzip, zlib, bzip2, xz or zstd streams, in any nesting.  Each layer keeps, for each of its characters, the range of the
-original text that it came from, and is scanned like the text; a match that needed no decoding is the base's own.
+each of four places of a run), UTF-16 and UTF-32 written as single bytes, and gzip, zlib, bzip2, xz or zstd streams, in
+any nesting.  Each layer keeps, for each of its characters, the range of the original text that it came from, and is
+scanned like the text; a match that needed no decoding is the base's own.
+
+A run of base64 is decoded if a secret fits in it.  The shortest secret has 16 characters, so 22 of base64; the shortest
+streams that unpack to as much (zlib: 2 bytes, a literal and a repetition in 4, 4 of a check sum; zstd: 4, 2 of a header, 4 of a block)
+have 10 bytes, so 14 characters, the first of which tell what it is.
 A layer seen before over the same range (a cycle, such as a stream that unpacks to itself) is not taken again.
 
 Spans are in code points of the original text, the end exclusive.  A match in a compressed stream spans the
@@ -46,15 +51,20 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\[uUx]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);")
 _ALPHABET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+# The least characters of base64 for a stream and for text, and how short streams (zlib, zstd) begin there.
+LEAST_STREAM, LEAST_TEXT = 14, 22
+_SHORT = re.compile(r"eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|KLUv[/_][Q-Za-f]")
+_B64 = re.compile(r"[A-Za-z0-9+/_-]{14,}={0,2}")
 _CHARS = re.compile(r"[A-Za-z0-9+/_-]+")
 _PAD = re.compile(r"={0,2}")
 # Line ends inside a wrapped run, also as written in strings.
 _JOINT = re.compile(r"(?<=[A-Za-z0-9+/_-])(?:\r?\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-z0-9+/_-])")
 _STANDARD, _SAFE = re.compile(r"[+/]"), re.compile(r"[_-]")
-_STANDARD_RUN, _SAFE_RUN = re.compile(r"[A-Za-z0-9+/]{20,}"), re.compile(r"[A-Za-z0-9_-]{20,}")
+_STANDARD_RUN, _SAFE_RUN = re.compile(r"[A-Za-z0-9+/]{14,}"), re.compile(r"[A-Za-z0-9_-]{14,}")
 _TO_STANDARD = str.maketrans("-_", "+/")
 _MAGIC = re.compile(r"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+# ASCII in two or four bytes each; no secret is in less than eight such characters.
+_SPACED = re.compile(r"(?:[\t\n\r -~]\x00{1,3}){8,}[\t\n\r -~]?")
 _NARROW = re.compile(r"[\x00-\xff]+")
 # Starts of streams whose bytes are written as characters in UTF-8.
 _WIDE = re.compile(rb"\x1f\xc2\x8b\x08|x(?:[\x01\x5e]|\xc2\x9c|\xc3\x9a)|BZh[1-9]1AY&SY|\xc3\xbd7zXZ\x00|\x28\xc2\xb5/\xc3\xbd")
@@ -158,6 +168,13 @@ def _unescaped(layer: Layer) -> Iterator[tuple]:
         yield *m.span(), new, np.array(starts, np.int64), np.array(ends, np.int64)
 
 
+def _squeezed(layer: Layer) -> Iterator[tuple]:
+    """Runs of wide ASCII characters without their zero bytes."""
+    for m in _SPACED.finditer(layer.text):
+        at = np.flatnonzero(np.frombuffer(m[0].encode("latin-1"), np.uint8)) + m.start()
+        yield *m.span(), m[0].replace("\0", ""), at, np.append(at[1:], m.end())
+
+
 def _parts(raw: memoryview, end: list[int]) -> Iterator[bytes]:
     """The content of a compressed stream, a part at a time; ``end`` gets the stream's length and whether it ended. Raises what its library raises if there is none or it is broken."""
     step = 1 << 16
@@ -238,7 +255,7 @@ def _runs(text: str) -> Iterator[tuple[str, Callable, int, bool]]:
         k += 1
         pieces = list(zip(edges[::2], edges[1::2], strict=True))
         run = "".join(text[i:j] for i, j in pieces)
-        if len(run) >= 20:
+        if len(run) >= LEAST_STREAM:
             wrapped.update(i for i, _ in pieces)
             sizes = np.cumsum([0, *(j - i for i, j in pieces)])
             starts = np.array([i for i, _ in pieces])
@@ -262,6 +279,8 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
     """
     for run, place, stop, piece in _runs(layer.text):
         for off, view in _views(run):
+            if len(view) < LEAST_TEXT and not _SHORT.search(view):
+                continue
             end = int(layer.hi[stop - 1]) if off + len(view) == len(run) else None
             view = view.translate(_TO_STANDARD)  # noqa: PLW2901
             for k in range(4):
@@ -320,6 +339,8 @@ def _inside(layer: Layer) -> Iterator[Layer]:
         yield new
     if ("\\" in layer.text or "&#" in layer.text) and (new := _replaced(layer, _unescaped(layer))):
         yield new
+    if "\0" in layer.text and (new := _replaced(layer, _squeezed(layer))):
+        yield new
     yield from _decoded(layer)
 
 
