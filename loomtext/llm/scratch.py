@@ -11,6 +11,10 @@ import atexit
 import tempfile
 import uuid
 
+from typing import Any
+
+from pyspark import Broadcast
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -51,6 +55,15 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(ROWS, 1000)
 
 
+def send(spark: SparkSession, value: Any) -> Broadcast:
+    """A value for all tasks, pickled as functions are, so that workers need not find this package by themselves."""
+    return spark.sparkContext.broadcast(CloudPickleSerializer().dumps(value))
+
+
+def received(sent: Broadcast) -> Any:
+    return CloudPickleSerializer().loads(sent.value)
+
+
 class Scratch:
     """Tables of one run of an operator; ``drop`` frees those that no later plan reads."""
 

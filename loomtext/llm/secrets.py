@@ -68,7 +68,7 @@ _SPACED = re.compile(r"(?:[\t\n\r -~]\x00{1,3}){8,}[\t\n\r -~]?")
 _NARROW = re.compile(r"[\x00-\xff]+")
 # Starts of streams whose bytes are written as characters in UTF-8.
 _WIDE = re.compile(rb"\x1f\xc2\x8b\x08|x(?:[\x01\x5e]|\xc2\x9c|\xc3\x9a)|BZh[1-9]1AY&SY|\xc3\xbd7zXZ\x00|\x28\xc2\xb5/\xc3\xbd")
-MAX_LAYER = 1 << 26
+MAX_LAYER = 1 << 23
 
 
 class Via:

@@ -318,8 +318,8 @@ def test_leaks(spark, docs, rows, none):
     items += [(50, " ".join(x if k % 20 else "zzz" for k, x in enumerate(texts[1].split()[5:45]))), (51, "two three"), (52, ""), (53, None), (54, X.prose(rng, 30)), (None, "one two three"), (15, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = X.leaks(rows, items)
-    for block in (50_000, 4):
-        got = decontam.find_leaks(docs, bench, items_per_block=block).collect()
+    for block in (1 << 24, 1000):
+        got = decontam.find_leaks(docs, bench, bytes_per_block=block).collect()
         assert {(r.doc_id, r.item_id) for r in got} == want
     assert decontam.find_leaks(none, bench).count() == 0
     assert decontam.find_leaks(docs, bench.filter("item_id = 52")).count() == 0
@@ -328,15 +328,54 @@ def test_leaks(spark, docs, rows, none):
     assert Counter(r.doc_id for r in left) == Counter(i for i, *_ in rows if i not in dirty)
 
 
+def _random_size(rng, items, width=30):
+    size = decontam.Size(width)
+    size.ids, size.bags = list(range(items)), [rng.integers(0, 2**63, size.width).astype(np.uint64) for _ in range(items)]
+    size.close()
+    return size
+
+
 def test_hamming_blocks_find_all_within_radius():
     rng = np.random.default_rng(1)
-    size = decontam.Size(10)
-    size.ids, size.bags = list(range(40)), [rng.integers(0, 2**63, size.width).astype(np.uint64) for _ in range(40)]
-    size.close()
-    prints = rng.integers(0, 2**63, 500).astype(np.uint64)
-    prints[:200] = size.prints[rng.integers(0, 40, 200)] ^ np.array([int(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in rng.integers(0, 30, 200)], np.uint64)
-    win, item, far = size.within(prints)
-    assert {(a, b) for a, b in zip(win.tolist(), item.tolist(), strict=True)} == {(a, b) for a in range(500) for b in range(40) if bin(int(prints[a] ^ size.prints[b])).count("1") <= decontam.RADIUS}
+    size = _random_size(rng, 40)
+    prints = rng.integers(0, 2**63, (500, 4)).astype(np.uint64)
+    for i in range(300):
+        bits = rng.choice(256, int(rng.integers(40, 130)), replace=False)
+        flip = np.zeros(256, np.uint8)
+        flip[bits] = 1
+        prints[i] = size.prints[rng.integers(0, 40)] ^ np.packbits(flip).view(np.uint64)
+    got = {(a, b) for win, item, _ in size.within(prints) for a, b in zip(win.tolist(), item.tolist(), strict=True)}
+    want = {(a, b) for a in range(500) for b in range(40) if sum(bin(int(x)).count("1") for x in prints[a] ^ size.prints[b]) <= decontam.RADIUS}
+    assert got == want and len(want) > 100
+
+
+def test_hamming_blocks_select():
+    rng = np.random.default_rng(2)
+    size = _random_size(rng, 1000)
+    prints = rng.integers(0, 2**64, (2000, 4), dtype=np.uint64)
+    assert sum(len(win) for win, _ in size.agreeing(prints)) < 0.01 * 2000 * 1000
+
+
+def test_simhash_of_windows_with_repeats():
+    """Sums over elements (shingle, nth occurrence) of each window, by brute force, and how far bags at 0.75 stray."""
+    rng = np.random.default_rng(3)
+    for n, kinds, width in ((60, 4, 17), (40, 1, 12), (300, 50, 33), (5000, 900, 40), (20, 20, 20)):
+        names = words.mix(rng.integers(0, kinds, n).astype(np.uint64))
+        got = decontam.simhash(names, width)
+        assert len(got) == n - width + 1
+        for s in {0, n // 2 % (n - width + 1), n - width}:
+            count, total = Counter(), np.zeros(256, int)
+            for x in names[s : s + width]:
+                count[x] += 1
+                total += decontam._signs(np.array([x]), count[x])[0]
+            assert (np.packbits(total > 0).view(np.uint64) == got[s]).all()
+    far = []
+    for _ in range(300):
+        # A heavy shingle makes up all that differs.
+        common, heavy = rng.integers(0, 2**63, 86).astype(np.uint64), rng.integers(0, 2**63, 2).astype(np.uint64)
+        a, b = (np.concatenate([common, np.repeat(h, 14)]) for h in heavy)
+        far.append(int(np.bitwise_count(decontam.simhash(a, 100) ^ decontam.simhash(b, 100)).sum()))
+    assert max(far) <= decontam.RADIUS and abs(np.mean(far) - 44) < 3
 
 
 def test_near_duplicates(docs, rows, none):
