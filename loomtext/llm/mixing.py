@@ -8,7 +8,7 @@ the quota allows and the rest as one seeded, cyclic run of blocks, so that few t
 
 Nulls: a null text has no words, a null source is a source of its own (last), a null id is an id like
 others.  Repeated rows are documents of their own.  Empty input: no rows.  A source without words has
-target 0.  Sources and their shards (``max_shards`` for a source at most) are listed on the driver.
+target 0.  Sources and their shards (``max_shards`` and one for each source at most) are listed on the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, unused
 
 WORD = r"[^\x20\x09-\x0D]++"
 
@@ -74,7 +74,7 @@ def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]
     return given
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, block_tokens: int = 64, rows_per_shard: int = 256, max_shards: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, block_tokens: int = 64, rows_per_shard: int = 256, max_shards: int = 1 << 16, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Id, source, and: size, source_size, target, taken, whole (times the full text is taken), and the word ranges
     [from1, to1) and [from2, to2) taken once more.  ``taken`` counts all of these."""
     spark = docs.sparkSession
@@ -87,23 +87,28 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     sizes = [r[1] for r in found]
     w = [float(weights[i % len(weights)]) for i in range(len(found))]
     goals = targets(sizes, w, share * sum(sizes), max_repeats)
-    parts = [max(1, min(max_shards, r[2] // rows_per_shard)) for r in found]
+    total = sum(r[2] for r in found)
+    parts = [max(1, min(r[2] // rows_per_shard, max_shards * r[2] // total)) for r in found]
     src = spark.createDataFrame([(r[0], i, r[1], goals[i], parts[i]) for i, r in enumerate(found)], "name string, s int, source_size long, target double, parts int")
-    # Both listings are bounded: the sources, and max_shards rows for each.
+    # Both listings are bounded: the sources, and max_shards rows and one for each source.
     small = F.broadcast if len(found) <= 100_000 else (lambda df: df)
     dealt = sized.join(small(src), sized["source"].eqNullSafe(src["name"])).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "u"), F.col("parts").cast("long")).cast("int"))
     per = {(r[0], r[1]): r[2] for r in dealt.groupBy("s", "part").agg(F.sum("size")).collect()}
     blocks = {k: -(-n // block_tokens) for k, n in per.items()}
-    have = [0] * len(found)
-    for (s, _), n in blocks.items():
-        have[s] += n
-    quota = sainte_lague(w, [min(max_repeats * n, round(g / block_tokens)) if g >= max_repeats * z else max_repeats * n for n, g, z in zip(have, goals, sizes, strict=True)], round(sum(goals) / block_tokens))
+    own: list[dict] = [{} for _ in found]
+    for (i, part), n in sorted(blocks.items()):
+        own[i][part] = n
+    have = [sum(x.values()) for x in own]
+    # A source that is taken max_repeats times gets all of its blocks so often, whatever they hold; the others' seats are
+    # counted in blocks as full as theirs.
+    full = [g >= max_repeats * z for g, z in zip(goals, sizes, strict=True)]
+    due = [0.0 if all_ else g * n / z for all_, g, n, z in zip(full, goals, have, sizes, strict=True)]
+    seats = sainte_lague(due, [max_repeats * n for n in have], round(sum(due)))
     rows = []
-    for s in range(len(found)):
-        keys = sorted(k for k in blocks if k[0] == s)
-        for k, q in zip(keys, sainte_lague([per[k] for k in keys], [max_repeats * blocks[k] for k in keys], quota[s]), strict=True):
-            n = blocks[k]
-            rows.append((*k, n, q // n if n else 0, q % n if n else 0))
+    for i, parts_of in enumerate(own):
+        most = [max_repeats * n for n in parts_of.values()]
+        dealt_to = most if full[i] else sainte_lague(list(parts_of.values()), most, seats[i])
+        rows += [(i, part, n, q // n if n else 0, q % n if n else 0) for (part, n), q in zip(parts_of.items(), dealt_to, strict=True)]
     quotas = spark.createDataFrame(rows, "s int, part int, blocks long, times long, extra long")
     small = F.broadcast if len(rows) <= 1_000_000 else (lambda df: df)
     end = F.sum("size").over(Window.partitionBy("s", "part").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
@@ -124,22 +129,37 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; a cut text has its taken words, joined by a space, as a row of its own.
 
-    A row without words is not taken.  Rows equal in id and text are told apart by nothing and taken alike.
+    A row without words is not taken.  Rows equal in id, text and source are told apart by nothing and taken alike.
     """
-    plan = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).filter("taken > 0").select(F.col(id_col).alias("__lt_id"), F.col("text_key").alias("__lt_u"), F.col(source_col).alias("__lt_s"), "size", "whole", "from1", "to1", "from2", "to2")
-    # Rows equal in all three are numbered, so that each meets its own plan once.
-    same = Window.partitionBy("__lt_u", "__lt_id", "__lt_s").orderBy("size", "from1", "to1")
-    plan = plan.withColumn("__lt_n", F.row_number().over(same))
-    seed = how.get("seed", 17)
+    scratch = Scratch(docs.sparkSession, "mixed")
+    names = ("id", "u", "s", "n", "t", "size", "whole", "from1", "to1", "from2", "to2")
+    c = {x: unused(docs, f"__lt_{x}") for x in names}
+    taken = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    plan = taken.select(F.col(id_col).alias(c["id"]), F.col("text_key").alias(c["u"]), F.col(source_col).alias(c["s"]), *[F.col(x).alias(c[x]) for x in names[5:]], F.col("taken").alias(c["t"]))
+    key = [c["u"], c["id"], c["s"]]
+    # Rows equal in all three are numbered, so that each meets its own plan once; only they are.
+    plan = plan.withColumn(c["n"], F.row_number().over(Window.partitionBy(*key).orderBy(*[c[x] for x in ("size", "whole", "from1", "to1", "from2", "to2")])))
+    plan = scratch.keep(plan.filter(f"{c['t']} > 0 or {c['n']} > 1").drop(c["t"]))
+    again = plan.filter(F.col(c["n"]) > 1).select(*key).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__lt_u", F.xxhash64(F.lit(seed), F.col(id_col), text))
-    rows = rows.withColumn("__lt_n", F.row_number().over(Window.partitionBy("__lt_u", id_col, source_col).orderBy(F.lit(1))))
-    plan = plan.select(*[F.col(c).alias(c if c.startswith("__") else f"__lt_{c}") for c in plan.columns])
-    both = rows.alias("d").join(plan.alias("p"), (F.col("d.__lt_u") == F.col("p.__lt_u")) & F.col(f"d.{id_col}").eqNullSafe(F.col("p.__lt_id")) & F.col(f"d.{source_col}").eqNullSafe(F.col("p.__lt_s")) & (F.col("d.__lt_n") == F.col("p.__lt_n")))
-    n1, n2 = F.col("__lt_to1") - F.col("__lt_from1"), F.col("__lt_to2") - F.col("__lt_from2")
+    rows = docs.withColumn(c["u"], F.xxhash64(F.lit(how.get("seed", 17)), F.col(id_col), text))
+
+    def same(left: str, right: str):
+        return (F.col(f"{left}.{c['u']}") == F.col(f"{right}.{c['u']}")) & F.col(f"{left}.{id_col}").eqNullSafe(F.col(f"{right}.{c['id']}")) & F.col(f"{left}.{source_col}").eqNullSafe(F.col(f"{right}.{c['s']}"))
+
+    one = F.lit(1)
+    if again.isEmpty():
+        rows = rows.withColumn(c["n"], one)
+    else:
+        alone = rows.alias("d").join(again.alias("a"), same("d", "a"), "left_anti").withColumn(c["n"], one)
+        several = rows.alias("d").join(again.alias("a"), same("d", "a"), "left_semi")
+        rows = alone.unionByName(several.withColumn(c["n"], F.row_number().over(Window.partitionBy(c["u"], id_col, source_col).orderBy(F.lit(1)))))
+    both = rows.alias("d").join(plan.alias("p"), same("d", "p") & (F.col(f"d.{c['n']}") == F.col(f"p.{c['n']}")))
+    from1, to1, from2, to2 = (F.col(c[x]) for x in ("from1", "to1", "from2", "to2"))
+    n1, n2 = to1 - from1, to2 - from2
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    piece = F.array_join(F.concat(F.slice(words, (F.col("__lt_from1") + 1).cast("int"), n1.cast("int")), F.slice(words, (F.col("__lt_from2") + 1).cast("int"), n2.cast("int"))), " ")
-    extra = F.when(n1 + n2 == 0, F.array().cast("array<string>")).when(n1 + n2 == F.col("__lt_size"), F.array(text)).otherwise(F.array(piece))
-    out = both.withColumn("__lt_t", F.explode(F.concat(F.array_repeat(text, F.col("__lt_whole").cast("int")), extra)))
-    cols = [F.col("__lt_t").alias(c) if c == text_col else F.char_length("__lt_t").cast("long").alias(c) if c == "n_chars" else F.col(f"d.{c}").alias(c) for c in docs.columns]
+    piece = F.array_join(F.concat(F.slice(words, (from1 + 1).cast("int"), n1.cast("int")), F.slice(words, (from2 + 1).cast("int"), n2.cast("int"))), " ")
+    extra = F.when(n1 + n2 == 0, F.array().cast("array<string>")).when(n1 + n2 == F.col(c["size"]), F.array(text)).otherwise(F.array(piece))
+    out = both.withColumn(c["t"], F.explode(F.concat(F.array_repeat(text, F.col(c["whole"]).cast("int")), extra)))
+    cols = [F.col(c["t"]).alias(x) if x == text_col else F.char_length(c["t"]).cast("long").alias(x) if x == "n_chars" else F.col(f"d.{x}").alias(x) for x in docs.columns]
     return out.select(*cols)

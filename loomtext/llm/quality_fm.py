@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import lean
+from .scratch import lean, received, send
 from .textstats import CLASSES, Stats
 from .words import U, slices
 
@@ -156,10 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8192, slots: int = 1
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", slots: int = 1 << 15, **how) -> DataFrame:
     """(id, held_out, score, predicted) for each row."""
     # Weights and factors of a fixed number of slots: about 1 MB.
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, slots=slots, id_col=id_col, text_col=text_col, length_col=length_col, **how))
+    sent = send(docs.sparkSession, train(docs, labels, slots=slots, id_col=id_col, text_col=text_col, length_col=length_col, **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = received(sent)
         for whole in batches:
             for batch in slices(whole, "text"):
                 idx, val, at, stats = features(batch.column("text"), batch.column("told"), slots)

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import lean
+from .scratch import lean, received, send
 from .textstats import CLASSES, Stats, class_counts
-from .words import U, slices, split_words
+from .words import U, name_words, slices, split_words
 
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
 
@@ -164,7 +164,7 @@ def judge(texts: pa.Array, langs: list, ref: References, rules: Rules) -> tuple[
     s = Stats(texts, fold=False)
     failed = (s.n_words < 10) | (100 * s.n_repeat_words > 20 * s.n_words)
     by_class, by_word = np.full(len(langs), np.nan), np.full(len(langs), np.nan)
-    folded = split_words(texts, fold=True).h
+    folded = name_words(s.w.data, s.w.starts, s.w.ends, fold=True)
     over = np.zeros(len(langs), bool)
     place = {x: i for i, x in enumerate(ref.languages)}
     for d, lang in enumerate(langs):
@@ -186,12 +186,13 @@ def judge(texts: pa.Array, langs: list, ref: References, rules: Rules) -> tuple[
 def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", ref: References | None = None) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept) for each row."""
     # At most 1 / least_share words of each language that has a reference.
-    shared = docs.sparkSession.sparkContext.broadcast(ref or references(docs, rules, text_col, lang_col))
+    sent = send(docs.sparkSession, ref or references(docs, rules, text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = received(sent)
         for whole in batches:
             for batch in slices(whole, "text"):
-                s, failed, c, v, kept = judge(batch.column("text"), batch.column("lang").to_pylist(), shared.value, rules)
+                s, failed, c, v, kept = judge(batch.column("text"), batch.column("lang").to_pylist(), known, rules)
                 cols = [s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words]
                 more = [pa.array(failed), pa.array(c, from_pandas=True), pa.array(v, from_pandas=True), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x.astype(np.int64)) for x in cols], *more], names=[x.split()[0] for x in OUT.split(", ")])
@@ -201,12 +202,13 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id",
 
 def kept_rows(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(references(docs, rules, text_col, lang_col))
+    sent = send(docs.sparkSession, references(docs, rules, text_col, lang_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = received(sent)
         for whole in batches:
             for batch in slices(whole, text_col):
-                kept = judge(batch.column(text_col), batch.column(lang_col).cast(pa.string()).to_pylist(), shared.value, rules)[-1]
+                kept = judge(batch.column(text_col), batch.column(lang_col).cast(pa.string()).to_pylist(), known, rules)[-1]
                 yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

@@ -55,6 +55,14 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(ROWS, 1000)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column's name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def send(spark: SparkSession, value: Any) -> Broadcast:
     """A value for all tasks, pickled as functions are, so that workers need not find this package by themselves."""
     return spark.sparkContext.broadcast(CloudPickleSerializer().dumps(value))

@@ -63,6 +63,30 @@ def test_sharding_splits_a_hot_text(spark):
     assert len(got) == 8 and all(abs(r.b - mean) < 0.03 * mean for r in got)
 
 
+def test_sharding_in_small_ranges(spark, docs, rows):
+    """Ranges cut to a few bytes, few or more than the plan holds, change no law and no shard's rows by more than a range."""
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2500, "hot text").otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    for data, n, small in ((docs, len(rows), 50), (df, 6000, 100), (df, 6000, 20)):
+        got = sharding.shard(data, 4, ranges_per_shard=8, range_bytes=small).select("doc_id", "size", "shard", "slot").collect()
+        assert len(got) == n
+        total, most = sum(r.size for r in got), max(r.size for r in got)
+        for s in range(4):
+            own = [r for r in got if r.shard == s]
+            assert sorted(r.slot for r in own) == list(range(len(own))) and abs(sum(r.size for r in own) - total / 4) <= max(most, 0.02 * total)
+
+
+def test_sharding_splits_rows_equal_in_text_and_id(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("text "), F.col("id"))).otherwise("one and the same").alias("text"), F.lit(1).alias("__lt_h"), F.lit(2).alias("__lt_t"))
+    out = sharding.shard(df, 8)
+    assert out.columns == ["doc_id", "text", "__lt_h", "__lt_t", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    got = out.collect()
+    mean = sum(r.size for r in got) / 8
+    for s in range(8):
+        own = [r for r in got if r.shard == s]
+        assert abs(sum(r.size for r in own) - mean) < 0.05 * mean and sorted(r.slot for r in own) == list(range(len(own)))
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in df.collect())
+
+
 def test_sharding_stays_native(docs):
     plan = sharding.shard(docs, 4)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
@@ -476,6 +500,39 @@ def test_quality_classifier(spark, none):
     assert quality_fm.score_quality(none, labels).count() == 0
 
 
+def test_scores_against_brute_force(spark, docs, rows):
+    """Every feature and every pair of them, one by one, from the whole text."""
+    rng = random.Random(14)
+    train = [(10_000 + i, X.prose(rng, 40) if i % 2 else X.prose(rng, 30).upper() + " ##", "en", "s", 7) for i in range(60)]
+    labels = spark.createDataFrame([(r[0], r[0] % 2, 0) for r in train], "doc_id long, quality int, toxic int")
+    both = spark.createDataFrame(train + rows, X.SCHEMA)
+    m = quality_fm.train(both, labels, slots=512)
+    assert np.abs(m.v).max() > 0.05 and np.abs(m.w).max() > 0.05
+    got = {(r.doc_id, r.predicted, round(r.score, 4)) for r in quality_fm.score_quality(both, labels, slots=512).collect()}
+    want = set()
+    for i, text, _, _, told in train + rows:
+        t, w = text or "", X.words(text, True)
+        slot = Counter(int(words.split_words(pa.array([x])).h[0] >> np.uint64(20)) % 512 for x in w)
+        x = {k: 1 + np.log(n) for k, n in slot.items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        n_words, chars, lines = X.words(text), max(len(t), 1), [ln for ln in t.split("\n") if X.WORD.search(ln)]
+        base = X.base_rules(text)
+        share = [sum(f(c) for c in t) / chars for f in (lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: c in " \t\x0b\x0c\r", lambda c: c == "\n", lambda c: c in ".,;:!?'\"-()", lambda c: c in "#*$%&|<>", lambda c: ord(c) > 127)]
+        n, told = max(len(n_words), 1), len(t) if told is None else told
+        stats = share + [np.log1p(len(n_words)), base[1] / n, base[3] / max(len(lines), 1), base[4] / n, len(slot) / n, np.log1p(len(n_words) / max(len(lines), 1)), np.log1p(max(told, 0)), np.sign(told - len(t))]
+        full = {k: v / norm for k, v in x.items()} | {512 + k: np.clip((v - m.mean[k]) / m.scale[k], -4, 4) / 4 for k, v in enumerate(stats)}
+        keys = sorted(full)
+        margin = m.bias + sum(m.w[k] * full[k] for k in keys) + sum(float(m.v[a] @ m.v[b]) * full[a] * full[b] for p, a in enumerate(keys[:400]) for b in keys[p + 1 : 400]) if len(keys) <= 400 else None
+        want.add((i, margin))
+    by = defaultdict(list)
+    for i, p, s in got:
+        by[i].append((s, p))
+    for i, margin in want:
+        if margin is not None:
+            score = 1 / (1 + np.exp(-margin))
+            assert any(abs(s - score) < 2e-3 and (p == int(s >= 0.3)) for s, p in by[i]), (i, margin, by[i])
+
+
 def test_machine_uses_pairwise_terms():
     m = quality_fm.Machine(0.1, np.array([1.0, 2, 3]), np.array([[1.0, 2], [3, 4], [5, 6]]), None, None)
     x = np.array([0.5, 2.0, 1.0])
@@ -668,6 +725,61 @@ def test_quality_rules(docs, rows, none):
     assert quality_rules.apply_rules(none).count() == 0 and quality_rules.kept_rows(none).count() == 0
 
 
+def _verdicts(rows, rules):
+    """References and distances written out word by word: kept for each row."""
+    name = lambda c: "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "newline" if c == "\n" else "blank" if c in " \t\x0b\x0c\r" else "stop" if c in ".,;:!?'\"-()" else "symbol" if c in "#*$%&|<>" else "letter" if ord(c) > 127 else "other"
+    total, classes, counts = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for _, t, lang, *_ in rows:
+        if t is not None and lang is not None:
+            own = X.words(t, True)
+            total[lang] += len(own)
+            counts[lang].update(own)
+            classes[lang].update(map(name, t))
+    known = sorted(x for x in total if total[x] >= rules.least_language)
+
+    def apart(p, q):
+        out = 0.0
+        for k in set(p) | set(q):
+            m = (p.get(k, 0) + q.get(k, 0)) / 2
+            out += sum(v / 2 * np.log2(v / m) for v in (p.get(k, 0), q.get(k, 0)) if v)
+        return np.sqrt(max(out, 0))
+
+    out = []
+    for _, t, lang, *_ in rows:
+        kept, own = not X.base_rules(t)[-1], X.words(t, True)
+        langs = known if lang is None else [lang] if lang in known else []
+        if len(own) >= rules.least_words and langs:
+            best = None
+            for x in langs:
+                share = {w: n / total[x] for w, n in counts[x].items() if n >= total[x] * rules.least_share}
+                p = Counter(w if w in share else None for w in own)
+                q = share | {None: 1 - sum(share.values())}
+                c = apart({k: n / len(t) for k, n in Counter(map(name, t)).items()}, {k: n / sum(classes[x].values()) for k, n in classes[x].items()})
+                v = apart({k: n / len(own) for k, n in p.items()}, q)
+                chance = np.sqrt(len(share) / (8 * np.log(2)) * (1 / len(own) + 1 / total[x]))
+                best = min(best or (9e9,), (c / rules.class_limit + v / rules.word_limit, c > rules.class_limit or v > rules.word_limit + chance))
+            kept = kept and not best[1]
+        out.append(kept)
+    return out
+
+
+def test_quality_verdicts_against_brute_force(spark, rows):
+    rng = random.Random(12)
+    vocabulary = {x: [f"{x}{i}{rng.choice(('', ',', '.'))}" for i in range(200)] for x in ("en", "de", "xx")}
+
+    def text(lang, n, common=0.5):
+        return " ".join(rng.choice(vocabulary[lang][:8] if rng.random() < common else vocabulary[lang]) for _ in range(n))
+
+    more = [(i, text(lang, rng.randint(5, 200), rng.random()), lang if rng.random() < 0.8 else rng.choice(("de", None, "zz")), "s", 0) for i in range(150) for lang in ("en", "de")]
+    more += [(i, text("xx", 90), "xx", "s", 0) for i in range(9)] + [(i, text("en", 90).upper() + "#" * rng.randrange(300), "en", "s", 0) for i in range(20)]
+    both = rows + more
+    for rules in (quality_rules.Rules(), quality_rules.Rules(class_limit=0.1, word_limit=0.2, least_words=20, least_share=0.01, least_language=900)):
+        want = Counter((r[0], r[1], k) for r, k in zip(both, _verdicts(both, rules), strict=True))
+        judged = quality_rules.judge(pa.array([r[1] for r in both], pa.string()), [r[2] for r in both], quality_rules.references(spark.createDataFrame(both, X.SCHEMA), rules), rules)[-1]
+        assert Counter((r[0], r[1], bool(k)) for r, k in zip(both, judged, strict=True)) == want
+        assert 20 < sum(v for (_, _, k), v in want.items() if not k) < len(both) - 100
+
+
 def test_quality_rules_tell_junk_from_prose(spark):
     rng = random.Random(8)
     common = VOC = [f"c{i}" for i in range(12)]
