@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from enum import Enum
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +25,23 @@ class Csv:
 TSV = Csv(delimiter="\t")
 
 
+class Problem(Enum):
+    """What can be wrong with a CSV text."""
+
+    QUOTE = "unterminated quote"
+    FIELD = "characters after a quoted field"
+    COLUMNS = "inconsistent columns"
+
+
+def problem(r: Result) -> Problem | None:
+    """Which of them a failed result tells of."""
+    if r.status != "failure":
+        return None
+    if any(e.message and e.message.startswith("Inconsistent columns") for e in r.errors):
+        return Problem.COLUMNS
+    return Problem.QUOTE if any(e.kind == "Unexpected" and e.found == '"' for e in r.errors) else Problem.FIELD
+
+
 def grammar(c: Csv = Csv()) -> P:
     def field(java: bool) -> P:
         q, d = quoted(c.quote, java), quoted(c.delimiter, java)
@@ -39,8 +58,13 @@ def grammar(c: Csv = Csv()) -> P:
     return rows.map(lambda rs: [r for r in rs if any(r)]) if c.skip_empty else rows
 
 
+@lru_cache(maxsize=64)
+def _parser(c: Csv) -> Parser:
+    return Parser(grammar(c))
+
+
 def parse_csv(text: str, c: Csv = Csv()) -> Result:
-    return Parser(grammar(c))(text)
+    return _parser(c)(text)
 
 
 def parse_strict(text: str, c: Csv = Csv()) -> Result:

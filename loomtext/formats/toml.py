@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from ..grammar import P, Ref, char, choice, eof, regex, string
+from ..grammar import P, Ref, char, choice, eof, regex, string, succeed
 from ..machine import Error, Parser, Result
 
 
@@ -41,21 +42,35 @@ def _time(raw: str) -> dt.time:
 
 
 def _stamp(raw: str) -> Any:
-    try:
-        if re.fullmatch(_DATE, raw):
-            return dt.date.fromisoformat(raw)
-        if re.fullmatch(_TIME, raw):
-            return _time(raw)
-        day, rest = dt.date.fromisoformat(raw[:10]), raw[11:]
-        m = re.fullmatch(rf"({_TIME})(Z|z|[+-][0-9]{{2}}:[0-9]{{2}})?", rest)
-        zone = None if not m[2] else dt.UTC if m[2] in "Zz" else dt.datetime.strptime(m[2], "%z").tzinfo
-        return dt.datetime.combine(day, _time(m[1]), zone)
-    except ValueError:
-        return None
+    """A date, a time or both. Raises ValueError for one that no calendar or clock has."""
+    if re.fullmatch(_DATE, raw):
+        return dt.date.fromisoformat(raw)
+    if re.fullmatch(_TIME, raw):
+        return _time(raw)
+    day, rest = dt.date.fromisoformat(raw[:10]), raw[11:]
+    m = re.fullmatch(rf"({_TIME})(Z|z|[+-][0-9]{{2}}:[0-9]{{2}})?", rest)
+    zone = None if not m[2] else dt.UTC if m[2] in "Zz" else dt.datetime.strptime(m[2], "%z").tzinfo
+    return dt.datetime.combine(day, _time(m[1]), zone)
 
 
 def _int(raw: str) -> int:
-    return int(raw.replace("_", ""), 0 if raw[:2] in ("0x", "0o", "0b") else 10)
+    """A 64-bit integer. Raises ValueError for a larger one."""
+    v = int(raw.replace("_", ""), 0 if raw[:2] in ("0x", "0o", "0b") else 10)
+    if not -(2**63) <= v < 2**63:
+        raise ValueError
+    return v
+
+
+def _checked(p: P, f: Callable[[str], Any], what: str) -> P:
+    """What ``f`` makes of a lexeme; where it cannot, a failure at the lexeme's start."""
+
+    def step(x: tuple[int, str]) -> P:
+        try:
+            return succeed(f(x[1]))
+        except ValueError:
+            return P("fail_at", (f"{what}: {x[1]}", x[0]))
+
+    return (P("offset") & p).flat_map(step)
 
 
 blank = _lex(r"[ \t]*+", "blank")
@@ -74,8 +89,9 @@ def grammar() -> P:
     value = Ref()
     text = _strings()
     word = r"(?![0-9A-Za-z_.:+-])"
-    stamp = _lex(rf"(?:{_DATE}(?:[Tt ]{_TIME}(?:Z|z|[+-][0-9]{{2}}:[0-9]{{2}})?+)?+|{_TIME}){word}", "date").map(_stamp)
-    number = _lex(rf"(?:{_FLOAT}){word}", "float").map(lambda r: float(r.replace("_", ""))) | _lex(rf"(?:{_INT}){word}", "integer").map(_int)
+    stamp = _lex(rf"(?:{_DATE}(?:[Tt ]{_TIME}(?:Z|z|[+-][0-9]{{2}}:[0-9]{{2}})?+)?+|{_TIME}){word}", "date")
+    stamp = _checked(stamp, _stamp, "invalid date or time")
+    number = _lex(rf"(?:{_FLOAT}){word}", "float").map(lambda r: float(r.replace("_", ""))) | _checked(_lex(rf"(?:{_INT}){word}", "integer"), _int, "integer out of range")
     flag = _lex(rf"(?:true|false){word}", "boolean").map("true".__eq__)
     key = (_lex("[A-Za-z0-9_-]++", "key") | _lex(r'"(?:[^"\\\n\r]++|\\.)*+"', "key").map(lambda r: _unescape(r[1:-1])) | _lex(r"'[^'\n\r]*+'", "key").map(lambda r: r[1:-1]))
     path = (blank >> key << blank).sep_by1(char("."))

@@ -1,4 +1,8 @@
-"""XML with an internal DTD subset's entities; external identifiers are read and never fetched."""
+"""XML with an internal DTD subset's entities; external identifiers are read and never fetched.
+
+References within one text or attribute may expand to ``Config.most_expanded`` characters; more is a failure at that place, since a few
+lines of declarations can stand for any amount. None lifts the limit.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ class Config:
     resolve_dtd: bool = True
     preserve_whitespace: bool = False
     keep_comments: bool = True
-    most_expanded: int = 1 << 20
+    most_expanded: int | None = 1 << 20
 
 
 @dataclass
@@ -119,7 +123,7 @@ class Entities:
                 raise Wrong("< in entity replacement text used in attribute")
             out.append(plain)
             size += len(plain)
-            if size > self.config.most_expanded:
+            if self.config.most_expanded is not None and size > self.config.most_expanded:
                 raise Wrong("entity expansion is too large")
             if m is None:
                 continue

@@ -12,6 +12,42 @@ from typing import Any
 from .charclass import CharClass
 
 
+@dataclass(frozen=True)
+class Constant:
+    """A function that gives one value, whatever it is given."""
+
+    value: Any
+
+    def __call__(self, _: Any) -> Any:
+        return self.value
+
+
+@dataclass(frozen=True)
+class Composed:
+    """One function, then another."""
+
+    first: Callable
+    second: Callable
+
+    def __call__(self, x: Any) -> Any:
+        return self.second(self.first(x))
+
+
+@dataclass(frozen=True)
+class OnPair:
+    """A function of two arguments on a pair."""
+
+    f: Callable[[Any, Any], Any]
+
+    def __call__(self, x: tuple) -> Any:
+        return self.f(x[0], x[1])
+
+
+def cons(x: tuple) -> list:
+    """The first of a pair before the list that is the second."""
+    return [x[0], *x[1]]
+
+
 @dataclass(frozen=True, eq=False)
 class P:
     """One node: what it does and its parts."""
@@ -34,11 +70,11 @@ class P:
     def map(self, f: Callable) -> P:
         if self.kind == "map":
             inner, g = self.args
-            return P("map", (inner, lambda x: f(g(x))))
+            return P("map", (inner, Composed(g, f)))
         return P("map", (self, f))
 
     def as_(self, value: Any) -> P:
-        return self.map(lambda _: value)
+        return self.map(Constant(value))
 
     def void(self) -> P:
         return P("skip", (self,))
@@ -71,7 +107,7 @@ class P:
         return P("skip", (self.many1(),))
 
     def sep_by1(self, sep: P) -> P:
-        return (self & (sep >> self).many()).map(lambda x: [x[0], *x[1]])
+        return (self & (sep >> self).many()).map(cons)
 
     def sep_by(self, sep: P) -> P:
         return self.sep_by1(sep) | succeed(()).map(list)
@@ -125,7 +161,12 @@ class P:
         return P("sync", (self, chars))
 
     def trace(self, label: str) -> P:
-        return P("trace", (self, label))
+        """Notes each attempt in the result's trace: label, start, end (None where it fails)."""
+        return P("trace", (self, label, False))
+
+    def debug(self, label: str) -> P:
+        """Like trace, with the value."""
+        return P("trace", (self, label, True))
 
     def memoize(self) -> P:
         return P("memo", (self,))
@@ -135,13 +176,13 @@ class P:
         return P("rule", (self, name))
 
     def chain_left1(self, op: P) -> P:
-        return (self & (op & self).many()).map(_fold_left)
+        return (self & (op & self).many()).map(fold_left)
 
     def chain_left(self, op: P, default: Any) -> P:
         return self.chain_left1(op) | succeed(default)
 
     def chain_right1(self, op: P) -> P:
-        return (self & (op & self).many()).map(_fold_right)
+        return (self & (op & self).many()).map(fold_right)
 
     def chain_right(self, op: P, default: Any) -> P:
         return self.chain_right1(op) | succeed(default)
@@ -149,16 +190,17 @@ class P:
     # Older names.
     times, many_non_empty, separated_by, separated_by_non_empty, ended_by, label = count, many1, sep_by, sep_by1, end_by, named
     chainl1, chainr1, skip_many_non_empty = chain_left1, chain_right1, skip_many1
+    many_at_least, exactly, or_ = at_least, count, __or__
 
 
-def _fold_left(x: tuple) -> Any:
+def fold_left(x: tuple) -> Any:
     out, rest = x
     for f, y in rest:
         out = f(out, y)
     return out
 
 
-def _fold_right(x: tuple) -> Any:
+def fold_right(x: tuple) -> Any:
     first, rest = x
     if not rest:
         return first

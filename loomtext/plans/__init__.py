@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..grammar import P
 from ..lower import NotRegular, lower
 from ..machine import Error, Parser, Result
-from ..schema import result_type
+from ..schema import fields, result_type
+from . import values
 
 
 def tier(p: P) -> str:
-    """"jvm" or "python"."""
+    """"jvm" or "python": whether a grammar matches without the interpreter."""
     try:
         lower(p)
         return "jvm"
@@ -53,10 +55,6 @@ def error_row(e: Error, text: str) -> dict:
     return {"kind": e.kind, "found": e.found, "expected": sorted(set(e.expected)), "message": e.message, "loc": location(text, e.offset)}
 
 
-def result_row(r: Result, text: str, value: Callable[[Any], Any]) -> dict:
-    return {"status": r.status, "value": None if r.status == "failure" else value(r.value), "errors": [error_row(e, text) for e in r.errors], "consumed": r.consumed, "furthest": location(text, r.furthest)}
-
-
 class _Held:
     """A parser compiled once for each Python worker's task, from what can be sent there."""
 
@@ -72,28 +70,81 @@ class _Held:
         return {"source": self.source, "parser": None}
 
 
-def parse(text: Column, p: P | Callable[[str], Result], value_type: str, value: Callable[[Any], Any] = lambda v: v) -> Column:
-    """RESULT of each text: status, value, errors with locations, consumed, furthest. A null text gives null."""
-    held = _Held(p)
+def _struct(texts: pa.Array, held: _Held, value: Callable[[Any], Any], kind: pa.DataType, with_trace: bool) -> pa.StructArray:
+    """Results as one Arrow struct, a column at a time."""
+    status, values, errors, consumed, furthest, trace, absent = [], [], [], [], [], [], []
+    for t in texts.to_pylist():
+        r = None if t is None else held(t)
+        absent.append(r is None)
+        status.append(None if r is None else r.status)
+        values.append(None if r is None or r.status == "failure" else value(r.value))
+        errors.append(None if r is None else [error_row(e, t) for e in r.errors])
+        consumed.append(None if r is None else r.consumed)
+        furthest.append(None if r is None else location(t, r.furthest))
+        trace.append(None if r is None else [dict(zip(("label", "start", "end", "value"), x, strict=True)) for x in r.trace])
+    columns = [status, values, errors, consumed, furthest] + [trace] * with_trace
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+
 
-    @F.pandas_udf(result_type(value_type))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = [result_row(held(t), t, value) if isinstance(t, str) else {"status": None, "value": None, "errors": None, "consumed": None, "furthest": None} for t in texts]
-        return pd.DataFrame(rows, columns=["status", "value", "errors", "consumed", "furthest"], dtype=object)
+def _interpreted(text: Column, held: _Held, value_type: str, value: Callable[[Any], Any], with_trace: bool = False) -> Column:
+    schema = result_type(value_type, with_trace)
+    kind = to_arrow_type(fields(f"r {schema}")["r"].dataType)
+
+    @F.arrow_udf(schema)
+    def run(texts: pa.Array) -> pa.Array:
+        return _struct(texts, held, value, kind, with_trace)
 
     return run(text)
 
 
-def parse_value(text: Column, p: P | Callable[[str], Result], value_type: str, value: Callable[[Any], Any] = lambda v: v) -> Column:
+def _same(v: Any) -> Any:
+    return v
+
+
+def parse(text: Column, p: P | Callable[[str], Result], value_type: str, value: Callable[[Any], Any] = _same) -> Column:
+    """RESULT of each text: status, value, errors with locations, consumed, furthest. A null text gives null.
+
+    Where grammar and value are regular, the JVM does what succeeds; only the other texts go to the interpreter, for their errors.
+    """
+    held = _Held(p)
+    fast = values.lowered(p) if isinstance(p, P) and value is _same and not _recovers(p) else None
+    if fast is None:
+        return _interpreted(text, held, value_type, value)
+    matched = text.rlike(rf"\A{fast[0]}")
+    n = F.length(F.regexp_extract(text, rf"\A({fast[0]})", 1))
+    slow = _interpreted(F.when(~matched, text), held, value_type, value)
+    before = F.substring(text, F.lit(1), n)
+    line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    column = F.length(F.substring_index(before, "\n", -1)) + 1
+    empty = F.array().cast(result_type(value_type).partition("errors:")[2].partition(",consumed")[0])
+    done = F.struct(F.lit("success").alias("status"), fast[1](text, F.lit(0)).cast(value_type).alias("value"), empty.alias("errors"), n.alias("consumed"), F.struct(line.cast("int").alias("line"), column.cast("int").alias("column"), n.alias("offset")).alias("furthest"))
+    return F.when(matched, done).otherwise(slow)
+
+
+def _recovers(p: P) -> bool:
+    """Whether a grammar may give a partial result."""
+    return p.kind in ("recover", "recover_with", "sync") or any(_recovers(q) for q in p.args if isinstance(q, P)) or (p.kind == "dispatch" and any(_recovers(q) for _, q in p.args[0]))
+
+
+def traced(text: Column, p: P, value_type: str = "string", value: Callable[[Any], Any] = _same) -> Column:
+    """RESULT with the trace of the parts marked by ``trace`` or ``debug``: array<struct<label, start, end, value>>."""
+    return _interpreted(text, _Held(p), value_type, value, True)
+
+
+def parse_value(text: Column, p: P | Callable[[str], Result], value_type: str, value: Callable[[Any], Any] = _same) -> Column:
     """Only the value; null for failures."""
+    fast = values.lowered(p) if isinstance(p, P) and value is _same else None
+    if fast is not None:
+        return F.when(text.rlike(rf"\A{fast[0]}"), fast[1](text, F.lit(0)).cast(value_type))
     held = _Held(p)
+    kind = to_arrow_type(fields(f"v {value_type}")["v"].dataType)
 
-    @F.pandas_udf(f"struct<v:{value_type}>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(value_type)
+    def run(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts:
-            r = held(t) if isinstance(t, str) else None
+        for t in texts.to_pylist():
+            r = None if t is None else held(t)
             out.append(None if r is None or r.status == "failure" else value(r.value))
-        return pd.DataFrame({"v": pd.Series(out, dtype=object)})
+        return pa.array(out, kind)
 
-    return run(text)["v"]
+    return run(text)

@@ -5,6 +5,7 @@ Most parse text rendered from relational columns, so that the SQL needs no parse
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from . import derive, plans
 from .formats import csv, json, proto, toml, xml, xpath, yaml
 from .formats.common import block_comment, double_quoted_string, floating_point, hspaces, identifier
 from .functions import and_then, column_of, is_failure, is_partial, line_of, line_starts, register, show_error, utf16_offset
-from .grammar import Op, P, Ref, alpha_num, any_char, c_family, char, choice, digit, eof, fail, first_char_choice, keywords, letter, none_of, offset, one_of, pratt, satisfy, spaces, string, string_in, succeed, symbol, token, tree_of
+from .grammar import OnPair, Op, P, Ref, alpha_num, any_char, c_family, char, choice, digit, eof, fail, first_char_choice, keywords, letter, none_of, offset, one_of, pratt, satisfy, spaces, string, string_in, succeed, symbol, token, tree_of
 from .incremental import TextEdit, json_bundle, reparse, reparse_all
 from .operators import edits, trees
 from .sources import read_table
@@ -84,8 +85,8 @@ def json_events(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS level, o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS failed FROM orders")
 def keyword_values(spark: SparkSession, d: str) -> DataFrame:
     p = keywords({"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3})
-    r = plans.parse(F.col("o_orderpriority"), p, "int")
-    return read_table(spark, d, "orders").select("o_orderkey", r.alias("r")).select("o_orderkey", F.col("r.value").alias("level"), is_failure(F.col("r")).alias("failed"))
+    level = plans.parse_value(F.col("o_orderpriority"), p, "int")
+    return read_table(spark, d, "orders").select("o_orderkey", level.alias("level"), level.isNull().alias("failed"))
 
 
 @query("SELECT p_partkey, CAST(CASE WHEN p_type LIKE 'S%' THEN 1 WHEN p_type LIKE 'P%' OR p_type LIKE 'E%' THEN 2 ELSE 0 END AS INTEGER) AS route FROM part")
@@ -107,17 +108,17 @@ def _arithmetic(name: str, p: P, render: Callable[[], Column], sql: str) -> None
     query(f"SELECT l_linenumber, count(*) AS n, CAST({sql} AS BIGINT) AS total FROM lineitem GROUP BY 1")(run)
 
 
-_BINARY = [("+", 1, lambda a, b: a + b), ("-", 1, lambda a, b: a - b), ("*", 2, lambda a, b: a * b)]
-_mul = number.chain_left1(char("*").as_(lambda a, b: a * b))
-_sum = _mul.chain_left1(char("+").as_(lambda a, b: a + b) | char("-").as_(lambda a, b: a - b))
-_left, _right = Ref(), Ref()
-_left.set((((_left << char("+")) & _mul).map(lambda x: x[0] + x[1]) | ((_left << char("-")) & _mul).map(lambda x: x[0] - x[1]) | _mul).rule("sum"))
+_BINARY = [("+", 1, operator.add), ("-", 1, operator.sub), ("*", 2, operator.mul)]
+_mul = number.chain_left1(char("*").as_(operator.mul))
+_sum = _mul.chain_left1(char("+").as_(operator.add) | char("-").as_(operator.sub))
+_left = Ref()
+_left.set((((_left << char("+")) & _mul).map(OnPair(operator.add)) | ((_left << char("-")) & _mul).map(OnPair(operator.sub)) | _mul).rule("sum"))
 _term = lambda: F.expr(_TERM)
 _arithmetic("chain_left", _sum, _term, _SUM)
 _arithmetic("pratt_table", pratt(number, *[Op("left", char(s), p, f) for s, p, f in _BINARY]), _term, _SUM)
 _arithmetic("c_family_precedence", c_family(number), _term, _SUM)
 _arithmetic("left_recursion", _left, _term, _SUM)
-_arithmetic("chain_right", number.chain_right1(char("-").as_(lambda a, b: a - b)), lambda: F.expr("concat_ws('-', l_orderkey, l_linenumber, l_suppkey)"), "sum(l_orderkey - (l_linenumber - l_suppkey))")
+_arithmetic("chain_right", number.chain_right1(char("-").as_(operator.sub)), lambda: F.expr("concat_ws('-', l_orderkey, l_linenumber, l_suppkey)"), "sum(l_orderkey - (l_linenumber - l_suppkey))")
 _arithmetic("sep_by_sum", number.sep_by(char(",")).map(sum), lambda: F.expr("concat_ws(',', l_orderkey, l_partkey, l_suppkey)"), "sum(l_orderkey + l_partkey + l_suppkey)")
 _arithmetic("flat_map_counted", number.lexeme().flat_map(lambda n: (number.lexeme()).count(n)).map(sum), lambda: F.expr("concat_ws(' ', 2, l_partkey, l_suppkey)"), "sum(l_partkey + l_suppkey)")
 _arithmetic("defer_memo", Ref().set((char("(") >> number.memoize() << char(")")) | number), lambda: F.expr("concat('(', l_partkey, ')')"), "sum(l_partkey)")

@@ -8,9 +8,10 @@ EDIT = "struct<start:int,end:int,new_text:string>"
 NODE = "doc_id bigint, node_id int, last_desc int, parent_id int, child_index int, depth int, node_class string, kind string, text string, width int, offset int"
 
 
-def result_type(value: str) -> str:
-    """RESULT over a value type: Success, Partial or Failure as one struct."""
-    return f"struct<status:string,value:{value},errors:array<{ERR}>,consumed:int,furthest:{LOC}>"
+def result_type(value: str, trace: bool = False) -> str:
+    """RESULT over a value type: Success, Partial or Failure as one struct, with a trace if asked for."""
+    more = ",trace:array<struct<label:string,start:int,end:int,value:string>>" if trace else ""
+    return f"struct<status:string,value:{value},errors:array<{ERR}>,consumed:int,furthest:{LOC}{more}>"
 
 
 def fields(ddl: str) -> StructType:

@@ -1,14 +1,16 @@
 """Grammars over columns, trees as tables, edits, and streams."""
 
+import operator
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomtext import functions as fn
 from loomtext import plans
 from loomtext.formats import csv, json
-from loomtext.grammar import char, digit, letter, none_of, one_of, string, succeed
+from loomtext.grammar import OnPair, Op, Ref, char, digit, eof, first_char_choice, keywords, letter, none_of, offset, one_of, pratt, string, succeed
 from loomtext.incremental import TextEdit, json_bundle, reparse, reparse_all
 from loomtext.lower import lower
 from loomtext.machine import parse
@@ -28,6 +30,75 @@ def test_jvm_and_python_agree(spark, p):
     assert plans.tier(p) == "jvm" and plans.tier(p.recover(succeed(0))) == "python"
 
 
+_n = digit.many1().capture().map(int)
+_mul = _n.chain_left1(char("*").as_(operator.mul))
+_rec = Ref()
+_rec.set((((_rec << char("+")) & _mul).map(OnPair(operator.add)) | ((_rec << char("-")) & _mul).map(OnPair(operator.sub)) | _mul).rule("sum"))
+VALUES = [
+    (_n, "bigint"),
+    (_mul.chain_left1(char("+").as_(operator.add) | char("-").as_(operator.sub)), "bigint"),
+    (_mul.chain_left(char("+").as_(operator.add), -1), "bigint"),
+    (_rec, "bigint"),
+    (_rec << eof, "bigint"),
+    (pratt(_n, Op("left", char("+"), 1, operator.add), Op("left", char("-"), 1, operator.sub), Op("left", char("*"), 2, operator.mul)), "bigint"),
+    (_n.chain_right1(char("-").as_(operator.sub)), "bigint"),
+    (_n.sep_by(char(",")).map(sum), "bigint"),
+    (_n.sep_by(char(",")), "array<bigint>"),
+    (_n.sep_by1(char("+")).map(len), "int"),
+    (_n.lexeme().end_by(char(",")), "array<bigint>"),
+    (keywords({"a": 1, "ab": 2, "12": 3}), "int"),
+    (first_char_choice(("1", string("12").as_(1)), ("a", letter.as_(2)), fallback=succeed(0)), "int"),
+    (first_char_choice(("1", _n), ("a", letter.as_(2))), "bigint"),
+    (_n.optional(), "bigint"),
+    (letter.many().capture() & _n.optional() & eof.as_("end"), "struct<_1:struct<_1:string,_2:bigint>,_2:string>"),
+    (letter.many() >> offset, "int"),
+    (_n.recover(succeed(-1)), "bigint"),
+    (letter.many().map(len), "int"),
+    ((_n << char("+")) & (_n << char("-").not_followed_by()), "struct<_1:bigint,_2:bigint>"),
+    (letter.capture().many1(), "array<string>"),
+    ((_n.memoize().named("n")).expect("a number"), "bigint"),
+]
+
+
+@pytest.mark.parametrize("k", range(len(VALUES)))
+def test_lowered_values_are_the_interpreters(spark, k):
+    p, kind = VALUES[k]
+    rng = random.Random(k)
+    texts = ["", "12", "1+2*3-4", "1+2*", "a1", "ab12", "٣4+1", "1,2,,", "99999999999", "1-2-3", "+1", "1 ,2 ,x", None]
+    texts += ["".join(rng.choice(["1", "23", "+", "-", "*", ",", "a", "b", " "]) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert plans.values.lowered(p) is not None
+    fast = df.select("t", plans.parse_value(F.col("t"), p, kind).alias("v"))
+    assert "Python" not in fast._jdf.queryExecution().toString()
+
+    def plain(v):
+        return {f"_{i + 1}": plain(x) for i, x in enumerate(v)} if isinstance(v, tuple) and v else list(v) if isinstance(v, tuple) else v
+
+    for r in fast.collect():
+        got = None if r.t is None else parse(p, r.t)
+        want = None if got is None or got.status == "failure" else plain(got.value)
+        if isinstance(want, int) and abs(want) >= 2**63:
+            want = None
+        assert (r.v.asDict(True) if isinstance(r.v, Row) else r.v) == want, r.t
+    if kind == "bigint" and not plans._recovers(p):
+        for r in df.select("t", plans.parse(F.col("t"), p, kind).alias("r")).collect():
+            if r.t is not None:
+                got = parse(p, r.t)
+                assert (r.r.status, r.r.value, r.r.consumed, r.r.furthest.offset, len(r.r.errors)) == (got.status, got.value, got.consumed, got.furthest, len(got.errors)), r.t
+
+
+def test_unknown_functions_are_interpreted(spark):
+    p = digit.many1().capture().map(lambda x: int(x) + 1)
+    df = spark.createDataFrame([("12",), ("x",)], "t string")
+    assert plans.values.lowered(p) is None and [r.v for r in df.select(plans.parse_value(F.col("t"), p, "bigint").alias("v")).collect()] == [13, None]
+
+
+def test_trace_column(spark):
+    p = digit.many1().capture().debug("number") >> (char(",").trace("comma") >> letter.trace("letter")).many()
+    r = spark.createDataFrame([("12,a,b,1",)], "t string").select(plans.traced(F.col("t"), p, "int", lambda v: len(v)).alias("r")).first().r
+    assert [(x.label, x.start, x.end, x.value) for x in r.trace] == [("number", 0, 2, "'12'"), ("comma", 2, 3, None), ("letter", 3, 4, None), ("comma", 4, 5, None), ("letter", 5, 6, None), ("comma", 6, 7, None), ("letter", 7, None, None)]
+
+
 def test_result_struct(spark):
     p = digit.many1().capture().map(int)
     df = spark.createDataFrame([("12x",), ("\nx",), (None,)], "t string")
