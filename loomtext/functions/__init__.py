@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import NODE
+
 
 def is_success(r: Column) -> Column:
     return r["status"] == "success"
@@ -71,26 +77,127 @@ def utf16_offset(text: Column, offset: Column) -> Column:
     return F.length(p) + F.regexp_count(p, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
-def register(spark: SparkSession) -> None:
-    """Formats as SQL functions: json_result, toml_status, xml_status, yaml_status, proto_status, xpath_normal."""
-    import pandas as pd
+def location_at(text: Column, offset: Column) -> Column:
+    """Line, column and offset of a place, held within the text."""
+    at = F.greatest(F.least(offset, F.length(text)), F.lit(0)).cast("int")
+    return F.struct(line_of(text, at).cast("int").alias("line"), column_of(text, at).cast("int").alias("column"), at.alias("offset"))
+
+
+def span_at(text: Column, start: Column, end: Column) -> Column:
+    """Both ends of a range, the end exclusive and never before the start."""
+    return F.struct(location_at(text, start).alias("start"), location_at(text, F.greatest(start, end)).alias("end"))
+
+
+def location_in(starts: Column, length: Column, offset: Column) -> Column:
+    """``location_at`` by the line starts of a text, worked out once for many places."""
+    at = F.greatest(F.least(offset, length), F.lit(0)).cast("int")
+    line = F.size(F.filter(starts, lambda x: x <= at))
+    return F.struct(line.alias("line"), (at - F.get(starts, line - 1) + 1).alias("column"), at.alias("offset"))
+
+
+def span_in(starts: Column, length: Column, start: Column, end: Column) -> Column:
+    return F.struct(location_in(starts, length, start).alias("start"), location_in(starts, length, F.greatest(start, end)).alias("end"))
+
 
-    from ..formats import json, proto, toml, xml, xpath, yaml
+def show_location(loc: Column) -> Column:
+    return F.concat(F.lit("line "), loc["line"], F.lit(", column "), loc["column"], F.lit(" (offset "), loc["offset"], F.lit(")"))
 
-    def status(f):
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([f(t).status if isinstance(t, str) else None for t in texts], dtype=object)
+
+def show_result(r: Column) -> Column:
+    """A result as a sentence."""
+    told = F.array_join(F.transform(errors(r), show_error), "; ")
+    return F.when(is_success(r), F.concat(F.lit("Success("), r["value"].cast("string"), F.lit(", "), r["consumed"], F.lit(")"))).when(is_partial(r), F.concat(F.lit("Partial("), r["value"].cast("string"), F.lit(", "), told, F.lit(")"))).otherwise(F.concat(F.lit("Failure("), told, F.lit(")")))
+
+
+def same_result(a: Column, b: Column) -> Column:
+    """Whether two results are equal; nulls equal nulls."""
+    return a["status"].eqNullSafe(b["status"]) & a["value"].eqNullSafe(b["value"]) & a["errors"].eqNullSafe(b["errors"]) & a["consumed"].eqNullSafe(b["consumed"])
+
+
+def result_summary(r: Column) -> Column:
+    """An aggregate over results: how many of each status, characters consumed, and the messages of the first failure's errors by offset."""
+    first = F.min(F.when(is_failure(r), F.struct(r["furthest"]["offset"].alias("offset"), F.array_sort(F.transform(errors(r), show_error)).alias("errors"))))
+    n = lambda k: F.coalesce(F.sum((r["status"] == k).cast("long")), F.lit(0).cast("long"))
+    return F.struct(n("success").alias("successes"), n("partial").alias("partials"), n("failure").alias("failures"), F.coalesce(F.sum(r["consumed"].cast("long")), F.lit(0).cast("long")).alias("consumed"), first.alias("first_failure"))
+
+
+def register(spark: SparkSession) -> None:
+    """Formats for SQL: <format>_status(text); <format>_value(text), the value as JSON; xpath_normal(text); and the table functions
+    json_nodes(text), the lossless tree's nodes, xml_nodes(text), csv_records(text), toml_pairs(text), for FROM and LATERAL."""
+    import json as std
+
+    import pyarrow as pa
+
+    from ..formats import csv, json, proto, toml, xml, xpath, yaml
+    from ..operators import trees, xpath_axes
+    from ..plans import _Held  # noqa: F401 - parsers travel as they do there
+
+    def plain(v: Any) -> Any:
+        if isinstance(v, json.Number):
+            return json.plain(v)
+        if dataclasses.is_dataclass(v) and not isinstance(v, type):
+            return {f.name: plain(getattr(v, f.name)) for f in dataclasses.fields(v)}
+        if isinstance(v, dict):
+            return {str(k): plain(x) for k, x in v.items()}
+        if isinstance(v, (list, tuple)):
+            return [plain(x) for x in v]
+        return v.isoformat() if hasattr(v, "isoformat") else v
+
+    def status(f: Callable) -> Callable:
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array([None if t is None else f(t).status for t in texts.to_pylist()], pa.string())
 
         return run
 
-    for name, f in (("json", json.parse_json), ("toml", toml.parse_toml), ("xml", xml.parse_xml), ("yaml", yaml.parse_yaml), ("proto", proto.parse_proto)):
-        run = status(f)
-        run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-        spark.udf.register(f"{name}_status", F.pandas_udf(run, "string"))
+    def shown(f: Callable) -> Callable:
+        def run(texts: pa.Array) -> pa.Array:
+            results = [None if t is None else f(t) for t in texts.to_pylist()]
+            return pa.array([None if r is None or r.status == "failure" else std.dumps(plain(r.value), ensure_ascii=False) for r in results], pa.string())
 
-    def normal(texts: pd.Series) -> pd.Series:
-        results = [xpath.parse_xpath(t) if isinstance(t, str) else None for t in texts]
-        return pd.Series([None if r is None or r.status == "failure" else xpath.print_xpath(r.value) for r in results], dtype=object)
+        return run
 
-    normal.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    spark.udf.register("xpath_normal", F.pandas_udf(normal, "string"))
+    def arrow(run: Callable) -> Callable:
+        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, "string")
+
+    for name, f in (("csv", csv.parse_csv), ("json", json.parse_json), ("toml", toml.parse_toml), ("xml", xml.parse_xml), ("yaml", yaml.parse_yaml), ("proto", proto.parse_proto)):
+        spark.udf.register(f"{name}_status", arrow(status(f)))
+        spark.udf.register(f"{name}_value", arrow(shown(f)))
+
+    def normal(texts: pa.Array) -> pa.Array:
+        results = [None if t is None else xpath.parse_xpath(t) for t in texts.to_pylist()]
+        return pa.array([None if r is None or r.status == "failure" else xpath.print_xpath(r.value) for r in results], pa.string())
+
+    spark.udf.register("xpath_normal", arrow(normal))
+
+    class JsonNodes:
+        def eval(self, text: str):
+            r = None if text is None else json.parse_lossless(text)
+            if r is not None and r.status != "failure":
+                yield from (x[1:11] for x in trees.rows_of(None, r.value))
+
+    class XmlNodes:
+        def eval(self, text: str):
+            r = None if text is None else xml.parse_xml(text)
+            if r is not None and r.status != "failure":
+                yield from (x[1:] for x in xpath_axes.rows_of(None, r.value))
+
+    class CsvRecords:
+        def eval(self, text: str):
+            r = None if text is None else csv.parse_csv(text)
+            if r is not None and r.status != "failure":
+                yield from enumerate(r.value)
+
+    class TomlPairs:
+        def eval(self, text: str):
+            r = None if text is None else toml.parse_toml(text)
+            if r is not None and r.status != "failure":
+                yield from toml.rows(r.value)
+
+    for name, kind, schema in (
+        ("json_nodes", JsonNodes, NODE.partition(", ")[2].partition(", path")[0]),
+        ("xml_nodes", XmlNodes, xpath_axes.XML_NODE.partition(", ")[2]),
+        ("csv_records", CsvRecords, "row int, fields array<string>"),
+        ("toml_pairs", TomlPairs, "path array<string>, index array<int>, key string, type string, value string"),
+    ):
+        spark.udtf.register(name, F.udtf(kind, returnType=schema))

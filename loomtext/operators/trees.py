@@ -1,11 +1,14 @@
 """Lossless trees as node tables: one row for each node, in pre-order, with intervals for navigation.
 
-``node_id`` and ``last_desc`` bound a node's descendants, so that ancestors and descendants are range
-conditions within a document; every join and window has the document in its key.
+``node_id`` and ``last_desc`` bound a node's descendants, ``offset`` and ``width`` its text.  What lies in what is
+found by ``contained``: each interval is cut in blocks of powers of two, two of a size at most, and each point names the
+block of each size that it lies in, so that containment is an equality join that forms no other pairs.  A large document
+is thus dealt over tasks, and costs its logarithm, not its square.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,40 +18,57 @@ from pyspark.sql import functions as F
 from ..machine import Node, Result
 from ..schema import NODE
 
-_TYPES = [pa.int64(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+_TYPES = [pa.int64(), *[pa.int32()] * 5, pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int64()]
 _NAMES = [x.split()[0] for x in NODE.split(", ")]
 
 
-def rows_of(doc: int | None, root: Node) -> list[tuple]:
+def _digest(node: Node, below: list[bytes]) -> bytes:
+    head = f"{node.cls}\0{node.kind}\0{len(node.text)}\0{node.text}\0{len(below)}\0".encode("utf-8", "surrogatepass")
+    return hashlib.blake2b(head + b"".join(below), digest_size=8).digest()
+
+
+def rows_of(doc: int | None, root: Node, paths: bool = False, structure: bool = False) -> list[tuple]:
     """The rows of one tree, children after their parents."""
     out: list[list] = []
     work: list[tuple] = [(root, -1, 0, 0)]
+    below: list[list[bytes]] = [[]]
     at = 0
     while work:
         node, parent, index, depth = work.pop()
         if node is None:  # all below this parent are out
             out[parent][2] = len(out) - 1
             out[parent][9] = at - out[parent][10]
+            if structure:
+                own = below.pop()
+                below[-1].append(_digest(index, own))
+                out[parent][12] = int.from_bytes(below[-1][-1], "little", signed=True)
             continue
         me = len(out)
-        out.append([doc, me, me, None if parent < 0 else parent, index, depth, node.cls, node.kind, node.text, len(node.text), at])
+        path = None if not paths else [] if parent < 0 else [*out[parent][11], index]
+        out.append([doc, me, me, None if parent < 0 else parent, index, depth, node.cls, node.kind, node.text, len(node.text), at, path, None])
         at += len(node.text)
         if node.children:
-            work.append((None, me, 0, 0))
+            # Its own node travels with the mark, for the hash.
+            work.append((None, me, node, 0))
             work += [(c, me, i, depth + 1) for i, c in reversed(list(enumerate(node.children)))]
+            if structure:
+                below.append([])
+        elif structure:
+            below[-1].append(_digest(node, []))
+            out[me][12] = int.from_bytes(below[-1][-1], "little", signed=True)
     return [tuple(r) for r in out]
 
 
-def node_table(df: DataFrame, parse: Callable[[str], Result], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Nodes of each text that parses to a tree; others have none."""
+def node_table(df: DataFrame, parse: Callable[[str], Result], id_col: str = "doc_id", text_col: str = "text", paths: bool = False, structure: bool = False) -> DataFrame:
+    """Nodes of each text that parses to a tree; others have none. A path takes as much room as a node is deep."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                r = parse(text.as_py()) if text.is_valid else None
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                r = None if text is None else parse(text)
                 if r is not None and r.status != "failure":
-                    rows += rows_of(doc.as_py(), r.value)
+                    rows += rows_of(doc, r.value, paths, structure)
                 if len(rows) > 50_000:
                     yield _batch(rows)
                     rows = []
@@ -62,6 +82,33 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
 
+def _blocks(first: Column, last: Column) -> Column:
+    """The blocks (size as a power of two, number) that make up [first, last]; none for an empty interval."""
+    stop = last + 1
+
+    def at(k: Column) -> Column:
+        a = F.call_function("shiftright", first + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+        b = F.call_function("shiftright", stop, k)
+        left = F.when((a < b) & (a % 2 == 1), F.struct(k.alias("k"), a.alias("b")))
+        right = F.when((a < b) & (b % 2 == 1), F.struct(k.alias("k"), (b - 1).alias("b")))
+        return F.array(left, right)
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2((stop - first).cast("double")) + 1e-9).cast("int"))
+    return F.filter(F.flatten(F.transform(levels, at)), lambda x: x.isNotNull())
+
+
+def contained(points: DataFrame, point: Column, intervals: DataFrame, first: Column, last: Column, doc_col: str = "doc_id") -> DataFrame:
+    """All columns of both sides for each point in an interval [first, last] of its document; clashing names are the caller's to avoid."""
+    cut = intervals.withColumns({"__a": first.cast("long"), "__z": last.cast("long")}).filter("__a <= __z")
+    cut = cut.withColumn("__x", F.explode(_blocks(F.col("__a"), F.col("__z")))).drop("__a", "__z").withColumnRenamed(doc_col, "__d")
+    # Only sizes that a document's intervals have are looked for.
+    sizes = cut.groupBy(F.col("__d").alias("__e")).agg(F.collect_set("__x.k").alias("__ks"))
+    put = points.withColumn("__p", point.cast("long")).join(sizes, F.col(doc_col).eqNullSafe(F.col("__e")))
+    put = put.withColumn("__k", F.explode("__ks")).withColumn("__b", F.call_function("shiftright", "__p", "__k"))
+    both = put.join(cut, F.col(doc_col).eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__x.k")) & (F.col("__b") == F.col("__x.b")))
+    return both.drop("__p", "__e", "__ks", "__k", "__b", "__d", "__x")
+
+
 def to_source(nodes: DataFrame) -> DataFrame:
     """(doc_id, text): leaves in order; missing nodes have no text."""
     ordered = F.array_sort(F.collect_list(F.struct("node_id", "text")))
@@ -79,40 +126,55 @@ def siblings(nodes: DataFrame) -> DataFrame:
     return nodes.withColumns({"prev_sibling": F.lag("node_id").over(order), "next_sibling": F.lead("node_id").over(order)})
 
 
+def located(nodes: DataFrame) -> DataFrame:
+    """Each node with the 1-based line and column at which it begins, from the texts of the nodes before it."""
+    before = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    last = F.when(ends > 0, F.col("offset") + F.length("text") - F.length(F.substring_index("text", "\n", -1)))
+    line = F.coalesce(F.sum(ends).over(before), F.lit(0)) + 1
+    column = F.col("offset") - F.coalesce(F.max(last).over(before), F.lit(0)) + 1
+    return nodes.withColumns({"line": line.cast("int"), "column": column.cast("int")})
+
+
 def descendants(nodes: DataFrame, of: Column) -> DataFrame:
     """(doc_id, ancestor_id, node_id, kind): all below the nodes that satisfy a condition."""
-    top = nodes.filter(of).select(F.col("doc_id").alias("d"), F.col("node_id").alias("ancestor_id"), F.col("last_desc").alias("last"))
-    return nodes.join(top, (F.col("doc_id") == F.col("d")) & (F.col("node_id") > F.col("ancestor_id")) & (F.col("node_id") <= F.col("last"))).select("doc_id", "ancestor_id", "node_id", "kind")
+    top = nodes.filter(of).select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("last_desc").alias("last"))
+    return contained(nodes.select("doc_id", "node_id", "kind"), F.col("node_id"), top, F.col("ancestor_id") + 1, F.col("last")).select("doc_id", "ancestor_id", "node_id", "kind")
 
 
 def ancestors(nodes: DataFrame, of: Column) -> DataFrame:
     """(doc_id, node_id, ancestor_id, kind, depth): all above the nodes that satisfy a condition."""
-    low = nodes.filter(of).select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"))
-    return nodes.join(low, (F.col("doc_id") == F.col("d")) & (F.col("n") > F.col("node_id")) & (F.col("n") <= F.col("last_desc"))).select("doc_id", F.col("n").alias("node_id"), F.col("node_id").alias("ancestor_id"), "kind", "depth")
+    low = nodes.filter(of).select("doc_id", "node_id")
+    above = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), "last_desc", "kind", "depth")
+    return contained(low, F.col("node_id"), above, F.col("ancestor_id") + 1, F.col("last_desc")).select("doc_id", "node_id", "ancestor_id", "kind", "depth")
 
 
 def node_at(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """The deepest node over each (doc_id, target), the end exclusive; none at the end of the text."""
-    hit = nodes.join(targets, "doc_id").filter((F.col("offset") <= F.col("target")) & (F.col("target") < F.col("offset") + F.col("width")))
+    own = nodes.select("doc_id", "node_id", "kind", "depth", "offset", "width")
+    hit = contained(targets.select("doc_id", "target").distinct(), F.col("target"), own, F.col("offset"), F.col("offset") + F.col("width") - 1)
     return hit.groupBy("doc_id", "target").agg(F.max_by(F.struct("node_id", "kind", "depth"), "depth").alias("n")).select("doc_id", "target", "n.*")
 
 
 def enclosing(nodes: DataFrame, ranges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """The deepest node that holds each (doc_id, start, end), both edges included; with ``kinds``, of one of them:
     the region to parse again after an edit."""
-    hit = nodes.join(ranges, "doc_id").filter((F.col("offset") <= F.col("start")) & (F.col("end") <= F.col("offset") + F.col("width")))
-    hit = hit.filter(F.col("kind").isin(kinds)) if kinds else hit
+    own = nodes.filter(F.col("kind").isin(kinds)) if kinds else nodes
+    own = own.select("doc_id", "node_id", "kind", "depth", "offset", "width")
+    hit = contained(ranges.select("doc_id", "start", "end").distinct(), F.col("start"), own, F.col("offset"), F.col("offset") + F.col("width"))
+    hit = hit.filter(F.col("end") <= F.col("offset") + F.col("width"))
     return hit.groupBy("doc_id", "start", "end").agg(F.max_by(F.struct("node_id", "kind", "offset", "width"), F.struct("depth", "node_id")).alias("n")).select("doc_id", "start", "end", "n.*")
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, path): child indexes from the root."""
-    above = ancestors(nodes, F.lit(True)).select("doc_id", "node_id", "ancestor_id")
+    """(doc_id, node_id, path): child indexes from the root; those that the parser gave, where it did."""
+    above = ancestors(nodes, F.col("path").isNull()).select("doc_id", "node_id", "ancestor_id")
     step = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), "child_index", "depth")
-    own = nodes.select("doc_id", "node_id", F.col("node_id").alias("ancestor_id"))
+    own = nodes.filter("path is null").select("doc_id", "node_id", F.col("node_id").alias("ancestor_id"))
     chain = above.union(own).join(step, ["doc_id", "ancestor_id"]).filter("depth > 0")
-    found = chain.groupBy("doc_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "child_index"))), lambda x: x["child_index"]).alias("path"))
-    return nodes.select("doc_id", "node_id").join(found, ["doc_id", "node_id"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<int>")))
+    found = chain.groupBy("doc_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "child_index"))), lambda x: x["child_index"]).alias("found"))
+    given = nodes.select("doc_id", "node_id", "path")
+    return given.join(found, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("path", "found", F.array().cast("array<int>")).alias("path"))
 
 
 def problems(nodes: DataFrame) -> DataFrame:
@@ -125,9 +187,62 @@ def interned(nodes: DataFrame) -> DataFrame:
     return nodes.filter("node_class = 'token'").groupBy("kind", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
+def interned_trees(nodes: DataFrame) -> DataFrame:
+    """(structure, kind, width, nodes, n): distinct subtrees, equal in kinds, texts and shape, with the number of their occurrences.
+    The table must have been made with ``structure``."""
+    size = F.col("last_desc") - F.col("node_id") + 1
+    return nodes.filter("structure is not null").groupBy("structure", "kind", "width", size.alias("nodes")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def replace_at(nodes: DataFrame, edits: DataFrame) -> DataFrame:
-    """(doc_id, text) after the nodes in ``edits`` (doc_id, target, new_text) got new texts; what was below them goes."""
-    top = nodes.select("doc_id", F.col("node_id").alias("target"), F.col("last_desc").alias("last")).join(edits, ["doc_id", "target"])
-    inside = top.select(F.col("doc_id").alias("d"), "target", "last", "new_text")
-    hit = nodes.join(inside, (F.col("doc_id") == F.col("d")) & (F.col("node_id") >= F.col("target")) & (F.col("node_id") <= F.col("last")), "left")
-    return to_source(hit.withColumn("text", F.when(F.col("d").isNull(), F.col("text")).when(F.col("node_id") == F.col("target"), F.col("new_text")).otherwise("")).select(*nodes.columns))
+    """The node table after the nodes in ``edits`` (doc_id, target, new_text) became tokens of that text, of the same kind; what was
+    below them goes. Of nested targets the outer one counts; of several texts for a target the least."""
+    only = edits.groupBy("doc_id", "target").agg(F.min("new_text").alias("text"))
+    kinds = nodes.select("doc_id", F.col("node_id").alias("target"), "kind")
+    new = only.join(kinds, ["doc_id", "target"])
+    zero = F.lit(0)
+    new = new.select("doc_id", "target", zero.alias("node_id"), zero.alias("last_desc"), F.lit(None).cast("int").alias("parent_id"), zero.alias("child_index"), zero.alias("depth"), F.lit("token").alias("node_class"), "kind", "text")
+    return spliced(nodes, new)
+
+
+def spliced(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """The node table with subtrees put in place of others: ``new`` holds for each (doc_id, target) the rows of a tree, numbered from 0.
+
+    What does not lie in a target stays and is numbered anew; lengths, offsets and ends of intervals follow.  A target
+    that is in another one, or in no document, is left out.  Paths and structures are null.
+    """
+    keys = new.select("doc_id", "target").distinct()
+    spans = nodes.join(keys, (nodes["doc_id"].eqNullSafe(keys["doc_id"])) & (nodes["node_id"] == keys["target"]), "left_semi")
+    spans = spans.select("doc_id", F.col("node_id").alias("target"), F.col("last_desc").alias("last"), F.col("parent_id").alias("up"), F.col("child_index").alias("place"), F.col("depth").alias("down"), F.col("width").alias("old_width"))
+    inner = contained(spans.select("doc_id", F.col("target").alias("inner")), F.col("inner"), spans.select("doc_id", "target", "last"), F.col("target") + 1, F.col("last"))
+    spans = spans.join(inner.select("doc_id", F.col("inner").alias("target")).distinct(), ["doc_id", "target"], "left_anti")
+    sized = new.groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("added"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("new_width"))
+    spans = spans.join(sized, ["doc_id", "target"])
+    gone = contained(nodes.select("doc_id", "node_id"), F.col("node_id"), spans.select("doc_id", "target", "last"), F.col("target"), F.col("last")).select("doc_id", "node_id")
+    kept = nodes.join(gone, ["doc_id", "node_id"], "left_anti")
+    # By how many rows and characters each ancestor grows.
+    grown = contained(spans.select("doc_id", "target", (F.col("added") - (F.col("last") - F.col("target") + 1)).alias("rows"), (F.col("new_width") - F.col("old_width")).alias("chars")), F.col("target"), nodes.select("doc_id", "node_id", "last_desc"), F.col("node_id") + 1, F.col("last_desc"))
+    grown = grown.groupBy("doc_id", "node_id").agg(F.sum("rows").alias("rows"), F.sum("chars").alias("chars"))
+    kept = kept.join(grown, ["doc_id", "node_id"], "left").select(
+        "doc_id", F.col("node_id").alias("anchor"), F.lit(0).alias("sub"), (F.col("last_desc") - F.col("node_id") + F.coalesce("rows", F.lit(0))).alias("below"), F.col("parent_id").alias("up"), F.lit(0).alias("up_sub"),
+        "child_index", "depth", "node_class", "kind", "text", (F.col("width") + F.coalesce("chars", F.lit(0))).alias("width"),
+    )
+    root = F.col("node_id") == 0
+    upto = Window.partitionBy("doc_id", "target").orderBy("node_id")
+    ends = new.withColumns({"__end": F.sum(F.length("text")).over(upto), "__w": F.length("text")}).select("doc_id", "target", "node_id", "last_desc", "__end", "__w")
+    stops = ends.select("doc_id", "target", F.col("node_id").alias("last_desc"), F.col("__end").alias("__stop"))
+    widths = ends.join(stops, ["doc_id", "target", "last_desc"]).select("doc_id", "target", "node_id", (F.col("__stop") - F.col("__end") + F.col("__w")).alias("own_width"))
+    put = new.join(widths, ["doc_id", "target", "node_id"]).join(spans.select("doc_id", "target", "up", "place", "down"), ["doc_id", "target"]).select(
+        "doc_id", F.col("target").alias("anchor"), F.col("node_id").alias("sub"), (F.col("last_desc") - F.col("node_id")).alias("below"), F.when(root, F.col("up")).otherwise(F.col("target")).alias("up"), F.when(root, 0).otherwise(F.col("parent_id")).alias("up_sub"),
+        F.when(root, F.col("place")).otherwise(F.col("child_index")).alias("child_index"), (F.col("down") + F.col("depth")).alias("depth"), "node_class", "kind", "text", F.col("own_width").alias("width"),
+    )
+    order = Window.partitionBy("doc_id").orderBy("anchor", "sub")
+    text = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A parent stands before its children, and its own number is what they need.
+    out = kept.unionByName(put).withColumns({"id": F.row_number().over(order) - 1, "at": text})
+    ups = out.select("doc_id", F.col("anchor").alias("up"), F.col("sub").alias("up_sub"), F.col("id").alias("parent"))
+    out = out.join(ups, ["doc_id", "up", "up_sub"], "left")
+    return out.select(
+        "doc_id", F.col("id").cast("int").alias("node_id"), (F.col("id") + F.col("below")).cast("int").alias("last_desc"), F.col("parent").cast("int").alias("parent_id"), F.col("child_index").cast("int").alias("child_index"), F.col("depth").cast("int").alias("depth"),
+        "node_class", "kind", "text", F.col("width").cast("int").alias("width"), F.col("at").cast("int").alias("offset"), F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("bigint").alias("structure"),
+    )

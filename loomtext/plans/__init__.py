@@ -61,10 +61,10 @@ class _Held:
     def __init__(self, source: P | Callable[[str], Result]):
         self.source, self.parser = source, None
 
-    def __call__(self, text: str) -> Result:
+    def __call__(self, text: str, *start: int) -> Result:
         if self.parser is None:
             self.parser = Parser(self.source) if isinstance(self.source, P) else self.source
-        return self.parser(text)
+        return self.parser(text, *start)
 
     def __getstate__(self) -> dict:
         return {"source": self.source, "parser": None}
@@ -131,6 +131,20 @@ def traced(text: Column, p: P, value_type: str = "string", value: Callable[[Any]
     return _interpreted(text, _Held(p), value_type, value, True)
 
 
+def parse_from(text: Column, start: Column, p: P, value_type: str, value: Callable[[Any], Any] = _same) -> Column:
+    """RESULT of each text from an offset on: ``consumed`` counts from there, locations are those of the whole text."""
+    held = _Held(p)
+    kind = to_arrow_type(fields(f"r {result_type(value_type)}")["r"].dataType)
+
+    @F.arrow_udf(result_type(value_type))
+    def run(texts: pa.Array, starts: pa.Array) -> pa.Array:
+        at = iter([x for x in starts.to_pylist() if x is not None])
+        return _struct(texts, lambda t: held(t, next(at)), value, kind, False)
+
+    # A null on either side is one on both; the starts left are those of the texts left.
+    return run(F.when(start.isNotNull(), text), F.when(text.isNotNull(), start).cast("int"))
+
+
 def parse_value(text: Column, p: P | Callable[[str], Result], value_type: str, value: Callable[[Any], Any] = _same) -> Column:
     """Only the value; null for failures."""
     fast = values.lowered(p) if isinstance(p, P) and value is _same else None

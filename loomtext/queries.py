@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from . import derive, plans
 from .formats import csv, json, proto, toml, xml, xpath, yaml
 from .formats.common import block_comment, double_quoted_string, floating_point, hspaces, identifier
-from .functions import and_then, column_of, is_failure, is_partial, line_of, line_starts, register, show_error, utf16_offset
+from .functions import and_then, column_of, is_failure, is_partial, line_of, line_starts, register, result_summary, same_result, show_error, show_result, span_at, span_in, utf16_offset
 from .grammar import OnPair, Op, P, Ref, alpha_num, any_char, c_family, char, choice, digit, eof, fail, first_char_choice, keywords, letter, none_of, offset, one_of, pratt, satisfy, spaces, string, string_in, succeed, symbol, token, tree_of
 from .incremental import TextEdit, json_bundle, reparse, reparse_all
-from .operators import edits, trees
+from .operators import edits, trees, xpath_axes
 from .sources import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,37 +220,81 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
     return trees.node_table(_order_json(spark, d), json.parse_lossless, "o_orderkey", "t")
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS objects, CAST(1 AS BIGINT) AS arrays, CAST(4 AS BIGINT) AS members, CAST(6 AS BIGINT) AS strings FROM orders")
+#: {"k": <key>, "a": ["s1", "s2", ...]} with key % 4 strings: documents of different shapes.
+_SHAPES = "WITH o AS (SELECT o_orderkey AS doc_id, length(CAST(o_orderkey AS VARCHAR)) AS l, o_orderkey % 4 AS m FROM orders) "
+
+
+def _shapes(spark: SparkSession, d: str, **how) -> DataFrame:
+    strings = "array_join(transform(filter(array(1, 2, 3), i -> i <= o_orderkey % 4), i -> concat('\"s', i, '\"')), ', ')"
+    t = read_table(spark, d, "orders").select("o_orderkey", F.expr(f"""concat('{{"k": ', o_orderkey, ', "a": [', {strings}, ']}}')""").alias("t"))
+    return trees.node_table(t, json.parse_lossless, "o_orderkey", "t", **how)
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return read_table(spark, d, "orders").select(k.alias("doc_id"), F.length(k.cast("string")).alias("l"), (k % 4).alias("m"))
+
+
+@query(_SHAPES + "SELECT doc_id, CAST(1 AS BIGINT) AS objects, CAST(1 AS BIGINT) AS arrays, CAST(2 AS BIGINT) AS members, CAST(2 + m AS BIGINT) AS strings, CAST(1 + greatest(m - 1, 0) AS BIGINT) AS commas FROM o")
 def tree_kinds(spark: SparkSession, d: str) -> DataFrame:
     n = lambda k: F.sum((F.col("kind") == k).cast("long"))
-    return _nodes(spark, d).groupBy("doc_id").agg(n("Object").alias("objects"), n("Array").alias("arrays"), n("Member").alias("members"), n("String").alias("strings"))
+    return _shapes(spark, d).groupBy("doc_id").agg(n("Object").alias("objects"), n("Array").alias("arrays"), n("Member").alias("members"), n("String").alias("strings"), n("Comma").alias("commas"))
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(8 AS INTEGER) AS target, 'Number' AS kind FROM orders")
+@query(_SHAPES + """, t AS (SELECT doc_id, l, CAST(doc_id % (14 + l) AS INTEGER) AS target FROM o)
+    SELECT doc_id, target, CASE WHEN target = 0 THEN 'LeftBrace' WHEN target < 4 THEN 'String' WHEN target = 4 THEN 'Colon' WHEN target = 5 THEN 'Whitespace' WHEN target < 6 + l THEN 'Number' WHEN target = 6 + l THEN 'Comma'
+        WHEN target = 7 + l THEN 'Whitespace' WHEN target < 11 + l THEN 'String' WHEN target = 11 + l THEN 'Colon' WHEN target = 12 + l THEN 'Whitespace' ELSE 'LeftBracket' END AS kind FROM t""")
 def tree_node_at(spark: SparkSession, d: str) -> DataFrame:
-    targets = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(8).alias("target"))
-    return trees.node_at(_nodes(spark, d), targets).select("doc_id", "target", "kind")
+    targets = _orders(spark, d).select("doc_id", F.expr("doc_id % (14 + l)").cast("int").alias("target"))
+    return trees.node_at(_shapes(spark, d), targets).select("doc_id", "target", "kind")
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(2 AS BIGINT) AS n FROM orders")
+@query(_SHAPES + "SELECT doc_id, 'Array' AS above, CAST(CASE m WHEN 0 THEN 2 ELSE 3 * m END AS BIGINT) AS n FROM o UNION ALL SELECT doc_id, 'Object', CAST(14 + CASE m WHEN 0 THEN 2 ELSE 3 * m END AS BIGINT) FROM o")
 def tree_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Members below an inner object's ancestors: the object in the member "in" has one, the outer object's interval holds it."""
-    nodes = _nodes(spark, d)
-    below = trees.descendants(nodes, F.col("kind") == "Object").filter("kind = 'Colon'")
-    return below.groupBy("doc_id", "node_id").count().filter("count = 2").groupBy("doc_id").agg(F.max("count").alias("n"))
+    """How much lies below each array and object."""
+    nodes = _shapes(spark, d)
+    below = trees.descendants(nodes, F.col("kind").isin("Object", "Array"))
+    names = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("kind").alias("above"))
+    return below.join(names, ["doc_id", "ancestor_id"]).groupBy("doc_id", "above").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(8 AS INTEGER) AS start, CAST(9 AS INTEGER) AS \"end\", 'Object' AS kind, CAST(0 AS INTEGER) AS offset FROM orders")
+@query(_SHAPES + """SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN 8 ELSE 14 + l END AS INTEGER) AS start, CASE doc_id % 3 WHEN 0 THEN 'Object' ELSE 'Array' END AS kind, CAST(CASE doc_id % 3 WHEN 0 THEN 0 ELSE 13 + l END AS INTEGER) AS offset,
+    CAST(CASE m WHEN 0 THEN 2 ELSE 6 * m END + CASE doc_id % 3 WHEN 0 THEN 14 + l ELSE 0 END AS INTEGER) AS width FROM o""")
 def tree_reparse_region(spark: SparkSession, d: str) -> DataFrame:
-    ranges = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(8).alias("start"), F.lit(9).alias("end"))
-    return trees.enclosing(_nodes(spark, d), ranges, ["Object", "Array"]).select("doc_id", "start", "end", "kind", "offset")
+    start = F.expr("CASE doc_id % 3 WHEN 0 THEN 8 ELSE 14 + l END").cast("int")
+    ranges = _orders(spark, d).select("doc_id", start.alias("start"), start.alias("end"))
+    return trees.enclosing(_shapes(spark, d), ranges, ["Object", "Array"]).select("doc_id", "start", "kind", "offset", "width")
+
+
+@query("SELECT o_orderkey % 4 AS m, count(*) AS n, CAST(CASE o_orderkey % 4 WHEN 0 THEN 2 ELSE 6 * (o_orderkey % 4) END AS INTEGER) AS width FROM orders GROUP BY ALL")
+def tree_interned_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays that are equal in kinds, texts and shape are one entry."""
+    found = trees.interned_trees(_shapes(spark, d, structure=True)).filter("kind = 'Array'")
+    return found.select(F.expr("CAST(CASE width WHEN 2 THEN 0 ELSE width / 6 END AS BIGINT)").alias("m"), "n", "width")
+
+
+@query(_SHAPES + "SELECT doc_id, CAST(1 AS INTEGER) AS line, CAST(14 + l AS INTEGER) AS \"column\" FROM o UNION ALL SELECT doc_id, 1, CAST(15 + 6 * (i - 1) + l AS INTEGER) FROM o, unnest(range(1, m + 1)) t(i)")
+def tree_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Line and column of each array and of the strings in it."""
+    nodes = trees.located(_shapes(spark, d, paths=True))
+    return nodes.filter("kind = 'Array' or (kind = 'String' and depth = 4)").select("doc_id", "line", "column")
 
 
 @query("""SELECT o_orderkey AS doc_id, '{ "id": 0, "tags": ["' || o_orderstatus || '", "' || o_orderpriority || '", null], "in": {"c" : ' || o_custkey || '} }' AS text FROM orders""")
 def tree_replace(spark: SparkSession, d: str) -> DataFrame:
     nodes = _nodes(spark, d)
     first = nodes.filter("kind = 'Number'").groupBy("doc_id").agg(F.min("node_id").alias("target")).withColumn("new_text", F.lit("0"))
-    return trees.replace_at(nodes, first)
+    return trees.to_source(trees.replace_at(nodes, first))
+
+
+@query("""SELECT o_orderkey AS doc_id, '{"k": ' || o_orderkey || ', "a": <' || o_custkey || '>}' AS text, CAST(16 AS BIGINT) AS nodes, CAST(16 + length(CAST(o_orderkey AS VARCHAR)) + length(CAST(o_custkey AS VARCHAR)) AS INTEGER) AS width, 'token' AS class, CAST(13 + length(CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS offset FROM orders""")
+def tree_splice(spark: SparkSession, d: str) -> DataFrame:
+    """Each array, whatever it holds, becomes a token: texts, numbers, widths and offsets of the new node table."""
+    nodes = _shapes(spark, d)
+    keys = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("<"), "o_custkey", F.lit(">")).alias("new_text"))
+    new = trees.replace_at(nodes, nodes.filter("kind = 'Array'").select("doc_id", F.col("node_id").alias("target")).join(keys, "doc_id"))
+    per = new.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"), F.max(F.when(F.col("node_id") == 0, F.col("width"))).alias("width"), F.max(F.when(F.col("kind") == "Array", F.struct(F.col("node_class").alias("class"), "offset"))).alias("a"))
+    return trees.to_source(new).join(per, "doc_id").select("doc_id", "text", "nodes", "width", "a.class", "a.offset")
 
 
 @query("SELECT count(*) AS tokens, CAST(sum(n) AS BIGINT) AS total FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
@@ -295,11 +339,79 @@ def _xml_row(doc: xml.Document) -> dict:
     return {"name": doc.root.children[0].children[0].text, "note": doc.root.attributes[0][1], "children": len(doc.root.children)}
 
 
-@query("SELECT count(*) AS n FROM pages")
-def xml_pages_not_well_formed(spark: SparkSession, d: str) -> DataFrame:
-    """Raw pages are no XML: every one is a failure with a position, none an error of the job."""
-    r = plans.parse(F.col("html"), xml.parse_xml, "int", lambda v: 1)
-    return read_table(spark, d, "pages").select(r.alias("r")).filter(is_failure(F.col("r")) & (F.col("r.furthest.offset") > 0)).agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'failure' ELSE 'success' END AS status, CAST(CASE WHEN page_id % 3 <> 0 THEN length(coalesce(html, '')) END AS INTEGER) AS n, true AS placed FROM pages")
+def xml_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Raw pages are no XML: a failure with a position, not an error of the job. In a CDATA section they are text, kept as it is."""
+    html = F.coalesce("html", F.lit(""))
+    text = F.when(F.col("page_id") % 3 == 0, html).otherwise(F.concat(F.lit("<page><![CDATA["), html, F.lit("]]></page>")))
+    r = plans.parse(text, xml.parse_xml, "int", _page_length)
+    return read_table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.status", F.col("r.value").alias("n"), (~is_failure(F.col("r")) | (F.size("r.errors") > 0)).alias("placed"))
+
+
+def _page_length(doc: xml.Document) -> int:
+    return sum(len(c.text) for c in doc.root.children)
+
+
+_CATALOG = """concat('<catalog n="', count(1), '">', array_join(transform(array_sort(collect_list(struct(p_partkey, p_name, p_size, p_brand))), x -> concat('<part id="', x.p_partkey, '" size="', x.p_size, '"><name>', x.p_name, '</name>', IF(x.p_size % 2 = 0, '<even/>', ''), '<maker><name>', x.p_brand, '</name></maker></part>')), ''), '</catalog>')"""
+
+
+def _catalog(spark: SparkSession, d: str) -> DataFrame:
+    """One document for each of 50 groups of parts."""
+    t = read_table(spark, d, "part").groupBy((F.col("p_partkey") % 50).alias("g")).agg(F.expr(_CATALOG).alias("t"))
+    return xpath_axes.xml_nodes(t, "g", "t")
+
+
+def _xpath(name: str, expression: str, sql: str) -> None:
+    """Nodes that a path finds: how many and their values, by document."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        found = xpath_axes.select(_catalog(spark, d), expression)
+        return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+    run.__name__ = name
+    query(f"WITH p AS (SELECT *, CAST(p_partkey % 50 AS BIGINT) AS doc_id, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_partkey % 50) AS k FROM part) SELECT doc_id, count(*) AS n, min(v) AS low, max(v) AS high FROM ({sql}) GROUP BY 1")(run)
+
+
+_xpath("xpath_child", "/catalog/part/name", "SELECT doc_id, p_name AS v FROM p")
+_xpath("xpath_descendant", "//name", "SELECT doc_id, p_name AS v FROM p UNION ALL SELECT doc_id, p_brand FROM p")
+_xpath("xpath_attribute", "//part[@size > 25 and not(even)]/@id", "SELECT doc_id, CAST(p_partkey AS VARCHAR) AS v FROM p WHERE p_size > 25 AND p_size % 2 = 1")
+_xpath("xpath_position", "/catalog/part[position() = last()]/name | /catalog/part[2]/maker/name", "SELECT doc_id, p_name AS v FROM p WHERE i = k UNION ALL SELECT doc_id, p_brand FROM p WHERE i = 2")
+_xpath("xpath_ancestor", "//maker/name[. = 'Brand#13']/ancestor::part[1]/@size", "SELECT doc_id, CAST(p_size AS VARCHAR) AS v FROM p WHERE p_brand = 'Brand#13'")
+_xpath("xpath_siblings", "//even/following-sibling::maker/../preceding-sibling::part[1]/name", "SELECT a.doc_id, a.p_name AS v FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE b.p_size % 2 = 0")
+_xpath("xpath_nested", "/catalog/part[count(preceding-sibling::part[even]) = 1][contains(name, 'a') or starts-with(maker/name, 'M')]/@id", "SELECT doc_id, CAST(p_partkey AS VARCHAR) AS v FROM (SELECT *, coalesce(sum(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS e FROM p) WHERE e = 1 AND (contains(p_name, 'a') OR starts_with(p_brand, 'M'))")
+
+
+@query("SELECT CAST(p_partkey % 50 AS BIGINT) AS doc_id, count(*) || ':' || CAST(sum(p_size) AS BIGINT) || ':' || arg_min(p_name, p_partkey) AS value FROM part GROUP BY 1")
+def xpath_value(spark: SparkSession, d: str) -> DataFrame:
+    return xpath_axes.evaluate(_catalog(spark, d), "concat(/catalog/@n, ':', sum(//part/@size), ':', normalize-space(//name))")
+
+
+_DATED = """CASE o_orderkey % 5 WHEN 0 THEN concat('d = 2024-02-', 10 + o_orderkey % 20, ' # ', o_orderkey) WHEN 1 THEN concat('k = ', o_orderkey, '\nd = 2023-02-29') WHEN 2 THEN concat('n = ', o_orderkey, '9999999999999999999') WHEN 3 THEN concat('t = 25:61:00 #', o_orderkey) ELSE concat('n = -', o_orderkey) END"""
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 4) THEN 'success' ELSE 'failure' END AS status,
+    CASE o_orderkey % 5 WHEN 0 THEN 'd=2024-02-' || (10 + o_orderkey % 20) WHEN 4 THEN 'n=-' || o_orderkey END AS value,
+    CAST(CASE o_orderkey % 5 WHEN 1 THEN 9 + length(CAST(o_orderkey AS VARCHAR)) WHEN 2 THEN 4 WHEN 3 THEN 4 END AS INTEGER) AS at,
+    CASE o_orderkey % 5 WHEN 1 THEN 'invalid date or time: 2023-02-29' WHEN 2 THEN 'integer out of range: ' || o_orderkey || '9999999999999999999' WHEN 3 THEN 'invalid date or time: 25:61:00' END AS message FROM orders""")
+def toml_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Dates, times and integers that do not exist are failures where they stand."""
+    r = plans.parse(F.expr(_DATED), toml.parse_toml, "string", _first_pair)
+    e = F.get("r.errors", F.lit(0))
+    return read_table(spark, d, "orders").select("o_orderkey", r.alias("r")).select("o_orderkey", "r.status", "r.value", e["loc"]["offset"].alias("at"), e["message"].alias("message"))
+
+
+def _first_pair(root: toml.Table) -> str:
+    (_, _, key, _, value), *_ = toml.rows(root)
+    return f"{key}={value}"
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'failure' ELSE 'partial' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN ['digit', chr(39) || 'z' || chr(39)] ELSE ['digit'] END AS expected FROM orders")
+def zip_keeps_errors(spark: SparkSession, d: str) -> DataFrame:
+    """A sequence that fails tells what its left side recovered from, too."""
+    text = F.concat(F.lit("x"), F.when(F.col("o_orderkey") % 3 == 0, "y").otherwise("z"), F.col("o_orderkey"))
+    r = plans.parse(text, (number.recover(char("x").as_(0))) & char("z"), "string", str)
+    expected = F.flatten(F.transform(F.col("r.errors"), lambda e: e["expected"]))
+    return read_table(spark, d, "orders").select("o_orderkey", r.alias("r")).select("o_orderkey", "r.status", expected.alias("expected"))
 
 
 @query("SELECT n_regionkey, n_name AS name, CAST(n_nationkey AS BIGINT) AS number FROM nation")
@@ -343,11 +455,12 @@ def utf16_length(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", utf16_offset(F.col("text"), F.length("text")).alias("units"))
 
 
-@query("SELECT doc_id, sha256('<' || substr(text, 3, 4) || '-' || substr(text, 9)) AS h, CAST(9 AS INTEGER) AS moved FROM documents WHERE length(text) >= 10")
+@query("SELECT doc_id, CASE WHEN length(text) >= 8 THEN sha256('<' || substr(text, 3, 4) || '-' || substr(text, 9)) END AS h, CAST(length(text) // 2 - CASE WHEN length(text) // 2 < 2 THEN length(text) // 2 - 1 ELSE 1 END AS INTEGER) AS moved FROM documents")
 def edits_applied(spark: SparkSession, d: str) -> DataFrame:
-    t = read_table(spark, d, "documents").filter(F.length("text") >= 10)
+    """Both edits of each text, null where one lies beyond its end; and where its middle is after the first."""
     e = [edits.edit(F.lit(a), F.lit(b), F.lit(s)) for a, b, s in ((0, 2, "<"), (6, 8, "-"))]
-    return t.select("doc_id", F.sha2(edits.applied_all(F.col("text"), F.array(*e)), 256).alias("h"), edits.adjusted(e[0], F.lit(10)).alias("moved"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    return read_table(spark, d, "documents").select("doc_id", F.sha2(edits.applied_all(F.col("text"), F.array(*e)), 256).alias("h"), edits.adjusted(e[0], half).alias("moved"))
 
 
 @query("""SELECT o_orderkey, '{ "id": 7' || o_orderkey || ', "tags": ["' || o_orderstatus || '", "' || o_orderpriority || '", null], "in": {"c" : ' || o_custkey || '} }' AS text, 'token' AS how FROM orders""")
@@ -485,28 +598,48 @@ def tree_children(spark: SparkSession, d: str) -> DataFrame:
     return trees.children(_pairs(spark, d)).filter("kind = 'String'").select("doc_id", F.col("offset_in_parent").cast("bigint").alias("offset_in_parent"), "width")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS before, CAST(1 AS INTEGER) AS after FROM nation")
+@query(_SHAPES + "SELECT doc_id, CAST(i * 3 - 1 AS INTEGER) AS child_index, 'String' AS before, 'Whitespace' AS after FROM o, unnest(range(1, m)) t(i) UNION ALL SELECT doc_id, 2, 'Member', 'Member' FROM o")
 def tree_siblings(spark: SparkSession, d: str) -> DataFrame:
-    s = trees.siblings(_pairs(spark, d)).filter("kind = 'Comma'")
-    return s.select("doc_id", (F.col("node_id") - F.col("prev_sibling")).cast("int").alias("before"), (F.col("next_sibling") - F.col("node_id")).cast("int").alias("after"))
+    """What stands before and after each comma."""
+    nodes = _shapes(spark, d)
+    s = trees.siblings(nodes).filter("kind = 'Comma'").select("doc_id", "child_index", "prev_sibling", "next_sibling")
+    kind = nodes.select("doc_id", "node_id", "kind")
+    for side, name in (("prev_sibling", "before"), ("next_sibling", "after")):
+        s = s.join(kind.withColumnsRenamed({"node_id": side, "kind": name}), ["doc_id", side])
+    return s.select("doc_id", "child_index", "before", "after")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, unnest(['Document', 'Array']) AS kind, unnest([0, 1]) AS depth FROM nation")
+@query(_SHAPES + ", k AS (SELECT unnest(['Document', 'Object', 'Member', 'Array']) AS kind, unnest([0, 1, 2, 3]) AS depth) SELECT doc_id, kind, depth, CAST(m AS BIGINT) AS n FROM o, k WHERE m > 0")
 def tree_ancestors(spark: SparkSession, d: str) -> DataFrame:
-    return trees.ancestors(_pairs(spark, d), F.col("kind") == "Comma").select("doc_id", "kind", "depth")
+    """What is above the strings in the array, and above how many."""
+    found = trees.ancestors(_shapes(spark, d), (F.col("kind") == "String") & (F.col("depth") == 4))
+    return found.groupBy("doc_id", "kind", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS doc_id, '0/3' AS path FROM nation")
+@query(_SHAPES + "SELECT doc_id, '0/3/4/' || (3 * i - 2) AS path, true AS parsed FROM o, unnest(range(1, m + 1)) t(i)")
 def tree_paths(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _pairs(spark, d)
-    text = nodes.filter("kind = 'String'").select("doc_id", "node_id")
-    return trees.paths(nodes).join(text, ["doc_id", "node_id"]).select("doc_id", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+    """Paths from intervals, equal to those that the parser gives."""
+    nodes = _shapes(spark, d)
+    found = trees.paths(nodes).join(_shapes(spark, d, paths=True).select("doc_id", "node_id", "kind", "depth", F.col("path").alias("given")), ["doc_id", "node_id"])
+    text = F.array_join(F.col("path").cast("array<string>"), "/")
+    return found.filter("kind = 'String' and depth = 4").select("doc_id", text.alias("path"), (F.col("path") == F.col("given")).alias("parsed"))
 
 
-@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, CAST(CASE WHEN contains(text, chr(10)) THEN instr(text, chr(10)) END AS INTEGER) AS second FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS lines, CAST(CASE WHEN contains(text, chr(10)) THEN instr(text, chr(10)) END AS INTEGER) AS second FROM documents")
 def line_index(spark: SparkSession, d: str) -> DataFrame:
-    starts = read_table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", line_starts(F.col("text")).alias("s"))
-    return starts.select("doc_id", F.size("s").alias("lines"), F.get("s", F.lit(1)).alias("second"))
+    starts = read_table(spark, d, "documents").select("doc_id", line_starts(F.col("text")).alias("s"))
+    return starts.select("doc_id", F.when(F.col("s").isNotNull(), F.size("s")).alias("lines"), F.get("s", F.lit(1)).alias("second"))
+
+
+@query("""WITH d AS (SELECT doc_id, substr(text, 1, CAST(length(text) // 3 AS INTEGER)) AS a, substr(text, 1, CAST(length(text) // 2 AS INTEGER)) AS b FROM documents)
+    SELECT doc_id, CAST(1 + length(a) - length(replace(a, chr(10), '')) AS INTEGER) AS first_line, CAST(length(regexp_extract(a, '[^\\n]*$')) + 1 AS INTEGER) AS first_column, CAST(1 + length(b) - length(replace(b, chr(10), '')) AS INTEGER) AS last_line, CAST(length(regexp_extract(b, '[^\\n]*$')) + 1 AS INTEGER) AS last_column, a IS NOT NULL AS same FROM d""")
+def line_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The lines and columns of a range, from the text and from its line index."""
+    text, n = F.col("text"), F.length("text")
+    a, b = F.floor(n / 3).cast("int"), F.floor(n / 2).cast("int")
+    t = read_table(spark, d, "documents").select("doc_id", span_at(text, a, b).alias("s"), span_in(line_starts(text), n, a, b).alias("i"), text.isNotNull().alias("some"))
+    field = lambda x, k: F.when(F.col("some"), F.col(f"s.{x}.{k}"))
+    return t.select("doc_id", field("start", "line").alias("first_line"), field("start", "column").alias("first_column"), field("end", "line").alias("last_line"), field("end", "column").alias("last_column"), (F.col("some") & (F.col("s") == F.col("i"))).alias("same"))
 
 
 _EDITS = [(0, 2, "<"), (4, 4, "new"), (6, 9, "")]
@@ -545,7 +678,7 @@ def _reparsed(name: str, edit: Callable[[str], list[TextEdit]], sql: str) -> Non
 _HEAD = """'[{ "id": ' || o_orderkey || ', "tags": ["' || o_orderstatus || '", "' || o_orderpriority || '", null"""
 _TAIL = """], "in": {"c" : ' || o_custkey || '} }, "' || repeat('-', 80) || '"]'"""
 _reparsed("incremental_block", lambda t: [TextEdit(t.index("null") + 4, t.index("null") + 4, ", 1")], f"{_HEAD}, 1{_TAIL} AS text, 'block' AS how")
-_reparsed("incremental_full", lambda t: [TextEdit(0, len(t), "[]")], "'[]' AS text, 'full' AS how")
+_reparsed("incremental_full", lambda t: [TextEdit(0, len(t), t[9 : t.index(",")] + " ")], "o_orderkey || ' ' AS text, 'full' AS how")
 _reparsed("incremental_batch", lambda t: [TextEdit(t.index("null"), t.index("null") + 4, "true"), TextEdit(len(t) - 2, len(t) - 2, "+")], f"{_HEAD.replace('null', 'true')}{_TAIL.replace('"]', '+"]')} AS text, 'block' AS how")
 
 
@@ -643,3 +776,59 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     register(spark)
     _order_json(spark, d).withColumn("k", F.when(F.col("o_orderkey") % 3 == 0, "k =").otherwise("k = 1")).createOrReplaceTempView("order_texts")
     return spark.sql("SELECT o_orderkey, json_status(t) AS json, toml_status(k) AS toml FROM order_texts")
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS k FROM orders")
+def sql_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of formats in SQL, as JSON."""
+    register(spark)
+    _order_json(spark, d).withColumn("k", F.when(F.col("o_orderkey") % 3 == 0, "k =").otherwise(F.concat(F.lit("k = "), "o_orderkey"))).createOrReplaceTempView("order_texts")
+    return spark.sql("SELECT o_orderkey, get_json_object(json_value(t), '$.in.c') AS c, CAST(get_json_object(toml_value(k), '$.pairs.k') AS BIGINT) AS k FROM order_texts")
+
+
+@query("SELECT o_orderkey, CAST(i AS INTEGER) AS row, CASE i WHEN 0 THEN 'a' ELSE CAST(o_orderkey + i AS VARCHAR) END AS first, CAST(CASE i WHEN 0 THEN 1 ELSE i END AS INTEGER) AS n FROM orders, unnest(range(0, 2 + o_orderkey % 2)) t(i)")
+def sql_csv_table(spark: SparkSession, d: str) -> DataFrame:
+    """A table function: records of a text as rows."""
+    register(spark)
+    line = "concat('a\n', o_orderkey + 1, IF(o_orderkey % 2 = 1, concat('\n', o_orderkey + 2, ',x'), ''))"
+    read_table(spark, d, "orders").select("o_orderkey", F.expr(line).alias("t")).createOrReplaceTempView("csv_texts")
+    return spark.sql("SELECT o_orderkey, r.row, r.fields[0] AS first, size(r.fields) AS n FROM csv_texts, LATERAL csv_records(t) r")
+
+
+@query("SELECT o_orderkey, CAST(2 + o_orderkey % 2 AS BIGINT) AS strings, CAST(length(CAST(o_orderkey AS VARCHAR)) + 7 + CASE WHEN o_orderkey % 2 = 1 THEN 5 ELSE 0 END AS INTEGER) AS width FROM orders")
+def sql_json_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """A table function: the lossless tree of a text as rows."""
+    register(spark)
+    text = """concat('["', o_orderkey, IF(o_orderkey % 2 = 1, '","ab', ''), '",""]')"""
+    read_table(spark, d, "orders").select("o_orderkey", F.expr(text).alias("t")).createOrReplaceTempView("json_texts")
+    return spark.sql("SELECT o_orderkey, count_if(n.kind = 'String') AS strings, max(n.width) AS width FROM json_texts, LATERAL json_nodes(t) n GROUP BY 1")
+
+
+@query("SELECT o_orderpriority, count_if(o_orderkey % 3 <> 0) AS successes, CAST(0 AS BIGINT) AS partials, count_if(o_orderkey % 3 = 0) AS failures, CAST(sum(CASE WHEN o_orderkey % 3 <> 0 THEN length(CAST(o_orderkey AS VARCHAR)) ELSE 0 END) AS BIGINT) AS consumed, 'Unexpected ''x'' (expected: digit) at line 1, column 1 (offset 0)' AS first FROM orders GROUP BY 1")
+def result_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate over results."""
+    t = read_table(spark, d, "orders").select("o_orderpriority", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat('x', o_orderkey) ELSE cast(o_orderkey as string) END").alias("t"))
+    r = t.select("o_orderpriority", plans.parse(F.col("t"), number, "bigint").alias("r"))
+    return r.groupBy("o_orderpriority").agg(result_summary(F.col("r")).alias("s")).select("o_orderpriority", "s.successes", "s.partials", "s.failures", "s.consumed", F.element_at("s.first_failure.errors", 1).alias("first"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Partial(-1, Unexpected ''x'' (expected: digit) at line 1, column 1 (offset 0))' ELSE 'Success(' || o_orderkey || ', ' || length(CAST(o_orderkey AS VARCHAR)) || ')' END AS shown, o_orderkey % 3 <> 0 AS same FROM orders")
+def result_shown(spark: SparkSession, d: str) -> DataFrame:
+    a, b = plans.parse(F.col("t"), number.recover(succeed(-1)), "bigint"), plans.parse(F.col("t"), number, "bigint")
+    t = _mixed(spark, d).select("o_orderkey", a.alias("a"), b.alias("b"))
+    return t.select("o_orderkey", show_result(F.col("a")).alias("shown"), same_result(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN ['letter:0:1', 'number:1:' || (1 + length(CAST(o_orderkey AS VARCHAR)))] ELSE ['letter:0:-', 'number:0:' || length(CAST(o_orderkey AS VARCHAR))] END AS steps FROM orders")
+def trace_column(spark: SparkSession, d: str) -> DataFrame:
+    """What marked parts tried, and how far they got."""
+    r = plans.traced(F.col("t"), letter.trace("letter").optional() >> number.debug("number"), "bigint")
+    step = lambda x: F.concat(x["label"], F.lit(":"), x["start"], F.lit(":"), F.coalesce(x["end"].cast("string"), F.lit("-")))
+    return _mixed(spark, d).select("o_orderkey", r.alias("r")).select("o_orderkey", F.transform("r.trace", step).alias("steps"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS value, CAST(length(CAST(o_custkey AS VARCHAR)) AS INTEGER) AS consumed FROM orders")
+def parse_from_offset(spark: SparkSession, d: str) -> DataFrame:
+    """Interpreting from an offset that each row tells."""
+    t = read_table(spark, d, "orders").select("o_orderkey", F.concat("o_orderkey", F.lit("|"), "o_custkey").alias("t"), F.length(F.col("o_orderkey").cast("string")).alias("n"))
+    return t.select("o_orderkey", plans.parse_from(F.col("t"), F.col("n") + 1, number, "bigint").alias("r")).select("o_orderkey", "r.value", "r.consumed")

@@ -66,6 +66,26 @@ def test_toml():
     assert toml.parse_toml("[a]\nx=1\n\n[a]").errors[0].offset == 9
 
 
+@pytest.mark.parametrize("bad", ["2024-02-30", "2023-02-29T10:00:00Z", "25:61:00", "2024-01-01T10:00:00+99:99", "99999999999999999999", "-9223372036854775809", "0xffffffffffffffffff"])
+def test_toml_rejects_what_does_not_exist(bad):
+    for text in (f"a = {bad}", f"x = 1\na = [1, {bad}]"):
+        r = toml.parse_toml(text)
+        assert r.status == "failure" and r.errors[0].offset == text.index(bad) and r.errors[0].message.endswith(bad), r
+    assert toml.parse_toml("a = 9223372036854775807\nb = -9223372036854775808").value.pairs == {"a": 2**63 - 1, "b": -(2**63)}
+
+
+def test_xml_expansion_limit():
+    text = "<!DOCTYPE r [<!ENTITY a 'xxxxxxxxxx'>]><r>&a;&a;</r>"
+    assert xml.parse_xml(text, xml.Config(most_expanded=19)).status == "failure" and xml.parse_xml(text, xml.Config(most_expanded=20)).status == "success"
+    many = "<!DOCTYPE r [<!ENTITY a '" + "x" * 1000 + "'>]><r>" + "&a;" * 1100 + "</r>"
+    assert xml.parse_xml(many).status == "failure" and len(xml.parse_xml(many, xml.Config(most_expanded=None)).value.root.children[0].text) == 1_100_000
+
+
+def test_csv_problems():
+    assert csv.problem(csv.parse_csv("a")) is None and csv.problem(csv.parse_strict("a,b\nc")) == csv.Problem.COLUMNS
+    assert csv.problem(csv.parse_csv('"a"b')) == csv.Problem.FIELD and csv.problem(csv.parse_csv('x,"a')) == csv.Problem.QUOTE
+
+
 def test_yaml():
     cases = {
         "[1, 2, 3]": [1, 2, 3],

@@ -8,13 +8,13 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomtext import functions as fn
-from loomtext import plans
+from loomtext import plans, splice
 from loomtext.formats import csv, json
 from loomtext.grammar import OnPair, Op, Ref, char, digit, eof, first_char_choice, keywords, letter, none_of, offset, one_of, pratt, string, succeed
 from loomtext.incremental import TextEdit, json_bundle, reparse, reparse_all
 from loomtext.lower import lower
-from loomtext.machine import parse
-from loomtext.operators import edits, trees
+from loomtext.machine import Node, expression_node, identifier_node, number_node, parse, run_recursive
+from loomtext.operators import edits, trees, xpath_axes
 from loomtext.streaming import incremental
 
 TEXTS = ["ab12", "12", "", None, "é9 x", "a,b", 'x "q"', "٣4", "\u00a0 1", "a\nb"]
@@ -149,7 +149,8 @@ def test_trees(spark):
     assert len(path) == 4
     region = trees.enclosing(nodes, spark.createDataFrame([(1, 10, 12)], "doc_id long, start int, end int"), ["Object", "Array"]).first()
     assert (region.kind, region.offset, region.width) == ("Array", 6, 7)
-    assert trees.replace_at(nodes, spark.createDataFrame([(1, number.node_id, "[3]")], "doc_id long, target int, new_text string")).filter("doc_id = 1").first().text == '{"a": [1, [3]], "b": null}'
+    changed = trees.replace_at(nodes, spark.createDataFrame([(1, number.node_id, "[3]")], "doc_id long, target int, new_text string"))
+    assert trees.to_source(changed).filter("doc_id = 1").first().text == '{"a": [1, [3]], "b": null}'
     order = trees.siblings(nodes).filter((F.col("doc_id") == 1) & (F.col("node_id") == number.node_id)).first()
     assert order.prev_sibling == number.node_id - 1 and order.next_sibling == number.node_id + 1
     kids = trees.children(nodes).join(nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("offset").alias("up")), ["doc_id", "parent_id"])
@@ -205,3 +206,114 @@ def test_sql_functions(spark):
 def test_char_quote(spark):
     p = char("\\") >> char("]") >> char("'")
     assert spark.createDataFrame([("\\]'x",)], "t string").select(plans.captured(F.col("t"), p).alias("c")).first().c == "\\]'"
+
+
+def test_tree_operators_on_one_large_document(spark):
+    """Each against a scan of all nodes, on a document of some thousand nodes and another beside it."""
+    rng = random.Random(6)
+
+    def value(depth):
+        if depth and rng.random() < 0.7:
+            kids = [value(depth - 1) for _ in range(rng.randint(0, 6))]
+            return "[" + ", ".join(kids) + "]" if rng.random() < 0.5 else "{" + ",\n".join(f'"k{i}": {v}' for i, v in enumerate(kids)) + "}"
+        return rng.choice(["1", "true", '"a b"', "null", "-2.5"])
+
+    texts = {1: "[" + ", ".join(value(5) for _ in range(30)) + "]", 2: "[1]"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    nodes = trees.node_table(df, json.parse_lossless, paths=True, structure=True).cache()
+    rows = nodes.collect()
+    at = [(d, rng.randrange(len(t) + 1)) for d, t in texts.items() for _ in range(80)]
+    got = {(r.doc_id, r.target): r.node_id for r in trees.node_at(nodes, spark.createDataFrame(at, "doc_id long, target int")).collect()}
+    over = lambda d, x: [r for r in rows if r.doc_id == d and r.offset <= x < r.offset + r.width]
+    assert got == {(d, x): max(over(d, x), key=lambda r: r.depth).node_id for d, x in at if over(d, x)}
+    ranges = [(d, x, min(x + rng.randrange(40), len(texts[d]))) for d, x in at]
+    got = {(r.doc_id, r.start, r.end): r.node_id for r in trees.enclosing(nodes, spark.createDataFrame(ranges, "doc_id long, start int, end int"), ["Object", "Array"]).collect()}
+    held = lambda d, a, b: [r for r in rows if r.doc_id == d and r.kind in ("Object", "Array") and r.offset <= a and b <= r.offset + r.width]
+    assert got == {x: max(held(*x), key=lambda r: (r.depth, r.node_id)).node_id for x in ranges if held(*x)}
+    below = {(r.doc_id, r.ancestor_id, r.node_id) for r in trees.descendants(nodes, F.col("kind") == "Object").collect()}
+    assert below == {(a.doc_id, a.node_id, b.node_id) for a in rows if a.kind == "Object" for b in rows if a.doc_id == b.doc_id and a.node_id < b.node_id <= a.last_desc}
+    path = {(r.doc_id, r.node_id): r.path for r in rows}
+    assert {(r.doc_id, r.node_id): r.path for r in trees.paths(nodes.withColumn("path", F.lit(None).cast("array<int>"))).collect()} == path
+    for r in trees.located(nodes).collect():
+        want = plans.location(texts[r.doc_id], r.offset)
+        assert (r.line, r.column) == (want["line"], want["column"])
+    source = {(r.doc_id, r.node_id): texts[r.doc_id][r.offset : r.offset + r.width] for r in rows}
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.structure, set()).add((r.kind, source[r.doc_id, r.node_id]))
+    assert all(len(x) == 1 for x in groups.values()) and sum(r.n for r in trees.interned_trees(nodes).collect()) == len(rows)
+    # Splicing parsed trees in gives the node table of the new text.
+    big = [r for r in rows if r.doc_id == 1 and r.kind in ("Object", "Array") and r.depth > 1]
+    chosen = rng.sample(big, 8)
+    new = []
+    for k, r in enumerate(chosen):
+        tree = json.parse_lossless(["{}", "[1, [2]]", '{"x": []}'][k % 3]).value.children[0]
+        new += [(1, r.node_id, *x[1:9]) for x in trees.rows_of(None, tree)]
+    schema = "doc_id long, target int, node_id int, last_desc int, parent_id int, child_index int, depth int, node_class string, kind string, text string"
+    spliced = trees.spliced(nodes, spark.createDataFrame(new, schema))
+    text = {r.doc_id: r.text for r in trees.to_source(spliced).collect()}
+    again = trees.node_table(spark.createDataFrame([(1, text[1]), (2, "[1]")], "doc_id long, text string"), json.parse_lossless)
+    assert sorted(tuple(r)[:11] for r in spliced.collect() if r.doc_id == 1) == sorted(tuple(r)[:11] for r in again.collect() if r.doc_id == 1)
+    assert text[2] == "[1]" and text[1] != texts[1]
+
+
+def test_splicing_one_tree():
+    tree = json.parse_lossless('{"a": [1, 22]}').value
+    path = splice.path_to_offset(tree, 10)
+    assert splice.find_node(tree, path).text == "22" and splice.path_to_offset(tree, 14) is None and splice.find_node(tree, [9]) is None
+    assert splice.replace_at(tree, path, Node("token", "Number", "3")).source() == '{"a": [1, 3]}'
+    array = splice.path_to_offset(tree, 6)[:-1]
+    assert splice.find_node(tree, array).kind == "Array" and splice.node_length(splice.find_node(tree, array)) == 7
+    assert splice.replace_child_range(tree, array, 1, 5, [Node("token", "Number", "9")]).source() == '{"a": [9]}'
+    assert splice.replace_child_range(tree, array, 1, 99, []) is None and splice.replace_at(tree, [0, 0, 0, 0], tree) is None
+    assert Node.with_width("Array", [Node("token", "X", "ab")], 2).width == 2 and expression_node(identifier_node("a"), number_node("1")).source() == "a1"
+
+
+XML = '<r xmlns:n="u"><a id="1">x<b/>y</a><!-- c --><a id="2"><n:c>12</n:c><c>7</c></a><d>zz</d><?p q?></r>'
+PATHS = {
+    "/r/a/@id": ["1", "2"], "//c": ["7"], "//n:c": ["12"], "//n:*": ["12"], "/r/a[2]/*": ["12", "7"], "/r/a[last()]/c": ["7"], "//a[b]": ["xy"], "//a[not(b)]/@id": ["2"], "//text()": ["12", "7", "x", "y", "zz"],
+    "//comment()": [" c "], "//processing-instruction('p')": ["q"], "//c/ancestor::*/@id": ["2"], "//c/ancestor-or-self::node()[2]/@id": ["2"], "//b/following::c": ["7"], "//d/preceding::b": [""], "//a[@id > 1]": ["127"], "/r/*[self::d or @id = '1']": ["xy", "zz"],
+    "//a[count(*) = 2]/@id": ["2"], "//a[sum(*) = 19]/@id": ["2"], "//a[@id = //c/../@id]/@id": ["2"], "(//a)[1]/@id": ["1"], "//a[position() mod 2 = 0]/@id": ["2"], "//*[name() = 'n:c']": ["12"], "//*[local-name(.) = 'c']": ["12", "7"], "//a[string-length(.) < 3]/@id": ["1"], "//@id[. = 2]/..": ["127"], "/r/a/b/parent::a/@id | //d": ["1", "zz"], "//a[. != //d]/@id": ["1", "2"], "//none": [], "/": ["xy127zz"],
+}
+NUMBERS = {"count(//a)": "2", "1 + 2 * 3 - 4 div 2": "5", "7 mod 3": "1", "1 div 0": "Infinity", "0 div 0 = 0 div 0": "false", "string(//d)": "zz", "concat(//a/@id, '-', //d)": "1-zz", "substring('12345', 2, 3)": "234", "substring('12345', 1.5, 2.6)": "234", "substring-before('a=b', '=')": "a", "substring-after('a=b', '=')": "b", "translate('bar', 'abc', 'AB')": "BAr", "normalize-space('  a  b ')": "a b", "floor(2.6) + ceiling(2.1) + round(2.5)": "8", "boolean(//b) and not(//none)": "true", "//c = 7": "true", "//c != 7": "false", "number('x')": "NaN", "'a' < 'b'": "false", "1.5": "1.5", "-(2)": "-2", "true() = 1": "true", "name(//*[1])": "r"}
+
+
+def test_xpath_over_node_tables(spark):
+    nodes = xpath_axes.xml_nodes(spark.createDataFrame([(1, XML), (2, "<r/>"), (3, "no xml"), (4, None)], "doc_id long, text string")).cache()
+    for path, want in PATHS.items():
+        assert sorted(r.value for r in xpath_axes.select(nodes, path).filter("doc_id = 1").collect()) == want, path
+    for e, want in NUMBERS.items():
+        got = {r.doc_id: r.value for r in xpath_axes.evaluate(nodes, e).collect()}
+        assert got[1] == want and set(got) == {1, 2}, (e, got)
+    for bad in ("$v", "//a/namespace::x", "id('x')", "f()"):
+        with pytest.raises(ValueError):
+            xpath_axes.evaluate(nodes, bad)
+
+
+def test_table_functions_and_values(spark):
+    fn.register(spark)
+    assert [tuple(r) for r in spark.sql("select row, fields[0] from csv_records('a,b\nc')").collect()] == [(0, "a"), (1, "c")]
+    assert [tuple(r) for r in spark.sql("select t.kind, t.text from values ('[1]'), ('x'), (null) v(t0), lateral json_nodes(t0) t where t.node_class = 'token' order by t.node_id").collect()] == [("LeftBracket", "["), ("Number", "1"), ("RightBracket", "]")]
+    assert [tuple(r) for r in spark.sql("select kind, name, value from xml_nodes('<a x=\"1\">t</a>') order by node_id").collect()] == [("root", None, "t"), ("element", "a", "t"), ("attribute", "x", "1"), ("text", None, "t")]
+    assert [tuple(r) for r in spark.sql("select path, key, type, value from toml_pairs('[a]\nb = 1')").collect()] == [(["a"], "b", "int", "1")]
+    r = spark.sql("select json_value('{\"a\": [1.50, null]}') a, yaml_value('a: 1') b, csv_value('a,b') c, toml_value('x =') d, proto_value('syntax = \"proto3\"; message M {}') e").first()
+    assert (r.a, r.b, r.c, r.d) == ('{"a": [1.5, null]}', '{"a": 1}', '[["a", "b"]]', None) and '"name": "M"' in r.e
+
+
+def test_line_index_columns(spark):
+    text = "ab\n\ncd"
+    df = spark.createDataFrame([(text, i, j) for i in range(-2, 10) for j in range(-2, 10)], "t string, i int, j int")
+    for r in df.select("i", "j", fn.span_at(F.col("t"), F.col("i"), F.col("j")).alias("a"), fn.span_in(fn.line_starts(F.col("t")), F.length("t"), F.col("i"), F.col("j")).alias("b")).collect():
+        assert r.a == r.b and r.a.start.asDict() == plans.location(text, r.i) and r.a.end.asDict() == plans.location(text, max(r.i, r.j))
+
+
+def test_results_from_an_offset(spark):
+    df = spark.createDataFrame([("ab12", 2), ("ab12", 0), (None, 1), ("12", None), ("\n1", 1)], "t string, s int")
+    a, b, c, d, e = (r.r for r in df.select(plans.parse_from(F.col("t"), F.col("s"), _n, "bigint").alias("r")).collect())
+    assert (a.value, a.consumed, a.furthest.offset) == (12, 2, 4) and b.status == "failure" and c.status is None and d.status is None and (e.value, e.furthest.line) == (1, 2)
+    assert parse(_n, "ab12", 2).consumed == 2 and run_recursive(_n, "12").value == 12
+    deep = Ref()
+    deep.set((char("(") >> deep << char(")")) | char("x"))
+    assert parse(deep, "(" * 3000 + "x" + ")" * 3000).value == "x"
+    with pytest.raises(RecursionError):
+        run_recursive(deep, "(" * 3000 + "x" + ")" * 3000, 500)
