@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from ..grammar import P, Ref, char, choice, eof, first_char_choice, regex, string, token, tree_of
+from ..grammar import P, Ref, char, eof, first_char_choice, regex, string, token, tree_of
 from ..machine import Error, Node, Parser, Result
 
 
@@ -57,7 +57,6 @@ def lossless() -> P:
     value = Ref()
     space = token("Whitespace", _lex(r"[ \t\n\r]++", "whitespace")).optional()
     mark = lambda c, kind: token(kind, char(c))
-    scalar = choice(token("String", _lex(_STRING, "string")), token("Number", _lex(_NUMBER, "number")), token("True", string("true")) | token("False", string("false")), token("Null", string("null")))
     member = tree_of("Member", space, token("String", _lex(_STRING, "string")), space, mark(":", "Colon"), space, value, space)
     item = space & value & space
 
@@ -66,7 +65,8 @@ def lossless() -> P:
 
     array = tree_of("Array", mark("[", "LeftBracket"), listed(item) | space, mark("]", "RightBracket"))
     obj = tree_of("Object", mark("{", "LeftBrace"), listed(member) | space, mark("}", "RightBrace"))
-    value.set(obj | array | scalar)
+    scalars = (('"', token("String", _lex(_STRING, "string"))), ("-0123456789", token("Number", _lex(_NUMBER, "number"))), ("t", token("True", string("true"))), ("f", token("False", string("false"))), ("n", token("Null", string("null"))))
+    value.set(first_char_choice(("{", obj), ("[", array), *scalars))
     return tree_of("Document", space, value, space) << eof
 
 

@@ -18,7 +18,7 @@ from .functions import and_then, column_of, is_failure, is_partial, line_of, lin
 from .grammar import OnPair, Op, P, Ref, alpha_num, any_char, c_family, char, choice, digit, eof, fail, first_char_choice, keywords, letter, none_of, offset, one_of, pratt, satisfy, spaces, string, string_in, succeed, symbol, token, tree_of
 from .incremental import TextEdit, json_bundle, reparse, reparse_all
 from .operators import edits, trees, xpath_axes
-from .sources import read_table
+from .sources import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,7 +79,7 @@ lowered("not_followed_by", "part", "p_partkey", "p_type", char("S").not_followed
 def json_events(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: JSON properties parsed by our grammar, aggregated."""
     k = plans.parse_value(F.col("props"), json.parse_json, "bigint", lambda v: int(v["k"].raw) if "k" in v else None)
-    return read_table(spark, d, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.min("k").alias("low"), F.max("k").alias("high"))
+    return spread(read_table(spark, d, "events")).select("event_type", k.alias("k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"), F.min("k").alias("low"), F.max("k").alias("high"))
 
 
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS level, o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS failed FROM orders")
@@ -101,7 +101,9 @@ _SUM = "sum(l_orderkey + l_linenumber * l_partkey - l_suppkey)"
 
 def _arithmetic(name: str, p: P, render: Callable[[], Column], sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        t = read_table(spark, d, "lineitem").select("l_linenumber", plans.parse_value(render(), p << eof, "bigint").alias("v"))
+        t = read_table(spark, d, "lineitem")
+        t = t if plans.values.lowered(p << eof) else spread(t)
+        t = t.select("l_linenumber", plans.parse_value(render(), p << eof, "bigint").alias("v"))
         return t.groupBy("l_linenumber").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
 
     run.__name__ = name
@@ -126,7 +128,7 @@ _arithmetic("defer_memo", Ref().set((char("(") >> number.memoize() << char(")"))
 
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
     """Order keys, every third with a letter in front."""
-    return read_table(spark, d, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat('x', o_orderkey) ELSE cast(o_orderkey as string) END").alias("t"))
+    return spread(read_table(spark, d, "orders")).select("o_orderkey", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat('x', o_orderkey) ELSE cast(o_orderkey as string) END").alias("t"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'partial' ELSE 'success' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_orderkey END AS value, CASE WHEN o_orderkey % 3 = 0 THEN 'Unexpected ''x'' (expected: digit) at line 1, column 1 (offset 0)' END AS error FROM orders")
@@ -162,7 +164,7 @@ def sync_until_statement(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CAST(length(CAST(o_orderkey AS VARCHAR)) + 1 AS INTEGER) AS at FROM orders")
 def offset_position(spark: SparkSession, d: str) -> DataFrame:
-    t = read_table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("#"), F.col("o_orderkey")).alias("t"))
+    t = spread(read_table(spark, d, "orders")).select("o_orderkey", F.concat(F.lit("#"), F.col("o_orderkey")).alias("t"))
     return t.select("o_orderkey", plans.parse_value(F.col("t"), char("#") >> number >> offset, "int").alias("at"))
 
 
@@ -178,7 +180,7 @@ def csv_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def _customer_csv(spark: SparkSession, d: str) -> DataFrame:
     """One CSV text for each customer: a header and a row."""
-    t = read_table(spark, d, "customer")
+    t = spread(read_table(spark, d, "customer"))
     return t.select("c_custkey", F.concat(F.lit("id,name,segment\n"), F.col("c_custkey"), F.lit(',"'), F.col("c_name"), F.lit('","say ""'), F.col("c_mktsegment"), F.lit('"""')).alias("t"))
 
 
@@ -201,7 +203,7 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _order_json(spark: SparkSession, d: str) -> DataFrame:
-    t = read_table(spark, d, "orders")
+    t = spread(read_table(spark, d, "orders"))
     return t.select("o_orderkey", F.expr("""concat('{ "id": ', o_orderkey, ', "tags": ["', o_orderstatus, '", "', o_orderpriority, '", null], "in": {"c" : ', o_custkey, '} }')""").alias("t"))
 
 
@@ -226,7 +228,7 @@ _SHAPES = "WITH o AS (SELECT o_orderkey AS doc_id, length(CAST(o_orderkey AS VAR
 
 def _shapes(spark: SparkSession, d: str, **how) -> DataFrame:
     strings = "array_join(transform(filter(array(1, 2, 3), i -> i <= o_orderkey % 4), i -> concat('\"s', i, '\"')), ', ')"
-    t = read_table(spark, d, "orders").select("o_orderkey", F.expr(f"""concat('{{"k": ', o_orderkey, ', "a": [', {strings}, ']}}')""").alias("t"))
+    t = spread(read_table(spark, d, "orders")).select("o_orderkey", F.expr(f"""concat('{{"k": ', o_orderkey, ', "a": [', {strings}, ']}}')""").alias("t"))
     return trees.node_table(t, json.parse_lossless, "o_orderkey", "t", **how)
 
 
@@ -282,7 +284,7 @@ def tree_locations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS doc_id, '{ "id": 0, "tags": ["' || o_orderstatus || '", "' || o_orderpriority || '", null], "in": {"c" : ' || o_custkey || '} }' AS text FROM orders""")
 def tree_replace(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d)
+    nodes = _nodes(spark, d).persist()
     first = nodes.filter("kind = 'Number'").groupBy("doc_id").agg(F.min("node_id").alias("target")).withColumn("new_text", F.lit("0"))
     return trees.to_source(trees.replace_at(nodes, first))
 
@@ -290,7 +292,7 @@ def tree_replace(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderkey AS doc_id, '{"k": ' || o_orderkey || ', "a": <' || o_custkey || '>}' AS text, CAST(16 AS BIGINT) AS nodes, CAST(16 + length(CAST(o_orderkey AS VARCHAR)) + length(CAST(o_custkey AS VARCHAR)) AS INTEGER) AS width, 'token' AS class, CAST(13 + length(CAST(o_orderkey AS VARCHAR)) AS INTEGER) AS offset FROM orders""")
 def tree_splice(spark: SparkSession, d: str) -> DataFrame:
     """Each array, whatever it holds, becomes a token: texts, numbers, widths and offsets of the new node table."""
-    nodes = _shapes(spark, d)
+    nodes = _shapes(spark, d).persist()
     keys = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("<"), "o_custkey", F.lit(">")).alias("new_text"))
     new = trees.replace_at(nodes, nodes.filter("kind = 'Array'").select("doc_id", F.col("node_id").alias("target")).join(keys, "doc_id"))
     per = new.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"), F.max(F.when(F.col("node_id") == 0, F.col("width"))).alias("width"), F.max(F.when(F.col("kind") == "Array", F.struct(F.col("node_class").alias("class"), "offset"))).alias("a"))
@@ -299,14 +301,14 @@ def tree_splice(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS tokens, CAST(sum(n) AS BIGINT) AS total FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)")
 def tree_interned(spark: SparkSession, d: str) -> DataFrame:
-    order = read_table(spark, d, "orders").select("o_orderkey", F.concat(F.lit('"'), "o_orderstatus", F.lit('"')).alias("t"))
+    order = spread(read_table(spark, d, "orders")).select("o_orderkey", F.concat(F.lit('"'), "o_orderstatus", F.lit('"')).alias("t"))
     found = trees.interned(trees.node_table(order, json.parse_lossless, "o_orderkey", "t"))
     return found.agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("total"))
 
 
 @query("SELECT c_custkey, c_name AS name, c_custkey AS id, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS balance FROM customer")
 def toml_config(spark: SparkSession, d: str) -> DataFrame:
-    t = read_table(spark, d, "customer")
+    t = spread(read_table(spark, d, "customer"))
     text = F.expr("""concat('# customer\nid = ', c_custkey, '\n[person]\nname = "', c_name, '"\n[person.place]\nnation = ', c_nationkey, ' # key\n[[accounts]]\nbalance = ', format_string('%.2f', c_acctbal), '\n')""")
     v = plans.parse_value(text, toml.parse_toml, "struct<name:string,id:bigint,nation:bigint,balance:double>", _toml_row)
     return t.select("c_custkey", v.alias("v")).select("c_custkey", "v.name", F.col("v.id").cast("bigint").alias("id"), F.col("v.nation").alias("nation"), F.col("v.balance").alias("balance"))
@@ -321,14 +323,14 @@ def _toml_row(root: toml.Table) -> dict:
 def yaml_document(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("concat('name: ', c_name, '\nid: ', c_custkey, '\ntags:\n  - ', c_mktsegment, '\n  - [1, {a: b}]\n')")
     v = plans.parse_value(text, yaml.parse_yaml, "struct<name:string,id:bigint,tags:int>", lambda v: {"name": v["name"], "id": v["id"], "tags": len(v["tags"])})
-    return read_table(spark, d, "customer").select("c_custkey", v.alias("v")).select("c_custkey", "v.*")
+    return spread(read_table(spark, d, "customer")).select("c_custkey", v.alias("v")).select("c_custkey", "v.*")
 
 
 @query("SELECT p_partkey, p_name AS name, 'x<&' || p_size AS note, CAST(1 AS INTEGER) AS children FROM part")
 def xml_elements(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("""concat('<?xml version="1.0"?><!DOCTYPE part [<!ENTITY lead "x">]><part note="&lead;&lt;&amp;', p_size, '"><!-- c --><n:name>', p_name, '</n:name></part>')""")
     v = plans.parse_value(text, _xml_parse, "struct<name:string,note:string,children:int>", _xml_row)
-    return read_table(spark, d, "part").select("p_partkey", v.alias("v")).select("p_partkey", "v.*")
+    return spread(read_table(spark, d, "part")).select("p_partkey", v.alias("v")).select("p_partkey", "v.*")
 
 
 def _xml_parse(text: str):
@@ -345,7 +347,7 @@ def xml_pages(spark: SparkSession, d: str) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     text = F.when(F.col("page_id") % 3 == 0, html).otherwise(F.concat(F.lit("<page><![CDATA["), html, F.lit("]]></page>")))
     r = plans.parse(text, xml.parse_xml, "int", _page_length)
-    return read_table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", "r.status", F.col("r.value").alias("n"), (~is_failure(F.col("r")) | (F.size("r.errors") > 0)).alias("placed"))
+    return spread(read_table(spark, d, "pages")).select("page_id", r.alias("r")).select("page_id", "r.status", F.col("r.value").alias("n"), (~is_failure(F.col("r")) | (F.size("r.errors") > 0)).alias("placed"))
 
 
 def _page_length(doc: xml.Document) -> int:
@@ -358,7 +360,8 @@ _CATALOG = """concat('<catalog n="', count(1), '">', array_join(transform(array_
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
     """One document for each of 50 groups of parts."""
     t = read_table(spark, d, "part").groupBy((F.col("p_partkey") % 50).alias("g")).agg(F.expr(_CATALOG).alias("t"))
-    return xpath_axes.xml_nodes(t, "g", "t")
+    # Every step of a path reads the nodes: they are parsed once.
+    return xpath_axes.xml_nodes(t, "g", "t").persist()
 
 
 def _xpath(name: str, expression: str, sql: str) -> None:
@@ -397,7 +400,7 @@ def toml_checked(spark: SparkSession, d: str) -> DataFrame:
     """Dates, times and integers that do not exist are failures where they stand."""
     r = plans.parse(F.expr(_DATED), toml.parse_toml, "string", _first_pair)
     e = F.get("r.errors", F.lit(0))
-    return read_table(spark, d, "orders").select("o_orderkey", r.alias("r")).select("o_orderkey", "r.status", "r.value", e["loc"]["offset"].alias("at"), e["message"].alias("message"))
+    return spread(read_table(spark, d, "orders")).select("o_orderkey", r.alias("r")).select("o_orderkey", "r.status", "r.value", e["loc"]["offset"].alias("at"), e["message"].alias("message"))
 
 
 def _first_pair(root: toml.Table) -> str:
@@ -411,7 +414,7 @@ def zip_keeps_errors(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("x"), F.when(F.col("o_orderkey") % 3 == 0, "y").otherwise("z"), F.col("o_orderkey"))
     r = plans.parse(text, (number.recover(char("x").as_(0))) & char("z"), "string", str)
     expected = F.flatten(F.transform(F.col("r.errors"), lambda e: e["expected"]))
-    return read_table(spark, d, "orders").select("o_orderkey", r.alias("r")).select("o_orderkey", "r.status", expected.alias("expected"))
+    return spread(read_table(spark, d, "orders")).select("o_orderkey", r.alias("r")).select("o_orderkey", "r.status", expected.alias("expected"))
 
 
 @query("SELECT n_regionkey, n_name AS name, CAST(n_nationkey AS BIGINT) AS number FROM nation")
@@ -438,7 +441,7 @@ def derived_record(spark: SparkSession, d: str) -> DataFrame:
     p = derive.derived(("Item", StructType.fromDDL("part bigint not null, supplier bigint")))
     text = F.expr("concat('Item(', l_partkey, ',', CASE WHEN l_linenumber % 2 = 0 THEN concat('Some(', l_suppkey, ')') ELSE 'None' END, ')')")
     v = plans.parse_value(text, p << eof, "struct<part:bigint,supplier:bigint>")
-    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", v.alias("v")).select("l_orderkey", "l_linenumber", "v.*")
+    return spread(read_table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", v.alias("v")).select("l_orderkey", "l_linenumber", "v.*")
 
 
 # Lines, edits, incremental parsing.
@@ -500,7 +503,7 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
     line = (none_of("]").many1().capture().between(char("["), char("]")) << spaces) & ((letter | one_of("_-")).many1().capture() << string(": ")) & any_char.many().capture()
     text = F.concat(F.lit("[2024-01-01] "), F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")))
     v = plans.parse_value(text, line, "struct<level:string,n:int>", lambda x: {"level": x[0][1], "n": len(x[1])})
-    return read_table(spark, d, "conversations").select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.*")
+    return spread(read_table(spark, d, "conversations")).select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", "v.*")
 
 
 @query("SELECT s_suppkey, 's' || s_suppkey AS name, 'example.com' AS domain FROM supplier")
@@ -539,7 +542,7 @@ lowered("surrounded_by_hash", "customer", "c_custkey", "c_name", letter.many1()
 def zip_map_as(spark: SparkSession, d: str) -> DataFrame:
     p = (letter.many1().capture() << char("#")) & number & eof.as_("seen")
     v = plans.parse_value(F.col("c_name"), p, "struct<word:string,number:bigint,mark:string>", lambda x: {"word": x[0][0], "number": x[0][1], "mark": x[1]})
-    return read_table(spark, d, "customer").select("c_custkey", v.alias("v")).select("c_custkey", "v.*")
+    return spread(read_table(spark, d, "customer")).select("c_custkey", v.alias("v")).select("c_custkey", "v.*")
 
 
 @query("SELECT n_nationkey, CAST(length(regexp_extract(n_name, '^[AEIOU]*')) AS INTEGER) AS vowels FROM nation")
@@ -715,7 +718,7 @@ def xml_entities(spark: SparkSession, d: str) -> DataFrame:
     """Entities of the internal subset; one that is not declared is an error."""
     name = F.when(F.col("p_partkey") % 2 == 0, "other").otherwise("who")
     text = F.concat(F.lit('<!DOCTYPE a [<!ENTITY who "x">]><a>&'), name, F.lit(";</a>"))
-    return read_table(spark, d, "part").select("p_partkey", plans.parse(text, _undeclared, "int", lambda v: 1).alias("r")).select("p_partkey", "r.status")
+    return spread(read_table(spark, d, "part")).select("p_partkey", plans.parse(text, _undeclared, "int", lambda v: 1).alias("r")).select("p_partkey", "r.status")
 
 
 @query("SELECT s_suppkey, 'Get' || s_suppkey AS method, 'In' AS input, true AS streamed FROM supplier")
@@ -736,7 +739,7 @@ def shared_lexers(spark: SparkSession, d: str) -> DataFrame:
     p = ((identifier << hspaces << block_comment("/*", "*/") << hspaces << char("=") << hspaces) >> (double_quoted_string << hspaces)) & floating_point
     text = F.concat(F.lit('key_1 /* a * b */ = "'), F.col("c_name"), F.lit('" '), F.expr("format_string('%.2f', c_acctbal)"))
     v = plans.parse_value(text, p << eof, "struct<name:string,balance:double>", lambda x: {"name": x[0], "balance": x[1]})
-    return read_table(spark, d, "customer").select("c_custkey", v.alias("v")).select("c_custkey", "v.*")
+    return spread(read_table(spark, d, "customer")).select("c_custkey", v.alias("v")).select("c_custkey", "v.*")
 
 
 @query("SELECT s_suppkey, CAST(10 + s_nationkey AS BIGINT) AS country, '555' AS area FROM supplier")
@@ -791,7 +794,7 @@ def sql_csv_table(spark: SparkSession, d: str) -> DataFrame:
     """A table function: records of a text as rows."""
     register(spark)
     line = "concat('a\n', o_orderkey + 1, IF(o_orderkey % 2 = 1, concat('\n', o_orderkey + 2, ',x'), ''))"
-    read_table(spark, d, "orders").select("o_orderkey", F.expr(line).alias("t")).createOrReplaceTempView("csv_texts")
+    spread(read_table(spark, d, "orders")).select("o_orderkey", F.expr(line).alias("t")).createOrReplaceTempView("csv_texts")
     return spark.sql("SELECT o_orderkey, r.row, r.fields[0] AS first, size(r.fields) AS n FROM csv_texts, LATERAL csv_records(t) r")
 
 
@@ -800,14 +803,14 @@ def sql_json_nodes(spark: SparkSession, d: str) -> DataFrame:
     """A table function: the lossless tree of a text as rows."""
     register(spark)
     text = """concat('["', o_orderkey, IF(o_orderkey % 2 = 1, '","ab', ''), '",""]')"""
-    read_table(spark, d, "orders").select("o_orderkey", F.expr(text).alias("t")).createOrReplaceTempView("json_texts")
+    spread(read_table(spark, d, "orders")).select("o_orderkey", F.expr(text).alias("t")).createOrReplaceTempView("json_texts")
     return spark.sql("SELECT o_orderkey, count_if(n.kind = 'String') AS strings, max(n.width) AS width FROM json_texts, LATERAL json_nodes(t) n GROUP BY 1")
 
 
 @query("SELECT o_orderpriority, count_if(o_orderkey % 3 <> 0) AS successes, CAST(0 AS BIGINT) AS partials, count_if(o_orderkey % 3 = 0) AS failures, CAST(sum(CASE WHEN o_orderkey % 3 <> 0 THEN length(CAST(o_orderkey AS VARCHAR)) ELSE 0 END) AS BIGINT) AS consumed, 'Unexpected ''x'' (expected: digit) at line 1, column 1 (offset 0)' AS first FROM orders GROUP BY 1")
 def result_summaries(spark: SparkSession, d: str) -> DataFrame:
     """An aggregate over results."""
-    t = read_table(spark, d, "orders").select("o_orderpriority", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat('x', o_orderkey) ELSE cast(o_orderkey as string) END").alias("t"))
+    t = spread(read_table(spark, d, "orders")).select("o_orderpriority", F.expr("CASE WHEN o_orderkey % 3 = 0 THEN concat('x', o_orderkey) ELSE cast(o_orderkey as string) END").alias("t"))
     r = t.select("o_orderpriority", plans.parse(F.col("t"), number, "bigint").alias("r"))
     return r.groupBy("o_orderpriority").agg(result_summary(F.col("r")).alias("s")).select("o_orderpriority", "s.successes", "s.partials", "s.failures", "s.consumed", F.element_at("s.first_failure.errors", 1).alias("first"))
 
@@ -830,5 +833,5 @@ def trace_column(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS value, CAST(length(CAST(o_custkey AS VARCHAR)) AS INTEGER) AS consumed FROM orders")
 def parse_from_offset(spark: SparkSession, d: str) -> DataFrame:
     """Interpreting from an offset that each row tells."""
-    t = read_table(spark, d, "orders").select("o_orderkey", F.concat("o_orderkey", F.lit("|"), "o_custkey").alias("t"), F.length(F.col("o_orderkey").cast("string")).alias("n"))
+    t = spread(read_table(spark, d, "orders")).select("o_orderkey", F.concat("o_orderkey", F.lit("|"), "o_custkey").alias("t"), F.length(F.col("o_orderkey").cast("string")).alias("n"))
     return t.select("o_orderkey", plans.parse_from(F.col("t"), F.col("n") + 1, number, "bigint").alias("r")).select("o_orderkey", "r.value", "r.consumed")

@@ -20,5 +20,11 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores, if they lie in fewer partitions (one small file is one): for work that costs more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_rows(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
     df.write.mode(mode).format(kind).save(path)
