@@ -8,19 +8,20 @@ that decided it; a symbol is interior to a window if that range lies in it.  Equ
 the same interior symbols.  A window is represented by its first interior symbol in an order that
 prefers long ones; consecutive windows with the same one form a group: one row for about ten words.
 
-A group whose symbol nobody shares holds no repeat.  Groups alike in symbol, place and words (a second
-fingerprint over all of them) repeat as a whole.  Only groups that share a symbol and differ, at the ends
-of repeats, have their windows compared one by one.  A name and a second fingerprint always agree
-together (128 bits) before a word is removed.
+A group whose symbol nobody shares holds no repeat.  Groups alike in symbol, place and words repeat as a
+whole.  Only groups that share a symbol and differ, at the ends of repeats, have their windows compared one
+by one.  Names only propose: what is compared are the words themselves, by a 128-bit cryptographic digest
+(BLAKE2b), and no word is removed unless those agree.
 
 Nulls: a null text has no words; null ids are ids like others.  Rows that repeat an id and a text are
 occurrences of their own, and so repeats.  Texts shorter than a window keep all words.  Empty input: no
-rows.  Other columns are not read.
+rows.  Ids are integers or what casts to them.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import BASE, U, _powers, mix, slices, split_words, window_names
+from .words import BASE, U, Words, mix, slices, split_words, window_names
 
 ROUNDS, WIDEST = 4, 14
-_SECOND = (BASE ^ 0x5DEECE66D5DEECE66) & (2**64 - 1) | 1
-GROUP = "doc_id long, t int, i0 int, i1 int, name long, span long"
+GROUP = "doc_id long, t long, i0 int, i1 int, name long, span long, span2 long"
+SPAN = ["span", "span2"]
 
 
 def rename(h: np.ndarray, first: np.ndarray, rounds: int = ROUNDS, widest: int = WIDEST) -> tuple[np.ndarray, ...]:
@@ -151,12 +152,24 @@ def _first_least(order: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_names(h: np.ndarray, i0: np.ndarray, i1: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """Second fingerprints of the words [i0, i1) and a salt."""
-    up, down = _powers(_SECOND, len(h) + 1)
-    sums = np.zeros(len(h) + 1, U)
-    np.cumsum(mix(h ^ U(_SECOND)) * up[: len(h)], out=sums[1:])
-    return mix((sums[i1] - sums[i0]) * down[i0] + salt.astype(U) * U(BASE) + (i1 - i0).astype(U))
+class Spans:
+    """Words one after the other, each followed by a blank, so that equal words are equal bytes whatever stood between them."""
+
+    def __init__(self, w: Words):
+        size = w.ends - w.starts
+        self.at = np.concatenate([[0], np.cumsum(size + 1)])
+        word = np.repeat(np.arange(len(size)), size)
+        out = np.full(self.at[-1], 32, np.uint8)
+        within = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        out[self.at[word] + within] = w.data[w.starts[word] + within]
+        self.body = memoryview(out)
+
+    def digests(self, i0: np.ndarray, i1: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Digests, as two longs, of the words [i0, i1) and a place."""
+        salts = [int(x).to_bytes(4, "little", signed=True) for x in range(-1, int(place.max(initial=-1)) + 1)]
+        ends = zip(self.at[i0].tolist(), self.at[i1].tolist(), (place + 1).tolist(), strict=True)
+        raw = b"".join(blake2b(self.body[a:b], digest_size=16, salt=salts[k]).digest() for a, b, k in ends)
+        return np.frombuffer(raw, np.int64).reshape(-1, 2)
 
 
 def _grouped(n: int):
@@ -166,7 +179,7 @@ def _grouped(n: int):
                 w = split_words(batch.column("text"))
                 i0, i1, name, place, doc = groups(w.h, w.first, n)
                 bare = place == -1
-                span = span_names(w.h, i0, np.where(bare, i0, i1) + n, place)
+                span = Spans(w).digests(i0, np.where(bare, i0, i1) + n, place)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array(doc)),
@@ -174,22 +187,22 @@ def _grouped(n: int):
                         pa.array((i0 - w.first[doc]).astype(np.int32)),
                         pa.array((i1 - w.first[doc]).astype(np.int32)),
                         pa.array(name.view(np.int64)),
-                        pa.array(span.view(np.int64)),
+                        pa.array(span[:, 0]),
+                        pa.array(span[:, 1]),
                     ],
-                    names=["doc_id", "t", "i0", "i1", "name", "span"],
+                    names=[x.split()[0] for x in GROUP.split(", ")],
                 )
 
     return run
 
 
 def _windows(n: int):
-    """Each window of the listed groups, named twice."""
+    """Each window of the listed groups, with its group's name and its own digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 w = split_words(batch.column("text"))
-                names = window_names(w.h, n)
                 found = batch.column("found")
                 rows = found.flatten()
                 i0, i1 = rows.field("i0").to_numpy(), rows.field("i1").to_numpy()
@@ -198,16 +211,19 @@ def _windows(n: int):
                 each = np.repeat(np.arange(len(rows)), size)
                 pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + i0[each]
                 doc = pa.array(of[each])
+                first = w.first[of[each]] + pos
+                span = Spans(w).digests(first, first + n, np.full(len(first), -1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(doc),
                         batch.column("t").take(doc),
                         pa.array(pos.astype(np.int32)),
                         rows.field("name").take(pa.array(each)),
-                        pa.array(names[w.first[of[each]] + pos].view(np.int64)),
+                        pa.array(span[:, 0]),
+                        pa.array(span[:, 1]),
                         rows.field("times").take(pa.array(each)),
                     ],
-                    names=["doc_id", "t", "pos", "name", "span", "times"],
+                    names=["doc_id", "t", "pos", "name", *SPAN, "times"],
                 )
 
     return run
@@ -238,25 +254,25 @@ def _remove(n: int):
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_text) for each row: words in a window that occurs elsewhere go, the rest is joined by a space."""
     scratch = Scratch(docs.sparkSession, "repeats")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text"))
     found = scratch.keep(texts.mapInArrow(_grouped(window), GROUP))
     # A table of its own: a join whose sides are both plain shuffles can have its hot partitions split.
-    shared = scratch.keep(found.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.min("span").alias("lo"), F.max("span").alias("hi")).filter("k > 1"))
-    alike = scratch.keep(found.join(shared.select("name", (F.col("lo") == F.col("hi")).alias("whole")), "name"))
+    shared = scratch.keep(found.groupBy("name").agg(F.count(F.lit(1)).alias("k"), *[f(c).alias(f"{c}_{x}") for c in SPAN for x, f in (("lo", F.min), ("hi", F.max))]).filter("k > 1"))
+    alike = scratch.keep(found.join(shared.select("name", F.expr("span_lo = span_hi and span2_lo = span2_hi").alias("whole")), "name"))
     scratch.drop(found, shared)
     whole = alike.filter("whole").select("doc_id", "t", "i0", "i1")
     mixed = alike.filter("not whole")
-    kinds = mixed.groupBy("name", "span").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "t", "i0", "i1")).alias("one"))
+    kinds = mixed.groupBy("name", *SPAN).agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "t", "i0", "i1")).alias("one"))
     kinds = scratch.keep(kinds)
-    repeated = scratch.keep(mixed.join(kinds.filter("k > 1").select("name", "span"), ["name", "span"], "left_semi").select("doc_id", "t", "i0", "i1"))
+    repeated = scratch.keep(mixed.join(kinds.filter("k > 1").select("name", *SPAN), ["name", *SPAN], "left_semi").select("doc_id", "t", "i0", "i1"))
     single = kinds.select("one.*", "name", F.least("k", F.lit(2)).cast("int").alias("times"))
     at = scratch.keep(single.groupBy("doc_id", "t").agg(F.collect_list(F.struct("i0", "i1", "name", "times")).alias("found")))
     same = (F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("l.t") == F.col("r.t"))
     # Rows equal in id and text were counted one by one above; one of them is enough here.
     those = texts.alias("l").join(at.alias("r"), same).select("l.doc_id", "l.t", "l.text", "r.found")
-    windows = scratch.keep(those.mapInArrow(_windows(window), "doc_id long, t int, pos int, name long, span long, times int"))
-    often = windows.groupBy("name", "span").agg(F.sum("times").alias("k")).filter("k > 1").select("name", "span")
-    ends = windows.filter("times = 1").join(often, ["name", "span"], "left_semi").select("doc_id", "t", F.col("pos").alias("i0"), F.col("pos").alias("i1"))
+    windows = scratch.keep(those.mapInArrow(_windows(window), "doc_id long, t long, pos int, name long, span long, span2 long, times int"))
+    often = windows.groupBy("name", *SPAN).agg(F.sum("times").alias("k")).filter("k > 1").select("name", *SPAN)
+    ends = windows.filter("times = 1").join(often, ["name", *SPAN], "left_semi").select("doc_id", "t", F.col("pos").alias("i0"), F.col("pos").alias("i1"))
     gone = scratch.keep(whole.union(repeated).union(ends).groupBy("doc_id", "t").agg(F.collect_list(F.struct("i0", "i1")).alias("found")))
     scratch.drop(alike, kinds, repeated, at, windows)
     out = texts.alias("l").join(gone.alias("r"), same, "left").select("l.doc_id", "l.text", "r.found")
