@@ -252,9 +252,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     # Ids may stand for several texts: a class has a number of its own.
     classes = scratch.keep(some.groupBy(*KEY).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
     named = some.join(classes.withColumnRenamed("rep", "doc_id"), [*KEY, "doc_id"])
-    reps = scratch.keep((named if unique else named.dropDuplicates(["node"])).select("node", F.col("n_shingles").alias("n"), "sig", "bands"))
+    reps = scratch.keep((named if unique else named.dropDuplicates(["node"])).select("node", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands"))
     corpus = Corpus(texts, classes, reps, unique, scratch)
-    banded = reps.select("node", "n", F.explode("bands").alias("band"))
+    banded = reps.select("node", "rep", "n", F.explode("bands").alias("band"))
     # A table of its own: a join whose sides are both plain shuffles can have its hot partitions split.
     shared = scratch.keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("band"))
     members = scratch.keep(banded.join(shared, "band"))
@@ -266,8 +266,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     for rounds in range(center_rounds + 1):
         now = members if roots is None else members.join(roots, "node", "left")
         now = now.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        # A bucket is done when all its members are connected.
-        spots = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(rounds), "node"), "node", "n", "root")).alias("c")).filter("lo != hi")
+        # A bucket is done when all its members are connected. The first centre has the least id, as the text that others were made from often has.
+        order = F.xxhash64(F.lit(rounds), "node") if rounds else F.col("rep")
+        spots = now.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(order.alias("order"), "node", "n", "root")).alias("c")).filter("lo != hi")
         current = scratch.keep(now.join(spots.select("band", "c"), "band"))
         if current.isEmpty():
             break
