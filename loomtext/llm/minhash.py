@@ -158,7 +158,7 @@ def _bin(n: Column) -> Column:
 
 
 def _meeting(few: DataFrame, percent: int) -> DataFrame:
-    """Pairs x, y of rows (node, root, n, i, s) with one s and different roots whose sizes and positions allow the similarity.
+    """Rows (node, root, n, i, s, least, most) by the keys (s, p, q) at which those meet whose sizes and positions allow the similarity.
 
     Of sets of n and m whose first shared members stand i-th and j-th, at least ``percent (n + m) / (100 + percent)``
     must be shared, so that neither n - i nor m - j may be less: m is at most (100 + percent)(n - i) / percent - n, and
@@ -169,8 +169,9 @@ def _meeting(few: DataFrame, percent: int) -> DataFrame:
     scaled = F.floor((F.col("n") - F.col("i")) * (100 + percent) / percent + F.lit(1e-9)) - F.col("n")
     rows = few.withColumns({"top": scaled, "low": F.ceil(F.col("n") * percent / 100 - F.lit(1e-9))})
     own = _bin(F.col("n"))
-    small = rows.filter("top >= n").select("node", "root", "n", "top", "s", F.lit(True).alias("small"), own.alias("p"), F.explode(F.sequence(own, _bin(F.col("top")))).alias("q"))
-    large = rows.filter("top >= low").select("node", "root", "n", "top", "s", F.lit(False).alias("small"), F.explode(F.sequence(_bin(F.col("low")), F.least(own, _bin(F.col("top"))))).alias("p"), own.alias("q"))
+    small = rows.filter("top >= n").select("node", "root", "n", "top", "s", F.lit(True).alias("small"), own.alias("p"), F.explode(F.sequence(own, F.least(_bin(F.col("top")), F.col("most")))).alias("q"))
+    start, stop = F.greatest(_bin(F.col("low")), F.col("least")), F.least(own, _bin(F.col("top")))
+    large = rows.filter(F.col("top") >= F.col("low")).filter(start <= stop).select("node", "root", "n", "top", "s", F.lit(False).alias("small"), F.explode(F.sequence(start, stop)).alias("p"), own.alias("q"))
     return small.union(large)
 
 
@@ -180,7 +181,8 @@ def _residual(rows: DataFrame, corpus: Corpus, percent: int) -> DataFrame:
     Of a set of n, any other that is similar enough shares one of the first n - ceil(percent n / 100) + 1
     members, whatever the order; and the first shared ones' positions bound what can be shared (``_meeting``).
     The order here takes the rarest first, by a table of COUNTERS counts, so that a passage that many texts
-    share brings no pair about unless it makes up most of both.
+    share brings no pair about unless it makes up most of both.  At each key the rows of its most frequent root meet
+    only those of other roots, so that a large connected group is not paired with itself.
     """
     scratch = corpus.scratch
     rows = scratch.keep(rows)
@@ -206,24 +208,26 @@ def _residual(rows: DataFrame, corpus: Corpus, percent: int) -> DataFrame:
                 some = slice(lo, lo + 256)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[some], sizes[some])), pa.array(np.repeat(np.diff(at)[some], sizes[some]).astype(np.int64)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes[some]])), pa.array(np.concatenate(out[some]).view(np.int64))], names=["node", "n", "i", "s"])
 
-    few = scratch.keep(sets.mapInArrow(first, "node long, n long, i int, s long"))
-    shared = scratch.keep(few.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("s"))
+    few = scratch.keep(sets.mapInArrow(first, "node long, n long, i int, s long").join(rows, "node"))
+    size = _bin(F.col("n"))
+    shared = few.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(size).alias("least"), F.max(size).alias("most"))
+    shared = scratch.keep(shared.filter("lo != hi").select("s", "least", "most"))
     at = ["s", "p", "q"]
-    met = scratch.keep(_meeting(few.join(shared, "s").join(rows, "node"), percent))
+    met = scratch.keep(_meeting(few.join(shared, "s"), percent))
     # Where one root has all rows of a key, or all are smaller or all larger, nothing meets.
     per = met.groupBy(*at, "root").agg(F.count(F.lit(1)).alias("k"), F.max("small").alias("some_small"), F.min("small").alias("all_small"))
     main = per.groupBy(*at).agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.max("some_small").alias("x"), F.min("all_small").alias("y")).filter("roots > 1 and x and not y")
-    met = scratch.keep(met.join(scratch.keep(main.select(*at, "main")), at))
-    x, y = met.filter("small"), met.filter("not small")
-
-    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in at]
-        fit = (F.col("x.n") <= F.col("y.n")) & (F.col("y.n") <= F.col("x.top")) & (F.col("x.n") <= F.col("y.top")) & (F.col("x.n") * 100 >= percent * F.col("y.n"))
-        once = (F.col("x.n") < F.col("y.n")) | (F.col("x.node") < F.col("y.node"))
-        one = x.alias("x").join(y.alias("y"), [*same, F.col("x.root") != F.col("y.root"), fit, once])
+    others = per.join(main.select(*at, "main"), at).filter("root != main").select(*at, "root", "main")
+    others = scratch.keep(met.join(others, [*at, "root"]))
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in at]
+    fit = (F.col("x.n") <= F.col("y.n")) & (F.col("y.n") <= F.col("x.top")) & (F.col("x.n") <= F.col("y.top")) & (F.col("x.n") * 100 >= percent * F.col("y.n"))
+    once = (F.col("x.n") < F.col("y.n")) | (F.col("x.node") < F.col("y.node"))
+
+    def pairs(x: DataFrame, y: DataFrame, roots: Column) -> DataFrame:
+        one = x.filter("small").alias("x").join(y.filter("not small").alias("y"), [*same, roots, fit, once])
         return _pairs(one, F.col("x.node"), F.col("x.n"), F.col("y.node"), F.col("y.n"))
 
-    return pairs(x.filter("root != main"), y).union(pairs(x.filter("root = main"), y.filter("root != main")))
+    return pairs(others, met, F.col("x.root") != F.col("y.root")).union(pairs(met, others, F.col("x.root") == F.col("y.main")))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -449,7 +449,7 @@ def test_pairs_that_no_position_allows_are_never_formed(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
     assert got == X.near_duplicates(rows)
     few = spark.createDataFrame([(i, i, 4, k, s) for i in range(300) for k, s in ((0, 1000 + i), (1, 7))], "node long, root long, n long, i int, s long")
-    met = minhash._meeting(few, 75)
+    met = minhash._meeting(few.withColumns({"least": F.lit(1), "most": F.lit(99)}), 75)
     assert met.filter("s = 7").select("small").distinct().count() == 1
 
 
