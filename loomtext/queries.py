@@ -101,9 +101,7 @@ _SUM = "sum(l_orderkey + l_linenumber * l_partkey - l_suppkey)"
 
 def _arithmetic(name: str, p: P, render: Callable[[], Column], sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        t = read_table(spark, d, "lineitem")
-        t = t if plans.values.lowered(p << eof) else spread(t)
-        t = t.select("l_linenumber", plans.parse_value(render(), p << eof, "bigint").alias("v"))
+        t = spread(read_table(spark, d, "lineitem")).select("l_linenumber", plans.parse_value(render(), p << eof, "bigint").alias("v"))
         return t.groupBy("l_linenumber").agg(F.count("v").alias("n"), F.sum("v").alias("total"))
 
     run.__name__ = name
