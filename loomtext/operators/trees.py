@@ -211,38 +211,38 @@ def spliced(nodes: DataFrame, new: DataFrame) -> DataFrame:
     What does not lie in a target stays and is numbered anew; lengths, offsets and ends of intervals follow.  A target
     that is in another one, or in no document, is left out.  Paths and structures are null.
     """
-    keys = new.select("doc_id", "target").distinct()
-    spans = nodes.join(keys, (nodes["doc_id"].eqNullSafe(keys["doc_id"])) & (nodes["node_id"] == keys["target"]), "left_semi")
-    spans = spans.select("doc_id", F.col("node_id").alias("target"), F.col("last_desc").alias("last"), F.col("parent_id").alias("up"), F.col("child_index").alias("place"), F.col("depth").alias("down"), F.col("width").alias("old_width"))
-    inner = contained(spans.select("doc_id", F.col("target").alias("inner")), F.col("inner"), spans.select("doc_id", "target", "last"), F.col("target") + 1, F.col("last"))
-    spans = spans.join(inner.select("doc_id", F.col("inner").alias("target")).distinct(), ["doc_id", "target"], "left_anti")
     sized = new.groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("added"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("new_width"))
-    spans = spans.join(sized, ["doc_id", "target"])
-    gone = contained(nodes.select("doc_id", "node_id"), F.col("node_id"), spans.select("doc_id", "target", "last"), F.col("target"), F.col("last")).select("doc_id", "node_id")
-    kept = nodes.join(gone, ["doc_id", "node_id"], "left_anti")
-    # By how many rows and characters each ancestor grows.
-    grown = contained(spans.select("doc_id", "target", (F.col("added") - (F.col("last") - F.col("target") + 1)).alias("rows"), (F.col("new_width") - F.col("old_width")).alias("chars")), F.col("target"), nodes.select("doc_id", "node_id", "last_desc"), F.col("node_id") + 1, F.col("last_desc"))
-    grown = grown.groupBy("doc_id", "node_id").agg(F.sum("rows").alias("rows"), F.sum("chars").alias("chars"))
-    kept = kept.join(grown, ["doc_id", "node_id"], "left").select(
-        "doc_id", F.col("node_id").alias("anchor"), F.lit(0).alias("sub"), (F.col("last_desc") - F.col("node_id") + F.coalesce("rows", F.lit(0))).alias("below"), F.col("parent_id").alias("up"), F.lit(0).alias("up_sub"),
-        "child_index", "depth", "node_class", "kind", "text", (F.col("width") + F.coalesce("chars", F.lit(0))).alias("width"),
+    sized = sized.withColumnRenamed("doc_id", "__d").withColumnRenamed("target", "__t")
+    old = nodes.join(sized, (F.col("doc_id") == F.col("__d")) & (F.col("node_id") == F.col("__t")), "left").drop("__d", "__t")
+    order = Window.partitionBy("doc_id").orderBy("node_id")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    # Targets nest or lie apart, so the furthest end of those before tells whether a node is in one.
+    old = old.withColumn("in_target", F.coalesce(F.max(F.when(F.col("added").isNotNull(), F.col("last_desc"))).over(before) >= F.col("node_id"), F.lit(False)))
+    old = old.withColumn("top", F.col("added").isNotNull() & ~F.col("in_target"))
+    rows = F.when(F.col("top"), F.col("added") - (F.col("last_desc") - F.col("node_id") + 1))
+    chars = F.when(F.col("top"), F.col("new_width") - F.col("width"))
+    # By how many rows and characters a document has grown before each node, and with what is put there.
+    old = old.withColumns({n: F.coalesce(F.sum(x).over(w), F.lit(0)) for n, x, w in [("rows", rows, before), ("chars", chars, before), ("rows_with", rows, upto), ("chars_with", chars, upto)]})
+    ends = old.select(F.col("doc_id").alias("__d"), F.col("node_id").alias("__n"), F.col("rows_with").alias("rows_end"), F.col("chars_with").alias("chars_end"))
+    ups = old.select(F.col("doc_id").alias("__e"), F.col("node_id").alias("__u"), (F.col("node_id") + F.col("rows")).alias("parent"))
+    stays = old.filter(~F.col("in_target")).join(ups, (F.col("doc_id") == F.col("__e")) & (F.col("parent_id") == F.col("__u")), "left")
+    kept = stays.filter(~F.col("top")).join(ends, (F.col("doc_id") == F.col("__d")) & (F.col("last_desc") == F.col("__n")), "left")
+    # Documents without an id have no targets.
+    more_rows, more_chars = F.coalesce("rows_end", "rows"), F.coalesce("chars_end", "chars")
+    kept = kept.select(
+        "doc_id", (F.col("node_id") + F.col("rows")).alias("id"), (F.col("last_desc") + more_rows).alias("last"), F.coalesce("parent", "parent_id").alias("parent"), "child_index", "depth",
+        "node_class", "kind", "text", (F.col("width") + more_chars - F.col("chars")).alias("width"), (F.col("offset") + F.col("chars")).alias("at"),
     )
-    root = F.col("node_id") == 0
-    upto = Window.partitionBy("doc_id", "target").orderBy("node_id")
-    ends = new.withColumns({"__end": F.sum(F.length("text")).over(upto), "__w": F.length("text")}).select("doc_id", "target", "node_id", "last_desc", "__end", "__w")
-    stops = ends.select("doc_id", "target", F.col("node_id").alias("last_desc"), F.col("__end").alias("__stop"))
-    widths = ends.join(stops, ["doc_id", "target", "last_desc"]).select("doc_id", "target", "node_id", (F.col("__stop") - F.col("__end") + F.col("__w")).alias("own_width"))
-    put = new.join(widths, ["doc_id", "target", "node_id"]).join(spans.select("doc_id", "target", "up", "place", "down"), ["doc_id", "target"]).select(
-        "doc_id", F.col("target").alias("anchor"), F.col("node_id").alias("sub"), (F.col("last_desc") - F.col("node_id")).alias("below"), F.when(root, F.col("up")).otherwise(F.col("target")).alias("up"), F.when(root, 0).otherwise(F.col("parent_id")).alias("up_sub"),
-        F.when(root, F.col("place")).otherwise(F.col("child_index")).alias("child_index"), (F.col("down") + F.col("depth")).alias("depth"), "node_class", "kind", "text", F.col("own_width").alias("width"),
+    spans = stays.filter("top").select("doc_id", F.col("node_id").alias("target"), (F.col("node_id") + F.col("rows")).alias("base"), "parent", F.col("child_index").alias("place"), F.col("depth").alias("down"), (F.col("offset") + F.col("chars")).alias("start"))
+    inside = Window.partitionBy("doc_id", "target").orderBy("node_id")
+    own = new.select("*", F.sum(F.length("text")).over(inside).alias("__end"))
+    stops = own.select("doc_id", "target", F.col("node_id").alias("last_desc"), F.col("__end").alias("__stop"))
+    root, begin = F.col("node_id") == 0, F.col("__end") - F.length("text")
+    put = own.join(stops, ["doc_id", "target", "last_desc"]).join(spans.withColumnRenamed("parent", "up"), ["doc_id", "target"]).select(
+        "doc_id", (F.col("base") + F.col("node_id")).alias("id"), (F.col("base") + F.col("last_desc")).alias("last"), F.when(root, F.col("up")).otherwise(F.col("base") + F.col("parent_id")).alias("parent"),
+        F.when(root, F.col("place")).otherwise(F.col("child_index")).alias("child_index"), (F.col("down") + F.col("depth")).alias("depth"), "node_class", "kind", "text", (F.col("__stop") - begin).alias("width"), (F.col("start") + begin).alias("at"),
     )
-    order = Window.partitionBy("doc_id").orderBy("anchor", "sub")
-    text = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # A parent stands before its children, and its own number is what they need.
-    out = kept.unionByName(put).withColumns({"id": F.row_number().over(order) - 1, "at": text})
-    ups = out.select("doc_id", F.col("anchor").alias("up"), F.col("sub").alias("up_sub"), F.col("id").alias("parent"))
-    out = out.join(ups, ["doc_id", "up", "up_sub"], "left")
-    return out.select(
-        "doc_id", F.col("id").cast("int").alias("node_id"), (F.col("id") + F.col("below")).cast("int").alias("last_desc"), F.col("parent").cast("int").alias("parent_id"), F.col("child_index").cast("int").alias("child_index"), F.col("depth").cast("int").alias("depth"),
+    return kept.unionByName(put).select(
+        "doc_id", F.col("id").cast("int").alias("node_id"), F.col("last").cast("int").alias("last_desc"), F.col("parent").cast("int").alias("parent_id"), F.col("child_index").cast("int").alias("child_index"), F.col("depth").cast("int").alias("depth"),
         "node_class", "kind", "text", F.col("width").cast("int").alias("width"), F.col("at").cast("int").alias("offset"), F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("bigint").alias("structure"),
     )

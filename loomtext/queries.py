@@ -292,7 +292,7 @@ def tree_splice(spark: SparkSession, d: str) -> DataFrame:
     """Each array, whatever it holds, becomes a token: texts, numbers, widths and offsets of the new node table."""
     nodes = _shapes(spark, d).persist()
     keys = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("<"), "o_custkey", F.lit(">")).alias("new_text"))
-    new = trees.replace_at(nodes, nodes.filter("kind = 'Array'").select("doc_id", F.col("node_id").alias("target")).join(keys, "doc_id"))
+    new = trees.replace_at(nodes, nodes.filter("kind = 'Array'").select("doc_id", F.col("node_id").alias("target")).join(keys, "doc_id")).persist()
     per = new.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes"), F.max(F.when(F.col("node_id") == 0, F.col("width"))).alias("width"), F.max(F.when(F.col("kind") == "Array", F.struct(F.col("node_class").alias("class"), "offset"))).alias("a"))
     return trees.to_source(new).join(per, "doc_id").select("doc_id", "text", "nodes", "width", "a.class", "a.offset")
 
