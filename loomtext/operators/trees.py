@@ -209,7 +209,8 @@ def spliced(nodes: DataFrame, new: DataFrame) -> DataFrame:
     """The node table with subtrees put in place of others: ``new`` holds for each (doc_id, target) the rows of a tree, numbered from 0.
 
     What does not lie in a target stays and is numbered anew; lengths, offsets and ends of intervals follow.  A target
-    that is in another one, or in no document, is left out.  Paths and structures are null.
+    that is in another one, or in no document, is left out; documents without an id stay as they are.  Paths and
+    structures are null.  A document's nodes are summed over in one sorted window, which may spill.
     """
     sized = new.groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("added"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("new_width"))
     sized = sized.withColumnRenamed("doc_id", "__d").withColumnRenamed("target", "__t")
