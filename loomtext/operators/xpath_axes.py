@@ -4,6 +4,8 @@ Node rows are in document order, attributes right after their element, with ``la
 interval: ``node_id`` 0 is the document.  A location path is a chain of joins from a table of contexts, one step
 at a time: child, parent, attribute and sibling axes join on the parent, descendant and ancestor axes on blocks
 (``trees.contained``).  ``position()`` and ``last()`` are windows over the nodes that a step finds for one context.
+Siblings are not paired where a running count over them tells as much: the n-th one, how many there are, or all of
+them for several contexts.  No join broadcasts nodes (``trees.held_apart``).
 
 An expression is worked out for a table of contexts (doc_id, node_id, and the position and size where it has some) as one
 column by key; node sets in it become tables, counted, compared or made strings by an aggregate for each context.  Variables,
@@ -26,6 +28,9 @@ from . import trees
 XML_NODE = "doc_id bigint, node_id int, last_desc int, parent_id int, depth int, kind string, name string, value string"
 _TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
 TESTS = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+SIDES = ("following-sibling", "preceding-sibling", "following", "preceding")
+SIBLINGS = SIDES[:2]
+NUMERIC = ("position", "last", "count", "sum", "number", "string-length", "floor", "ceiling", "round")
 REVERSE = ("ancestor", "ancestor-or-self", "preceding", "preceding-sibling", "parent")
 
 
@@ -95,6 +100,34 @@ def _test(test: str, axis: str) -> Column:
     return (kind == main) & (F.col("name") == test)
 
 
+def _numeric(e: Any) -> bool:
+    return isinstance(e, (xpath.Num, xpath.Negation)) or (isinstance(e, xpath.Call) and e.name in NUMERIC) or (isinstance(e, xpath.Binary) and e.op in ("+", "-", "*", "div", "mod"))
+
+
+def _placed(e: Any) -> bool:
+    """Whether an expression asks for the position or the size of its own context."""
+    if isinstance(e, xpath.Call):
+        return e.name in ("position", "last") or any(map(_placed, e.args))
+    if isinstance(e, xpath.Binary):
+        return _placed(e.left) or _placed(e.right)
+    if isinstance(e, xpath.Negation):
+        return _placed(e.inner)
+    return isinstance(e, xpath.Path) and e.base not in (None, "/") and _placed(e.base)
+
+
+def _free(e: Any) -> bool:
+    """Whether a predicate is the same for a node wherever it stands among those found."""
+    return not _numeric(e) and not _placed(e)
+
+
+def _nth(e: Any) -> int | None:
+    """The one position that a predicate asks for: [n] or [position() = n]."""
+    if isinstance(e, xpath.Binary) and e.op == "=":
+        sides = [x for x in (e.left, e.right) if not (isinstance(x, xpath.Call) and x.name == "position" and not x.args)]
+        return _nth(sides[0]) if len(sides) == 1 and isinstance(sides[0], xpath.Num) else None
+    return int(float(e.raw)) if isinstance(e, xpath.Num) and float(e.raw).is_integer() and 0 < float(e.raw) < 2**31 else None
+
+
 class Evaluator:
     """Expressions over one table of nodes."""
 
@@ -110,6 +143,11 @@ class Evaluator:
 
     def step(self, here: DataFrame, step: xpath.Step) -> DataFrame:
         """(doc_id, c, at) of the nodes that a step finds from (doc_id, c, at), each once for each c."""
+        if step.axis in SIBLINGS and step.predicates and (n := _nth(step.predicates[0])) is not None:
+            found = self.nth_sibling(here, step, n)
+            return self.filtered(found, step.predicates[1:], step.axis in REVERSE).select("doc_id", "c", "at").distinct()
+        if step.axis in SIDES and all(map(_free, step.predicates)):
+            here = self.widest(here, step.axis)
         found = self.axis(here, step.axis).filter(_test(step.test, step.axis))
         found = found.select("doc_id", "c", F.col("at").alias("from"), F.col("node_id").alias("at"))
         if not step.predicates:
@@ -121,7 +159,8 @@ class Evaluator:
         for p in predicates:
             group = Window.partitionBy("doc_id", "c", "from")
             order = group.orderBy(F.col("at").desc() if backwards else F.col("at"))
-            found = found.withColumns({"position": F.row_number().over(order).cast("double"), "last": F.count(F.lit(1)).over(group).cast("double")})
+            if not _free(p):
+                found = found.withColumns({"position": F.row_number().over(order).cast("double"), "last": F.count(F.lit(1)).over(group).cast("double")})
             if self.is_set(p):
                 found, hold = self.truth(found, p)
             else:
@@ -135,32 +174,72 @@ class Evaluator:
         nodes = self.nodes
         point = nodes.select("doc_id", F.col("node_id").alias("at"), F.col("last_desc").alias("at_last"), F.col("parent_id").alias("at_parent"), F.col("kind").alias("at_kind"))
         if axis == "self":
-            return here.join(nodes.withColumnRenamed("doc_id", "d"), (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("node_id"))).drop("d")
+            return here.join(trees.held_apart(nodes.withColumnRenamed("doc_id", "d")), (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("node_id"))).drop("d")
         if axis in ("child", "attribute"):
             low = nodes.filter((F.col("kind") == "attribute") if axis == "attribute" else (F.col("kind") != "attribute")).withColumnRenamed("doc_id", "d")
-            return here.join(low, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("parent_id"))).drop("d")
+            return here.join(trees.held_apart(low), (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("parent_id"))).drop("d")
         if axis == "parent":
-            up = here.join(point.select("doc_id", "at", "at_parent"), ["doc_id", "at"])
-            return up.join(nodes.withColumnRenamed("doc_id", "d"), (F.col("doc_id") == F.col("d")) & (F.col("at_parent") == F.col("node_id"))).drop("d", "at_parent")
+            up = here.join(trees.held_apart(point.select("doc_id", "at", "at_parent")), ["doc_id", "at"])
+            return up.join(trees.held_apart(nodes.withColumnRenamed("doc_id", "d")), (F.col("doc_id") == F.col("d")) & (F.col("at_parent") == F.col("node_id"))).drop("d", "at_parent")
         if axis in ("descendant", "descendant-or-self"):
-            top = here.join(point.select("doc_id", "at", "at_last"), ["doc_id", "at"])
+            top = here.join(trees.held_apart(point.select("doc_id", "at", "at_last")), ["doc_id", "at"])
             own = nodes.filter("kind != 'attribute'") if axis == "descendant" else nodes
             got = trees.contained(own, F.col("node_id"), top, F.col("at") + (1 if axis == "descendant" else 0), F.col("at_last"))
             return got.filter((F.col("kind") != "attribute") | (F.col("node_id") == F.col("at"))).drop("at_last")
         if axis in ("ancestor", "ancestor-or-self"):
             return trees.contained(here, F.col("at"), nodes, F.col("node_id") + (1 if axis == "ancestor" else 0), F.col("last_desc"))
         if axis in ("following-sibling", "preceding-sibling"):
-            up = here.join(point.filter("at_kind != 'attribute'").select("doc_id", "at", "at_parent"), ["doc_id", "at"])
+            up = here.join(trees.held_apart(point.filter("at_kind != 'attribute'").select("doc_id", "at", "at_parent")), ["doc_id", "at"])
             low = nodes.filter("kind != 'attribute'").withColumnRenamed("doc_id", "d")
             side = (F.col("node_id") > F.col("at")) if axis == "following-sibling" else (F.col("node_id") < F.col("at"))
-            return up.join(low, (F.col("doc_id") == F.col("d")) & (F.col("at_parent") == F.col("parent_id")) & side).drop("d", "at_parent")
+            return up.join(trees.held_apart(low), (F.col("doc_id") == F.col("d")) & (F.col("at_parent") == F.col("parent_id")) & side).drop("d", "at_parent")
         if axis in ("following", "preceding"):
-            up = here.join(point.select("doc_id", "at", "at_last"), ["doc_id", "at"])
+            up = here.join(trees.held_apart(point.select("doc_id", "at", "at_last")), ["doc_id", "at"])
             low = nodes.filter("kind != 'attribute'").withColumnRenamed("doc_id", "d")
             side = (F.col("node_id") > F.col("at_last")) if axis == "following" else (F.col("last_desc") < F.col("at"))
-            return up.join(low, (F.col("doc_id") == F.col("d")) & side).drop("d", "at_last")
+            return up.join(trees.held_apart(low), (F.col("doc_id") == F.col("d")) & side).drop("d", "at_last")
         raise ValueError(f"the axis {axis} is not evaluated")
 
+    def siblings(self) -> DataFrame:
+        """(doc_id, at, up) and what a test reads of all nodes that may have siblings."""
+        return self.nodes.filter("kind != 'attribute' and parent_id is not null").select("doc_id", F.col("node_id").alias("at"), F.col("parent_id").alias("up"), "kind", "name")
+
+    def nth_sibling(self, here: DataFrame, step: xpath.Step, n: int) -> DataFrame:
+        """(doc_id, c, from, at) of the n-th sibling that a step's test holds for, by numbers among those of one parent."""
+        upto = Window.partitionBy("doc_id", "up").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+        own = _test(step.test, step.axis).cast("long")
+        ranked = self.siblings().select("doc_id", "at", "up", own.alias("own")).withColumn("rank", F.sum("own").over(upto))
+        due = F.col("rank") + n if step.axis == "following-sibling" else F.col("rank") - F.col("own") + 1 - n
+        wanted = here.select("doc_id", "c", "at").join(trees.held_apart(ranked), ["doc_id", "at"]).select("doc_id", "c", F.col("at").alias("from"), "up", due.alias("rank"))
+        return wanted.join(trees.held_apart(ranked.filter("own = 1").select("doc_id", "up", "rank", "at")), ["doc_id", "up", "rank"]).select("doc_id", "c", "from", "at")
+
+    def widest(self, here: DataFrame, axis: str) -> DataFrame:
+        """Of contexts that find parts of one row of nodes, the one that finds all of them."""
+        if axis in SIBLINGS:
+            up = here.select("doc_id", "c", "at").join(trees.held_apart(self.siblings().select("doc_id", "at", "up")), ["doc_id", "at"])
+            return up.groupBy("doc_id", "c", "up").agg((F.min if axis == "following-sibling" else F.max)("at").alias("at")).drop("up")
+        if axis == "preceding":
+            return here.groupBy("doc_id", "c").agg(F.max("at").alias("at"))
+        ends = here.select("doc_id", "c", "at").join(trees.held_apart(self.nodes.select("doc_id", F.col("node_id").alias("at"), "last_desc")), ["doc_id", "at"])
+        return ends.groupBy("doc_id", "c").agg(F.min_by("at", "last_desc").alias("at"))
+
+    def counted(self, e: Any) -> bool:
+        """Whether a set is one step to siblings, each in it or not whatever the context."""
+        return isinstance(e, xpath.Path) and e.base is None and len(e.steps) == 1 and e.steps[0].axis in SIBLINGS and all(map(_free, e.steps[0].predicates))
+
+    def tally(self, rows: DataFrame, e: xpath.Path) -> tuple[DataFrame, Column]:
+        """How many siblings a step finds from each context, by a running count."""
+        (step,), n = e.steps, self.fresh()
+        families = rows.select("doc_id", "at").distinct().join(trees.held_apart(self.siblings().select("doc_id", "at", "up")), ["doc_id", "at"]).select("doc_id", "up").distinct()
+        own = self.siblings().join(trees.held_apart(families), ["doc_id", "up"])
+        zero = F.lit(0)
+        hits = own.filter(_test(step.test, step.axis)).select("doc_id", zero.alias("c"), zero.alias("from"), "at")
+        hits = self.filtered(hits, step.predicates, False).select("doc_id", "at", F.lit(1).cast("long").alias("hit"))
+        order = F.col("at") if step.axis == "preceding-sibling" else F.col("at").desc()
+        before = Window.partitionBy("doc_id", "up").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        per = own.select("doc_id", "at", "up").join(trees.held_apart(hits), ["doc_id", "at"], "left").select("doc_id", "at", F.sum("hit").over(before).alias(n))
+        return rows.join(trees.held_apart(per), ["doc_id", "at"], "left"), F.coalesce(F.col(n), F.lit(0).cast("long"))
+
     def path(self, here: DataFrame, p: xpath.Path) -> DataFrame:
         """(doc_id, c, at) of the nodes of a path from contexts (doc_id, c, at)."""
         if p.base == "/":
@@ -215,13 +294,13 @@ class Evaluator:
         contexts = rows.select("doc_id", F.col("at").alias("c"), "at").distinct()
         found = self.node_set(contexts, e)
         values = self.nodes.select("doc_id", F.col("node_id").alias("at"), "value", "name")
-        return keyed, found.join(values, ["doc_id", "at"]), mark
+        return keyed, found.join(trees.held_apart(values), ["doc_id", "at"]), mark
 
     def joined(self, rows: DataFrame, e: Any, agg: Callable, empty: Column) -> tuple[DataFrame, Column]:
         keyed, found, mark = self.sets_of(rows, e)
         v = self.fresh()
         per = found.groupBy("doc_id", F.col("c").alias(mark)).agg(agg().alias(v))
-        out = keyed.join(per, ["doc_id", mark], "left").drop(mark)
+        out = keyed.join(trees.held_apart(per), ["doc_id", mark], "left").drop(mark)
         return out, F.coalesce(F.col(v), empty)
 
     def value(self, rows: DataFrame, e: Any) -> tuple[DataFrame, Column, str]:
@@ -243,6 +322,9 @@ class Evaluator:
         raise ValueError(f"{xpath.print_xpath(e)} is not evaluated")
 
     def truth(self, rows: DataFrame, e: Any) -> tuple[DataFrame, Column]:
+        if self.counted(e):
+            rows, v = self.tally(rows, e)
+            return rows, v > 0
         if self.is_set(e):
             return self.joined(rows, e, lambda: F.lit(True), F.lit(False))
         rows, v, kind = self.value(rows, e)
@@ -316,6 +398,9 @@ class Evaluator:
             return rows, F.col(name), "number"
         if name in ("true", "false") and not args:
             return rows, F.lit(name == "true"), "boolean"
+        if name == "count" and len(args) == 1 and self.counted(args[0]):
+            rows, v = self.tally(rows, args[0])
+            return rows, v.cast("double"), "number"
         if name == "count" and len(args) == 1:
             rows, v = self.joined(rows, args[0], lambda: F.count(F.lit(1)).cast("double"), F.lit(0.0))
             return rows, v, "number"
@@ -376,7 +461,7 @@ def select(nodes: DataFrame, expression: str) -> DataFrame:
     e = _parsed(expression)
     here = nodes.filter("node_id = 0").select("doc_id", F.lit(0).alias("c"), F.lit(0).alias("at"))
     found = Evaluator(nodes).node_set(here, e).select("doc_id", F.col("at").alias("node_id"))
-    return found.join(nodes, ["doc_id", "node_id"]).select("doc_id", "node_id", "kind", "name", "value")
+    return found.join(trees.held_apart(nodes), ["doc_id", "node_id"]).select("doc_id", "node_id", "kind", "name", "value")
 
 
 def evaluate(nodes: DataFrame, expression: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """What keeps queries whole on large tables: sides of joins, tasks, and pairs that are never formed."""
 
 import os
+import re
 import sys
 
 import pytest
@@ -22,3 +23,53 @@ def test_node_tables_are_not_broadcast(spark, name):
     plan = plan_of(entry.queries()[name](spark, SMALL))
     assert "SortMergeJoin" in plan or name == "tree_replace"
     assert "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["xpath_ancestor", "xpath_attribute", "xpath_child", "xpath_descendant", "xpath_nested", "xpath_position", "xpath_siblings", "xpath_value"])
+def test_xml_nodes_are_not_broadcast(spark, name):
+    plan = plan_of(entry.queries()[name](spark, SMALL))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+XML = "<r><a/><b x='1'><e/></b>t<b x='2'/><!-- c --><b x='3'><e/></b><a/><d><b x='4'/><a/><b x='5'/></d></r>"
+
+
+@pytest.mark.parametrize(
+    "expression, expected",
+    [
+        ("//b[count(preceding-sibling::b[e]) = 1]/@x", "23"),
+        ("//b[count(following-sibling::node()) = 0]/@x", "5"),
+        ("//b[not(preceding-sibling::b)]/@x", "14"),
+        ("//b[following-sibling::a[not(following-sibling::a)]]/@x", "1234"),
+        ("//b/@x[count(following-sibling::node()) > 0]", ""),
+        ("//a/preceding-sibling::b[1]/@x", "34"),
+        ("//a/following-sibling::b[position() = 2]/@x", "2"),
+        ("//b/following-sibling::b[1][e]/@x", "3"),
+        ("//b/following-sibling::b/@x", "235"),
+        ("//a/preceding-sibling::b/@x", "1234"),
+        ("//e/following::b[not(e)]/@x", "245"),
+        ("//a/preceding::b/@x", "1234"),
+        ("//b[e]/following-sibling::b[last()]/@x", "3"),
+    ],
+)
+def test_siblings_are_counted(spark, expression, expected):
+    from loomtext.operators import xpath_axes
+
+    nodes = xpath_axes.xml_nodes(spark.createDataFrame([(1, XML)], "doc_id long, text string"))
+    assert "".join(sorted(r["value"] for r in xpath_axes.select(nodes, expression).collect())) == expected
+
+
+def test_siblings_are_not_paired(spark):
+    """20,000 siblings are 200 million pairs."""
+    from pyspark.sql import functions as F
+
+    from loomtext.operators import xpath_axes
+
+    text = F.concat(F.lit("<r>"), F.repeat(F.lit("<b/><a/>"), 10_000), F.lit("</r>"))
+    nodes = xpath_axes.xml_nodes(spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"))).persist()
+    for e, n in (("/r/a[count(preceding-sibling::b) = 7]", 1), ("/r/a/preceding-sibling::b[2]", 9_999), ("/r/b/following-sibling::a", 10_000)):
+        got = xpath_axes.select(nodes, e)
+        assert got.count() == n
+        # A join of pairs has an order of nodes as its condition.
+        assert n == 10_000 or not re.search(r"SortMergeJoin.*(Inner|LeftOuter), \(", plan_of(got))
+    nodes.unpersist()
