@@ -19,19 +19,33 @@ from ..grammar import Composed, Constant, OnPair, P, cons, fold_left, fold_right
 from ..lower import NotRegular, lower
 
 Value = Callable[[Column, Column], Column]
+#: A text has fewer characters.
+MOST_CHARS = 2**31 - 1
 ARITHMETIC: dict[Callable, Callable[[Column, Column], Column]] = {operator.add: F.try_add, operator.sub: F.try_subtract, operator.mul: F.try_multiply}
 # Decimal digits of the basic plane, which int() reads.
 _DIGITS = "".join(chr(c) for c in range(128, 0x10000) if unicodedata.category(chr(c)) == "Nd")
 _ASCII = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 
 
+def _width(p: P) -> int | None:
+    """The length of all matches of a literal, where they have one in common."""
+    if p.kind in ("map", "capture", "skip"):
+        return _width(p.args[0])
+    if p.kind == "or":
+        widths = {_width(q) for q in p.args}
+        return widths.pop() if len(widths) == 1 else None
+    return 1 if p.kind == "char" else len(p.args[0]) if p.kind == "string" else None
+
+
 def _match(rest: Column, p: P) -> Column:
+    if (n := _width(p)) is not None:
+        return F.substring(rest, 1, n)
     return F.regexp_extract(rest, rf"\A({lower(p)})", 1)
 
 
 def _after(rest: Column, at: Column, p: P) -> tuple[Column, Column]:
-    n = F.length(_match(rest, p))
-    return F.substring(rest, n + 1, F.length(rest)), at + n
+    n = F.lit(width) if (width := _width(p)) is not None else F.length(_match(rest, p))
+    return F.substring(rest, n + 1, F.lit(MOST_CHARS)), at + n
 
 
 def _literal(p: P) -> bool:
@@ -158,14 +172,19 @@ def _fold(p: P, left: bool) -> Value:
         begin = one(rest, at).cast("bigint")
         if left:
             return F.aggregate(steps, begin, lambda acc, x: _applied(op, acc, x["v"], x["s"]))
-        # From the right: each step holds the sign before its value.
-        values = F.concat(F.array(begin), F.transform(steps, lambda x: x["v"]))
-        pairs = F.reverse(F.arrays_zip(F.slice(values, 1, F.size(values) - 1).alias("v"), F.transform(steps, lambda x: x["s"]).alias("s")))
-        return F.aggregate(pairs, F.element_at(values, -1), lambda acc, x: _applied(op, x["v"], acc, x["s"]))
+        # From the right: a step holds the sign before its value, which waits for the value on its left. The steps are worked out once.
+        none = F.struct(F.lit(None).cast("string").alias("s"), F.lit(None).cast("bigint").alias("v"))
+        joined = lambda x, acc: F.when(acc["s"].isNull(), x).otherwise(_applied(op, x, acc["v"], acc["s"]))
+        return F.aggregate(F.reverse(steps), none, lambda acc, x: F.struct(x["s"].alias("s"), joined(x["v"], acc).alias("v")), lambda acc: joined(begin, acc))
 
     return run
 
 
+def _number(text: Column, kind: str) -> Column:
+    """Other digits than ASCII ones are only looked for where a cast fails."""
+    return F.coalesce(text.try_cast(kind), F.translate(text, _DIGITS, _ASCII).try_cast(kind))
+
+
 def _mapped(inner: P, f: Callable) -> Value:
     if isinstance(f, Composed):
         return _mapped(P("map", (inner, f.first)), f.second)
@@ -182,9 +201,9 @@ def _mapped(inner: P, f: Callable) -> Value:
         keys = [F.lit(x) for kv in table.items() for x in kv]
         return lambda rest, at: F.element_at(F.create_map(*keys), own(rest, at))
     if f is int:
-        return lambda rest, at: F.translate(own(rest, at), _DIGITS, _ASCII).try_cast("bigint")
+        return lambda rest, at: _number(own(rest, at), "bigint")
     if f is float:
-        return lambda rest, at: F.translate(own(rest, at), _DIGITS, _ASCII).try_cast("double")
+        return lambda rest, at: _number(own(rest, at), "double")
     if f is len and inner.kind in ("many", "map"):
         return lambda rest, at: F.size(own(rest, at))
     if f is len:
