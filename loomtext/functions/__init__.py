@@ -137,6 +137,8 @@ def register(spark: SparkSession) -> None:
             return json.plain(v)
         if dataclasses.is_dataclass(v) and not isinstance(v, type):
             return {f.name: plain(getattr(v, f.name)) for f in dataclasses.fields(v)}
+        if hasattr(v, "_asdict"):
+            v = v._asdict()
         if isinstance(v, dict):
             return {str(k): plain(x) for k, x in v.items()}
         if isinstance(v, (list, tuple)):

@@ -73,3 +73,50 @@ def test_siblings_are_not_paired(spark):
         # A join of pairs has an order of nodes as its condition.
         assert n == 10_000 or not re.search(r"SortMergeJoin.*(Inner|LeftOuter), \(", plan_of(got))
     nodes.unpersist()
+
+
+def test_quiet_runs_give_the_same(spark):
+    """A first run without errors is followed by one with them where a text fails or recovers; who asks for errors gets them."""
+    from loomtext.formats import json, yaml
+    from loomtext.grammar import char, digit, succeed
+    from loomtext.machine import Parser, State
+
+    number = digit.many1().capture().map(int)
+    for p in (number, number.named("n") | char("x"), number.expect("n") & char("y"), number.recover(succeed(-1)), number.attempt(), char("a").not_followed_by() >> number, json.grammar(), json.lossless()):
+        run = Parser(p)
+        for text in ("12", "x", "y", "", "a1", "12y", "[1, 2]", '{"a": [}', "[1,"):
+            assert run(text) == Parser(p).interpret(State(text))
+    kept = Parser(json.lossless())
+    kept("[1]")
+    assert kept.calls == 1 and not kept.again
+    assert yaml.parse_yaml("a:\n  - b\n  - [1, {c: d}]\n").value == {"a": ["b", [1, {"c": "d"}]]}
+
+
+def test_depths_of_yaml_are_compiled_once():
+    import re as patterns
+
+    from loomtext import machine
+    from loomtext.formats import yaml
+
+    text = "a:\n  - b\n  - [1, {c: d}]\n"
+    yaml.parse_yaml(text)
+    made, compile_ = [], patterns.compile
+    machine.re.compile = lambda *a: made.append(a) or compile_(*a)
+    try:
+        yaml.parse_yaml(text)
+    finally:
+        machine.re.compile = compile_
+    assert not made
+
+
+def test_right_chains_work_steps_out_once(spark):
+    plan = entry.queries()["chain_right"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_tasks_hold_as_many_rows_however_many_there_are(spark):
+    from loomtext import sources
+
+    many = 12 * sources.ROWS_PER_TASK
+    assert sources.spread(spark.range(many, numPartitions=2)).rdd.getNumPartitions() == 12
+    assert sources.spread(spark.range(10, numPartitions=2)).rdd.getNumPartitions() == 4
