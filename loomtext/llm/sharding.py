@@ -4,10 +4,10 @@ Every record has a key: the hash of its text, then a hash of its id.  A size-wei
 bounded by ``sample_size``, gives quantile boundaries of many ranges; exact row and byte counts of the
 ranges follow; ranges that came out overfull are sampled again and subdivided.  Ranges of more than
 ``range_bytes`` are then cut evenly by the value of their keys, so that no task holds more of a table of
-any size; consecutive ranges make up shards of nearly equal bytes.  Equal texts are neighbours in key
-order and a boundary falls between two texts, unless copies of one text outweigh a range: only such a
-hot text is subdivided, by the id's hash, and if its rows have one id too (or none), by a number written
-with each row.
+any size; consecutive ranges make up shards of nearly equal bytes: the range in which a shard should end is
+cut between the two texts that are nearest.  Equal texts are neighbours in key order; where copies of one
+text outweigh a range, such a hot text is subdivided, by the id's hash, and if its rows have one id too (or
+none), by a number written with each row, but its ranges stay in one shard unless it outweighs half of one.
 
 Nulls: a null text has no bytes and is as the empty text; null ids are as any other id.  Repeated rows
 are each placed.  Empty input: no rows.  Columns of the input that bear a name of the result are replaced,
@@ -151,6 +151,39 @@ def _splitters(slim: DataFrame, n: int, size: int, ranges: int, sample_size: int
     return bounds, stats, sorted(over)
 
 
+def _ends(slim: DataFrame, bounds: list[tuple[int, int]], bytes_of: list[int], n_shards: int, c: Names) -> set[tuple[int, int]]:
+    """Bounds between two texts, those nearest to where each shard should end, in ranges that hold several texts."""
+    low, high = [(LEAST, LEAST), *bounds], [*bounds, (MOST + 1, LEAST)]
+    before, size = _running(bytes_of), sum(bytes_of)
+    due = []
+    for k in range(1, n_shards):
+        i = bisect.bisect_right(before, k * size / n_shards) - 1
+        if i < len(bytes_of) and low[i][1] == LEAST and high[i][1] == LEAST and high[i][0] - low[i][0] > 1:
+            due.append((i, k * size / n_shards - before[i]))
+    if not due:
+        return set()
+    texts = slim.withColumn(c.r, _range_of(bounds, c)).filter(F.col(c.r).isin([i for i, _ in due])).groupBy(c.r, c.h).agg(F.sum("size").alias("b"))
+    texts = texts.withColumn("b", F.sum("b").over(Window.partitionBy(c.r).orderBy(c.h).rowsBetween(Window.unboundedPreceding, 0)))
+    nearest = [F.min_by(F.col(c.h), F.when(F.col(c.r) == i, F.abs(F.col("b") - at))).alias(f"x{j}") for j, (i, at) in enumerate(due)]
+    return {(h + 1, LEAST) for h in texts.agg(*nearest).first() if h is not None and h < MOST}
+
+
+def _shards(bounds: list[tuple[int, int]], bytes_of: list[int], n_shards: int) -> list[int]:
+    """The shard of each range, by its middle. The ranges of one text count as one, unless it outweighs half of a shard."""
+    low, size, out, before, i = [(LEAST, LEAST), *bounds], max(1, sum(bytes_of)), [], 0, 0
+    while i < len(bytes_of):
+        j = i + 1
+        while j < len(low) and low[j][0] == low[i][0]:
+            j += 1
+        whole = sum(bytes_of[i:j])
+        together = whole * 2 * n_shards <= size
+        for b in [whole] if together else bytes_of[i:j]:
+            out += [min(n_shards - 1, int((before + b / 2) * n_shards / size))] * (j - i if together else 1)
+            before += b
+        i = j
+    return out
+
+
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 128, sample_size: int = 16384, rounds: int = 4, range_bytes: int = 1 << 28) -> DataFrame:
     """All columns of ``docs`` and: size, text_crc32, law, shard, slot (gapless in each shard), grown_shard (null under this law).
 
@@ -180,16 +213,18 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
             scratch.drop(slim)
             slim = keys(docs)
             bounds, stats, _ = _splitters(slim, n, size, ranges, sample_size, rounds, c)
+        if ends := _ends(slim, bounds, [b for _, b in stats], n_shards, c) - set(bounds):
+            bounds = sorted({*bounds, *ends})
+            stats = _counts(slim, _range_of(bounds, c), len(bounds) + 1)
+        shard_of = _shards(bounds, [b for _, b in stats], n_shards)
         part, parts = _cut(bounds, [b for _, b in stats], range_bytes, c)
         if parts > len(stats):
+            shard_of = [at for at, (_, b) in zip(shard_of, stats, strict=True) for _ in range(max(1, -(-b // range_bytes)))]
             stats = _counts(slim.withColumn(c.r, _range_of(bounds, c)), part, parts)
-        shards, base, before = [], [], 0
-        for rows, b in stats:
-            at = min(n_shards - 1, int((before + b / 2) * n_shards / size))
-            shards.append(at)
+        shards, base = shard_of, []
+        for at, (rows, _) in zip(shards, stats, strict=True):
             base.append(filled[at])
             filled[at] += rows
-            before += b
     scratch.drop(slim)
     placed = _keyed(docs, c, id_col, text_col, hot).withColumn(c.r, _range_of(bounds, c)).withColumn(c.r, part)
     if len(shards) <= LITERALS:

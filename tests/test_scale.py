@@ -120,3 +120,30 @@ def test_tasks_hold_as_many_rows_however_many_there_are(spark):
     many = 12 * sources.ROWS_PER_TASK
     assert sources.spread(spark.range(many, numPartitions=2)).rdd.getNumPartitions() == 12
     assert sources.spread(spark.range(10, numPartitions=2)).rdd.getNumPartitions() == 4
+
+
+def test_shards_end_between_two_texts(spark):
+    """Shards are even to within the longest text, and copies of one text that outweigh a range stay together."""
+    from pyspark.sql import functions as F
+
+    from loomtext.llm import sharding
+
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 80 == 0, F.repeat(F.lit("copy "), 40)).otherwise(F.concat(F.lit("t"), F.col("id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")))).alias("text"))
+    placed = sharding.shard(docs, 8, ranges_per_shard=4, sample_size=256).select("size", "shard", "text", "slot").persist()
+    per = placed.groupBy("shard").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("hi")).collect()
+    sizes = [r["b"] for r in per]
+    assert len(per) == 8 and all(r["n"] == r["d"] == r["hi"] + 1 for r in per) and sum(r["n"] for r in per) == 6000
+    assert placed.groupBy("text").agg(F.countDistinct("shard").alias("k")).filter("k > 1").count() == 0
+    without = sharding.shard(docs.filter("doc_id % 80 != 0"), 8, ranges_per_shard=4, sample_size=256).groupBy("shard").agg(F.sum("size").alias("b"), F.max("size").alias("m")).collect()
+    assert max(r["b"] for r in without) - min(r["b"] for r in without) <= 2 * max(r["m"] for r in without)
+    assert max(sizes) - min(sizes) <= 2 * 75 * 201
+    placed.unpersist()
+
+
+def test_python_is_given_small_slices_of_blocks(spark):
+    from loomtext.llm import tokencount
+
+    n = 3 * tokencount.SLICE_BYTES // 2
+    blocks = spark.createDataFrame([("f", 0, bytes([1, 0]) * n), ("f", 1, bytes([2, 0]) * 7 + bytes([0, 1]))], "file string, block long, data binary")
+    assert max(len(r["data"]) for r in tokencount._sliced(blocks).collect()) == tokencount.SLICE_BYTES
+    assert [tuple(r) for r in tokencount.scan_separators(blocks, 256).collect()] == [("f", 0, 0, n + 7, True)]
