@@ -32,6 +32,8 @@ from .scratch import Scratch
 # Fixed value: how the public byte-level vocabularies cut a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_BYTES = 1 << 20
+#: What Python is given at once is a number of rows: they are cut this small, so that a thousand of them take 64 MB and not a whole file.
+SLICE_BYTES = 1 << 16
 
 
 def _encoder(ranks: bytes | None):
@@ -147,9 +149,16 @@ def _search(eod: int, width: int):
     return run
 
 
+def _sliced(blocks: DataFrame) -> DataFrame:
+    """Blocks cut in slices, numbered in the same order."""
+    last = F.floor((F.greatest(F.octet_length("data"), F.lit(1)) - 1) / SLICE_BYTES).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("i"), F.substring("data", i * SLICE_BYTES + 1, F.lit(SLICE_BYTES)).alias("data")))
+    return blocks.select("file", "block", F.explode(cut).alias("s")).select("file", (F.col("block") * (1 << 24) + F.col("s.i")).alias("block"), F.col("s.data").alias("data"))
+
+
 def scan_separators(blocks: DataFrame, eod: int, width: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """(file, ordinal, start, n_tokens, complete): each document of flat files, the separator not counted."""
-    found = (scratch or Scratch(blocks.sparkSession, "separators")).keep(blocks.select("file", "block", "data").mapInArrow(_search(eod, width), "file string, block long, n long, ends array<long>"))
+    found = (scratch or Scratch(blocks.sparkSession, "separators")).keep(_sliced(blocks).mapInArrow(_search(eod, width), "file string, block long, n long, ends array<long>"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     zero = F.lit(0).cast("long")
