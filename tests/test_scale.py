@@ -147,3 +147,37 @@ def test_python_is_given_small_slices_of_blocks(spark):
     blocks = spark.createDataFrame([("f", 0, bytes([1, 0]) * n), ("f", 1, bytes([2, 0]) * 7 + bytes([0, 1]))], "file string, block long, data binary")
     assert max(len(r["data"]) for r in tokencount._sliced(blocks).collect()) == tokencount.SLICE_BYTES
     assert [tuple(r) for r in tokencount.scan_separators(blocks, 256).collect()] == [("f", 0, 0, n + 7, True)]
+
+
+def test_json_is_scanned_as_its_grammar_reads_it():
+    from loomtext.formats import json
+
+    good = ['{ "id": 1, "tags": ["O", null], "in": {"c" : -2.5e3} }', "[]", "[ ]", "{}", "{ }", ' [1,[2 ,{"a":{}}] , true] ', '"x\\u00e9"', '{"a":1 ,\n"b":[false,{ }]}', "0"]
+    for text in good:
+        assert json.scanned(text) == json._LOSSLESS(text).value and json.parse_lossless(text) == json._LOSSLESS(text)
+    for text in ("", " ", "[", "]", "[1,]", "{,}", '{"a"}', '{"a":}', '{"a":1,}', "{1:2}", "01", "1 2", "[1}", '{"a":[}', "truefalse", ",", "[,1]", '{"a" "b":1}', "{ ]"):
+        assert json.scanned(text) is None and json.parse_lossless(text) == json._LOSSLESS(text)
+    deep = json.scanned("[" * 100_000 + "]" * 100_000)
+    assert deep.width == 200_000 and json._LOSSLESS.calls
+
+
+def test_intervals_are_cut_by_compiled_expressions(spark):
+    """Spark interprets functions on the elements of arrays, at some 30 microseconds a node."""
+    from pyspark.sql import functions as F
+
+    from loomtext.operators import trees
+
+    own = spark.range(9).select(F.col("id").alias("doc_id"), F.col("id").alias("p"))
+    assert "lambda" not in plan_of(trees.contained(own, F.col("p"), own.withColumnRenamed("p", "a"), F.col("a"), F.col("a") + 3))
+
+
+def test_blocks_hold_what_intervals_hold(spark):
+    from pyspark.sql import functions as F
+
+    from loomtext.operators import trees
+
+    rows = [(d, i, a, a + w) for d in (None, 1, 2) for i, (a, w) in enumerate([(0, -1), (0, 0), (3, 1), (5, 36), (7, 0), (0, 63), (64, 0), (63, 2), (1, 99)]) if (d, i) != (2, 5)]
+    intervals = spark.createDataFrame(rows, "doc_id long, i int, a int, z int")
+    points = spark.createDataFrame([(d, p) for d in (None, 1, 2, 3) for p in range(110)], "doc_id long, p int")
+    got = {(r["doc_id"], r["p"], r["i"]) for r in trees.contained(points, F.col("p"), intervals, F.col("a"), F.col("z")).collect()}
+    assert got == {(d, p, i) for d, i, a, z in rows for p in range(a, z + 1)}
