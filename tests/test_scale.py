@@ -181,3 +181,17 @@ def test_blocks_hold_what_intervals_hold(spark):
     points = spark.createDataFrame([(d, p) for d in (None, 1, 2, 3) for p in range(110)], "doc_id long, p int")
     got = {(r["doc_id"], r["p"], r["i"]) for r in trees.contained(points, F.col("p"), intervals, F.col("a"), F.col("z")).collect()}
     assert got == {(d, p, i) for d, i, a, z in rows for p in range(a, z + 1)}
+
+
+def test_xml_elements_are_compiled_once(monkeypatch):
+    from loomtext import machine
+    from loomtext.formats import xml
+
+    text = "<r>" + "".join(f'<p id="{i}"><n>x</n><e/></p>' for i in range(50)) + "</r>"
+    xml.parse_xml(text)
+    made, compiled = [], machine.Compiler.compiled
+    monkeypatch.setattr(machine.Compiler, "compiled", lambda self, p: made.append(p) or compiled(self, p))
+    assert len(xml.parse_xml(text).value.root.children) == 50 and not made
+    wrong = xml.parse_xml("<r><a>x</b></r>")
+    assert [(e.message, e.offset) for e in wrong.errors] == [("mismatched end tag: expected </a>, found </b>", 7)]
+    assert "duplicate attribute in <a>" in [e.message for e in xml.parse_xml("<r><a x='1' x='2'/></r>").errors]
