@@ -242,16 +242,27 @@ class Evaluator:
 
     def path(self, here: DataFrame, p: xpath.Path) -> DataFrame:
         """(doc_id, c, at) of the nodes of a path from contexts (doc_id, c, at)."""
+        steps = p.steps
         if p.base == "/":
             here = here.select("doc_id", "c", F.lit(0).alias("at")).distinct()
+            if len(steps) > 1 and steps[0] == xpath.ANYWHERE and steps[1].axis == "child" and all(map(_free, steps[1].predicates)):
+                here, steps = self.anywhere(here, steps[1]), steps[2:]
         elif p.base is not None:
             here = self.node_set(here, p.base)
             if p.predicates:
                 here = self.filtered(here.withColumn("from", F.lit(0)), p.predicates, False).select("doc_id", "c", "at")
-        for s in p.steps:
+        for s in steps:
             here = self.step(here, s)
         return here
 
+    def anywhere(self, here: DataFrame, step: xpath.Step) -> DataFrame:
+        """(doc_id, c, at) of what //step finds, where its predicates ask for no position: nodes of the whole document, by their test alone.
+        By the descendants of the root, each node would be looked for in as many blocks as a document's length has bits."""
+        own = self.nodes.filter("kind != 'attribute' and parent_id is not null").filter(_test(step.test, step.axis))
+        low = own.select(F.col("doc_id").alias("d"), F.col("node_id").alias("at"))
+        found = here.select("doc_id", "c").join(trees.held_apart(low), F.col("doc_id") == F.col("d")).select("doc_id", "c", F.lit(0).alias("from"), "at")
+        return self.filtered(found, step.predicates, False).select("doc_id", "c", "at").distinct()
+
     def node_set(self, here: DataFrame, e: Any) -> DataFrame:
         if isinstance(e, xpath.Path):
             return self.path(here, e)

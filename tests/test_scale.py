@@ -195,3 +195,13 @@ def test_xml_elements_are_compiled_once(monkeypatch):
     wrong = xml.parse_xml("<r><a>x</b></r>")
     assert [(e.message, e.offset) for e in wrong.errors] == [("mismatched end tag: expected </a>, found </b>", 7)]
     assert "duplicate attribute in <a>" in [e.message for e in xml.parse_xml("<r><a x='1' x='2'/></r>").errors]
+
+
+def test_nodes_anywhere_are_not_looked_for_in_blocks(spark):
+    from loomtext.operators import xpath_axes
+
+    nodes = xpath_axes.xml_nodes(spark.createDataFrame([(1, XML), (2, "<b x='9'/>")], "doc_id long, text string"))
+    for e, n in (("//b[e]/@x", "13"), ("//b[2]/@x", "25"), ("//b/@x", "123459")):
+        found = xpath_axes.select(nodes, e)
+        assert "".join(sorted(r["value"] or " " for r in found.collect())) == n, e
+    assert "shiftright" not in plan_of(xpath_axes.select(nodes, "//b[e]/@x"))
