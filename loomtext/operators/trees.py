@@ -9,9 +9,12 @@ is thus dealt over tasks, and costs its logarithm, not its square.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,22 +67,116 @@ def node_table(df: DataFrame, parse: Callable[[str], Result], id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            rows = _Rows(paths, structure)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 r = None if text is None else parse(text)
                 if r is not None and r.status != "failure":
-                    rows += rows_of(doc, r.value, paths, structure)
-                if len(rows) > 50_000:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+                    rows.add(doc, r.value)
+                if len(rows.text) > 50_000:
+                    yield rows.batch()
+                    rows = _Rows(paths, structure)
+            if rows.text:
+                yield rows.batch()
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, NODE)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+class _Rows:
+    """What ``rows_of`` gives for many trees, as columns: numbers lie in arrays, and what follows from others is worked out for all at once."""
+
+    #: Digests that recur, by what they are made of; dropped when there are too many.
+    digests: dict[tuple, bytes] = {}
+
+    def __init__(self, paths: bool, structure: bool):
+        self.docs: list[int | None] = []
+        self.counts = array("i")
+        self.text: list[str] = []
+        self.cls: list[str] = []
+        self.kind: list[str] = []
+        self.last, self.parent, self.index, self.depth, self.width = (array("i") for _ in range(5))
+        self.steps = array("i") if paths else None
+        self.structure: list[bytes] | None = [] if structure else None
+
+    def digest(self, node: Node, below: list[bytes]) -> bytes:
+        key = (node.cls, node.kind, node.text, *below)
+        found = self.digests.get(key)
+        if found is None:
+            found = _digest(node, below)
+            if len(below) <= 64 and len(node.text) <= 256:
+                if len(self.digests) >= 50_000:
+                    self.digests.clear()
+                self.digests[key] = found
+        return found
+
+    def add(self, doc: int | None, root: Node) -> None:
+        text, cls, kind = self.text.append, self.cls.append, self.kind.append
+        last, parent, index, depth, width = self.last.append, self.parent.append, self.index.append, self.depth.append, self.width.append
+        steps, structure = self.steps, self.structure
+        first, n = len(self.text), 0
+        # Open nodes above this one: their children still to come, their number, their node, the path to their children, digests of these.
+        above: list[tuple] = []
+        due, me, owner, path, below = enumerate((root,)), -1, None, [], []
+        while True:
+            for i, node in due:
+                text(node.text)
+                cls(node.cls)
+                kind(node.kind)
+                last(n)
+                parent(me)
+                index(i)
+                depth(len(above))
+                width(node.width)
+                if steps is not None and above:
+                    steps.extend(path)
+                    steps.append(i)
+                if node.children:
+                    if structure is not None:
+                        structure.append(b"")
+                    if steps is not None:
+                        own = [*path, i] if above else []
+                    else:
+                        own = path
+                    above.append((due, me, owner, path, below))
+                    due, me, owner, path, below = enumerate(node.children), n, node, own, []
+                    n += 1
+                    break
+                n += 1
+                if structure is not None:
+                    structure.append(self.digest(node, []))
+                    below.append(structure[-1])
+            else:
+                if not above:
+                    break
+                self.last[first + me] = n - 1
+                if structure is not None:
+                    structure[first + me] = done = self.digest(owner, below)
+                due, me, owner, path, below = above.pop()
+                if structure is not None:
+                    below.append(done)
+        self.docs.append(doc)
+        self.counts.append(n)
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.text)
+        of = np.repeat(np.arange(len(self.docs)), self.counts)
+        ends = np.cumsum(self.counts, dtype=np.int64)
+        first = (ends - self.counts)[of]
+        text = pa.array(self.text, pa.string())
+        length = np.asarray(pc.utf8_length(text), dtype=np.int64)
+        at = np.cumsum(length) - length
+        parent = np.asarray(self.parent, dtype=np.int32)
+        ints = lambda x: pa.array(np.asarray(x, dtype=np.int32))
+        path, structure = pa.nulls(n, _TYPES[11]), pa.nulls(n, _TYPES[12])
+        if self.steps is not None:
+            # As many steps as a node is deep.
+            path = pa.ListArray.from_arrays(ints(np.concatenate(([0], np.cumsum(self.depth, dtype=np.int64)))), ints(self.steps), type=_TYPES[11])
+        if self.structure is not None:
+            structure = pa.array(np.frombuffer(b"".join(self.structure), dtype="<i8"))
+        columns = [
+            pa.array(self.docs, pa.int64()).take(pa.array(of)), ints(np.arange(n) - first), ints(self.last), pa.array(parent, mask=parent < 0), ints(self.index), ints(self.depth),
+            pa.array(self.cls, pa.string()), pa.array(self.kind, pa.string()), text, ints(self.width), ints(at - at[first]), path, structure,
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
 def held_apart(df: DataFrame) -> DataFrame:

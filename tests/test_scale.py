@@ -205,3 +205,36 @@ def test_nodes_anywhere_are_not_looked_for_in_blocks(spark):
         found = xpath_axes.select(nodes, e)
         assert "".join(sorted(r["value"] or " " for r in found.collect())) == n, e
     assert "shiftright" not in plan_of(xpath_axes.select(nodes, "//b[e]/@x"))
+
+
+def _trees(n: int):
+    from loomtext.formats import json
+    from loomtext.machine import Node
+
+    texts = ['{"k": 1, "a": ["s", [], {}]}', "[[1, 2], [1, 2]]", "7", '["é", "\U0001f600"]']
+    made = [json.parse_lossless(t).value for t in texts] + [Node("tree", "T", "own", [Node("missing", "M"), Node("unexpected", "U", "", [Node("token", "S", "x")]), Node("tree", "E", "", [])])]
+    return [(None if i % 5 == 4 else i, made[i % len(made)]) for i in range(n)]
+
+
+@pytest.mark.parametrize("paths, structure", [(False, False), (True, False), (False, True), (True, True)])
+def test_columns_of_nodes_are_their_rows(paths, structure):
+    from loomtext.operators import trees
+
+    made = trees._Rows(paths, structure)
+    for doc, root in _trees(12):
+        made.add(doc, root)
+    batch = made.batch()
+    assert batch.schema.types == trees._TYPES
+    assert list(zip(*(c.to_pylist() for c in batch.columns), strict=True)) == [r for doc, root in _trees(12) for r in trees.rows_of(doc, root, paths, structure)]
+
+
+def test_digests_that_are_kept_are_bounded(monkeypatch):
+    from loomtext.machine import Node
+    from loomtext.operators import trees
+
+    monkeypatch.setattr(trees._Rows, "digests", {})
+    made = trees._Rows(False, True)
+    for i in range(50_010):
+        made.add(i, Node("token", "N", str(i)))
+    made.add(0, Node("token", "N", "x" * 300))
+    assert len(made.digests) == 10 and len(set(made.structure)) == 50_011
