@@ -258,10 +258,18 @@ def ancestors(nodes: DataFrame, of: Column) -> DataFrame:
     return contained(low, F.col("node_id"), above, F.col("ancestor_id") + 1, F.col("last_desc")).select("doc_id", "node_id", "ancestor_id", "kind", "depth")
 
 
+#: Characters of a document that lie in one block: a target is compared with the nodes whose own text lies there, 64 at most.
+_NEAR = 6
+
+
 def node_at(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """The deepest node over each (doc_id, target), the end exclusive; none at the end of the text."""
-    own = nodes.select("doc_id", "node_id", "kind", "depth", "offset", "width")
-    hit = contained(targets.select("doc_id", "target").distinct(), F.col("target"), own, F.col("offset"), F.col("offset") + F.col("width") - 1)
+    """The deepest node over each (doc_id, target), the end exclusive; none at the end of the text. A text is made of the nodes' own texts,
+    so that it is the one whose own text lies there; no other interval has to be looked at."""
+    end = F.col("offset") + F.length("text")
+    own = nodes.filter(F.length("text") > 0).select(F.col("doc_id").alias("__d"), "node_id", "kind", "depth", F.col("offset").alias("__a"), end.alias("__z"))
+    own = own.withColumn("__xb", F.explode(F.sequence(F.shiftright("__a", _NEAR), F.shiftright(F.col("__z") - 1, _NEAR))))
+    put = targets.select("doc_id", "target").distinct().withColumn("__b", F.shiftright(F.col("target").cast("int"), _NEAR))
+    hit = put.join(held_apart(own), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__b") == F.col("__xb")) & F.col("target").between(F.col("__a"), F.col("__z") - 1))
     return hit.groupBy("doc_id", "target").agg(F.max_by(F.struct("node_id", "kind", "depth"), "depth").alias("n")).select("doc_id", "target", "n.*")
 
 

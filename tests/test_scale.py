@@ -238,3 +238,28 @@ def test_digests_that_are_kept_are_bounded(monkeypatch):
         made.add(i, Node("token", "N", str(i)))
     made.add(0, Node("token", "N", "x" * 300))
     assert len(made.digests) == 10 and len(set(made.structure)) == 50_011
+
+
+@pytest.mark.parametrize("name, times", [("tree_node_at", 1)])
+def test_texts_are_parsed_once_for_each_node_table(spark, name, times):
+    assert plan_of(entry.queries()[name](spark, SMALL)).count("MapInArrow") == times
+
+
+def test_nodes_are_found_by_their_own_text(spark):
+    from loomtext.formats import json
+    from loomtext.machine import Node, Result
+    from loomtext.operators import trees
+
+    long = '["' + "x" * 200 + '", [' + "1, " * 40 + "2]]"
+    parse = lambda t: Result("success", Node("tree", "T", "own", [Node("missing", "M"), Node("token", "S", "x")]), (), 4, 4) if t == "ownx" else json.parse_lossless(t)
+    texts = [(1, long), (2, "ownx"), (3, "7"), (4, "wrong")]
+    nodes = trees.node_table(spark.createDataFrame(texts, "doc_id long, text string"), parse)
+    at = [(d, x) for d, t in texts for x in range(-2, len(t) + 2)]
+    got = {(r.doc_id, r.target): (r.node_id, r.depth) for r in trees.node_at(nodes, spark.createDataFrame(at * 2, "doc_id long, target int")).collect()}
+    rows = [r for r in nodes.collect()]
+    want = {}
+    for d, x in at:
+        over = [(r.depth, r.node_id) for r in rows if r.doc_id == d and r.offset <= x < r.offset + r.width]
+        if over:
+            want[d, x] = max(over)[::-1]
+    assert got == want
