@@ -284,14 +284,50 @@ def enclosing(nodes: DataFrame, ranges: DataFrame, kinds: list[str] | None = Non
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(doc_id, node_id, path): child indexes from the root; those that the parser gave, where it did."""
-    above = ancestors(nodes, F.col("path").isNull()).select("doc_id", "node_id", "ancestor_id")
-    step = nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), "child_index", "depth")
-    own = nodes.filter("path is null").select("doc_id", "node_id", F.col("node_id").alias("ancestor_id"))
-    chain = above.union(own).join(held_apart(step), ["doc_id", "ancestor_id"]).filter("depth > 0")
-    found = chain.groupBy("doc_id", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "child_index"))), lambda x: x["child_index"]).alias("found"))
-    given = nodes.select("doc_id", "node_id", "path")
-    return given.join(held_apart(found), ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("path", "found", F.array().cast("array<int>")).alias("path"))
+    """(doc_id, node_id, path): child indexes from the root; those that the parser gave, where it did. A document's nodes are read in
+    order, as they are sorted in one task (which may spill), each with the last index seen at every depth; those of documents without an
+    id, which can't be told apart, get none."""
+    # Paths that are known go to Python as texts, after a step more, so that none is empty: with each row that it adds, Spark counts all rows
+    # of a batch of arrays again.
+    given = F.array_join(F.concat(F.array(F.lit(-1)), "path"), ",").alias("path")
+    ordered = nodes.select("doc_id", "node_id", "depth", "child_index", given).repartition("doc_id").sortWithinPartitions("doc_id", "node_id")
+    return ordered.mapInArrow(_with_paths, "doc_id bigint, node_id int, path array<int>")
+
+
+#: Nodes whose paths are made at once.
+_PATHS_AT_ONCE = 10_000
+
+
+def _with_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    doc, open_ = None, np.zeros(0, dtype=np.int32)
+    for whole in batches:
+        for begin in range(0, len(whole), _PATHS_AT_ONCE):
+            batch = whole.slice(begin, _PATHS_AT_ONCE)
+            docs, depth = batch.column(0), np.asarray(batch.column(2), dtype=np.int64)
+            known = np.asarray(docs.is_valid()).astype(bool)
+            ids = np.asarray(docs.fill_null(0), dtype=np.int64)
+            found = _filled(np.where(known, depth, 0), np.asarray(batch.column(3), dtype=np.int32), open_ if doc is not None and known[0] and ids[0] == doc else open_[:0])
+            doc = int(ids[-1]) if known[-1] else None
+            open_ = np.asarray(found[len(batch) - 1].values, dtype=np.int32)
+            given = batch.column(4)
+            path = found
+            if given.null_count < len(given):
+                # Not pc.list_slice, which makes an empty list of one that is missing.
+                path = pc.if_else(given.is_valid(), pc.list_slice(pc.split_pattern(given, ",").cast(_TYPES[11]), 1), found)
+            yield pa.RecordBatch.from_arrays([docs, batch.column(1), path], names=["doc_id", "node_id", "path"])
+
+
+def _filled(depth: np.ndarray, index: np.ndarray, before: np.ndarray) -> pa.ListArray:
+    """Paths of nodes in pre-order, the path before the first one known: at each depth the last index, as far as a node is deep."""
+    ends = np.concatenate(([0], np.cumsum(depth)))
+    steps = np.zeros(ends[-1], dtype=np.int32)
+    rows = np.flatnonzero(depth)
+    k = 1
+    while len(rows):
+        own = np.maximum.accumulate(np.where(depth[rows] == k, np.arange(len(rows)), -1))
+        steps[ends[rows] + k - 1] = np.where(own < 0, before[k - 1] if k <= len(before) else 0, index[rows[own]])
+        rows, k = rows[depth[rows] > k], k + 1
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(steps), type=_TYPES[11])
 
 
 def problems(nodes: DataFrame) -> DataFrame:

@@ -619,7 +619,7 @@ def tree_ancestors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SHAPES + "SELECT doc_id, '0/3/4/' || (3 * i - 2) AS path, true AS parsed FROM o, unnest(range(1, m + 1)) t(i)")
 def tree_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths from intervals, equal to those that the parser gives."""
+    """Paths from depths and child indexes, equal to those that the parser gives."""
     nodes = _shapes(spark, d)
     found = trees.paths(nodes).join(trees.held_apart(_shapes(spark, d, paths=True).select("doc_id", "node_id", "kind", "depth", F.col("path").alias("given"))), ["doc_id", "node_id"])
     text = F.array_join(F.col("path").cast("array<string>"), "/")

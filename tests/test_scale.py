@@ -240,9 +240,9 @@ def test_digests_that_are_kept_are_bounded(monkeypatch):
     assert len(made.digests) == 10 and len(set(made.structure)) == 50_011
 
 
-@pytest.mark.parametrize("name, times", [("tree_node_at", 1)])
+@pytest.mark.parametrize("name, times", [("tree_node_at", 1), ("tree_paths", 2)])
 def test_texts_are_parsed_once_for_each_node_table(spark, name, times):
-    assert plan_of(entry.queries()[name](spark, SMALL)).count("MapInArrow") == times
+    assert plan_of(entry.queries()[name](spark, SMALL)).count("MapInArrow") == times + (name == "tree_paths")
 
 
 def test_nodes_are_found_by_their_own_text(spark):
@@ -263,3 +263,35 @@ def test_nodes_are_found_by_their_own_text(spark):
         if over:
             want[d, x] = max(over)[::-1]
     assert got == want
+
+
+def test_paths_go_on_over_batches(monkeypatch):
+    import pyarrow as pa
+
+    from loomtext.operators import trees
+
+    monkeypatch.setattr(trees, "_PATHS_AT_ONCE", 5)
+    rows = [r for doc, root in _trees(24) if doc is not None for r in trees.rows_of(doc, root, True)]
+    lone = [(None, i, 1, 0) for i in range(7)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    given = ["-1,9,12" if i % 11 == 3 else "-1" if i % 11 == 5 else None for i in range(len(lone) + len(rows))]
+    table = [(*x, g) for x, g in zip([*lone, *((r[0], r[1], r[5], r[4]) for r in rows)], given, strict=True)]
+    for size in (7, 13, len(table)):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table[i : i + size], strict=True), kinds, strict=True)], names=list("abcde")) for i in range(0, len(table), size)]
+        got = [p for b in trees._with_paths(iter(parts)) for p in b.column(2).to_pylist()]
+        assert got == [p if g is None else [9, 12] if g != "-1" else [] for g, p in zip(given, [[]] * 7 + [r[11] for r in rows], strict=True)]
+
+
+def test_arrays_do_not_go_to_python_row_by_row(spark):
+    """Spark sizes a batch anew for each row, at a cost of all of its rows where a column holds arrays."""
+    from loomtext.formats import json
+    from loomtext.operators import trees
+
+    texts = spark.createDataFrame([(1, "[[1, 2], []]"), (2, "7")], "doc_id long, text string")
+    nodes, known = trees.node_table(texts, json.parse_lossless), trees.node_table(texts, json.parse_lossless, paths=True)
+    some = nodes.filter("node_id % 2 = 0").union(known.filter("node_id % 2 = 1"))
+    want = sorted(tuple(r) for r in known.select("doc_id", "node_id", "path").collect())
+    for own in (nodes, known, some):
+        assert sorted(tuple(r) for r in trees.paths(own).collect()) == want
+        sent = re.search(r"MapInArrow _with_paths.*?\n(.*?)$", trees.paths(own)._jdf.queryExecution().optimizedPlan().toString(), re.S)
+        assert sent and "array_join" in sent[1]
