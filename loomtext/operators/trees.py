@@ -273,13 +273,32 @@ def node_at(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "target").agg(F.max_by(F.struct("node_id", "kind", "depth"), "depth").alias("n")).select("doc_id", "target", "n.*")
 
 
+#: Sizes of the blocks that intervals have their home in, as powers of two; a table's offsets are below the largest.
+_HOMES = (6, 12, 18, 24, 30, 36)
+
+
+def _home(first: Column, last: Column) -> Column:
+    """The least size of block that holds a whole interval [first, last]."""
+    alike = lambda k: F.shiftright(first, k) == F.shiftright(last, k)
+    out = F.when(alike(_HOMES[0]), _HOMES[0])
+    for k in _HOMES[1:]:
+        out = out.when(alike(k), k)
+    return out
+
+
 def enclosing(nodes: DataFrame, ranges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """The deepest node that holds each (doc_id, start, end), both edges included; with ``kinds``, of one of them:
-    the region to parse again after an edit."""
+    the region to parse again after an edit. Each node is in the table once, at the smallest block that holds it, and a range names the
+    blocks around it. Only the nodes that lie across one of the 63 places where a block is cut have it as their home, so that a range
+    meets 63 times a tree's depth at most in each of six blocks, and the nodes of one block of 64 characters."""
     own = nodes.filter(F.col("kind").isin(kinds)) if kinds else nodes
-    own = own.select("doc_id", "node_id", "kind", "depth", "offset", "width")
-    hit = contained(ranges.select("doc_id", "start", "end").distinct(), F.col("start"), own, F.col("offset"), F.col("offset") + F.col("width"))
-    hit = hit.filter(F.col("end") <= F.col("offset") + F.col("width"))
+    own = own.select(F.col("doc_id").alias("__d"), "node_id", "kind", "depth", "offset", "width", F.col("offset").cast("long").alias("__a"), (F.col("offset").cast("long") + F.col("width")).alias("__z"))
+    own = own.withColumn("__xk", _home(F.col("__a"), F.col("__z"))).withColumn("__xb", _shift("right", "__a", F.col("__xk")))
+    # A range's end may be before its start.
+    put = ranges.select("doc_id", "start", "end").distinct().withColumns({"__s": F.col("start").cast("long"), "__e": F.greatest("start", "end").cast("long")}).filter("start is not null and end is not null")
+    put = put.withColumn("__k", F.explode(F.array(*map(F.lit, _HOMES)))).filter(F.col("__k") >= _home(F.col("__s"), F.col("__e"))).withColumn("__b", _shift("right", "__s", F.col("__k")))
+    there = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__xk")) & (F.col("__b") == F.col("__xb"))
+    hit = put.join(held_apart(own), there & (F.col("__a") <= F.col("__s")) & (F.col("__e") <= F.col("__z")))
     return hit.groupBy("doc_id", "start", "end").agg(F.max_by(F.struct("node_id", "kind", "offset", "width"), F.struct("depth", "node_id")).alias("n")).select("doc_id", "start", "end", "n.*")
 
 

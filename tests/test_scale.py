@@ -295,3 +295,24 @@ def test_arrays_do_not_go_to_python_row_by_row(spark):
         assert sorted(tuple(r) for r in trees.paths(own).collect()) == want
         sent = re.search(r"MapInArrow _with_paths.*?\n(.*?)$", trees.paths(own)._jdf.queryExecution().optimizedPlan().toString(), re.S)
         assert sent and "array_join" in sent[1]
+
+
+def test_regions_are_found_in_one_pass(spark):
+    """Texts are parsed once, an interval is one row, and what a range meets is what lies across the cuts of its blocks."""
+    from loomtext.operators import trees
+
+    plan = plan_of(entry.queries()["tree_reparse_region"](spark, SMALL))
+    assert plan.count("MapInArrow") == 1 and plan.count("SortMergeJoin") == 1
+    spans = [(1, 0, 5000), (2, 0, 70), (3, 60, 4), (4, 64, 0), (5, 64, 6), (6, 70, 4930), (7, 4090, 10), (8, 4096, 0), (9, 2**31 - 9, 5)]
+    rows = [(d, n, a, w, n, "K" if n % 4 else "L") for d in (None, 1, 2) for n, a, w in spans]
+    nodes = spark.createDataFrame(rows, "doc_id long, node_id int, offset int, width int, depth int, kind string")
+    places = [-1, 0, 3, 60, 63, 64, 65, 70, 71, 4089, 4096, 4100, 4101, 5000, 5001, 2**31 - 9, 2**31 - 4]
+    asked = [(d, a, z) for d in (None, 1, 3) for a in places for z in places] + [(1, None, 3), (1, 3, None)]
+    for kinds in (None, ["L"]):
+        got = {(r.doc_id, r.start, r.end): r.node_id for r in trees.enclosing(nodes, spark.createDataFrame(asked * 2, "doc_id long, start int, end int"), kinds).collect()}
+        want = {}
+        for d, a, z in asked:
+            over = [n for e, n, o, w, _, k in rows if e == d and (kinds is None or k in kinds) and a is not None and z is not None and o <= a <= o + w and z <= o + w]
+            if over:
+                want[d, a, z] = max(over)
+        assert got == want
