@@ -316,3 +316,52 @@ def test_regions_are_found_in_one_pass(spark):
             if over:
                 want[d, a, z] = max(over)
         assert got == want
+
+
+def test_splicing_brings_documents_together_once(spark):
+    plan = plan_of(entry.queries()["tree_replace"](spark, SMALL))
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("size", [2, 7, 1000])
+def test_splicing_goes_on_over_batches(spark, size):
+    """Against trees changed one by one; what is in a target, in no node or in no document is left out."""
+    import random
+
+    from loomtext import splice
+    from loomtext.formats import json
+    from loomtext.machine import Node
+    from loomtext.operators import trees
+
+    r = random.Random(size)
+    roots = {d: json.parse_lossless(json_text).value for d, json_text in enumerate(['{"k": 1, "a": ["é", [], {}]}', "[[1, 2], [3, [4, 5]]]", "7", '[["\U0001f600"], 1]'] * 3)}
+    small = [Node("token", "N", "99"), Node("tree", "T", "own", [Node("missing", "M"), Node("tree", "E", "x", [Node("token", "S", "yz")])])]
+    table = {d: trees.rows_of(d, root, True) for d, root in roots.items()}
+    new, want = [], {}
+    for d, root in roots.items():
+        chosen = sorted(r.sample(range(len(table[d])), min(3, len(table[d]))) if d % 5 else [])
+        outer, end = [], -1
+        for t in chosen:
+            tree = small[r.randrange(2)]
+            new += [(d, t, *x[1:9]) for x in trees.rows_of(d, tree)]
+            if t > end:
+                outer.append((t, tree))
+                end = table[d][t][2]
+        for t, tree in reversed(outer):
+            root = splice.replace_at(root, table[d][t][11], tree)
+        want[d] = [x[:11] for x in trees.rows_of(d, root)]
+    new += [(0, 99, *x[1:9]) for x in trees.rows_of(0, small[1])] + [(50, 0, *x[1:9]) for x in trees.rows_of(0, small[1])] + [(None, 0, *x[1:9]) for x in trees.rows_of(0, small[0])]
+    lone = [(None, *x[1:]) for x in table[1]]
+    schema = "doc_id long, target int, node_id int, last_desc int, parent_id int, child_index int, depth int, node_class string, kind string, text string"
+    nodes = spark.createDataFrame([x for rows in table.values() for x in rows] + lone * 2, trees.NODE)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = [tuple(x) for x in trees.spliced(nodes, spark.createDataFrame(new, schema)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {x[11:] for x in got} == {(None, None)}
+    for d in want:
+        assert sorted(x[:11] for x in got if x[0] == d) == want[d]
+    assert sorted(x[1:11] for x in got if x[0] is None) == sorted(x[1:11] for x in lone * 2)
+    assert len(got) == sum(map(len, want.values())) + 2 * len(lone)
