@@ -359,8 +359,11 @@ _CATALOG = """concat('<catalog n="', count(1), '">', array_join(transform(array_
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
     """One document for each of 50 groups of parts."""
     t = read_table(spark, d, "part").groupBy((F.col("p_partkey") % 50).alias("g")).agg(F.expr(_CATALOG).alias("t"))
-    # Every step of a path reads the nodes: they are parsed once, in a few tasks a core, since each step has as many.
-    return xpath_axes.xml_nodes(t.repartition(4 * spark.sparkContext.defaultParallelism, "g"), "g", "t").persist()
+    # Every step of a path reads the nodes: they are parsed once, in a few tasks a core, since each step has as many. And before the
+    # steps: these begin at one time, and would each parse texts that another one is at.
+    nodes = xpath_axes.xml_nodes(t.repartition(4 * spark.sparkContext.defaultParallelism, "g"), "g", "t").persist()
+    nodes.count()
+    return nodes
 
 
 def _xpath(name: str, expression: str, sql: str) -> None:

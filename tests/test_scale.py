@@ -365,3 +365,14 @@ def test_splicing_goes_on_over_batches(spark, size):
         assert sorted(x[:11] for x in got if x[0] == d) == want[d]
     assert sorted(x[1:11] for x in got if x[0] is None) == sorted(x[1:11] for x in lone * 2)
     assert len(got) == sum(map(len, want.values())) + 2 * len(lone)
+
+
+def test_catalogues_are_parsed_before_the_steps_that_read_them(spark):
+    """Steps begin at one time, and each would parse what is not kept yet."""
+    from loomtext import queries
+
+    spark.catalog.clearCache()
+    nodes = queries._catalog(spark, SMALL)
+    kept = [(x.numCachedPartitions(), x.numPartitions()) for x in spark.sparkContext._jsc.sc().getRDDStorageInfo()]
+    assert any(a == b == 4 * spark.sparkContext.defaultParallelism for a, b in kept)
+    nodes.unpersist()
